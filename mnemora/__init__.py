@@ -1,0 +1,3 @@
+"""Audits persistent agent memory at scale, as Spark plans."""
+
+__version__ = "0.1.0"

@@ -1,6 +1,553 @@
-"""The audit queries that the driver runs, and their SQL."""
+"""The audit's queries over the derived views, and the SQL that gives the same rows.
+
+Results are flat: arrays are joined to text, so that values compare whatever the engine.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.ids import json_of
+from ..functions.judges import LexicalJudge
+from ..functions.text import is_blank, with_folded
+from ..model import CAPABILITIES, CAPABILITY_FACETS, RULES_BY_CHECKER
+from ..operators import checks as ck
+from ..operators import evidence as ev
+from ..operators import mutations as mu
+from . import report, views
+from .views import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = "", *needs: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL over the views it needs."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql, *needs) if needs else sql
+        return f
+
+    return register
+
+
+def _flat(findings: DataFrame) -> DataFrame:
+    return findings.select("finding_id", F.array_join("memory_ids", ",").alias("memory_ids"), "severity", "rule_id", F.array_join(F.transform("evidence", lambda e: e["kind"]), ",").alias("kinds"), F.array_join(F.transform("evidence", lambda e: e["data"]), ",").alias("data"))
+
+
+def _ids_sql(checker: str, items: str) -> str:
+    """Findings of rows (ids: sorted list, items: list of {kind, data}) as SQL."""
+    r = RULES_BY_CHECKER[checker]
+    return f"""SELECT 'finding-' || substr(sha256('{{"checker_id":"{checker}","checker_version":"{r.checker_version}","defect_class":"{r.defect_class}","evidence":[' ||
+  array_to_string(list_transform(items, lambda x: '{{"data":' || x.data || ',"kind":"' || x.kind || '"}}'), ',') || '],"memory_ids":["' || array_to_string(ids, '","') || '"]}}'), 1, 24) AS finding_id,
+  array_to_string(ids, ',') AS memory_ids, '{r.severity}' AS severity, '{r.rule_id}' AS rule_id, array_to_string(list_transform(items, lambda x: x.kind), ',') AS kinds,
+  array_to_string(list_transform(items, lambda x: x.data), ',') AS data
+FROM ({items})"""
+
+
+def _stat_rows(stats: DataFrame) -> DataFrame:
+    return stats.select("memories_scanned", "findings_emitted", F.explode("details").alias("detail", "amount"))
+
+
+def _number(path: str, name: str) -> F.Column:
+    """A whole number, -1 where there is none."""
+    return F.coalesce(F.col(path).cast("long"), F.lit(-1)).alias(name)
+
+
+def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.memories(spark, sf_dir)
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return views.transcripts(spark, sf_dir), views.turns(spark, sf_dir)
+
+
+# --- provenance -----------------------------------------------------------------------------------
+
+
+@query("SELECT id, pos AS source_ref_index, transcript_id, coalesce(turn_idx, -1) AS turn_idx, coalesce(span_start, -1) AS span_start, coalesce(span_end, -1) AS span_end, coalesce(turn_length, -1) AS turn_length, outcome FROM classified", "classified")
+def q1_classified_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References against transcripts and turns."""
+    found = ev.classified_refs(ev.source_refs(_memories(spark, sf_dir)), *_transcripts(spark, sf_dir))
+    columns = ["transcript_id", _number("turn_idx", "turn_idx"), _number("span.start", "span_start"), _number("span.end", "span_end")]
+    return found.select("id", F.col("pos").alias("source_ref_index"), *columns, _number("turn_length", "turn_length"), "outcome")
+
+
+_ISSUE_KINDS = "outcome IN ('missing_transcript', 'missing_turn', 'invalid_span')"
+
+
+@query(
+    f"SELECT id, pos AS source_ref_index, outcome AS kind, transcript_id, coalesce(CASE WHEN outcome <> 'missing_transcript' THEN turn_idx END, -1) AS turn_idx, CASE WHEN outcome = 'invalid_span' THEN span_start ELSE -1 END AS span_start, "
+    f"CASE WHEN outcome = 'invalid_span' THEN span_end ELSE -1 END AS span_end, CASE WHEN outcome = 'invalid_span' THEN turn_length ELSE -1 END AS turn_length FROM classified WHERE {_ISSUE_KINDS}",
+    "classified",
+)
+def q1_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ck.orphan_issues(_memories(spark, sf_dir), *_transcripts(spark, sf_dir))
+    return found.select("id", "source_ref_index", "kind", "transcript_id", _number("turn_idx", "turn_idx"), _number("span.start", "span_start"), _number("span.end", "span_end"), _number("turn_length", "turn_length"))
+
+
+_C1_ITEMS = f"""SELECT [id] AS ids, list({{'kind': outcome, 'data': data}} ORDER BY '{{"data":' || data || ',"kind":"' || outcome || '"}}') AS items FROM (SELECT id, outcome, CASE outcome
+  WHEN 'missing_transcript' THEN '{{"source_ref_index":' || pos || ',"transcript_id":"' || transcript_id || '"}}'
+  WHEN 'missing_turn' THEN '{{"source_ref_index":' || pos || ',"transcript_id":"' || transcript_id || '","turn_idx":' || turn_idx || '}}'
+  ELSE '{{"source_ref_index":' || pos || ',"span":[' || span_start || ',' || span_end || '],"transcript_id":"' || transcript_id || '","turn_idx":' || turn_idx || ',"turn_length":' || turn_length || '}}' END AS data
+FROM classified WHERE {_ISSUE_KINDS}) GROUP BY id"""
+
+
+@query(_ids_sql("orphaned_provenance", _C1_ITEMS), "classified")
+def c1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.orphaned_provenance(_memories(spark, sf_dir), *_transcripts(spark, sf_dir)).findings)
+
+
+@query(
+    f"SELECT (SELECT count(*) FROM memories) AS memories_scanned, (SELECT count(DISTINCT id) FROM classified WHERE {_ISSUE_KINDS}) AS findings_emitted, 'source_refs_scanned' AS detail, (SELECT count(*) FROM refs) AS amount",
+    "memories", "refs", "classified",
+)
+def c1_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.orphaned_provenance(_memories(spark, sf_dir), *_transcripts(spark, sf_dir)).stats)
+
+
+@query("SELECT id, pos AS source_ref_index, transcript_id, turn_idx, role, coalesce(span_start, -1) AS span_start, coalesce(span_end, -1) AS span_end, length(text) AS chars, sha256(text) AS text_sha256 FROM segments", "segments")
+def q1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that references cite."""
+    found = ev.segments(ev.source_refs(_memories(spark, sf_dir)), views.turns(spark, sf_dir))
+    return found.select("id", "source_ref_index", "transcript_id", _number("turn_idx", "turn_idx"), "role", _number("span.start", "span_start"), _number("span.end", "span_end"), F.char_length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT id, outcome, coalesce(segment_count, 0) AS segment_count, coalesce(unique_segment_count, 0) AS unique_segment_count, sha256(premise) AS premise_sha256, coordinates FROM premises", "premises")
+def q2_premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed evidence and why a memory is not assessed."""
+    found = ck.premises(_memories(spark, sf_dir), *_transcripts(spark, sf_dir))
+    coordinates = F.when(F.col("coordinates").isNotNull(), F.to_json("coordinates", {"ignoreNullFields": "false"}))
+    return found.select("id", "outcome", F.coalesce("segment_count", F.lit(0)).alias("segment_count"), F.coalesce("unique_segment_count", F.lit(0)).cast("long").alias("unique_segment_count"), F.sha2("premise", 256).alias("premise_sha256"), coordinates.alias("coordinates"))
+
+
+# --- duplicates -----------------------------------------------------------------------------------
+
+_C2_GROUPS = (
+    "SELECT user_id, sha256(folded) AS sha, length(folded) AS folded_length, count(*) AS n, list(id ORDER BY id) AS ids, count(DISTINCT content) = 1 AS is_exact FROM folded WHERE user_id IS NOT NULL GROUP BY user_id, folded HAVING count(*) >= 2"
+)
+
+
+@query("SELECT id, sha256(folded) AS folded_sha256, length(folded) AS folded_length FROM folded", "folded")
+def h1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = with_folded(_memories(spark, sf_dir).select("id", "content"))
+    return folded.select("id", F.sha2("folded", 256).alias("folded_sha256"), F.char_length("folded").cast("long").alias("folded_length"))
+
+
+@query(f"SELECT user_id, sha, folded_length, n, array_to_string(ids, ',') AS memory_ids, is_exact FROM ({_C2_GROUPS})", "folded")
+def c2_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.duplicate_groups(_memories(spark, sf_dir)).select("user_id", "sha", F.col("folded_length").cast("long").alias("folded_length"), "n", F.array_join("memory_ids", ",").alias("memory_ids"), "is_exact")
+
+
+_C2_ITEMS = f"""SELECT ids, [{{'kind': k || '_duplicate', 'data': '{{"match_kind":"' || k || '","normalized_content_length":' || folded_length || ',"normalized_content_sha256":"' || sha ||
+  '","scope":{{"agent_id":null,"session_id":null,"user_id":"' || user_id || '"}}}}'}}] AS items FROM (SELECT *, CASE WHEN is_exact THEN 'exact' ELSE 'normalized' END AS k FROM ({_C2_GROUPS}))"""
+
+
+@query(_ids_sql("redundancy_bloat", _C2_ITEMS), "folded")
+def c2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.redundancy_bloat(_memories(spark, sf_dir)).findings)
+
+
+def _details_sql(row: str, details: dict[str, str]) -> str:
+    """A row per detail of one row that has memories_scanned and findings_emitted."""
+    return " UNION ALL ".join(f"SELECT memories_scanned, findings_emitted, '{k}' AS detail, {v} AS amount FROM ({row})" for k, v in details.items())
+
+
+@query(
+    _details_sql(
+        f"SELECT (SELECT count(*) FROM memories) AS memories_scanned, count(*) AS findings_emitted, (SELECT count(*) FROM memories WHERE user_id IS NULL) AS u, count(*) FILTER (WHERE is_exact) AS e FROM ({_C2_GROUPS})",
+        {"eligible_memories": "memories_scanned - u", "unscoped_memories_skipped": "u", "duplicate_groups": "findings_emitted", "exact_duplicate_groups": "e", "normalized_duplicate_groups": "findings_emitted - e"},
+    ),
+    "folded",
+)
+def c2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.redundancy_bloat(_memories(spark, sf_dir)).stats)
+
+
+# --- supersession ---------------------------------------------------------------------------------
+
+
+@query("SELECT src, dst, coalesce(dst_active::VARCHAR, 'unknown') AS dst_active FROM resolved", "resolved")
+def j6_resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.resolved_links(_memories(spark, sf_dir)).withColumn("dst_active", F.coalesce(F.col("dst_active").cast("string"), F.lit("unknown")))
+
+
+@query("SELECT src AS superseder_id, dst AS missing_target_id FROM links WHERE src <> dst AND dst NOT IN (SELECT id FROM memories)", "links", "memories")
+def c3_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.dangling_links(_memories(spark, sf_dir)).select(F.col("src").alias("superseder_id"), F.col("dst").alias("missing_target_id"))
+
+
+_CYCLES = "SELECT cycle, list(m.id ORDER BY m.id) AS ids, coalesce(list(m.id ORDER BY m.id) FILTER (WHERE b.active), []) AS alive FROM members m JOIN memories b ON m.id = b.id GROUP BY cycle"
+
+
+@query(f"SELECT cycle, array_to_string(ids, ',') AS members, array_to_string(alive, ',') AS active_members FROM ({_CYCLES})", "members", "memories")
+def c3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: strongly connected components of the resolved links."""
+    return ck.cycle_groups(ck.cycle_members(_memories(spark, sf_dir))).select("cycle", F.array_join("members", ",").alias("members"), F.array_join("active_members", ",").alias("active_members"))
+
+
+_DIRECT = "SELECT dst AS id, src AS superseder FROM resolved WHERE dst_active AND dst NOT IN (SELECT id FROM members)"
+
+
+@query(_DIRECT, "resolved", "members")
+def c3_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = _memories(spark, sf_dir)
+    return ck.direct_stale(memories, ck.cycle_members(memories))
+
+
+_C3_ITEMS = f"""SELECT ids, [{{'kind': 'supersession_cycle', 'data': '{{"active_members":["' || array_to_string(alive, '","') || '"],"members":["' || array_to_string(ids, '","') || '"]}}'}}] AS items FROM ({_CYCLES}) WHERE len(alive) > 0
+UNION ALL SELECT [id], list({{'kind': 'active_superseded', 'data': '{{"old_active":true,"superseding_memory_id":"' || superseder || '"}}'}} ORDER BY superseder) FROM ({_DIRECT}) GROUP BY id"""
+
+
+@query(_ids_sql("stale_active", _C3_ITEMS), "resolved", "members")
+def c3_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.stale_active(_memories(spark, sf_dir)).findings)
+
+
+@query(
+    _details_sql(
+        f"SELECT (SELECT count(*) FROM memories) AS memories_scanned, (SELECT count(*) FROM ({_CYCLES}) WHERE len(alive) > 0) + (SELECT count(DISTINCT id) FROM ({_DIRECT})) AS findings_emitted, (SELECT count(*) FROM links) AS l, "
+        f"(SELECT count(*) FROM links WHERE src = dst) AS o, (SELECT count(*) FROM resolved) AS r, (SELECT count(DISTINCT cycle) FROM members) AS c",
+        {"supersession_links_scanned": "l", "resolved_supersession_links": "r", "missing_targets_skipped": "l - o - r", "self_links_skipped": "o", "supersession_cycles": "c"},
+    ),
+    "links", "resolved", "members",
+)
+def c3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.stale_active(_memories(spark, sf_dir)).stats)
+
+
+# --- isolation ------------------------------------------------------------------------------------
+
+
+@query("SELECT dimension, source AS source_principal, string_agg(DISTINCT destination, ',' ORDER BY destination) AS destination_principals FROM rules GROUP BY dimension, source", "rules")
+def a9_policy_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.canonical_policy(views.rules(spark)).select("dimension", "source_principal", F.array_join("destination_principals", ",").alias("destination_principals"))
+
+
+_PRINCIPALS = "SELECT r.*, f.id, f.user_id, f.content, f.folded, f.active, f.provenance_status, f.doc_id FROM (SELECT DISTINCT dimension, source FROM rules) r JOIN folded f ON f.user_id = r.source"
+_DESTINATIONS = "SELECT r.*, f.id, f.user_id, f.content, f.folded, f.active, f.provenance_status, f.doc_id FROM rules r JOIN folded f ON f.user_id = r.destination"
+# Variants have neither references nor links, base records may have both.
+_HAS_REFS = "({x}.id IN (SELECT id FROM refs))"
+_REFS_TEXT = "coalesce((SELECT string_agg(transcript_id || ':' || coalesce(turn_idx::VARCHAR, '') || ':' || coalesce(span_start::VARCHAR, '') || ':' || coalesce(span_end::VARCHAR, ''), ',' ORDER BY pos) FROM refs WHERE refs.id = {x}.id), '')"
+_REPLICAS = f"""SELECT s.dimension, s.source AS rule, s.id AS source_id, d.id AS destination_id, d.user_id AS destination_principal, sha256(d.folded) AS sha, CASE WHEN s.content = d.content THEN 'exact' ELSE 'normalized' END AS match_kind,
+  list_sort(list_filter([CASE WHEN s.active IS DISTINCT FROM d.active THEN 'active' END, CASE WHEN s.content <> d.content THEN 'content' END, CASE WHEN s.provenance_status <> d.provenance_status THEN 'provenance_status' END,
+    CASE WHEN rs.t IS DISTINCT FROM rd.t THEN 'source_refs' END, CASE WHEN ls.t IS DISTINCT FROM ld.t THEN 'supersedes' END], lambda x: x IS NOT NULL)) AS differing
+FROM ({_PRINCIPALS}) s JOIN ({_DESTINATIONS}) d ON s.dimension = d.dimension AND s.source = d.source AND s.folded = d.folded
+LEFT JOIN ref_texts rs ON rs.id = s.id LEFT JOIN ref_texts rd ON rd.id = d.id LEFT JOIN link_texts ls ON ls.id = s.id LEFT JOIN link_texts ld ON ld.id = d.id"""
+views.SQL["ref_texts"] = "SELECT id, string_agg(transcript_id || ':' || coalesce(turn_idx::VARCHAR, '') || ':' || coalesce(span_start::VARCHAR, '') || ':' || coalesce(span_end::VARCHAR, ''), ',' ORDER BY pos) AS t FROM refs GROUP BY id"
+views.SQL["link_texts"] = "SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS t FROM links GROUP BY src"
+views._NEEDS["ref_texts"], views._NEEDS["link_texts"] = ["refs"], ["links"]
+_C4_VIEWS = ("folded", "rules", "ref_texts", "link_texts")
+
+
+@query(f"SELECT dimension, rule, source_id, destination_id, destination_principal, sha, match_kind, array_to_string(differing, ',') AS differing_fields FROM ({_REPLICAS})", *_C4_VIEWS)
+def c4_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicas across a prohibited boundary, and the fields in which they differ."""
+    found = ck.replicas(ck.principals(_memories(spark, sf_dir), ck.canonical_policy(views.rules(spark))))
+    return found.withColumn("differing_fields", F.array_join("differing_fields", ","))
+
+
+_C4_DATA = """'{"authoritative_source_memory_id":"' || source_id || '","authoritative_source_principal":"' || rule || '","destination_principal":"' || destination_principal || '","differing_fields":[' ||
+  array_to_string(list_transform(differing, lambda x: '"' || x || '"'), ',') || '],"match_kind":"' || match_kind || '","normalized_content_sha256":"' || sha || '","scope_dimension":"' || dimension || '"}'"""
+_C4_ITEMS = f"SELECT [destination_id] AS ids, list({{'kind': 'prohibited_scope_replica', 'data': data}} ORDER BY data) AS items FROM (SELECT destination_id, {_C4_DATA} AS data FROM ({_REPLICAS})) GROUP BY destination_id"
+
+
+@query(_ids_sql("privacy_scope_violation", _C4_ITEMS), *_C4_VIEWS)
+def c4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.privacy_scope_violation(_memories(spark, sf_dir), views.rules(spark)).findings)
+
+
+@query(
+    _details_sql(
+        f"SELECT (SELECT count(*) FROM memories) AS memories_scanned, (SELECT count(DISTINCT destination_id) FROM ({_REPLICAS})) AS findings_emitted, (SELECT count(*) FROM (SELECT DISTINCT dimension, source FROM rules)) AS r, "
+        f"(SELECT count(*) FROM ({_PRINCIPALS})) AS s, (SELECT count(*) FROM ({_DESTINATIONS})) AS d, (SELECT count(*) FROM ({_REPLICAS})) AS m",
+        {"policy_rules_scanned": "r", "authoritative_candidates": "s", "destination_candidates": "d", "replica_matches": "m"},
+    ),
+    *_C4_VIEWS,
+)
+def c4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.privacy_scope_violation(_memories(spark, sf_dir), views.rules(spark)).stats)
+
+
+# --- entailment -----------------------------------------------------------------------------------
+
+_WORDS = "list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda x: x <> '')"
+_SHARE = "CASE WHEN len(h) = 0 THEN 0 ELSE len(list_intersect(h, p)) / len(h) END"
+_JUDGED = f"""SELECT *, CASE WHEN score >= 0.5 THEN 'entailment' WHEN score < 0.1 THEN 'contradiction' ELSE 'neutral' END AS relation FROM (SELECT *, {_SHARE} AS score
+FROM (SELECT *, list_distinct({_WORDS.format(x='content')}) AS h, list_distinct({_WORDS.format(x='premise')}) AS p, len({_WORDS.format(x='content')}) + len({_WORDS.format(x='premise')}) AS tokens FROM premises WHERE outcome = 'assess'))"""
+
+
+@query(f"SELECT id, relation, round(score, 9) AS score, tokens AS input_tokens FROM ({_JUDGED})", "premises")
+def c5_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge as an Arrow UDF over distinct pairs of texts."""
+    found = ck.judged(_memories(spark, sf_dir), *_transcripts(spark, sf_dir), LexicalJudge())
+    return found.select("id", F.col("judgment.relation").alias("relation"), F.round("judgment.score", 9).alias("score"), F.col("judgment.input_tokens").alias("input_tokens"))
+
+
+_C5_ITEMS = f"""SELECT [id] AS ids, [{{'kind': 'declared_evidence_not_entailing', 'data': '{{"composition_style":"plain","hypothesis_sha256":"' || sha256(content) || '","judge_id":"lexical-overlap","judge_version":"1","premise_sha256":"' || sha256(premise) ||
+  '","semantic_relation":"' || relation || '","source_coordinates":' || coordinates || ',"unique_segment_count":' || unique_segment_count || '}}'}}] AS items FROM ({_JUDGED}) WHERE relation <> 'entailment'"""
+
+
+@query(_ids_sql("unsupported_claim", _C5_ITEMS), "premises")
+def c5_lexical_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.unsupported_claim(_memories(spark, sf_dir), *_transcripts(spark, sf_dir), LexicalJudge()).findings)
+
+
+@query(
+    _details_sql(
+        f"SELECT (SELECT count(*) FROM memories) AS memories_scanned, count(*) FILTER (WHERE relation <> 'entailment') AS findings_emitted, count(*) AS a, (SELECT count(*) FROM memories WHERE provenance_status = 'declared') AS d, "
+        f"(SELECT count(*) FROM premises WHERE outcome = 'resolution_issues') AS i, (SELECT count(*) FROM premises WHERE outcome = 'no_evidence') AS z, count(*) FILTER (WHERE relation = 'entailment') AS e, "
+        f"count(*) FILTER (WHERE relation = 'neutral') AS n, count(*) FILTER (WHERE relation = 'contradiction') AS c FROM ({_JUDGED})",
+        {
+            "declared_memories": "d", "assessed_memories": "a", "skipped_non_declared_provenance": "memories_scanned - d", "skipped_resolution_issues": "i", "skipped_no_evidence": "z", "skipped_input_too_long": "0::BIGINT",
+            "entailment_judgments": "e", "neutral_judgments": "n", "contradiction_judgments": "c",
+        },
+    ),
+    "memories", "premises",
+)
+def c5_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.unsupported_claim(_memories(spark, sf_dir), *_transcripts(spark, sf_dir), LexicalJudge()).stats)
+
+
+# --- retrieval ------------------------------------------------------------------------------------
+
+
+@query("SELECT 'vec-' || q AS request_id, 'vec-' || vec_id AS memory_id, rank FROM hits", "hits")
+def t8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded hits, ranked by cosine similarity."""
+    return views.observations(spark, sf_dir).select("request_id", F.explode("hits").alias("h")).select("request_id", F.col("h.memory_id").alias("memory_id"), F.col("h.rank").cast("long").alias("rank"))
+
+
+def _sufficiency(policy: str) -> tuple[str, Query]:
+    name = ck.POLICIES[policy]
+    condition = "len(missing) = 0" if policy == "all" else "len(retrieved) > 0"
+    sql = f"SELECT request_id, '{name}' AS policy, array_to_string(expected, ',') AS expected, array_to_string(retrieved, ',') AS retrieved, array_to_string(missing, ',') AS missing, {condition} AS sufficient FROM cases"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = ck.retrieval_sufficiency(views.observations(spark, sf_dir), name)
+        return found.select("request_id", "policy", *(F.array_join(c, ",").alias(c) for c in ("expected", "retrieved", "missing")), "sufficient")
+
+    run.__name__ = f"q3_sufficiency_{policy}"
+    return sql, run
+
+
+for _policy in ck.POLICIES:
+    _sql, _run = _sufficiency(_policy)
+    query(_sql, "cases")(_run)
+
+_QUOTED = "array_to_string(list_transform({x}, lambda x: '\"' || x || '\"'), ',')"
+_C6_ITEMS = f"""SELECT missing AS ids, [{{'kind': 'insufficient_retrieval', 'data': '{{"expected_memory_ids":[' || {_QUOTED.format(x='expected')} || '],"missing_expected_memory_ids":[' || {_QUOTED.format(x='missing')} || '],"policy":"all_expected","query_sha256":"' ||
+  sha256(request_id) || '","request_id":"' || request_id || '","retrieved_expected_memory_ids":[' || {_QUOTED.format(x='retrieved')} || '],"retriever_id":"cosine","retriever_version":"1","top_k":{views.TOP_K}}}'}}] AS items FROM cases WHERE len(missing) > 0"""
+
+
+@query(_ids_sql("retrieval_shadowing", _C6_ITEMS), "cases")
+def c6_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(ck.retrieval_shadowing(views.observations(spark, sf_dir), "all_expected").findings)
+
+
+@query(
+    _details_sql(
+        "SELECT 0::BIGINT AS memories_scanned, count(*) FILTER (WHERE len(missing) > 0) AS findings_emitted, count(*) AS c, sum(len(expected))::BIGINT AS e, sum(len(retrieved))::BIGINT AS r, sum(len(missing))::BIGINT AS m FROM cases",
+        {"retrieval_cases_assessed": "c", "expected_targets": "e", "retrieved_expected_targets": "r", "missing_expected_targets": "m", "retrieval_calls": "c", "candidate_count": f"{views.TOP_K} * c", "hits_observed": f"{views.TOP_K} * c"},
+    ),
+    "cases",
+)
+def c6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stat_rows(ck.retrieval_shadowing(views.observations(spark, sf_dir), "all_expected").stats)
+
+
+def _expected_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen = views.observations(spark, sf_dir)
+    hits = seen.select("request_id", F.explode("hits.memory_id").alias("memory_id"))
+    return seen.select("request_id", F.explode("expected_memory_ids").alias("memory_id")), hits
+
+
+_NEAR = "SELECT 'vec-' || q AS request_id, 'vec-' || vec_id AS memory_id FROM hits"
+
+
+@query(f"SELECT e.request_id, e.memory_id FROM expected e JOIN ({_NEAR}) h USING (request_id, memory_id)", "expected", "hits")
+def j9_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected, hits = _expected_and_hits(spark, sf_dir)
+    return expected.join(hits, ["request_id", "memory_id"], "left_semi")
+
+
+@query(f"SELECT e.request_id, e.memory_id FROM expected e ANTI JOIN ({_NEAR}) h USING (request_id, memory_id)", "expected", "hits")
+def j9_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected, hits = _expected_and_hits(spark, sf_dir)
+    return expected.join(hits, ["request_id", "memory_id"], "left_anti")
+
+
+# --- reports --------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT 'orphaned_provenance' AS checker_id, (SELECT count(*) FROM memories) AS memories_scanned, (SELECT count(DISTINCT id) FROM classified WHERE " + _ISSUE_KINDS + ") AS findings_emitted, 'error' AS severity "
+    f"UNION ALL SELECT 'redundancy_bloat', (SELECT count(*) FROM memories), (SELECT count(*) FROM ({_C2_GROUPS})), 'warning' "
+    f"UNION ALL SELECT 'stale_active', (SELECT count(*) FROM memories), (SELECT count(*) FROM ({_CYCLES}) WHERE len(alive) > 0) + (SELECT count(DISTINCT id) FROM ({_DIRECT})), 'error' "
+    f"UNION ALL SELECT 'privacy_scope_violation', (SELECT count(*) FROM memories), (SELECT count(DISTINCT destination_id) FROM ({_REPLICAS})), 'error' "
+    f"UNION ALL SELECT 'unsupported_claim', (SELECT count(*) FROM memories), (SELECT count(*) FROM ({_JUDGED}) WHERE relation <> 'entailment'), 'error'",
+    "classified", "premises", "members", *_C4_VIEWS,
+)
+def r1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All public checks in one plan."""
+    audit = report.audit(_memories(spark, sf_dir), transcripts=_transcripts(spark, sf_dir), rules=views.rules(spark), judge=LexicalJudge())
+    severity = F.create_map(*[F.lit(x) for r in RULES_BY_CHECKER.values() for x in (r.checker_id, r.severity)])
+    return audit.stats.select("checker_id", "memories_scanned", "findings_emitted", F.element_at(severity, F.col("checker_id")).alias("severity"))
+
+
+@query(
+    "SELECT c AS checker_id, CASE WHEN a < n THEN 'degraded' ELSE 'ready' END AS status, n AS total_memories, a AS assessable_memories, CASE WHEN a < n THEN l ELSE '' END AS limitations, '' AS blocked_reasons FROM "
+    "(SELECT *, (SELECT count(*) FROM memories) AS n FROM (SELECT 'orphaned_provenance' AS c, (SELECT count(*) FROM memories WHERE provenance_status = 'declared') AS a, 'non_declared_provenance' AS l "
+    "UNION ALL SELECT 'unsupported_claim', (SELECT count(*) FROM memories WHERE provenance_status = 'declared'), 'non_declared_provenance' UNION ALL SELECT 'redundancy_bloat', (SELECT count(*) FROM memories WHERE user_id IS NOT NULL), 'unscoped_memories' "
+    "UNION ALL SELECT 'stale_active', (SELECT count(*) FROM memories WHERE active IS NOT NULL), 'active_state_unavailable' UNION ALL SELECT 'privacy_scope_violation', (SELECT count(*) FROM memories WHERE user_id IS NOT NULL), 'policy_scope_unavailable'))",
+    "memories",
+)
+def r2_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each check can assess, in one pass."""
+    found = report.preflight(_memories(spark, sf_dir), adapter="file", has_transcripts=True, rules=views.rules(spark), has_judge=True)
+    return found.select("checker_id", "status", "total_memories", "assessable_memories", F.array_join("limitations", ",").alias("limitations"), F.array_join("blocked_reasons", ",").alias("blocked_reasons"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS adapter, '{f}' AS facet, '{CAPABILITIES[a][f]}' AS state" for a in CAPABILITIES for f in CAPABILITY_FACETS))
+def r3_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.capabilities(spark)
+
+
+_SARIF_C1 = _ids_sql("orphaned_provenance", _C1_ITEMS)
+
+
+@query(f"SELECT finding_id, 'error' AS level, memory_ids AS location, len(string_split(kinds, ',')) AS parts FROM ({_SARIF_C1})", "classified")
+def o9_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as SARIF results, read back from their JSON."""
+    rows = report.sarif_results(ck.orphaned_provenance(_memories(spark, sf_dir), *_transcripts(spark, sf_dir)).findings, 0)
+    get = lambda path: F.get_json_object("result", path)
+    return rows.select(get("$.fingerprints.mnemoraFindingId").alias("finding_id"), get("$.level").alias("level"), get("$.locations[0].logicalLocations[0].name").alias("location"), F.size(F.split(get("$.message.text"), "; ")).cast("long").alias("parts"))
+
+
+# --- constraints, sets and scalars ----------------------------------------------------------------
+
+
+@query("SELECT content_sha256 AS id, count(*) AS n FROM (SELECT sha256(text) AS content_sha256 FROM documents) GROUP BY content_sha256 HAVING count(*) > 1")
+def k8_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that occur more than once (of records named by their content)."""
+    from ..operators.constraints import duplicate_ids
+
+    return duplicate_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2("text", 256).alias("id")))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS violated WHERE false")
+def k1_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 to K7: the views break no constraint of a memory."""
+    from ..operators.constraints import memory_violations
+
+    return memory_violations(_memories(spark, sf_dir)).select("id", "violated")
+
+
+@query("SELECT id, replace(content, 'the', 'THE') AS content FROM memories WHERE (length(content) - length(replace(content, 'the', ''))) / 3 = 1", "memories")
+def h15_replace_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact replacement where the text occurs exactly once."""
+    df = _memories(spark, sf_dir).select("id", "content")
+    return df.where(mu.occurrences(F.col("content"), "the") == 1).select("id", mu.replaced_once(F.col("content"), "the", "THE").alias("content"))
+
+
+@query("SELECT id FROM memories UNION ALL SELECT id || '-copy' FROM memories WHERE doc_id % 7 = 0", "memories")
+def u1_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _memories(spark, sf_dir)
+    copied = df.where(F.regexp_extract("id", r"(\d{8})", 1).cast("long") % 7 == 0).withColumn("id", F.concat("id", F.lit("-copy")))
+    return mu.append(df, copied).select("id")
+
+
+@query("SELECT id, '{\"active\":' || CASE WHEN active THEN 'true' WHEN NOT active THEN 'false' ELSE 'null' END || ',\"id\":\"' || id || '\",\"scope\":{\"agent_id\":null,\"session_id\":null,\"user_id\":' || coalesce('\"' || user_id || '\"', 'null') || '}}' AS canonical FROM memories", "memories")
+def h10_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.struct(*(F.col(f"scope.{d}").alias(d) for d in ("agent_id", "session_id", "user_id")))
+    return _memories(spark, sf_dir).select("id", json_of(active=F.col("active"), id=F.col("id"), scope=scope).alias("canonical"))
+
+
+@query("SELECT id, trim(content) = '' AS blank FROM memories", "memories")
+def h14_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memories(spark, sf_dir).select("id", is_blank(F.col("content")).alias("blank"))
+
+
+# --- mutations, then the check that should see them -----------------------------------------------
+
+
+_CLAIM = "User lives in Lyon."
+
+
+def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One active record of a known scope and content."""
+    user = F.col("scope").withField("user_id", F.lit("user-en"))
+    none = F.array().cast("array<string>")
+    return _memories(spark, sf_dir).where("id = 'doc-00000001'").withColumns({"content": F.lit(_CLAIM), "active": F.lit(True), "supersedes": none, "scope": user})
+
+
+def _with_ref(memories: DataFrame, transcript: str) -> DataFrame:
+    ref = F.struct(F.lit(transcript).alias("transcript_id"), F.lit(0).alias("turn_idx"), F.lit(None).cast("struct<start:int,end:int>").alias("span"))
+    return memories.withColumns({"source_refs": F.array(ref), "provenance_status": F.lit("declared")})
+
+
+@query("SELECT 'factual_substitution' AS subtype, 'contradiction' AS relation")
+def m1_substitute_then_c5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = spark.createDataFrame([("t-1",)], "transcript_id string")
+    turns = spark.createDataFrame([("t-1", 0, "user", "Lyon is where I live.")], "transcript_id string, turn_idx int, role string, content string")
+    base = _with_ref(_one(spark, sf_dir), "t-1").withColumn("content", F.lit("Lyon"))
+    done = mu.mutate(base, mu.Request("unsupported_claim", replace_from="Lyon", replace_to="Oslo"), (transcripts, turns))
+    found = ck.judged(done.memories, transcripts, turns, LexicalJudge())
+    return found.select(F.lit(done.manifest["subtype"]).alias("subtype"), F.col("judgment.relation").alias("relation"))
+
+
+@query("SELECT 2::BIGINT AS memories, 2::BIGINT AS contents, 1::BIGINT AS users")
+def m2_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("internal_contradiction", replace_from="Lyon", replace_to="Oslo", conflict_relation="exclusive_value"))
+    return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_distinct("content").alias("contents"), F.count_distinct("scope.user_id").alias("users"))
+
+
+@query("SELECT 'doc-00000001' AS memory_ids, 'active_superseded' AS kinds")
+def m3_stale_then_c3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("stale_active", seed=42, replace_from="Lyon", replace_to="Oslo"))
+    return _flat(ck.stale_active(done.memories).findings).select("memory_ids", "kinds")
+
+
+def _broken(subtype: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        transcripts, turns = _transcripts(spark, sf_dir)
+        done = mu.mutate(_with_ref(_one(spark, sf_dir), "conv-0"), mu.Request("orphaned_provenance", subtype, seed=42), (transcripts, turns))
+        return _flat(ck.orphaned_provenance(done.memories, transcripts, turns).findings).select("memory_ids", "kinds")
+
+    run.__name__ = f"m4_{subtype}_then_c1"
+    return run
+
+
+for _subtype in mu.SUBTYPES["orphaned_provenance"]:
+    query(f"SELECT 'doc-00000001' AS memory_ids, '{_subtype}' AS kinds")(_broken(_subtype))
+
+
+@query("SELECT 4::BIGINT AS memories, 1::BIGINT AS users")
+def m5_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("retrieval_shadowing", query="Which editor?", distractor_family="editor"))
+    return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_distinct("scope.user_id").alias("users"))
+
+
+@query("SELECT 2::BIGINT AS memories, 1::BIGINT AS injected")
+def m6_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("injected_instruction", "format_override"))
+    return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.contains("content", F.lit("haiku"))).alias("injected"))
+
+
+@query("SELECT 'prohibited_scope_replica' AS kinds, 1::BIGINT AS findings")
+def m7_scope_then_c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("privacy_scope_violation", seed=42, destination_user_id="user-de"))
+    found = _flat(ck.privacy_scope_violation(done.memories, views.rules(spark)).findings)
+    return found.groupBy("kinds").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("SELECT 'exact_duplicate' AS kinds, 1::BIGINT AS findings")
+def m8_duplicate_then_c2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mu.mutate(_one(spark, sf_dir), mu.Request("redundancy_bloat", seed=42))
+    return _flat(ck.redundancy_bloat(done.memories).findings).groupBy("kinds").agg(F.count(F.lit(1)).alias("findings"))
