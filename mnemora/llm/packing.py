@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import map_slices, whole_text
-from .bpe import ship
+from .bpe import byte_alphabet, ship
 
 CAPACITY = 4096
 GROUP_PIECES = 16384
@@ -90,34 +90,76 @@ def group_count(docs: DataFrame, text_col: str = "text", capacity: int = CAPACIT
 
 
 class WordEncoder:
-    """Ids by the tokenizers library of whole texts, through a bounded store of the ids of what stands
-    between white space. Normalisation and pre-tokenisation of the vocabulary must not look across
-    ASCII white space, which holds where it is dropped."""
+    """Ids by the tokenizers library of whole texts, through bounded stores of ids met before.
+
+    What stands between ASCII white space is encoded by itself, which is right where a vocabulary's
+    normalisation and pre-tokenisation drop white space. Where they are of the form in `_SPEC`, strings of
+    characters below U+0300 (all composed already) are also lowered and split here, so that the
+    library's model is asked once per word instead of running its pipeline per string.
+    """
+
+    #: Normalisers and pre-tokenisers, in the order of the vocabulary file.
+    _SPEC = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
     def __init__(self, data: bytes) -> None:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[bytes, bytes] = {}
+        #: Two generations by string: when the younger is full, the older goes.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        spec = json.loads(data)
+        steps = [[x["type"] for x in (spec[part] or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.split = None
+        if tuple(steps) == self._SPEC:
+            split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
+            if (split["behavior"], split["invert"]) == ("Removed", True) and not byte_level["add_prefix_space"] and not byte_level["use_regex"]:
+                self.split = regex.compile(split["pattern"]["Regex"].replace("\\s", r"\p{White_Space}")).findall
+        self.sign = {b: c for c, b in byte_alphabet().items()}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() and word.isprintable() else "".join(map(self.sign.__getitem__, word.encode()))
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            if len(self.words) >= CHUNKS_KEPT:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        late = []
+        for c in chunks:
+            text = c.decode()
+            if self.split is None or (not c.isascii() and max(text) >= "\u0300") or any(s in text for s in self.special):
+                late.append(c)
+            else:
+                self.young[c] = b"".join(map(self._word, self.split(text.lower())))
+        for start in range(0, len(late), 4096):
+            part = late[start : start + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
+                self.young[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.encode().split() for t in texts]
-        kept = self.kept
-        if len(kept) >= CHUNKS_KEPT:
-            kept.clear()
-        new = list({w for words in split for w in words if w not in kept})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.young) >= CHUNKS_KEPT // 2:
+            self.young, self.old = {}, self.young
+        missing = set().union(*split).difference(self.young)
+        known = missing.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in known)
+        self._learn(list(missing - known))
         for words in split:
-            yield b"".join(map(kept.__getitem__, words))
+            yield b"".join(map(self.young.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
