@@ -129,11 +129,11 @@ def canonical_rows(memories: DataFrame) -> DataFrame:
 
     fields = ["id", "content", "source_refs", "provenance_status", "scope", "active", "supersedes", "embedding"]
 
-    @F.udf("string")
-    def text(r: Row) -> str:
+    def render(r):
         d = {k: plain(r[k]) for k in fields} | {"created_at": r["created_at_text"], "updated_at": r["updated_at_text"]}
         return canonical({k: v if v is not None or k not in ("source_refs", "supersedes") else [] for k, v in d.items()})
 
+    text = F.udf(render, "string", useArrow=True)
     return memories.select("id", text(F.struct(*fields, "created_at_text", "updated_at_text")).alias("json"))
 
 
