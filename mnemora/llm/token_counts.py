@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import map_slices, whole_text
+from .base import cut_lineage, map_slices, whole_text
 from .bpe import _loaded, ship
 
 BLOCK = 4096
@@ -44,7 +44,9 @@ def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 def context_report(histogram: DataFrame) -> DataFrame:
     """One row per distinct length, as a context limit: length, n_docs, docs_up_to, docs_longer,
     tokens_up_to (of documents that fit), truncated_total (all documents, cut to the limit),
-    total_docs, total_tokens, and quantile, the share of documents that fit."""
+    total_docs, total_tokens, and quantile, the share of documents that fit. The histogram is written
+    once, as blocks and lengths both read it and texts should be encoded once."""
+    histogram = cut_lineage(histogram)
     h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     before, everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
