@@ -208,6 +208,8 @@ def canonical_policy(rules: DataFrame) -> DataFrame:
     return rules.groupBy("dimension", "source_principal").agg(F.sort_array(F.collect_set("destination_principal")).alias("destination_principals"))
 
 
+#: Merged rules up to which a policy is broadcast; beyond, the join shuffles.
+BROADCAST_RULES = 10_000
 _COMPARED = ("active", "content", "created_at_text", "embedding", "provenance_status", "source_refs", "supersedes", "updated_at_text")
 
 
@@ -221,11 +223,12 @@ def _portable(memories: DataFrame) -> DataFrame:
 
 
 def principals(memories: DataFrame, policy: DataFrame) -> DataFrame:
-    """(rule, side, id, principal, …) of each memory that a merged rule makes a source or a destination."""
-    keyed = with_folded(_portable(memories)).withColumn("sha", F.sha2("folded", 256)).drop("content", "folded")
-    each = keyed.select("*", F.explode(F.create_map(*[x for d in SCOPE_DIMENSIONS for x in (F.lit(d), F.col(d))])).alias("dimension", "principal")).where("principal is not null")
+    """(rule, is_source, id, principal, sha, …) of each memory that a merged rule makes a source or a
+    destination. Only those are folded: the rules are met first."""
+    each = _portable(memories).select("*", F.explode(F.create_map(*[x for d in SCOPE_DIMENSIONS for x in (F.lit(d), F.col(d))])).alias("dimension", "principal")).where("principal is not null")
     sides = policy.select("dimension", F.col("source_principal").alias("rule"), F.explode(F.concat(F.array("source_principal"), F.array_except("destination_principals", F.array("source_principal")))).alias("principal"))
-    return each.join(F.broadcast(sides) if policy.count() <= 10_000 else sides, ["dimension", "principal"]).withColumn("is_source", F.col("principal") == F.col("rule"))
+    met = each.join(F.broadcast(sides) if policy.count() <= BROADCAST_RULES else sides, ["dimension", "principal"])
+    return with_folded(met).withColumn("sha", F.sha2("folded", 256)).drop("content", "folded").withColumn("is_source", F.col("principal") == F.col("rule"))
 
 
 def replicas(found: DataFrame) -> DataFrame:
