@@ -44,25 +44,28 @@ FOLDS, CALIBRATION_FOLD = 5, 1
 THRESHOLD = 0.3
 WORDS_KEPT = 300_000
 
-_RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_]+", None), (r"\d+", "0"), (r"(\W|_)\1+", r"\1"))]
+_LETTERS, _DIGITS, _AGAIN, _NO_LETTER = (re.compile(p) for p in (r"[^\W\d_]+", r"\d+", r"(\W|_)\1+", r"[\W_]+"))
 
 
-def shape(word: str) -> str:
-    """E.g. `Word***` -> `Aa*`, `WORD!!` -> `AA!`, `word.` -> `a.`"""
+def _case(letters: str) -> str:
+    if letters.islower():
+        return "a"
+    if letters.isupper():
+        return "AA" if len(letters) > 1 else "A"
+    return "Aa" if letters[1:].islower() else "aA"
 
-    def letters(m: re.Match) -> str:
-        s = m[0]
-        return "a" if s.islower() else ("AA" if len(s) > 1 else "A") if s.isupper() else "Aa" if s[1:].islower() else "aA"
 
-    out = _RUNS[0][0].sub(letters, word)
-    for pattern, sign in _RUNS[1:]:
-        out = pattern.sub(sign, out)
-    return out[:16]
+def shape(word: str) -> str:
+    """E.g. `Word***` -> `Aa*`, `WORD!!` -> `AA!`, `word.` -> `a.`"""
+    if word.isalpha():
+        return _case(word)
+    out = _LETTERS.sub(lambda m: _case(m[0]), word)
+    return _AGAIN.sub(r"\1", _DIGITS.sub("0", out))[:16]
 
 
 def term_buckets(word: str) -> int:
     """The word's letter bucket and shape bucket, in one number."""
-    plain = "".join(c for c in word.lower() if c.isalnum())
+    plain = word.lower() if word.isalnum() else _NO_LETTER.sub("", word.lower())
     return (zlib.crc32(plain.encode()) % WORD_BUCKETS) * SHAPE_BUCKETS + zlib.crc32(shape(word).encode()) % (SHAPE_BUCKETS - 1)
 
 
@@ -79,13 +82,25 @@ def index_vectors(buckets: int, seed: int) -> np.ndarray:
     return out
 
 
+#: Neighbouring terms that are summed at a time.
+PAIRS = 1 << 17
+
+
 def context_vectors(sequences: list[np.ndarray], index: np.ndarray) -> np.ndarray:
     """Index vectors plus the unit vectors of what stands around each term."""
     around = np.zeros_like(index)
-    for ids in sequences:
-        for step in range(1, NEAR + 1):
-            np.add.at(around, ids[step:], index[ids[:-step]])
-            np.add.at(around, ids[:-step], index[ids[step:]])
+    terms = np.concatenate([np.zeros(0, np.int64), *sequences])
+    text = np.repeat(np.arange(len(sequences)), [len(x) for x in sequences])
+    for step in range(1, NEAR + 1):
+        for start in range(0, len(terms) - step, PAIRS):
+            end = min(start + PAIRS, len(terms) - step)
+            same = text[start:end] == text[start + step : end + step]
+            left, right = terms[start:end][same], terms[start + step : end + step][same]
+            for here, there in ((left, right), (right, left)):
+                order = here.argsort(kind="stable")
+                found, firsts = np.unique(here[order], return_index=True)
+                if len(found):
+                    around[found] += np.add.reduceat(index[there[order]], firsts, axis=0)
     norm = np.linalg.norm(around, axis=1, keepdims=True)
     return index / np.sqrt(NONZERO) + np.divide(around, norm, out=np.zeros_like(around), where=norm > 0)
 
@@ -105,15 +120,17 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"kept": {}}
 
-    def vector(self, text: str) -> np.ndarray:
+    def vector(self, text: str, known: dict[str, int] | None = None) -> np.ndarray:
+        """known: buckets of all the text's words, where they are there already."""
         tokens = text.split()
         if not tokens:
             return np.zeros(2 * DIM)
-        kept, counts = self.kept, Counter(tokens)
-        if len(kept) > WORDS_KEPT:
+        kept, counts = self.kept if known is None else known, Counter(tokens)
+        if known is None and len(kept) > WORDS_KEPT:
             kept.clear()
-        for w in counts.keys() - kept.keys():
-            kept[w] = term_buckets(w)
+        for w in counts:
+            if w not in kept:
+                kept[w] = term_buckets(w)
         ids = np.fromiter(map(kept.__getitem__, counts), np.int64, len(counts))
         weight = np.fromiter(counts.values(), np.float32, len(counts)) / len(tokens)
         again = sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
@@ -167,10 +184,11 @@ def fit(texts: list[str], labels: list[int], folds: list[int], shares: dict[int,
     if len(set(labels)) < 2:
         return Model(np.zeros((0, DIM)), np.zeros((0, DIM)), constant=float(labels[0]) if labels else 0.5)
     model = Model(index_vectors(WORD_BUCKETS, seed), index_vectors(SHAPE_BUCKETS, seed + 1))
-    ids = [np.array([term_buckets(w) for w in t.split()], np.int64) for t in texts]
+    buckets = {w: term_buckets(w) for w in {w for t in texts for w in t.split()}}
+    ids = [np.array([buckets[w] for w in t.split()], np.int64) for t in texts]
     model.words = context_vectors([i // SHAPE_BUCKETS for i in ids], model.words)
     model.shapes = context_vectors([i % SHAPE_BUCKETS for i in ids], model.shapes)
-    x, y, fold = np.stack([model.vector(t) for t in texts]), np.array(labels, float), np.array(folds)
+    x, y, fold = np.stack([model.vector(t, buckets) for t in texts]), np.array(labels, float), np.array(folds)
     share = {k: shares[k] / max(1, labels.count(k)) for k in (0, 1)}
     weight = np.array([share[k] for k in labels])
     kept_back = fold == CALIBRATION_FOLD
