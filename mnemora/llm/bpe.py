@@ -44,6 +44,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _late_letters():
+    """Letters and digits that the pattern's library knows from a newer Unicode than the tokenizers
+    library, for which they, and the character that replaces them here, are unassigned. The library
+    itself is asked, about what this Python does not know either."""
+    import unicodedata
+
+    import regex
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    unassigned = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn")
+    late = [c for c in regex.findall(r"[\p{L}\p{N}]", unassigned) if len(split("a" + c)) > 1 and len(split("1" + c)) > 1]
+    return regex.compile(f"[{''.join(late)}]" if late else r"(?!)").search, dict.fromkeys(map(ord, late), "\u0378")
+
+
 class ByteBPE:
     """Encodes and decodes with a vocabulary file in the JSON format of the tokenizers library
     (byte-level pre-tokenizer without prefix space, no normalizer)."""
@@ -75,12 +90,24 @@ class ByteBPE:
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges.setdefault((id_of[a], id_of[b]), (rank, id_of[a + b]))
         self.byte_id = [id_of[bytes([b])] for b in range(256)]
-        self.find = regex.compile(self.PATTERN).findall
+        self.pattern = regex.compile(self.PATTERN)
+        self.late = None
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else lambda s: [s]
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes | None] = {}
 
+    def find(self, text: str) -> list[str]:
+        """The words of a text."""
+        if text.isascii():
+            return self.pattern.findall(text)
+        if self.late is None:
+            self.late = _late_letters()
+        search, as_unassigned = self.late
+        if not search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(as_unassigned))]
+
     def word_ids(self, word: bytes) -> list[int]:
         """The ids of one word's bytes."""
         parts = [self.byte_id[b] for b in word]

@@ -200,6 +200,16 @@ def test_bpe_on_random_strings():
         assert np.frombuffer(own.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_knows_every_code_point():
+    """Words around every fourth code point, and all the newest letters, as the library splits them."""
+    from tokenizers import Tokenizer
+
+    split, own = Tokenizer.from_file(BYTE).pre_tokenizer.pre_tokenize_str, bpe._loaded(open(BYTE, "rb").read())
+    for cp in (*range(0, 0x3000), *range(0x3000, 0xD800, 4), *range(0xE000, 0x110000, 16), 0x558, 0xC5C, 0xA7CE, 0x10940, 0x323B0, 0x3D000):
+        s = f"a{chr(cp)}1 {chr(cp)}!"
+        assert own.find(s) == [s[x:y] for _, (x, y) in split(s)], hex(cp)
+
+
 def test_word_encoder_on_random_strings():
     from tokenizers import Tokenizer
 
