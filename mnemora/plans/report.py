@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -15,7 +16,7 @@ from .. import __version__
 from ..functions.ids import json_of
 from ..functions.judges import Judge
 from ..model import (
-    CAPABILITIES, CAPABILITY_FACETS, CHECKER_RESULT_SCHEMA, FINDINGS, PUBLIC_CHECKERS, REQUIREMENTS, RULES_BY_CHECKER, SCHEMA_VERSION, SCOPE_DIMENSIONS, SEVERITIES, SKIP_REASONS, STATS, empty,
+    CAPABILITIES, CAPABILITY_FACETS, CHECKER_RESULT_SCHEMA, FINDINGS, PUBLIC_CHECKERS, REQUIREMENTS, RULES_BY_CHECKER, Rule, SCHEMA_VERSION, SCOPE_DIMENSIONS, SEVERITIES, SKIP_REASONS, STATS, empty,
 )
 from ..operators import checks as ck
 
@@ -45,7 +46,27 @@ class Inputs:
         return [SKIP_REASONS[x] for x in REQUIREMENTS[checker_id] if not has[x]]
 
 
+#: Checks of the caller, by id; they run by name but are no part of an aggregate audit.
+_CUSTOM: dict[str, Callable[[Inputs], ck.CheckResult]] = {}
+
+
+def register_check(rule: Rule, check: Callable[[Inputs], ck.CheckResult]) -> None:
+    """Adds a check with metadata of its own. Built-in ids and their metadata cannot be replaced."""
+    if rule.checker_id in REQUIREMENTS or rule.checker_id == "retrieval_shadowing":
+        raise InputError(f"{rule.checker_id} is built in")
+    if not rule.checker_id.strip() or not rule.checker_version.strip() or rule.severity not in SEVERITIES:
+        raise InputError("a check needs an id, a version and a known severity")
+    if not re.fullmatch(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", rule.rule_id) or not re.fullmatch(r"(?:0|[1-9]\d*)(?:\.(?:0|[1-9]\d*)){2}", rule.rule_version):
+        raise InputError("a rule needs a dotted lower-case id and a numeric version of three parts")
+    RULES_BY_CHECKER[rule.checker_id] = rule
+    _CUSTOM[rule.checker_id] = check
+
+
 def run_check(checker_id: str, inputs: Inputs) -> ck.CheckResult:
+    if checker_id in _CUSTOM:
+        return _CUSTOM[checker_id](inputs)
+    if checker_id not in REQUIREMENTS:
+        raise InputError(f"unknown checker {checker_id!r}")
     if missing := inputs.missing(checker_id):
         raise InputError(f"{checker_id}: {', '.join(missing)}")
     m = inputs.memories
@@ -60,7 +81,7 @@ def run_check(checker_id: str, inputs: Inputs) -> ck.CheckResult:
             return ck.privacy_scope_violation(m, inputs.rules)
         case "unsupported_claim":
             return ck.unsupported_claim(m, *inputs.transcripts, inputs.judge)
-    raise InputError(f"unknown checker {checker_id!r}")
+    raise AssertionError(checker_id)
 
 
 @dataclass

@@ -273,3 +273,23 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([(s,) for s in strings], "s string").select("s", ids.json_of(b=F.lit(None).cast("int"), a=F.col("s")).alias("j"), ids.json_string(F.col("s")).alias("q"))
     for r in df.collect():
         assert r["j"] == ids.canonical({"a": r["s"], "b": None}) and r["q"] == json.dumps(r["s"], ensure_ascii=False)
+
+
+def test_custom_check(make):
+    from mnemora.model import RULES_BY_CHECKER, Rule
+
+    def shouting(inputs):
+        found = inputs.memories.where(F.upper("content") == F.col("content")).select(F.array("id").alias("memory_ids"), F.array(ids.evidence_item("shout", "All capitals.", F.lit("{}"))).alias("items"))
+        return ck.CheckResult("shouting", ck._findings(found, "shouting"), ck._stats(inputs.memories.agg(F.count(F.lit(1)).alias("n")), "shouting", F.col("n"), F.lit(1), {"seen": F.col("n")}))
+
+    report.register_check(Rule("shouting", "1.0", "memory.style.shouting", "1.0.0", "info"), shouting)
+    try:
+        result = report.run_check("shouting", report.Inputs(make([memory("a", "LOUD"), memory("b", "calm")])))
+        assert [f["memory_ids"] for f in report.result_dict(result)["findings"]] == [["a"]]
+    finally:
+        del RULES_BY_CHECKER["shouting"], report._CUSTOM["shouting"]
+    for bad in (Rule("stale_active", "9", "a.b", "1.0.0", "info"), Rule("x", "1", "Not Valid", "1.0.0", "info"), Rule("x", "1", "a.b", "01.0.0", "info"), Rule("x", "1", "a.b", "1.0.0", "loud")):
+        with pytest.raises(report.InputError):
+            report.register_check(bad, shouting)
+    with pytest.raises(report.InputError):
+        report.run_check("odd", report.Inputs(make([memory("a")])))
