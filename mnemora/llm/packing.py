@@ -16,6 +16,7 @@ lengths are packed in the order of the key columns, so results repeat exactly.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -130,7 +131,7 @@ class WordEncoder:
         found = self.words.get(word)
         if found is None:
             shown = word if word.isascii() and word.isprintable() else "".join(map(self.sign.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
             if len(self.words) >= CHUNKS_KEPT:
                 self.words.clear()
             self.words[word] = found
@@ -143,7 +144,14 @@ class WordEncoder:
             if self.split is None or (not c.isascii() and max(text) >= "\u0300") or any(s in text for s in self.special):
                 late.append(c)
             else:
-                self.young[c] = b"".join(map(self._word, self.split(text.lower())))
+                low = text.lower()
+                # most strings are a word, or a word and a sign; the pattern is for the others
+                if low.isalpha():
+                    self.young[c] = self._word(low)
+                elif low[:-1].isalpha() and low[-1] in ".,":
+                    self.young[c] = self._word(low[:-1]) + self._word(low[-1])
+                else:
+                    self.young[c] = b"".join(map(self._word, self.split(low)))
         for start in range(0, len(late), 4096):
             part = late[start : start + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
