@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -44,6 +45,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder, read again. Other than after a checkpoint,
+    plans over it assume no partitioning, so that a join exchanges both its sides and adaptive execution can
+    split the hot partitions of either."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch that are small in rows and in text bytes."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -7,9 +7,10 @@ deleted. The steps:
    spreads the groups; the text in the grouping key means that members of a hash group are compared
    byte by byte, so an MD5 collision ends in two classes. Aggregation is partial: a task sends each
    of its texts once, however many copies it holds, so a hot group arrives as one row per task.
-2. *Membership.* Narrow rows (id, MD5, SHA-256) join the classes on both hashes. The join is an
-   ordinary shuffle join, which adaptive execution splits where a group of copies is hot. Should two
-   classes ever agree in both hashes, the query stops with an error instead of merging them.
+2. *Membership.* Narrow rows (id, MD5, SHA-256) join the classes on both hashes. Should two classes
+   ever agree in both, the query stops with an error instead of merging them. Classes, which are narrow too, are
+   written to the shared folder first, so that nothing but sorts stands between the join and its
+   exchanges: then adaptive execution splits the join where a group of copies is hot.
 
 Texts are shuffled once at most; nothing is collected or broadcast by hint.
 
@@ -26,7 +27,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import whole_text
+from .base import whole_text, written
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: Ids are 64-bit, so a length counts for more than any id.
@@ -58,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "__id", F.unhex(F.md5("__norm")).alias("content_md5"), F.sha2("__norm", 256).alias("text_sha256")
     )
     both = Window.partitionBy("content_md5", "text_sha256")
-    classes = (
+    classes = written(
         exact_classes(docs, id_col, text_col)
         .withColumn("__same", F.count(F.lit(1)).over(both))
         .withColumn("group_size", F.when(F.col("__same") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts agree in MD5 and SHA-256"))))
