@@ -7,8 +7,9 @@ the union of their lines. Every distinct line keeps a copy: the first place of a
 window is never a later occurrence.
 
 Counting windows is an aggregation with a fixed-width state, combined before its shuffle, so that a
-passage in a third of all documents is one row per task. Finding its places again is a shuffle join of
-narrow rows, which adaptive execution splits at hot windows. Positions then gather per document, and
+passage in a third of all documents is one row per task. The repeated ones are written to the shared
+folder; finding their places again is a shuffle join of narrow rows with only sorts above its
+exchanges, which adaptive execution splits at hot windows. Positions then gather per document, and
 only they meet the texts, which are shuffled once.
 
 Defined results: null text = empty text; texts of fewer than three lines, and windows of blank lines
@@ -24,7 +25,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import whole_text
+from .base import whole_text, written
 
 WINDOW = 3
 
@@ -46,7 +47,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, tag, starts): per document, the line numbers at which later occurrences of windows start."""
     windows = _windows(docs, id_col, text_col, window)
-    firsts = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("w", "first")
+    firsts = written(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("w", "first"))
     later = windows.join(firsts, "w").where("place > first")
     return later.groupBy("id", "tag").agg(F.array_distinct(F.collect_list("pos")).alias("starts"))
 
