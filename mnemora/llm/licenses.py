@@ -1,18 +1,18 @@
 """License scans by MinHash bands over text windows, in DataFrame operations only.
 
-Words are runs of ASCII letters and digits of the lower-cased text, shingles five words, hashed. Each template
-belongs to a class by its number of shingles m: 2^(c-1) < m <= 2^c. For each class a text is seen
-through windows of 3 * 2^c shingles, one starting every 2^c, so each stretch of twice the
-template's class lies whole in one. A window retrieves a template if any of `BANDS` MinHash values
-(bands of one row) agree. A window that holds 0.8 of a template has a Jaccard similarity over 0.12 to
-it, thus is retrieved with a probability over 1 - 0.88^64 = 0.9997, and a whole short notice over
-1 - 0.66^64. What is retrieved is then verified exactly: the share of the template's distinct
-shingles that the window contains must reach `CONTAINMENT`.
-
-All of this happens inside a row: no shuffle, no Python, nothing collected; a row's memory grows with its own text.
-Windows are built only for texts that hold an anchor word of a template. That loses nothing: a
-template's anchors are checked, when the plan is made, to touch more than 1 - CONTAINMENT of its shingles,
-so a text without any of them cannot contain enough of the others.
+Words are runs of ASCII letters and digits of the lower-cased text, shingles five words, hashed. A
+template of m shingles sees a text through overlapping windows of m + ceil(m/2) shingles, one starting
+every ceil(m/2), so each stretch as long as the template lies whole in one. A window retrieves a template
+if any of `BANDS` MinHash values (bands of one row) agree; the hash functions are the shingle hash
+under exclusive-or with fixed numbers. A window that holds 0.8 of a template has a Jaccard
+similarity over 0.4 to it, thus is retrieved with a probability over 1 - 0.6^32 = 0.9999999. What is retrieved is
+then verified exactly: the share of the template's distinct shingles that the window contains must
+reach `CONTAINMENT`.
+
+All of this happens inside a row: no shuffle, no Python, nothing collected; a row's memory grows with its
+own text. Windows are built only where they overlap a shingle that holds an anchor word. That loses
+nothing: a template's anchors are checked, when the plan is made, to touch more than
+1 - CONTAINMENT of its shingles, so a window without an anchored shingle cannot contain enough of the others.
 
 Defined results: null text = empty text; texts of fewer than five words match nothing; a template's
 repeats count once; every row gives one row, ids may be null or repeated; other columns are ignored.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .base import whole_text
 
-SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
+SHINGLE, BANDS, CONTAINMENT = 5, 32, 0.8
 
 # Notices and opening paragraphs of public licences, as their stewards publish them.
 TEMPLATES = {
@@ -78,6 +78,10 @@ TEMPLATES = {
 ANCHORS = ("licen", "copyright", "permission", "redistribution", "mozilla", "gnu", "unencumbered", "sublicense", "software", "copies")
 
 
+#: An anchor word, and what any text with one contains.
+ANCHOR_WORD = "|".join(ANCHORS) + "|^cc$"
+
+
 def words_of(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
@@ -92,13 +96,10 @@ def shingle_hash(words: tuple[str, ...]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _long_hash(value: int, band: int) -> int:
-    """Spark's xxhash64 of two 64-bit numbers."""
-    from xxhash import xxh64_intdigest
-
-    h = xxh64_intdigest(value.to_bytes(8, "little", signed=True), 42)
-    h = xxh64_intdigest(band.to_bytes(8, "little", signed=True), h)
-    return h - (1 << 64) if h >> 63 else h
+@lru_cache(maxsize=1)
+def band_masks() -> list[int]:
+    """The numbers that make the bands' hash functions, from a rule."""
+    return [shingle_hash(("band", str(k))) for k in range(BANDS)]
 
 
 def template_shingles(text: str) -> list[tuple[str, ...]]:
@@ -106,21 +107,21 @@ def template_shingles(text: str) -> list[tuple[str, ...]]:
     return list(dict.fromkeys(zip(*(words[i:] for i in range(SHINGLE)), strict=False)))
 
 
-def class_of(shingles: int) -> int:
-    return (shingles - 1).bit_length()
+def stride_of(shingles: int) -> int:
+    return (shingles + 1) // 2
 
 
 @lru_cache(maxsize=4)
 def _prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[int], list[int]]]:
-    """(name, class, shingle hashes, MinHash values) of each template; checks that the anchors hold."""
+    """(name, stride, shingle hashes, MinHash values) of each template; checks that the anchors hold."""
     out = []
     for name, text in templates:
         shingles = template_shingles(text)
-        touched = sum(any(a in w for w in s for a in ANCHORS) or any(w in ("cc",) for w in s) for s in shingles)
+        touched = sum(any(re.search(ANCHOR_WORD, w) for w in s) for s in shingles)
         if not shingles or touched <= (1 - CONTAINMENT) * len(shingles) + 1e-9:
             raise ValueError(f"template {name}: it needs {SHINGLE} words, and anchors in more than a share of {1 - CONTAINMENT:.2g} of its shingles")
         hashes = [shingle_hash(s) for s in shingles]
-        out.append((name, class_of(len(hashes)), hashes, [min(_long_hash(h, k) for h in hashes) for k in range(BANDS)]))
+        out.append((name, stride_of(len(hashes)), hashes, [min(h ^ mask for h in hashes) for mask in band_masks()]))
     return out
 
 
@@ -128,27 +129,17 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _bands() -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(BANDS - 1).cast("long"))
-
-
-def _starts(c: int) -> Column:
-    """Where the windows of a class start, counted from 1."""
-    return F.sequence(F.lit(1), F.size("sh"), F.lit(1 << c))
-
-
-def _window_mins(c: int) -> Column:
-    """Per band, the MinHash value of each window of a class."""
-    return F.transform("bands", lambda b: F.transform(_starts(c), lambda s: F.array_min(F.slice(b, s, 3 << c))))
-
-
-def _containment(c: int, hashes: list[int], least: list[int]) -> Column:
+def _containment(stride: int, hashes: list[int], least: list[int]) -> Column:
     """The largest share of a template's shingles that a retrieved window contains."""
-    mins, own, every = F.col(f"m{c}"), _longs(least), _longs(hashes)
-    anywhere = F.exists(F.zip_with(mins, own, lambda m, x: F.array_contains(m, x)), lambda hit: hit)
-    retrieved = F.filter(_starts(c), lambda s: F.exists(F.zip_with(mins, own, lambda m, x: F.get(m, F.floor((s - 1) / (1 << c)).cast("int")) == x), lambda hit: hit))
-    shares = F.transform(retrieved, lambda s: F.size(F.array_intersect(F.slice("sh", s, 3 << c), every)) / F.lit(float(len(hashes))))
-    return F.coalesce(F.when(F.col("sh").isNotNull() & anywhere, F.array_max(shares)), F.lit(0.0))
+    width, every = len(hashes) + stride, _longs(hashes)
+    # by anchor word (counted from 0): the windows, by their first shingle, that hold one of its shingles
+    first = lambda i: F.greatest(F.lit(0), F.ceil((i - (SHINGLE - 1) - (width - 1)) / stride)).cast("int")
+    last = lambda i: F.floor(F.least(i, F.size("sh") - 1) / stride).cast("int")
+    at = F.array_distinct(F.flatten(F.transform("anchors", lambda i: F.when(first(i) <= last(i), F.sequence(first(i), last(i))).otherwise(F.array().cast("array<int>")))))
+    windows = F.transform(at, lambda k: F.slice("sh", k * stride + 1, width))
+    agrees = lambda w: F.exists(F.arrays_zip(_longs(band_masks()).alias("mask"), _longs(least).alias("least")), lambda b: F.array_min(F.transform(w, lambda x: x.bitwiseXOR(b["mask"]))) == b["least"])
+    shares = F.transform(F.filter(windows, agrees), lambda w: F.size(F.array_intersect(w, every)) / F.lit(float(len(hashes))))
+    return F.coalesce(F.when(F.size("anchors") > 0, F.array_max(shares)), F.lit(0.0))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -158,12 +149,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchored = F.lit(False)
     for a in (*ANCHORS, "cc"):
         anchored = anchored | F.contains("low", F.lit(a))
+    none = F.array().cast("array<int>")
     words = low.select("id", F.when(anchored, F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "")).alias("w"))
+    marked = words.select("id", "w", F.when(F.size("w") >= SHINGLE, F.filter(F.transform("w", lambda w, i: F.when(w.rlike(ANCHOR_WORD), i)), lambda i: i.isNotNull())).otherwise(none).alias("anchors"))
     at = lambda i: [F.get("w", i + k) for k in range(SHINGLE)]
-    shingles = words.select("id", F.when(F.size("w") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*at(i)))).alias("sh"))
-    # per band, the hash of each shingle
-    hashed = shingles.select("id", "sh", F.when(F.col("sh").isNotNull(), F.transform(_bands(), lambda k: F.transform("sh", lambda x: F.xxhash64(x, k)))).alias("bands"))
-    classes = sorted({c for _, c, _, _ in ready})
-    mins = hashed.select("id", "sh", *[F.when(F.col("sh").isNotNull(), _window_mins(c)).alias(f"m{c}") for c in classes])
-    found = [F.struct(F.lit(name).alias("license"), _containment(c, hashes, least).alias("containment")) for name, c, hashes, least in ready]
-    return mins.select(F.col("id").alias(id_col), F.filter(F.array(*found), lambda m: m["containment"] >= CONTAINMENT).alias("matches"))
+    hashed = F.when(F.size("anchors") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*at(i))))
+    shingled = marked.select("id", "anchors", hashed.alias("sh"))
+    found = [F.struct(F.lit(name).alias("license"), _containment(stride, hashes, least).alias("containment")) for name, stride, hashes, least in ready]
+    return shingled.select(F.col("id").alias(id_col), F.filter(F.array(*found), lambda m: m["containment"] >= CONTAINMENT).alias("matches"))

@@ -119,7 +119,7 @@ def _sql_text(value: str) -> str:
 def _license_sql() -> str:
     """Exact containment in the same windows, of every template, without retrieval by MinHash."""
     rows = ", ".join(
-        f"({_sql_text(name)}, {1 << licenses.class_of(len(s))}, {len(s)}, [{', '.join(_sql_text(' '.join(x)) for x in s)}])"
+        f"({_sql_text(name)}, {licenses.stride_of(len(s))}, {len(s)}, [{', '.join(_sql_text(' '.join(x)) for x in s)}])"
         for name, text in sorted(licenses.TEMPLATES.items())
         for s in [licenses.template_shingles(text)]
     )
@@ -130,7 +130,7 @@ d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, ''))
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS shingle FROM i),
 h AS (SELECT p.doc_id, p.pos, s.license, s.stride, s.m, s.shingle FROM p JOIN s USING (shingle)),
-w AS (SELECT doc_id, license, m, pos // stride - k AS win, shingle FROM h CROSS JOIN (VALUES (0), (1), (2)) x(k) WHERE pos // stride - k >= 0),
+w AS (SELECT doc_id, license, m, pos // stride - k AS win, shingle FROM h CROSS JOIN (VALUES (0), (1), (2), (3)) x(k) WHERE pos // stride - k >= 0 AND pos < (pos // stride - k) * stride + m + stride),
 c AS (SELECT doc_id, license, win, count(DISTINCT shingle)::DOUBLE / any_value(m) AS share FROM w GROUP BY ALL),
 b AS (SELECT doc_id, license, max(share) AS share FROM c GROUP BY ALL HAVING max(share) >= {licenses.CONTAINMENT})
 SELECT documents.doc_id, count(b.license) AS n_matches, coalesce(string_agg(b.license, ',' ORDER BY b.license), '') AS licenses, round(coalesce(max(b.share), 0), 6) AS containment
