@@ -56,7 +56,7 @@ def _late_letters():
     split = ByteLevel(add_prefix_space=False).pre_tokenize_str
     unassigned = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn")
     late = [c for c in regex.findall(r"[\p{L}\p{N}]", unassigned) if len(split("a" + c)) > 1 and len(split("1" + c)) > 1]
-    return regex.compile(f"[{''.join(late)}]" if late else r"(?!)").search, dict.fromkeys(map(ord, late), "\u0378")
+    return frozenset(late), dict.fromkeys(map(ord, late), "\u0378")
 
 
 class ByteBPE:
@@ -103,8 +103,8 @@ class ByteBPE:
             return self.pattern.findall(text)
         if self.late is None:
             self.late = _late_letters()
-        search, as_unassigned = self.late
-        if not search(text):
+        letters, as_unassigned = self.late
+        if letters.isdisjoint(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(as_unassigned))]
 
