@@ -1,13 +1,14 @@
 """License scans by MinHash bands over text windows, in DataFrame operations only.
 
 Words are runs of ASCII letters and digits of the lower-cased text, shingles five words, hashed. A
-template of m shingles sees a text through overlapping windows of m + ceil(m/2) shingles, one starting
-every ceil(m/2), so each stretch as long as the template lies whole in one. A window retrieves a template
+template whose own text runs over n shingles (repeats included) sees a text through overlapping windows of
+3n shingles, one starting every n, so each stretch of twice the template's length lies whole in one: a
+licence may be interrupted by as many words as it has itself. A window retrieves a template
 if any of `BANDS` MinHash values (bands of one row) agree; the hash functions are the shingle hash
-under exclusive-or with fixed numbers. A window that holds 0.8 of a template has a Jaccard
-similarity over 0.4 to it, thus is retrieved with a probability over 1 - 0.6^32 = 0.9999999. What is retrieved is
-then verified exactly: the share of the template's distinct shingles that the window contains must
-reach `CONTAINMENT`.
+under exclusive-or with fixed numbers. A window that holds 0.8 of a template without repeats has a Jaccard
+similarity of 0.25 to it at least, thus is retrieved with a probability over 1 - 0.75^64 = 0.99999998.
+What is retrieved is then verified exactly: the share of the template's distinct shingles that the window
+contains must reach `CONTAINMENT`.
 
 All of this happens inside a row: no shuffle, no Python, nothing collected; a row's memory grows with its
 own text. Windows are built only where they overlap a shingle that holds an anchor word. That loses
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .base import whole_text
 
-SHINGLE, BANDS, CONTAINMENT = 5, 32, 0.8
+SHINGLE, BANDS, CONTAINMENT = 5, 64, 0.8
 
 # Notices and opening paragraphs of public licences, as their stewards publish them.
 TEMPLATES = {
@@ -107,13 +108,19 @@ def template_shingles(text: str) -> list[tuple[str, ...]]:
     return list(dict.fromkeys(zip(*(words[i:] for i in range(SHINGLE)), strict=False)))
 
 
+def span_of(text: str) -> int:
+    """The shingles that a template runs over, repeats included: its windows' stride, and a third of their width."""
+    return max(0, len(words_of(text)) - SHINGLE + 1)
+
+
 def stride_of(shingles: int) -> int:
+    """The stride of the SQL's windows, which are narrower than those of the scan."""
     return (shingles + 1) // 2
 
 
 @lru_cache(maxsize=4)
 def _prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[int], list[int]]]:
-    """(name, stride, shingle hashes, MinHash values) of each template; checks that the anchors hold."""
+    """(name, span, shingle hashes, MinHash values) of each template; checks that the anchors hold."""
     out = []
     for name, text in templates:
         shingles = template_shingles(text)
@@ -121,7 +128,7 @@ def _prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, li
         if not shingles or touched <= (1 - CONTAINMENT) * len(shingles) + 1e-9:
             raise ValueError(f"template {name}: it needs {SHINGLE} words, and anchors in more than a share of {1 - CONTAINMENT:.2g} of its shingles")
         hashes = [shingle_hash(s) for s in shingles]
-        out.append((name, stride_of(len(hashes)), hashes, [min(h ^ mask for h in hashes) for mask in band_masks()]))
+        out.append((name, span_of(text), hashes, [min(h ^ mask for h in hashes) for mask in band_masks()]))
     return out
 
 
@@ -129,9 +136,9 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _containment(stride: int, hashes: list[int], least: list[int]) -> Column:
+def _containment(span: int, hashes: list[int], least: list[int]) -> Column:
     """The largest share of a template's shingles that a retrieved window contains."""
-    width, every = len(hashes) + stride, _longs(hashes)
+    stride, width, every = span, 3 * span, _longs(hashes)
     # by anchor word (counted from 0): the windows, by their first shingle, that hold one of its shingles
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - (SHINGLE - 1) - (width - 1)) / stride)).cast("int")
     last = lambda i: F.floor(F.least(i, F.size("sh") - 1) / stride).cast("int")
@@ -155,5 +162,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = lambda i: [F.get("w", i + k) for k in range(SHINGLE)]
     hashed = F.when(F.size("anchors") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*at(i))))
     shingled = marked.select("id", "anchors", hashed.alias("sh"))
-    found = [F.struct(F.lit(name).alias("license"), _containment(stride, hashes, least).alias("containment")) for name, stride, hashes, least in ready]
+    found = [F.struct(F.lit(name).alias("license"), _containment(span, hashes, least).alias("containment")) for name, span, hashes, least in ready]
     return shingled.select(F.col("id").alias(id_col), F.filter(F.array(*found), lambda m: m["containment"] >= CONTAINMENT).alias("matches"))

@@ -398,6 +398,24 @@ def test_license_scan(spark, docs, texts):
     assert licenses.license_scan(empty(docs)).count() == 0
 
 
+def test_interrupted_licenses(spark):
+    """A licence with words put into its middle is found wherever it starts: what any stretch of twice its length holds counts."""
+    rows, want = [], {}
+    for name in ("ISC", "MPL-2.0", "Unlicense", "BSD-clauses"):
+        words = licenses.words_of(licenses.TEMPLATES[name])
+        own, span = set(licenses.template_shingles(licenses.TEMPLATES[name])), len(words) - 4
+        for extra in (10, 20, span - 8):
+            text = words[: len(words) // 2] + [f"put{k}" for k in range(extra)] + words[len(words) // 2 :]
+            share = len(own & set(zip(*(text[k:] for k in range(5)), strict=False))) / len(own)
+            for offset in range(0, 2 * span, 3):
+                want[len(rows)] = (name, share)
+                rows.append((len(rows), " ".join([f"before{k}" for k in range(offset)] + text + ["after"] * 50)))
+    assert sum(share >= licenses.CONTAINMENT for _, share in want.values()) > 100
+    found = {r["doc_id"]: {m["license"]: m["containment"] for m in r["matches"]} for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, share) in want.items():
+        assert found[i].get(name) == (pytest.approx(share) if share >= licenses.CONTAINMENT else None), (name, rows[i])
+
+
 def test_license_hashes_agree(spark):
     words = ("released", "under", "the", "mit", "license")
     assert spark.range(1).select(F.xxhash64(*map(F.lit, words)).alias("a")).first()["a"] == licenses.shingle_hash(words)
