@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
@@ -385,15 +385,24 @@ def store(data: bytes) -> bytes:
 
 def load(media: bytes) -> Decoded:
     """Decodes a file that store() wrote: its bytes, and its shots."""
+    return _decoded(media, payload_of)
+
+
+def shots(media: bytes) -> Decoded:
+    """The shots of any file whose frames can be read; no bytes are taken from its coefficients."""
+    return _decoded(media, lambda coefficients: b"")
+
+
+def _decoded(media: bytes, bytes_of: Callable[[np.ndarray], bytes]) -> Decoded:
     fps, frames = read_avi(media)
-    payload, shares, total = [], [], 0
+    payload, shares, total, seen = [], [], 0, 0
     for header, coefficients in read_frames(frames):
-        payload.append(payload_of(coefficients))
+        payload.append(bytes_of(coefficients))
         samples = pixels(header, coefficients)
         total += int(samples.sum(dtype=np.int64))
+        seen += samples.size
         shares.append(histograms(samples))
-    whole = b"".join(payload)
-    return Decoded(whole, fps, len(frames), cuts(np.concatenate(shares)), total / max(1, len(whole)))
+    return Decoded(b"".join(payload), fps, len(frames), cuts(np.concatenate(shares)), total / max(1, seen))
 
 
 # --- columns --------------------------------------------------------------------------------------
@@ -419,7 +428,7 @@ def clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def make(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, data in zip(part.column("id").to_pylist(), part.column("media").to_pylist(), strict=True):
-            seen = load(data)
+            seen = shots(data)
             out += [(doc, k, a, b, a / seen.fps, b / seen.fps) for k, (a, b) in enumerate(seen.clips)]
         kinds = [part.schema.field("id").type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [id_col, "clip", "first_frame", "end_frame", "start_s", "end_s"])

@@ -249,6 +249,26 @@ def test_media_run_lengths():
     assert got[0] == 3 and got[3] == 1 and np.count_nonzero(got) == 2
 
 
+def test_clips_of_ordinary_jpeg(spark):
+    """Frames of the standard luminance tables, with zero coefficients, in a file that store() did not write."""
+    ac = (
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+        "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    )
+    assert len(ac) == 2 * 162
+    dht = lambda kind, counts, values: b"\xff\xc4" + (19 + len(values)).to_bytes(2, "big") + bytes([kind]) + bytes(counts) + bytes(values)
+    head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([8] * 64) + b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00"
+    head += dht(0, [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], range(12)) + dht(0x10, [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D], bytes.fromhex(ac))
+    head += b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
+    # a DC of +100 or -100 (size 7: 11110), then the end of the block (1010)
+    frame = lambda dc: head + int("11110" + f"{dc if dc > 0 else dc + 127:07b}" + "1010", 2).to_bytes(2, "big") + b"\xff\xd9"
+    avi = media.write_avi([frame(100)] * 10 + [frame(-100)] * 10, side=8)
+    with pytest.raises(ValueError, match="no stored bytes"):
+        media.load(avi)
+    got = media.clips(spark.createDataFrame([(1, bytearray(avi))], "doc_id long, media binary")).collect()
+    assert [(r["first_frame"], r["end_frame"]) for r in got] == [(0, 10), (10, 20)]
+
+
 def test_media_cuts_and_avi():
     h = np.array([[1.0, 0]] * 5 + [[0, 1.0]] * 5)
     assert media.cuts(h) == [5] and media.cuts(h[:1]) == []
