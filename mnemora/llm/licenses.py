@@ -15,7 +15,8 @@ own text. Windows are built only where they overlap a shingle that holds an anch
 nothing: a template's anchors are checked, when the plan is made, to touch more than
 1 - CONTAINMENT of its shingles, so a window without an anchored shingle cannot contain enough of the others.
 
-Defined results: null text = empty text; texts of fewer than five words match nothing; a template's
+Defined results: null text = empty text; texts of fewer than five words match only templates that short, which are
+sought as a whole; templates without enough anchors are scanned over all windows; a template's
 repeats count once; every row gives one row, ids may be null or repeated; other columns are ignored.
 """
 
@@ -118,14 +119,19 @@ def stride_of(shingles: int) -> int:
     return (shingles + 1) // 2
 
 
+def _anchored(shingles: list[tuple[str, ...]]) -> bool:
+    touched = sum(any(re.search(ANCHOR_WORD, w) for w in s) for s in shingles)
+    return touched > (1 - CONTAINMENT) * len(shingles) + 1e-9
+
+
 @lru_cache(maxsize=4)
-def _prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[int], list[int]]]:
-    """(name, span, shingle hashes, MinHash values) of each template; checks that the anchors hold."""
+def _prepared(templates: tuple[tuple[str, str], ...], anchored: bool = True) -> list[tuple[str, int, list[int], list[int]]]:
+    """(name, span, shingle hashes, MinHash values) of each template; checks that the anchors hold, if the
+    scan is to rely on them."""
     out = []
     for name, text in templates:
         shingles = template_shingles(text)
-        touched = sum(any(re.search(ANCHOR_WORD, w) for w in s) for s in shingles)
-        if not shingles or touched <= (1 - CONTAINMENT) * len(shingles) + 1e-9:
+        if not shingles or anchored and not _anchored(shingles):
             raise ValueError(f"template {name}: it needs {SHINGLE} words, and anchors in more than a share of {1 - CONTAINMENT:.2g} of its shingles")
         hashes = [shingle_hash(s) for s in shingles]
         out.append((name, span_of(text), hashes, [min(h ^ mask for h in hashes) for mask in band_masks()]))
@@ -136,31 +142,45 @@ def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _containment(span: int, hashes: list[int], least: list[int]) -> Column:
+def _containment(span: int, hashes: list[int], least: list[int], everywhere: bool = False) -> Column:
     """The largest share of a template's shingles that a retrieved window contains."""
     stride, width, every = span, 3 * span, _longs(hashes)
     # by anchor word (counted from 0): the windows, by their first shingle, that hold one of its shingles
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - (SHINGLE - 1) - (width - 1)) / stride)).cast("int")
     last = lambda i: F.floor(F.least(i, F.size("sh") - 1) / stride).cast("int")
     at = F.array_distinct(F.flatten(F.transform("anchors", lambda i: F.when(first(i) <= last(i), F.sequence(first(i), last(i))).otherwise(F.array().cast("array<int>")))))
+    if everywhere:
+        at = F.sequence(F.lit(0), F.floor((F.size("sh") - 1) / stride).cast("int"))
     windows = F.transform(at, lambda k: F.slice("sh", k * stride + 1, width))
     agrees = lambda w: F.exists(F.arrays_zip(_longs(band_masks()).alias("mask"), _longs(least).alias("least")), lambda b: F.array_min(F.transform(w, lambda x: x.bitwiseXOR(b["mask"]))) == b["least"])
     shares = F.transform(F.filter(windows, agrees), lambda w: F.size(F.array_intersect(w, every)) / F.lit(float(len(hashes))))
-    return F.coalesce(F.when(F.size("anchors") > 0, F.array_max(shares)), F.lit(0.0))
+    return F.coalesce(F.when(F.col("sh").isNotNull() if everywhere else F.size("anchors") > 0, F.array_max(shares)), F.lit(0.0))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs: <id_col>, matches (array of struct<license, containment>, by license)."""
-    ready = _prepared(tuple(sorted((templates or TEMPLATES).items())))
+    given = sorted((templates or TEMPLATES).items())
+    if blank := [name for name, text in given if not words_of(text)]:
+        raise ValueError(f"templates without words: {blank}")
+    short = [(name, words_of(text)) for name, text in given if len(words_of(text)) < SHINGLE]
+    held = {name: _anchored(s) for name, text in given if (s := template_shingles(text))}
+    ready = _prepared(tuple(t for t in given if held.get(t[0])))
+    loose = _prepared(tuple(t for t in given if held.get(t[0]) is False), anchored=False)
     low = docs.select(F.col(id_col).alias("id"), F.lower(whole_text(text_col)).alias("low"))
-    anchored = F.lit(False)
+    anchored = F.lit(bool(short or loose))
     for a in (*ANCHORS, "cc"):
         anchored = anchored | F.contains("low", F.lit(a))
     none = F.array().cast("array<int>")
     words = low.select("id", F.when(anchored, F.filter(F.split("low", "[^a-z0-9]+"), lambda w: w != "")).alias("w"))
     marked = words.select("id", "w", F.when(F.size("w") >= SHINGLE, F.filter(F.transform("w", lambda w, i: F.when(w.rlike(ANCHOR_WORD), i)), lambda i: i.isNotNull())).otherwise(none).alias("anchors"))
     at = lambda i: [F.get("w", i + k) for k in range(SHINGLE)]
-    hashed = F.when(F.size("anchors") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*at(i))))
-    shingled = marked.select("id", "anchors", hashed.alias("sh"))
+    hashed = F.when((F.size("w") >= SHINGLE) if loose else F.size("anchors") > 0, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*at(i))))
+    # a template of fewer words than a shingle is one shingle of its own length
+    spaced = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    whole = [F.coalesce(F.contains(spaced, F.lit(f" {' '.join(words)} ")), F.lit(False)).cast("double").alias(f"short{k}") for k, (_, words) in enumerate(short)]
+    shingled = marked.select("id", "anchors", hashed.alias("sh"), *whole)
     found = [F.struct(F.lit(name).alias("license"), _containment(span, hashes, least).alias("containment")) for name, span, hashes, least in ready]
-    return shingled.select(F.col("id").alias(id_col), F.filter(F.array(*found), lambda m: m["containment"] >= CONTAINMENT).alias("matches"))
+    found += [F.struct(F.lit(name).alias("license"), _containment(span, hashes, least, everywhere=True).alias("containment")) for name, span, hashes, least in loose]
+    found += [F.struct(F.lit(name).alias("license"), F.col(f"short{k}").alias("containment")) for k, (name, _) in enumerate(short)]
+    every = F.array_sort(F.array(*found)) if short or loose else F.array(*found)
+    return shingled.select(F.col("id").alias(id_col), F.filter(every, lambda m: m["containment"] >= CONTAINMENT).alias("matches"))

@@ -436,6 +436,13 @@ def test_interrupted_licenses(spark):
         assert found[i].get(name) == (pytest.approx(share) if share >= licenses.CONTAINMENT else None), (name, rows[i])
 
 
+def test_short_and_unanchored_templates(spark):
+    own = {"reserved": "All rights reserved.", "fox": "the quick brown fox jumps over the lazy dog", "mit": licenses.TEMPLATES["MIT-notice"]}
+    rows = [(1, "ALL rights, reserved"), (2, "x " * 50 + own["fox"] + " y" * 50), (3, "overall rights reserved"), (4, own["mit"] + ". All rights reserved."), (5, None)]
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()
+    assert {r["doc_id"]: [m["license"] for m in r["matches"]] for r in found} == {1: ["reserved"], 2: ["fox"], 3: [], 4: ["mit", "reserved"], 5: []}
+
+
 def test_license_hashes_agree(spark):
     words = ("released", "under", "the", "mit", "license")
     assert spark.range(1).select(F.xxhash64(*map(F.lit, words)).alias("a")).first()["a"] == licenses.shingle_hash(words)
