@@ -13,7 +13,7 @@ exchanges, which adaptive execution splits at hot windows. Positions then gather
 only they meet the texts, which are shuffled once.
 
 Defined results: null text = empty text; texts of fewer than three lines, and windows of blank lines
-only, are left alone; a null id comes before all others; rows that share an id count as one document,
+only, are left alone; null ids come before all others, and different texts without an id are different documents, ordered by their hash; rows that share an id count as one document,
 so windows they have at the same line number are not later occurrences of each other; rows that
 repeat are treated alike; an empty table gives an empty result.
 """
@@ -40,7 +40,9 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     texts = F.transform(F.sequence(F.lit(1), F.size("lines") - window + 1), lambda i: F.array_join(F.slice("lines", i, window), "\n"))
     names = F.transform(texts, lambda x: F.when(~x.rlike(r"\A[\x20\x09-\x0D]*\z"), F.unhex(F.md5(x))))
     rows = lines.select("id", "tag", F.posexplode(names).alias("pos", "w")).where(F.col("w").isNotNull())
-    first = F.coalesce(F.col("id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(Decimal(10**10)) + F.col("pos").cast("decimal(10,0)")
+    # below all ids, a number of its own for each text without one
+    unnamed = (F.lit(Decimal(-(2**64) - 1)) - F.col("tag").cast("decimal(20,0)")).cast("decimal(20,0)")
+    first = F.coalesce(F.col("id").cast("decimal(20,0)"), unnamed) * F.lit(Decimal(10**10)) + F.col("pos").cast("decimal(10,0)")
     return rows.withColumn("place", first)
 
 

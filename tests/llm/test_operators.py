@@ -436,6 +436,11 @@ def test_interrupted_licenses(spark):
         assert found[i].get(name) == (pytest.approx(share) if share >= licenses.CONTAINMENT else None), (name, rows[i])
 
 
+def test_line_dedup_without_ids(spark):
+    df = spark.createDataFrame([(None, "a\nb\nc\nfirst"), (None, "a\nb\nc\nsecond"), (None, "a\nb\nc\nthird")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in line_dedup.line_dedup(df).collect()) == [0, 3, 3]
+
+
 def test_short_and_unanchored_templates(spark):
     own = {"reserved": "All rights reserved.", "fox": "the quick brown fox jumps over the lazy dog", "mit": licenses.TEMPLATES["MIT-notice"]}
     rows = [(1, "ALL rights, reserved"), (2, "x " * 50 + own["fox"] + " y" * 50), (3, "overall rights reserved"), (4, own["mit"] + ". All rights reserved."), (5, None)]
