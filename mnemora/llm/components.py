@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut_lineage
+from .base import remove, written_to
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -15,14 +15,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     MapReduce and Beyond" (2014): each step hangs the neighbours of a node on the smallest of them,
     until the graph is a set of stars. That takes O(log^2 n) rounds. A step is an aggregation, which
     combines before the shuffle, and a shuffle join, which adaptive execution splits where a node is
-    hot. Each round ends in a checkpoint, so lost executors cost one round; only a count and a
-    checksum of the edges reach the driver.
+    hot. Each round ends in a table in the shared folder, so lost executors cost one round, and the table
+    before it goes; only a count and a checksum of the edges reach the driver.
     """
+    spark = edges.sparkSession
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, path = written_to(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(e)
     while state[0]:
-        e = cut_lineage(_small_star(_large_star(e)))
+        after, next_path = written_to(_small_star(_large_star(e)))
+        remove(spark, path)
+        e, path = after, next_path
         if (now := _state(e)) == state:
             break
         state = now

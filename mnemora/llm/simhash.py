@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut_lineage, map_slices, whole_text
+from .base import column, map_slices, whole_text, written
 from .components import connected_components
 
 RADIUS = 2
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         values = np.array([fingerprint(x) for x in part.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(values, pa.int64())], ["id", "fp"])
 
-    return map_slices(docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")), "text", make, "id long, fp long")
+    return map_slices(docs.select(column(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")), "text", make, "id long, fp long")
 
 
 class BKTree:
@@ -207,8 +207,8 @@ def near_links(nodes: DataFrame, hot_shard: int = HOT_SHARD) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_shard: int = HOT_SHARD) -> DataFrame:
     """One row per row of docs: <id_col>, fingerprint (16 lower-case hex digits), component_id."""
-    prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = cut_lineage(prints.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
+    prints = written(fingerprints(docs, id_col, text_col))
+    nodes = written(prints.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
     component = connected_components(near_links(nodes, hot_shard))
     labels = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
