@@ -16,8 +16,9 @@ Texts are shuffled once at most; nothing is collected or broadcast by hint.
 
 Defined results: a null text is an empty text; of equal texts the one with the most code points
 stays, then the smallest id; a null id never wins while any copy has an id; rows that repeat, ids
-included, are separate members of their group, and each row with the kept id has kept = true; an
-empty table gives an empty result; other columns of the input are ignored.
+included, are separate members of their group, and each row with the kept id has kept = true; ids may be
+any 64-bit numbers; texts may be as long as a row can hold; an empty table gives an empty result; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import whole_text, written
+from .base import column, whole_text, written
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
-#: Ids are 64-bit, so a length counts for more than any id.
+#: A length of one more counts for more than any two 64-bit ids are apart.
 _SCALE = "decimal(20,0)"
-_LENGTH_UNIT = Decimal(10**19)
+_LENGTH_UNIT = Decimal(2**64)
 
 
 def normalised(column: str) -> Column:
@@ -41,7 +42,7 @@ def normalised(column: str) -> Column:
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct normalised text: content_md5, text_sha256, group_size, keep_id."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(whole_text(text_col)).alias("n"), normalised(text_col).alias("norm"))
+    source = docs.select(column(id_col).cast("long").alias("id"), F.char_length(whole_text(text_col)).alias("n"), normalised(text_col).alias("norm"))
     # One fixed-width number orders (length, smallest id), so that the aggregation stays a hash aggregation.
     rank = F.col("n").cast("decimal(10,0)") * _LENGTH_UNIT - F.col("id").cast(_SCALE)
     grouped = source.groupBy(F.unhex(F.md5("norm")).alias("content_md5"), "norm").agg(
@@ -55,7 +56,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: <id_col>, keep_id, group_size, kept, text_sha256, content_md5."""
-    narrow = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__norm")).select(
+    narrow = docs.select(column(id_col).alias("__id"), normalised(text_col).alias("__norm")).select(
         "__id", F.unhex(F.md5("__norm")).alias("content_md5"), F.sha2("__norm", 256).alias("text_sha256")
     )
     both = Window.partitionBy("content_md5", "text_sha256")
