@@ -6,12 +6,16 @@ becomes smallest (Csirik, Johnson, Kenyon et al., "On the Sum-of-Squares Algorit
 the tightest gap winning ties and an open bin winning against a new one. Pieces are taken longest
 first, so that ties, which are then most choices, amount to best fit.
 
-Pieces are dealt into groups by a hash of their keys, each of about `group_size` pieces, and groups are packed
-independently; a group wastes part of its last bins only. The number of groups follows from counts
-over all documents. A hash of unique keys cannot be skewed by a source, language or copied text.
-
-Defined results: a length outside 1..capacity is an error; a table without rows gives no rows; equal
-lengths are packed in the order of the key columns, so results repeat exactly.
+Pieces are dealt into groups of about `GROUP_PIECES`, and groups are packed independently; a group wastes
+part of its last bins only. The number of groups follows from a count over all pieces. Pieces that agree in
+every column are counted first (an aggregation, combined before its shuffle) and then dealt in turn over
+the groups from the one that their hash names, as many to each but one; so no group can be made large by a
+source, a copied text, repeated rows or ids that are null.
+
+Defined results: a null text is an empty one and has one token, END_ID; null and repeated ids are ids like any
+other, and repeated rows are pieces of their own; a length outside 1..capacity is an error; a table without
+rows gives no rows; pieces of equal length are packed in the order of their columns, nulls first, so results
+repeat exactly; a text may be as long as a row can hold; other columns of docs are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_slices, whole_text
+from .base import column, map_slices, whole_text, written
 from .bpe import byte_alphabet, ship
 
 CAPACITY = 4096
@@ -69,25 +73,26 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack_sequences(pieces: DataFrame, keys: list[str], groups: int, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of pieces, with sequence_id and offset. keys identify a piece; groups is the number of
-    groups that are packed on their own."""
-    columns = [f"`{c}` {t}" for c, t in pieces.dtypes]
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="__group").sort_values([length, *keys], ascending=[False] + [True] * len(keys), kind="stable", na_position="first")
-        bins, offsets = sum_of_squares(rows[length].to_numpy(), capacity)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
-
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(pack, ", ".join([*columns, "sequence_id long", "offset long"]))
+def pack_sequences(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The rows of pieces, with sequence_id and offset. Columns must be ones that rows can be grouped by."""
+    columns = [f"c{k}" for k in range(len(pieces.columns))]
+    size = columns[pieces.columns.index(length)]
+    counted = written(pieces.toDF(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")))
+    total = counted.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    groups = max(1, -(-total // group_pieces))
 
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        order = [(size, "descending"), *((c, "ascending") for c in columns)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+        rows = rows.take(np.repeat(np.arange(len(rows)), rows.column("copies").to_numpy()))
+        bins, offsets = sum_of_squares(rows.column(size).to_numpy(), capacity)
+        rows = rows.select(columns).append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins, pa.int64()))
+        return rows.append_column("offset", pa.array(offsets, pa.int64()))
 
-def group_count(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> int:
-    """From one pass over all documents: groups for one last piece a document, and one full piece for
-    each `capacity` bytes (a token takes a byte at least)."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(whole_text(text_col))).alias("bytes")).first()
-    return max(1, -(-(row["n"] + (row["bytes"] or 0) // capacity) // group_pieces))
+    turn = F.posexplode(F.transform(F.sequence(F.lit(0), F.least("copies", F.lit(groups)) - 1), lambda k: F.floor((F.col("copies") - k - 1) / groups).cast("long") + 1)).alias("turn", "share")
+    dealt = counted.select(*columns, turn).select(*columns, F.col("share").alias("copies"), F.pmod(F.pmod(F.xxhash64(*columns), F.lit(groups)) + F.col("turn"), F.lit(groups)).alias("group"))
+    schema = ", ".join([*(f"{c} {t}" for c, (_, t) in zip(columns, pieces.dtypes, strict=True)), "sequence_id long", "offset long"])
+    return dealt.groupBy("group").applyInArrow(pack, schema).toDF(*pieces.columns, "sequence_id", "offset")
 
 
 class WordEncoder:
@@ -192,13 +197,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         kinds = (part.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [id_col, "piece", "start", "length", "ids"])
 
-    source = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    source = docs.select(column(id_col).alias("id"), whole_text(text_col).alias("text"))
     return map_slices(source, "text", make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
-def packed_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """token_pieces, with ids_crc32 in place of the ids, packed: the ids themselves need not be
     shuffled to be placed."""
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity)
-    narrow = pieces.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_sequences(narrow, [id_col, "piece", "ids_crc32"], group_count(docs, text_col, capacity), capacity=capacity)
+    return pack_sequences(pieces.select(column(id_col), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "length", capacity, group_pieces)
