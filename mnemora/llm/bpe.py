@@ -13,7 +13,9 @@ bounded and only save time. The vocabulary file's bytes (1.5 MB for the public 5
 the workers as a broadcast of that size; workers open no file.
 
 Defined results: null and empty texts have no ids; special-token strings in a text become their ids,
-as the file's added tokens say; an empty table gives an empty result; other columns are ignored.
+as the file's added tokens say; each row has its own result, so ids may be null and rows may repeat; a text
+may be as long as a row can hold, one such text being what a worker holds at a time; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_slices, whole_text
+from .base import column, map_slices, whole_text
 
 LONG_WORD = 96
 CHUNKS_KEPT = 300_000
@@ -152,6 +154,9 @@ class ByteBPE:
                     heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
+    #: How the results of words make that of a text.
+    join = staticmethod(b"".join)
+
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
@@ -160,7 +165,7 @@ class ByteBPE:
         out, words = [], self.words
         for k, piece in enumerate(self.cut(text)):
             if k % 2:
-                out.append(self.special[piece].to_bytes(4, "little"))
+                out.append(self._pack([self.special[piece]]))
                 continue
             for word in self.find(piece):
                 ids = words.get(word)
@@ -171,7 +176,7 @@ class ByteBPE:
                     if len(word) < LONG_WORD:
                         words[word] = ids
                 out.append(ids)
-        return b"".join(out)
+        return self.join(out)
 
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of a chunk with the space before it; None where its edges are spaces too."""
@@ -197,7 +202,7 @@ class ByteBPE:
                         chunks.clear()
                     chunks[chunk] = ids
             out.append(ids)
-        return b"".join(out)
+        return self.join(out)
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I").tolist()))
@@ -206,6 +211,18 @@ class ByteBPE:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
+class Counter(ByteBPE):
+    """A ByteBPE whose encode gives the number of ids."""
+
+    join = staticmethod(sum)
+    _pack = staticmethod(len)
+
+
+@lru_cache(maxsize=2)
+def _counter(data: bytes) -> Counter:
+    return Counter(data)
+
+
 @lru_cache(maxsize=2)
 def _loaded(data: bytes) -> ByteBPE:
     return ByteBPE(data)
@@ -224,7 +241,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         encode = _loaded(data.value).encode
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([encode(x) for x in part.column("text").to_pylist()], pa.binary())], [id_col, "ids"])
 
-    return map_slices(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), "text", make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return map_slices(docs.select(column(id_col).alias("id"), whole_text(text_col).alias("text")), "text", make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -235,5 +252,5 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id")
         decode = _loaded(data.value).decode
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array([decode(x) for x in part.column("ids").to_pylist()], pa.string())], [id_col, "ids", "text"])
 
-    source = encoded.select(F.col(id_col).alias("id"), "ids")
+    source = encoded.select(column(id_col).alias("id"), "ids")
     return map_slices(source, "ids", make, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, ids binary, text string")
