@@ -8,15 +8,24 @@ coefficient: 64 bytes are the 64 coefficients of a block in zigzag order, byte b
 and b - 127 from there on, so that no coefficient is zero. 576 bytes are the nine blocks of a 24 x 24
 frame. Each file carries Huffman tables in which the length of a size's code and the size add up
 to a constant (10 bits for a DC difference, 9 for an AC coefficient), valid baseline JPEG that can
-also be decoded by table look-up for all coefficients at once. Frames with other baseline tables are
-decoded symbol by symbol; only single-component frames are supported.
+also be decoded by table look-up for all coefficients at once.
+
+Frames of other writers are decoded symbol by symbol: baseline JPEG of one scan, of one component (brightness)
+or several of any sampling (brightness first, as in YCbCr), with restart markers, and with the standard
+Huffman tables where a frame brings none, as motion-JPEG allows. Brightness alone makes histograms. Frames
+may lie in `rec ` lists and have an index or none. What is not of this form (progressive frames, other codecs) is
+an error.
 
 Defined results: null and empty texts are one frame of padding; equal bytes give equal files and
-features; frames that follow one another without a change make one shot.
+features; ids may be null and rows may repeat, as each row has its own result; frames that follow one another
+without a change make one shot; a file without frames has no shots; an empty table gives an empty result;
+other columns are ignored. A file is written and read within its row, STEP frames at a time, so a worker
+holds one file, which is some 1.4 times its text.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_slices, whole_text
+from .base import column, map_slices, whole_text
 
 SIDE = 24
 BLOCKS = (SIDE // 8) ** 2
@@ -65,6 +74,24 @@ DC_TABLE = ([1] * 10 + [0] * 6, list(range(9, -1, -1)))
 AC_TABLE = ([1] * 8 + [0] * 8, list(range(8, 0, -1)))
 
 
+# The standard Huffman tables of ITU-T T.81, Annex K, by kind (0 DC, 1 AC) and number: how
+# many codes there are of 1 to 16 bits, and the symbols by code. AC symbols that are not listed follow in order.
+STANDARD = {
+    (0, 0): ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    (0, 1): ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    (1, 0): ("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    (1, 1): ("00020102040403040705040400010277", "0001020311040521310612415107617113223281081442" + "91a1b1c109233352f0156272d10a162434e125f1"),
+}
+
+
+def standard_table(kind: int, number: int) -> tuple[list[int], list[int]]:
+    counts, symbols = (list(bytes.fromhex(x)) for x in STANDARD[kind, number])
+    if kind:
+        every = {0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))}
+        symbols += sorted(every.difference(symbols))
+    return counts, symbols
+
+
 def canonical(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], int]:
     """(length, code) -> symbol."""
     out, code, at = {}, 0, 0
@@ -133,17 +160,45 @@ def write_frames(payload: bytes) -> Iterator[bytes]:
 
 @dataclass(frozen=True)
 class Header:
+    """A frame's first component, in full, and of the others what is needed to read past them."""
+
     width: int
     height: int
     quant: tuple[int, ...]
     dc: tuple
     ac: tuple
+    sampling: tuple[int, int] = (1, 1)
+    #: (sampling, dc, ac) of the other components.
+    others: tuple = ()
+    #: MCUs between restart markers; 0: none.
+    interval: int = 0
+
+    @property
+    def units(self) -> tuple[int, int]:
+        """MCUs across and down."""
+        wide, high = (max(c[0][k] for c in ((self.sampling,), *self.others)) for k in (0, 1)) if self.others else (1, 1)
+        return -(-self.width // (8 * wide)), -(-self.height // (8 * high))
+
+    @property
+    def blocks(self) -> tuple[int, int]:
+        """Blocks of the first component across and down."""
+        h, v = self.sampling if self.others else (1, 1)
+        return self.units[0] * h, self.units[1] * v
+
+    @property
+    def plane(self) -> tuple[int, int]:
+        """Samples of the first component across and down, without those that only fill blocks."""
+        if not self.others:
+            return self.width, self.height
+        most = [max(c[0][k] for c in ((self.sampling,), *self.others)) for k in (0, 1)]
+        return -(-self.width * self.sampling[0] // most[0]), -(-self.height * self.sampling[1] // most[1])
 
 
 @lru_cache(maxsize=64)
 def parse_header(head: bytes) -> Header:
     """What stands before the entropy-coded data of a baseline frame."""
-    quants, tables, size, component, scan = {}, {}, None, None, None
+    tables = {kind << 4 | n: canonical(*standard_table(kind, n)) for kind, n in STANDARD}
+    quants, size, components, scan, interval = {}, None, [], [], 0
     at = 2
     while at < len(head):
         marker, n = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
@@ -159,95 +214,147 @@ def parse_header(head: bytes) -> Header:
                 tables[body[0]] = canonical(counts, list(body[17 : 17 + sum(counts)]))
                 body = body[17 + sum(counts) :]
         elif marker in (0xC0, 0xC1):
-            depth, height, width, components = struct.unpack_from(">BHHB", body)
-            if depth != 8 or components != 1:
-                raise ValueError("only 8-bit frames of one component are supported")
-            size, component = (width, height), body[6:9]
+            depth, height, width, count = struct.unpack_from(">BHHB", body)
+            if depth != 8:
+                raise ValueError("only 8-bit frames are supported")
+            size, components = (width, height), [tuple(body[6 + 3 * k : 9 + 3 * k]) for k in range(count)]
+        elif marker == 0xDD:
+            interval = struct.unpack_from(">H", body)[0]
         elif marker == 0xDA:
-            scan = body[2]
-        elif 0xC0 <= marker <= 0xCF:
+            scan = [tuple(body[1 + 2 * k : 3 + 2 * k]) for k in range(body[0])]
+        elif 0xC0 <= marker <= 0xCF and marker != 0xCC:
             raise ValueError("only baseline JPEG is supported")
         at += 2 + n
-    return Header(*size, quants[component[2]], tuple(tables[scan >> 4].items()), tuple(tables[16 | scan & 15].items()))
+    if size is None or not components or [c[0] for c in components] != [c[0] for c in scan]:
+        raise ValueError("only frames whose components are in one scan are supported")
+    parts = [((c[1] >> 4, c[1] & 15), tuple(tables[x >> 4].items()), tuple(tables[16 | x & 15].items())) for c, (_, x) in zip(components, scan, strict=True)]
+    return Header(*size, quants[components[0][2]], parts[0][1], parts[0][2], parts[0][0], tuple(parts[1:]), interval)
 
 
 @lru_cache(maxsize=64)
 def _lookups(header: Header) -> tuple | None:
+    if header.others or header.interval:
+        return None
     dc, ac = constant_lookup(dict(header.dc)), constant_lookup(dict(header.ac))
     return (dc, ac) if dc and ac and all(dict(header.ac).values()) else None
 
 
-def split_frame(frame: bytes) -> tuple[bytes, bytes]:
-    """A frame's header and its entropy-coded data without stuffing."""
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
+def split_frame(frame: bytes) -> tuple[bytes, list[bytes]]:
+    """A frame's header, and its entropy-coded data without stuffing, parted at restart markers."""
     at = 2
     while True:
-        if frame[at] != 0xFF:
+        if at + 4 > len(frame) or frame[at] != 0xFF:
             raise ValueError("not a JPEG frame")
         step = 2 + struct.unpack_from(">H", frame, at + 2)[0]
+        if at + step > len(frame):
+            raise ValueError("the frame's header ends early")
         if frame[at + 1] == 0xDA:
             head, data = frame[: at + step], frame[at + step :]
             break
         at += step
     end = data.rfind(b"\xff\xd9")
-    return head, data[: end if end >= 0 else None].replace(b"\xff\x00", b"\xff")
+    return head, [x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(data[: end if end >= 0 else None])]
+
+
+@lru_cache(maxsize=64)
+def _peeks(table: tuple) -> list[int]:
+    """By the next 16 bits: a code's length and its symbol, as one number; 0 where there is no code."""
+    out = [0] * (1 << 16)
+    for (length, code), symbol in table:
+        low = code << 16 - length
+        out[low : low + (1 << 16 - length)] = [length << 8 | symbol] * (1 << 16 - length)
+    return out
 
 
-def decode_scalar(header: Header, data: bytes) -> np.ndarray:
-    """Coefficients (blocks, 64) in zigzag order, symbol by symbol."""
-    dc, ac = dict(header.dc), dict(header.ac)
-    blocks = -(-header.width // 8) * -(-header.height // 8)
-    bits, n, at = int.from_bytes(data, "big"), 8 * len(data), 0
+class _Blocks:
+    """Reads the blocks of a stretch of entropy-coded data, symbol by symbol."""
 
-    def take(k: int) -> int:
-        nonlocal at
-        at += k
-        if at > n:
+    def __init__(self, data: bytes) -> None:
+        # three bytes of ones more than there are, so that the next 16 bits can always be looked at
+        self.data, self.at, self.bits, self.held, self.end = data + b"\xff\xff\xff", 0, 0, 0, 8 * len(data)
+
+    def _number(self, size: int) -> int:
+        while self.held < size:
+            self.bits, self.held, self.at = self.bits << 8 | self.data[self.at], self.held + 8, self.at + 1
+        self.held -= size
+        v = self.bits >> self.held
+        self.bits &= (1 << self.held) - 1
+        return v if v >> size - 1 else v - (1 << size) + 1
+
+    def _symbol(self, peeks: list[int]) -> int:
+        if 8 * self.at - self.held > self.end:
             raise ValueError("the frame's data end early")
-        return bits >> n - at & (1 << k) - 1
-
-    def symbol(table: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | take(1)
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such code")
-
-    def number(size: int) -> int:
-        v = take(size) if size else 0
-        return v if not size or v >> size - 1 else v - (1 << size) + 1
-
-    out, last = np.zeros((blocks, 64), np.int16), 0
-    for row in out:
-        last += number(symbol(dc))
-        row[0], k = last, 1
+        while self.held < 16:
+            self.bits, self.held, self.at = self.bits << 8 | self.data[self.at], self.held + 8, self.at + 1
+        found = peeks[self.bits >> self.held - 16]
+        if not found:
+            raise ValueError("no such code")
+        self.held -= found >> 8
+        self.bits &= (1 << self.held) - 1
+        return found & 255
+
+    def read(self, dc: list[int], ac: list[int], last: int, row: np.ndarray) -> int:
+        """Fills a block's coefficients; returns its DC."""
+        size = self._symbol(dc)
+        row[0] = last = last + (self._number(size) if size else 0)
+        k = 1
         while k < 64:
-            s = symbol(ac)
+            s = self._symbol(ac)
             if s == 0:
                 break
             k += s >> 4
             if s & 15:
-                row[k] = number(s & 15)
+                if k > 63:
+                    raise ValueError("a run leaves its block")
+                row[k] = self._number(s & 15)
             k += 1
-    return out
+        if 8 * self.at - self.held > self.end:
+            raise ValueError("the frame's data end early")
+        return last
+
+
+def decode_scalar(header: Header, data: bytes | list[bytes]) -> np.ndarray:
+    """The first component's coefficients (blocks, 64) in zigzag order, blocks row by row."""
+    stretches = [data] if isinstance(data, bytes) else data
+    across, down = header.units
+    wide, high = header.blocks
+    parts = [(header.sampling if header.others else (1, 1), _peeks(header.dc), _peeks(header.ac))]
+    parts += [(sampling, _peeks(dc), _peeks(ac)) for sampling, dc, ac in header.others]
+    out, skipped = np.zeros((high, wide, 64), np.int16), np.zeros(64, np.int64)
+    each = header.interval or across * down
+    if len(stretches) < -(-across * down // each):
+        raise ValueError("the frame's data end early")
+    for start, stretch in zip(range(0, across * down, each), stretches, strict=False):
+        source, last = _Blocks(stretch), [0] * len(parts)
+        for unit in range(start, min(start + each, across * down)):
+            y, x = divmod(unit, across)
+            for c, ((h, v), dc, ac) in enumerate(parts):
+                for k in range(h * v):
+                    row = out[y * v + k // h, x * h + k % h] if c == 0 else skipped
+                    last[c] = source.read(dc, ac, last[c], row)
+    return out.reshape(-1, 64)
 
 
 def read_frames(frames: list[bytes]) -> Iterator[tuple[Header, np.ndarray]]:
     """(header, coefficients (frames, blocks, 64) in zigzag order) of runs of frames alike."""
     start = 0
     parts = [split_frame(f) for f in frames]
+    size = [[len(x) for x in data] for _, data in parts]
     while start < len(parts):
         end = start
-        while end < len(parts) and end - start < STEP and parts[end][0] == parts[start][0] and len(parts[end][1]) == len(parts[start][1]):
+        while end < len(parts) and end - start < STEP and parts[end][0] == parts[start][0] and size[end] == size[start]:
             end += 1
         header = parse_header(parts[start][0])
         if (found := _lookups(header)) is None:
             yield header, np.stack([decode_scalar(header, d) for _, d in parts[start:end]])
         else:
             (dc_n, dc), (ac_n, ac) = found
-            n, blocks = end - start, -(-header.width // 8) * -(-header.height // 8)
+            n, blocks = end - start, header.blocks[0] * header.blocks[1]
             width = dc_n + 63 * ac_n
-            bits = np.unpackbits(np.frombuffer(b"".join(d for _, d in parts[start:end]), np.uint8).reshape(n, -1), axis=1)[:, : blocks * width].reshape(n, blocks, width)
+            bits = np.unpackbits(np.frombuffer(b"".join(d[0] for _, d in parts[start:end]), np.uint8).reshape(n, -1), axis=1)[:, : blocks * width].reshape(n, blocks, width)
             coefficients = np.empty((n, blocks, 64), np.int16)
             coefficients[:, :, 0] = np.cumsum(dc[_numbers(bits[:, :, :dc_n])], axis=1)
             coefficients[:, :, 1:] = ac[_numbers(bits[:, :, dc_n:].reshape(n, blocks, 63, ac_n))]
@@ -269,13 +376,20 @@ def payload_of(coefficients: np.ndarray) -> bytes:
 
 
 def pixels(header: Header, coefficients: np.ndarray) -> np.ndarray:
-    """Frames as (frames, blocks, 64) samples of 0..255."""
+    """Brightness of frames as (frames, blocks, 64) samples of 0..255."""
     block = np.zeros(coefficients.shape, np.float32)
     block[..., ZIGZAG] = coefficients * np.array(header.quant, np.float32)
     out = IDCT.T @ block.reshape(-1, 8, 8) @ IDCT
     return np.clip(np.rint(out) + 128, 0, 255).astype(np.uint8).reshape(coefficients.shape)
 
 
+def pictures(header: Header, coefficients: np.ndarray) -> np.ndarray:
+    """Brightness of frames as (frames, rows, columns), without what only fills blocks."""
+    (wide, high), (columns, rows) = header.blocks, header.plane
+    samples = pixels(header, coefficients).reshape(-1, high, wide, 8, 8)
+    return samples.transpose(0, 1, 3, 2, 4).reshape(-1, 8 * high, 8 * wide)[:, :rows, :columns]
+
+
 # --- AVI ------------------------------------------------------------------------------------------
 
 
@@ -324,6 +438,9 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
         return fps, [data[base + o + 8 : base + o + 8 + n] for o, n in entries]
     out, at = [], movi[0] + 4
     while at + 8 <= movi[0] + movi[1]:
+        if data[at : at + 4] == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+            at += 12  # its chunks follow
+            continue
         n = struct.unpack_from("<I", data, at + 4)[0]
         if data[at + 2 : at + 4] in (b"dc", b"db"):
             out.append(data[at + 8 : at + 8 + n])
@@ -366,7 +483,7 @@ class Decoded:
 
     @property
     def clips(self) -> list[tuple[int, int]]:
-        edges = [0, *self.cuts, self.n_frames]
+        edges = [0, *self.cuts, self.n_frames] if self.n_frames else []
         return list(zip(edges, edges[1:], strict=False))
 
     @property
@@ -398,11 +515,12 @@ def _decoded(media: bytes, bytes_of: Callable[[np.ndarray], bytes]) -> Decoded:
     payload, shares, total, seen = [], [], 0, 0
     for header, coefficients in read_frames(frames):
         payload.append(bytes_of(coefficients))
-        samples = pixels(header, coefficients)
+        samples = pictures(header, coefficients)
         total += int(samples.sum(dtype=np.int64))
         seen += samples.size
         shares.append(histograms(samples))
-    return Decoded(b"".join(payload), fps, len(frames), cuts(np.concatenate(shares)), total / max(1, seen))
+    found = cuts(np.concatenate(shares)) if shares else []
+    return Decoded(b"".join(payload), fps, len(frames), found, total / max(1, seen))
 
 
 # --- columns --------------------------------------------------------------------------------------
@@ -419,7 +537,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         texts = [x.encode() for x in part.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([store(x) for x in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
-    return map_slices(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), "text", make, f"`{id_col}` {_id_type(docs, id_col)}, n_bytes long, media binary")
+    return map_slices(docs.select(column(id_col).alias("id"), whole_text(text_col).alias("text")), "text", make, f"`{id_col}` {_id_type(docs, id_col)}, n_bytes long, media binary")
 
 
 def clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -431,9 +549,10 @@ def clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             seen = shots(data)
             out += [(doc, k, a, b, a / seen.fps, b / seen.fps) for k, (a, b) in enumerate(seen.clips)]
         kinds = [part.schema.field("id").type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [id_col, "clip", "first_frame", "end_frame", "start_s", "end_s"])
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [id_col, "clip", "first_frame", "end_frame", "start_s", "end_s"])
 
-    return map_slices(media.select(F.col(id_col).alias("id"), "media"), "media", make, f"`{id_col}` {_id_type(media, id_col)}, clip int, first_frame int, end_frame int, start_s double, end_s double")
+    return map_slices(media.select(column(id_col).alias("id"), "media"), "media", make, f"`{id_col}` {_id_type(media, id_col)}, clip int, first_frame int, end_frame int, start_s double, end_s double")
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -450,4 +569,4 @@ def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     kinds = ["long", "long", "string", "long", "long", "string", "string"]
-    return map_slices(media.select(F.col(id_col).alias("id"), "n_bytes", "media"), "media", make, f"`{id_col}` {_id_type(media, id_col)}, " + ", ".join(f"{a} {b}" for a, b in zip(names[1:], kinds, strict=True)))
+    return map_slices(media.select(column(id_col).alias("id"), "n_bytes", "media"), "media", make, f"`{id_col}` {_id_type(media, id_col)}, " + ", ".join(f"{a} {b}" for a, b in zip(names[1:], kinds, strict=True)))
