@@ -16,8 +16,11 @@ over them, a turn at a time, so memory does not grow with a conversation. Its tu
 one task, as a digest over their concatenation must.
 
 Defined results: null role or text = empty; turns go by (turn, role, text), null turns first, so ties
-have one order and repeated rows stay; a conversation may be empty of text; no rows, no rows; other
-columns are ignored, except an optional `parts` column.
+have one order and repeated rows stay; a null id is a conversation of its own; a conversation may be empty of
+text; a text may be as long as a row can hold; no rows, no rows. Content parts are read from a column only
+where the caller names one; null parts mean the text column, no parts an empty turn; a part without a kind
+is text, one without a size has size 0, an unknown kind is an error. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import column, whole_text
+
 ASSISTANT = "assistant"
 _ESCAPED = re.compile(r'[\\<"]')
 _UNESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r'<turn role="((?:[^\\<"]++|\\.)*+)">\n((?:[^\\<]++|\\.|<(?:image|audio|document) \d++>)*+)</turn>\n', re.DOTALL)
-_PLACEHOLDER = re.compile(r"(?<!\\)<(image|audio|document) (\d+)>")
-#: Characters of a turn that go out as one row's segment.
+#: What attachments expand to: a token per square of PATCH pixels a side, AUDIO_RATE a second, PAGE_TOKENS a page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 256
 
 
@@ -109,7 +113,7 @@ class Visitor:
         self.attachments.append({"kind": kind, "ref": ref, "tokens": tokens})
 
 
-#: The optional column: size is (width, height) of an image, (seconds,) of audio, (pages,) of a document.
+#: The column of parts: size is (width, height) of an image, (seconds,) of audio, (pages,) of a document.
 PARTS = "array<struct<kind:string,text:string,ref:string,size:array<double>>>"
 
 
@@ -119,7 +123,7 @@ def typed(parts: list[dict] | None, text: str | None) -> list:
         return [TextPart(text or "")]
     out = []
     for p in parts:
-        size = [*(p["size"] or []), 0, 0]
+        size = [x or 0 for x in [*(p["size"] or []), 0, 0]]
         match p["kind"]:
             case "image":
                 out.append(ImagePart(p["ref"] or "", int(size[0]), int(size[1])))
@@ -161,14 +165,12 @@ def strip_placeholders(content: str) -> str:
 SEGMENTS = "{id} {kind}, role string, segment string, start long, loss_start long, loss_end long, attachments array<struct<kind:string,ref:string,tokens:long>>"
 
 
-def format_conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def format_conversations(turns: DataFrame, id_col: str = "conv_id", parts_col: str | None = None) -> DataFrame:
     """One row per turn, conversations together and in order: <id_col>, role, segment, start, loss_start
     and loss_end (code points in the conversation's output; null where no loss is taken), attachments.
-    A conversation's output is its segments, joined."""
-    parts = F.col("parts") if "parts" in turns.columns else F.lit(None).cast(PARTS)
-    source = turns.select(
-        F.col(id_col).alias("id"), F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"), parts.alias("parts")
-    )
+    A conversation's output is its segments, joined. parts_col names a column of type PARTS."""
+    parts = F.lit(None) if parts_col is None else column(parts_col)
+    source = turns.select(column(id_col).alias("id"), F.col("turn").alias("turn"), whole_text("role").alias("role"), whole_text("text").alias("text"), parts.cast(PARTS).alias("parts"))
     # repeated rows must keep one order: ties are broken by all that the output depends on
     dealt = source.repartition("id").sortWithinPartitions("id", F.col("turn").asc_nulls_first(), "role", "text", F.to_json("parts"))
 
@@ -195,7 +197,9 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame
 
 
 def conversation_digests(segments: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Reads formatted conversations back; segments must come as format_conversations gives them.
+    """Reads formatted conversations back. segments must come as format_conversations gives them, each
+    conversation's whole and in order in one partition: where a segment does not start at the end of the one before,
+    this stops with an error, so rows that were dealt anew in between are never taken for conversations.
     Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments,
     attachment_tokens."""
     id_type = segments.schema[id_col].dataType
@@ -225,6 +229,8 @@ def conversation_digests(segments: DataFrame, id_col: str = "conv_id") -> DataFr
                     if len(done) >= 512:
                         yield batch_of(done)
                         done = []
+                if start != state.chars:
+                    raise ValueError(f"conversation {conv!r}: a segment starts at {start}, while {state.chars} characters came before; its rows were dealt anew")
                 role, text = read_turn(segment)
                 state.n += 1
                 state.turns.update(f"{role}\n{text}\n".encode())
