@@ -118,21 +118,22 @@ def _sql_text(value: str) -> str:
 
 def _license_sql() -> str:
     """Exact containment in the same windows, of every template, without retrieval by MinHash."""
-    rows = ", ".join(
-        f"({_sql_text(name)}, {licenses.stride_of(len(s))}, {len(s)}, [{', '.join(_sql_text(' '.join(x)) for x in s)}])"
-        for name, text in sorted(licenses.TEMPLATES.items())
-        for s in [licenses.template_shingles(text)]
-    )
+    given = sorted(licenses.TEMPLATES.items())
+    long = [(name, licenses.span_of(text), licenses.template_shingles(text)) for name, text in given if licenses.template_shingles(text)]
+    rows = ", ".join(f"({_sql_text(name)}, {span}, {len(s)}, [{', '.join(_sql_text(' '.join(x)) for x in s)}])" for name, span, s in long)
+    short = ", ".join(f"({_sql_text(name)}, {_sql_text(' ' + ' '.join(licenses.words_of(text)) + ' ')})" for name, text in given if not licenses.template_shingles(text))
     return rf"""
-WITH t(license, stride, m, shingles) AS (VALUES {rows}),
-s AS (SELECT license, stride, m, unnest(shingles) AS shingle FROM t),
+WITH t(license, span, m, shingles) AS (VALUES {rows}),
+z(license, words) AS (VALUES {short}),
+s AS (SELECT license, span, m, unnest(shingles) AS shingle FROM t),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS shingle FROM i),
-h AS (SELECT p.doc_id, p.pos, s.license, s.stride, s.m, s.shingle FROM p JOIN s USING (shingle)),
-w AS (SELECT doc_id, license, m, pos // stride - k AS win, shingle FROM h CROSS JOIN (VALUES (0), (1), (2), (3)) x(k) WHERE pos // stride - k >= 0 AND pos < (pos // stride - k) * stride + m + stride),
+h AS (SELECT p.doc_id, p.pos, s.license, s.span, s.m, s.shingle FROM p JOIN s USING (shingle)),
+w AS (SELECT doc_id, license, m, pos // span - k AS win, shingle FROM h CROSS JOIN (VALUES (0), (1), (2)) x(k) WHERE pos // span - k >= 0),
 c AS (SELECT doc_id, license, win, count(DISTINCT shingle)::DOUBLE / any_value(m) AS share FROM w GROUP BY ALL),
-b AS (SELECT doc_id, license, max(share) AS share FROM c GROUP BY ALL HAVING max(share) >= {licenses.CONTAINMENT})
+b AS (SELECT doc_id, license, max(share) AS share FROM c GROUP BY ALL HAVING max(share) >= {licenses.CONTAINMENT}
+  UNION ALL SELECT doc_id, license, 1.0 FROM d JOIN z ON contains(' ' || array_to_string(w, ' ') || ' ', z.words))
 SELECT documents.doc_id, count(b.license) AS n_matches, coalesce(string_agg(b.license, ',' ORDER BY b.license), '') AS licenses, round(coalesce(max(b.share), 0), 6) AS containment
 FROM documents LEFT JOIN b USING (doc_id) GROUP BY documents.doc_id
 """
