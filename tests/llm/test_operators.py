@@ -302,10 +302,10 @@ def test_chat(spark):
 def test_chat_parts(spark):
     parts = [("text", "see <image 0>", None, None), ("image", None, "s3://a", [28.0, 15.0]), ("audio", None, "b", [1.5]), ("document", None, "c", [2.0]), ("text", "end", None, None)]
     df = spark.createDataFrame([(1, 0, "assistant", None, parts)], f"conv_id long, turn long, role string, text string, parts {chat.PARTS}")
-    r = chat.format_conversations(df).first()
+    r = chat.format_conversations(df, parts_col="parts").first()
     assert r["segment"] == '<turn role="assistant">\nsee \\<image 0><image 0><audio 1><document 2>end</turn>\n'
     assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "s3://a", 4), ("audio", "b", 38), ("document", "c", 512)]
-    d = chat.conversation_digests(chat.format_conversations(df)).first()
+    d = chat.conversation_digests(chat.format_conversations(df, parts_col="parts")).first()
     assert d["loss_chars"] == len("see <image 0>end") and d["attachment_tokens"] == 554
 
 
@@ -387,18 +387,45 @@ def test_token_counts(docs, texts):
 
 
 def brute_licenses(text):
+    """Each window of three times a template's length, starting every length of it, by counting shingles."""
     words = licenses.words_of(text or "")
     shingles = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     out = {}
     for name, template in licenses.TEMPLATES.items():
-        own = set(licenses.template_shingles(template))
-        stride = licenses.stride_of(len(own))
-        best = max((len(own & set(shingles[s : s + len(own) + stride])) / len(own) for s in range(0, len(shingles), stride)), default=0)
+        t = licenses.words_of(template)
+        if len(t) < 5:
+            if any(words[i : i + len(t)] == t for i in range(len(words))):
+                out[name] = 1.0
+            continue
+        own, n = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}, len(t) - 4
+        best = max((len(own & set(shingles[s : s + 3 * n])) / len(own) for s in range(0, len(shingles), n)), default=0)
         if best >= licenses.CONTAINMENT:
             out[name] = best
     return out
 
 
+def test_retrieval_misses_nothing():
+    """Edited templates that stand among other words, over the bands' values alone."""
+    rng, asked, missed = random.Random(11), 0, 0
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.words_of(text)
+        own, n = set(licenses.template_shingles(text)), len(words) - 4
+        if n < 1:
+            continue
+        masks, hashes = licenses.band_masks(), [licenses.shingle_hash(x) for x in own]
+        for _ in range(250):
+            edited = list(words)
+            for _ in range(rng.randrange(0, max(2, n // 15))):
+                edited[rng.randrange(len(edited))] = f"new{rng.randrange(10**6)}"
+            window = [f"w{rng.randrange(10**6)}" for _ in range(n)] + edited + [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            shingles = {tuple(window[i : i + 5]) for i in range(len(window) - 4)}
+            if len(own & shingles) >= licenses.CONTAINMENT * len(own):
+                asked += 1
+                seen = [licenses.shingle_hash(x) for x in shingles]
+                missed += not any(min(h ^ m for h in seen) == min(h ^ m for h in hashes) for m in masks)
+    assert asked > 2000 and missed == 0
+
+
 def test_license_scan(spark, docs, texts):
     rng = random.Random(6)
     filler = lambda n: " ".join("".join(rng.choices("abcde", k=4)) for _ in range(n))
@@ -460,3 +487,287 @@ def test_md5_collisions_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit(md5(b"").hexdigest()))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a ")], "doc_id long, text string")
     assert sorted(tuple(r)[:4] for r in exact_dedup.exact_dedup(df).collect()) == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)]
+
+
+def test_exact_dedup_at_both_ends_of_64_bits(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(high, "ab cd "), (low, "ab cd"), (low, "x"), (high, "x"), (9 * 10**18, "ab cd"), (None, "x  ")]
+    got = sorted((tuple(r)[:4] for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(high, high, 3, True), (low, high, 3, False), (9 * 10**18, high, 3, False), (low, low, 3, True), (high, low, 3, False), (None, low, 3, False)], key=str)
+
+
+def test_packing_spreads_repeated_rows(spark):
+    """Pieces that agree in all columns go in turn over the groups, and long ids without a number stay exact."""
+    big = 2**60 + 1
+    rows = [(None, "a b c")] * 3000 + [(7, "a b c")] * 1000 + [(big, "one two")] + [(k, f"word {k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = packing.packed_pieces(docs, WORD, capacity=64, group_pieces=640).collect()
+    assert len(out) == len(rows) and sum(r["doc_id"] == big for r in out) == 1
+    groups = defaultdict(int)
+    for r in out:
+        groups[r["sequence_id"] >> 32] += 1
+    assert len(groups) == 8 and max(groups.values()) < 1.2 * min(groups.values())
+    placed = defaultdict(list)
+    for r in out:
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+    for bin_ in placed.values():
+        assert sorted(o for o, _ in bin_) == [sum(n for _, n in sorted(bin_)[:k]) for k in range(len(bin_))]
+
+
+def test_packing_names_and_empty_groups(spark):
+    pieces = spark.createDataFrame([("x", 3, 1), ("y", 5, 1)], "`a.b` string, size int, c0 int")
+    assert sorted(tuple(r) for r in packing.pack_sequences(pieces, "size", 8).collect()) == [("x", 3, 1, 0, 5), ("y", 5, 1, 0, 0)]
+    with pytest.raises(Exception, match="does not fit"):
+        packing.pack_sequences(pieces, "size", 4).collect()
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "a\nb\nc\nd", 9, 9, 9, {"m": 1}, 9), (2, "a\nb\nc\ne", 9, 9, 9, {"m": 2}, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, `__id` int, starts int, m map<string,int>, `x.y` int")
+    got = sorted((tuple(r) for r in line_dedup.line_dedup(df).collect()), key=str)
+    assert line_dedup.line_dedup(df).columns == ["doc_id", "text", "__id", "starts", "m", "x.y", "n_lines", "n_removed"]
+    assert got == [(1, "a\nb\nc\nd", 9, 9, {"m": 1}, 9, 4, 0), (2, "e", 9, 9, {"m": 2}, 9, 4, 3)]
+
+
+def test_quality_fits_long_texts(spark):
+    """Labelled texts of any length are fitted."""
+    rows = [(k, ("GOOD prose here. " if k % 2 else "bad!!! ***junk*** ") * 15000) for k in range(24)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in quality.quality_scores(docs, labels).collect())
+
+
+def test_quality_against_plain_loops(spark):
+    """Word vectors, text vectors and the network's scores of ten texts, by loops over words."""
+    rng = random.Random(12)
+    words = ["River", "river", "boat.", "BOAT!!", "x12", "stone***", "the", "The", "é", "a-b"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(1, 30))) + (" junk junk junk" if k % 2 else "")) for k in range(1, 31)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    index = [quality.index_vectors(quality.WORD_BUCKETS, quality.SEED), quality.index_vectors(quality.SHAPE_BUCKETS, quality.SEED + 1)]
+    around = [defaultdict(lambda: np.zeros(quality.DIM)) for _ in index]
+    split = lambda w: divmod(quality.term_buckets(w), quality.SHAPE_BUCKETS)
+    for k, text in rows:
+        if zlib.crc32(str(k).encode()) % 5 == 0:
+            continue
+        tokens = text.split()
+        for i, w in enumerate(tokens):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(tokens):
+                    for t in (0, 1):
+                        around[t][split(w)[t]] += index[t][split(tokens[j])[t]]
+
+    def vector(t, bucket):
+        v = around[t][bucket]
+        return index[t][bucket] / np.sqrt(quality.NONZERO) + (v / np.linalg.norm(v) if v.any() else 0)
+
+    a, b, c, d = model.layers
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, None, model=model).collect()}
+    for k, text in rows[:10]:
+        tokens = text.split()
+        again = sum(x == y for x, y in zip(tokens, tokens[1:], strict=False))
+        mine = np.concatenate([sum(vector(0, split(w)[0]) for w in tokens), sum(vector(1, split(w)[1]) for w in tokens) + again * vector(1, quality.AGAIN)]) / len(tokens)
+        assert np.allclose(mine, model.vector(text), atol=1e-5)
+        z = [(x - m) / s for x, m, s in zip(mine, model.mean, model.std, strict=True)]
+        hidden = [np.tanh(sum(z[i] * a[i][h] for i in range(len(z))) + b[h]) for h in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, c, strict=True)) + d
+        assert scores[k] == pytest.approx(1 / (1 + np.exp(-logit / model.temperature)), abs=1e-4)
+
+
+def test_shapes_of_long_words():
+    assert quality.shape("a.b-c_d+" * 4 + "x") != quality.shape("a.b-c_d+" * 4 + "X")
+
+
+# --- frames by an encoder of the tests' own, with the standard tables ---
+
+AC_0 = (
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+    "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+)
+AC_0_COUNTS, DC_0_COUNTS = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D], [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+SCAN = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[1] if (x[0] + x[1]) % 2 == 0 else x[0]))
+
+
+def codes(counts, symbols):
+    out, code, symbols = {}, 0, iter(symbols)
+    for n, count in enumerate(counts, 1):
+        for _ in range(count):
+            out[next(symbols)] = f"{code:0{n}b}"
+            code += 1
+        code *= 2
+    return out
+
+
+def amplitude(v):
+    size = abs(v).bit_length()
+    return size, f"{v if v > 0 else v + 2**size - 1:0{size}b}" if size else ""
+
+
+def block_bits(block, last, dc, ac):
+    grid = [[(np.sqrt(0.125) if k == 0 else 0.5) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)]
+    flat = np.rint(np.array(grid) @ (block - 128.0) @ np.array(grid).T).astype(int)
+    values = [int(flat[r, c]) for r, c in SCAN]
+    size, bits = amplitude(values[0] - last)
+    out, run = dc[size] + bits, 0
+    for v in values[1:]:
+        if v == 0:
+            run += 1
+            continue
+        while run > 15:
+            out, run = out + ac[0xF0], run - 16
+        size, bits = amplitude(v)
+        out, run = out + ac[run << 4 | size] + bits, 0
+    return out + (ac[0] if run else ""), values[0]
+
+
+def foreign_frame(picture, sampling=None, interval=0, tables=True):
+    """A frame of the picture's brightness; with sampling, of three components of which the others are grey."""
+    h, w = picture.shape
+    dc, ac = codes(DC_0_COUNTS, range(12)), codes(AC_0_COUNTS, bytes.fromhex(AC_0))
+    sh, sv = sampling or (1, 1)
+    across, down = -(-w // (8 * sh)), -(-h // (8 * sv))
+    full = np.pad(picture, ((0, 8 * sv * down - h), (0, 8 * sh * across - w)), mode="edge")
+    marker = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + bytes(body)
+    head = b"\xff\xd8" + marker(0xDB, [0] + [1] * 64)
+    parts = [1, sh << 4 | sv, 0] + ([2, 0x11, 0, 3, 0x11, 0] if sampling else [])
+    head += marker(0xC0, [8, h >> 8, h & 255, w >> 8, w & 255, len(parts) // 3, *parts])
+    if tables:
+        head += marker(0xC4, [0, *DC_0_COUNTS, *range(12)]) + marker(0xC4, [0x10, *AC_0_COUNTS, *bytes.fromhex(AC_0)])
+    if interval:
+        head += marker(0xDD, [interval >> 8, interval & 255])
+    grey = (0x00 if tables else 0x11, "00" + "1010" if tables else "00" + "00")  # no difference, end of block
+    head += marker(0xDA, [3, 1, 0, 2, grey[0], 3, grey[0], 0, 63, 0] if sampling else [1, 1, 0, 0, 63, 0])
+    out, bits, last = b"", "", 0
+    for unit in range(across * down):
+        if interval and unit and unit % interval == 0:
+            bits += "1" * (-len(bits) % 8)
+            out += int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (unit // interval - 1) % 8])
+            bits, last = "", 0
+        y, x = divmod(unit, across)
+        for k in range(sv):
+            for m in range(sh):
+                r, c = 8 * (y * sv + k), 8 * (x * sh + m)
+                more, last = block_bits(full[r : r + 8, c : c + 8], last, dc, ac)
+                bits += more
+        bits += 2 * grey[1] if sampling else ""
+    bits += "1" * (-len(bits) % 8)
+    return head + out + int("1" + bits, 2).to_bytes(len(bits) // 8 + 1, "big")[1:].replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling", [None, (1, 1), (2, 1), (2, 2), (1, 2)])
+@pytest.mark.parametrize("interval", [0, 1, 3])
+@pytest.mark.parametrize("tables", [True, False])
+def test_media_reads_foreign_frames(sampling, interval, tables):
+    rng = np.random.default_rng(5)
+    for h, w in ((16, 24), (37, 50)):
+        picture = np.clip(np.add.outer(np.arange(h) * 3, np.arange(w) * 2) % 256 + rng.integers(-30, 30, (h, w)), 0, 255)
+        ((header, coefficients),) = media.read_frames([foreign_frame(picture, sampling, interval, tables)])
+        got = media.pictures(header, coefficients)
+        assert got.shape == (1, h, w) and np.abs(got[0].astype(int) - picture).max() <= 3
+
+
+def test_media_clips_of_foreign_files(spark):
+    dark, light = np.full((20, 30), 40), np.full((20, 30), 200)
+    frames = [foreign_frame(dark + k % 3, (2, 2), tables=False) for k in range(9)] + [foreign_frame(light - k % 3, (2, 2), tables=False) for k in range(11)]
+    plain = media.write_avi(frames, fps=10, side=24)
+    movi = plain.index(b"movi")
+    inside = plain[movi + 4 : plain.index(b"idx1")]
+    lists = b"".join(media._chunk(b"LIST", b"rec " + media._chunk(b"00dc", f)) for f in frames)
+    listed = plain[: movi - 4] + (4 + len(lists)).to_bytes(4, "little") + b"movi" + lists
+    listed = listed[:4] + (len(listed) - 8).to_bytes(4, "little") + listed[8:]
+    assert inside and media.read_avi(listed)[1] == frames
+    none = media.write_avi([])
+    rows = [(1, bytearray(plain)), (2, bytearray(listed)), (3, bytearray(none)), (None, bytearray(plain)), (1, bytearray(plain))]
+    got = sorted((tuple(r) for r in media.clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect()), key=str)
+    cut = lambda i: [(i, 0, 0, 9, 0.0, 0.9), (i, 1, 9, 20, 0.9, 2.0)]
+    assert got == sorted(cut(1) + cut(1) + cut(2) + cut(None), key=str)
+    assert media.clips(spark.createDataFrame(rows[2:3], "doc_id long, media binary")).count() == 0
+    for bad in (frames[0][:-30], b"\xff\xd8\xff\xc2" + frames[0][4:], b"junk"):
+        with pytest.raises(ValueError):
+            list(media.read_frames([bad]))
+
+
+def test_cuts_against_plain_loops():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 20, 90):
+        h = rng.dirichlet(np.ones(4), n)
+        for start in range(0, n, 7):
+            h[start : start + 7] = h[start] * 0.9 + h[start : start + 7] * 0.1
+        d = [float(np.abs(h[i + 1] - h[i]).sum()) / 2 for i in range(n - 1)]
+        want = []
+        for i, x in enumerate(d):
+            around = [d[j] for j in range(max(0, i - media.AROUND), min(len(d), i + media.AROUND + 1)) if j != i] or [0.0]
+            mean = sum(d[j] for j in range(max(0, i - media.AROUND), min(len(d), i + media.AROUND + 1)) if j != i) / max(1, len(around))
+            spread = (sum((y - mean) ** 2 for y in around) / len(around)) ** 0.5 if len(d) > 1 else 0.0
+            if x >= media.LEAST and x > mean + media.DEVIATIONS * spread + 1e-9:
+                want.append(i + 1)
+        assert media.cuts(h) == want
+
+
+def test_media_digest_columns(docs, texts):
+    """Every digest, from the file that the text was stored as, and the features from its samples."""
+    rows = sorted((tuple(r) for r in media.media_digests(media.media_column(docs)).collect()), key=str)
+    want = []
+    for i, t in texts:
+        data = (t or "").encode()
+        payload, file = media.padded(data), media.store(data)
+        value = np.array([b - 128 if b < 128 else b - 127 for b in payload], float).reshape(-1, 64)
+        block = np.zeros((len(value), 8, 8))
+        for k, (r, c) in enumerate(SCAN):
+            block[:, r, c] = value[:, k]
+        grid = np.array([[(np.sqrt(0.125) if k == 0 else 0.5) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
+        samples = np.clip(np.rint(grid.T @ block @ grid) + 128, 0, 255)
+        want.append((i, len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), sha256(file).hexdigest(), samples.mean(), len(payload) // 576))
+    for got, mine in zip(rows, sorted(want, key=str), strict=True):
+        assert got[:7] == mine[:7]
+        frames, brightness, clips = got[7].split(";")
+        assert frames == f"frames={mine[8]}" and float(brightness.split("=")[1]) == pytest.approx(mine[7], abs=0.01)
+        edges = [tuple(map(int, x.split("-"))) for x in clips.removeprefix("clips=").split(",")]
+        assert edges[0][0] == 0 and edges[-1][1] == mine[8] and all(a[1] == b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_chat_parts_at_the_edges(spark):
+    parts = [("image", None, None, None), (None, "no kind", None, None), ("audio", None, "a", [None]), ("document", None, "d", [])]
+    rows = [(1, 0, "assistant", "ignored", parts), (1, 1, "user", "the text", None), (1, 2, "user", "not this", []), (2, 0, "user", "x", None)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, p {chat.PARTS}")
+    out = chat.format_conversations(df, parts_col="p")
+    segments = [r["segment"] for r in out.where("conv_id = 1").collect()]
+    assert segments == ['<turn role="assistant">\n<image 0>no kind<audio 1><document 2></turn>\n', '<turn role="user">\nthe text</turn>\n', '<turn role="user">\n</turn>\n']
+    digest = {r["conv_id"]: r for r in chat.conversation_digests(out).collect()}
+    assert digest[1]["n_attachments"] == 3 and digest[1]["attachment_tokens"] == 0 and digest[1]["loss_chars"] == len("no kind")
+    with pytest.raises(ValueError, match="unknown part kind"):
+        chat.typed([{"kind": "video", "text": None, "ref": None, "size": None}], None)
+    unrelated = df.withColumnRenamed("p", "parts").withColumn("parts", F.lit("a column of that name"))
+    assert chat.conversation_digests(chat.format_conversations(unrelated)).count() == 2
+
+
+def test_digests_refuse_rows_dealt_anew(spark):
+    rows = [(c, k, "user", f"turn {k}") for c in range(5) for k in range(8)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat.conversation_digests(out).count() == 5
+    for moved in (out.repartition(3), out.sortWithinPartitions(F.col("start").desc())):
+        with pytest.raises(Exception, match="dealt anew"):
+            chat.conversation_digests(moved).collect()
+
+
+def test_very_long_text(spark):
+    """A text above what a worker's slice takes, in every operator."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(500)]
+    long = "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(150_000))
+    assert len(long) > 8 << 20
+    rows = [(1, long), (2, "short"), (3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:4] for r in exact_dedup.exact_dedup(df).collect()) == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False)]
+    assert sorted((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_dedup(df).collect()) == [(1, 0), (2, 0), (3, 150_000)]
+    pieces = packing.packed_pieces(df, WORD).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("k")).collect()
+    assert all(r["n"] > 1_000_000 and r["k"] == (r["n"] - 1) // 4096 for r in pieces if r["doc_id"] != 2)
+    one = df.where("doc_id < 3")
+    decoded = {r["doc_id"]: r["text"] for r in bpe.bpe_decode(bpe.bpe_encode(one, BYTE), BYTE).collect()}
+    assert decoded == {1: long, 2: "short"}
+    assert {r["doc_id"]: r["payload_sha256"] for r in media.media_digests(media.media_column(one)).collect()}[1] == sha256(media.padded(long.encode())).hexdigest()
+    assert [r["matches"] for r in licenses.license_scan(df).collect()] == [[]] * 3
+    turns = one.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert {r["conv_id"]: r["loss_chars"] for r in chat.conversation_digests(chat.format_conversations(turns)).collect()} == {1: len(long), 2: 5}
+    scores = quality.quality_scores(one, spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")).collect()
+    assert len(scores) == 2
