@@ -121,7 +121,7 @@ class WordEncoder:
         #: Two generations by string: when the younger is full, the older goes.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         spec = json.loads(data)
         steps = [[x["type"] for x in (spec[part] or {}).get(inner, [])] for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         self.split = None
@@ -131,11 +131,14 @@ class WordEncoder:
                 self.split = regex.compile(split["pattern"]["Regex"].replace("\\s", r"\p{White_Space}")).findall
         self.sign = {b: c for c, b in byte_alphabet().items()}
         self.special = [t["content"] for t in spec["added_tokens"]]
+        #: Whether a string of ASCII letters is one word, whatever it is.
+        self.letters = self.split is not None and not any(s.isalpha() for s in self.special)
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
         found = self.words.get(word)
         if found is None:
-            shown = word if word.isascii() and word.isprintable() else "".join(map(self.sign.__getitem__, word.encode()))
+            text = word.decode()
+            shown = text if text.isascii() and text.isprintable() else "".join(map(self.sign.__getitem__, word))
             found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
             if len(self.words) >= CHUNKS_KEPT:
                 self.words.clear()
@@ -143,36 +146,40 @@ class WordEncoder:
         return found
 
     def _learn(self, chunks: list[bytes]) -> None:
-        late = []
+        young, word, late = self.young, self._word, []
         for c in chunks:
+            # most strings are a word, or a word and a sign; the pattern is for the others
+            if self.letters and c.isalpha():
+                young[c] = word(c.lower())
+                continue
+            if self.letters and c[:-1].isalpha() and c[-1] in b".,":
+                young[c] = word(c[:-1].lower()) + word(c[-1:])
+                continue
             text = c.decode()
             if self.split is None or (not c.isascii() and max(text) >= "\u0300") or any(s in text for s in self.special):
                 late.append(c)
             else:
-                low = text.lower()
-                # most strings are a word, or a word and a sign; the pattern is for the others
-                if low.isalpha():
-                    self.young[c] = self._word(low)
-                elif low[:-1].isalpha() and low[-1] in ".,":
-                    self.young[c] = self._word(low[:-1]) + self._word(low[-1])
-                else:
-                    self.young[c] = b"".join(map(self._word, self.split(low)))
+                young[c] = b"".join(word(w.encode()) for w in self.split(text.lower()))
         for start in range(0, len(late), 4096):
             part = late[start : start + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.young[c] = np.array(e.ids, "<u4").tobytes()
+                young[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.encode().split() for t in texts]
-        if len(self.young) >= CHUNKS_KEPT // 2:
-            self.young, self.old = {}, self.young
-        missing = set().union(*split).difference(self.young)
-        known = missing.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in known)
-        self._learn(list(missing - known))
-        for words in split:
-            yield b"".join(map(self.young.__getitem__, words))
+        for t in texts:
+            if len(self.young) >= CHUNKS_KEPT // 2:
+                self.young, self.old = {}, self.young
+            words = t.encode().split()
+            found = list(map(self.young.get, words))
+            if None in found:
+                missing = {w for w, f in zip(words, found, strict=True) if f is None}
+                for c in missing:
+                    if (ids := self.old.get(c)) is not None:
+                        self.young[c] = ids
+                self._learn([c for c in missing if c not in self.young])
+                found = map(self.young.__getitem__, words)
+            yield b"".join(found)
 
 
 @lru_cache(maxsize=2)
