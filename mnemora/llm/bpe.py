@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .base import column, map_slices, whole_text
 
 LONG_WORD = 96
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 200_000
 WORDS_KEPT = 200_000
 _NO_RANK = 1 << 60
 
@@ -86,18 +86,24 @@ class ByteBPE:
                 self.table[i] = as_bytes(s)
         for s, i in self.special.items():
             self.table[i] = s.encode()
-        #: By the pair of part ids: (rank, id of the merged part).
-        self.merges = {}
+        #: The rank of a pair of part ids, and by rank the id of the merged part.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
-            self.merges.setdefault((id_of[a], id_of[b]), (rank, id_of[a + b]))
+            self.ranks.setdefault((id_of[a], id_of[b]), rank)
+            self.merged.append(id_of[a + b])
         self.byte_id = [id_of[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(self.PATTERN)
         self.late = None
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else lambda s: [s]
+        #: Whether a space and ASCII letters are one word, whatever the letters.
+        self.letters = not any(x.isalpha() for x in self.special)
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        #: Two generations by chunk: when the younger is full, the older goes.
+        self.chunks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def find(self, text: str) -> list[str]:
         """The words of a text."""
@@ -116,42 +122,39 @@ class ByteBPE:
         return self._scan(parts) if len(parts) < LONG_WORD else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        get = self.merges.get
-        found = [get(pair) for pair in zip(parts, parts[1:], strict=False)]
-        ranks = [m[0] if m else _NO_RANK for m in found]
+        get, merged = self.ranks.get, self.merged
+        ranks = [get(pair, _NO_RANK) for pair in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == _NO_RANK:
                 break
             i = ranks.index(least)
-            parts[i] = get((parts[i], parts[i + 1]))[1]
+            parts[i] = merged[least]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                m = get((parts[i], parts[i + 1]))
-                ranks[i] = m[0] if m else _NO_RANK
+                ranks[i] = get((parts[i], parts[i + 1]), _NO_RANK)
             if i:
-                m = get((parts[i - 1], parts[i]))
-                ranks[i - 1] = m[0] if m else _NO_RANK
+                ranks[i - 1] = get((parts[i - 1], parts[i]), _NO_RANK)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        n, get = len(parts), self.merges.get
+        n, get = len(parts), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (m := get((parts[i], parts[i + 1])))]
+        heap = [(rank, i, parts[i], parts[i + 1]) for i in range(n - 1) if (rank := get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue  # a part has changed meanwhile
-            parts[i] = get((a, b))[1]
+            parts[i] = self.merged[rank]
             parts[j] = -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x in (before[i], i):
-                if x >= 0 and (y := after[x]) < n and (m := get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
+                if x >= 0 and (y := after[x]) < n and (rank := get((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (rank, x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
     #: How the results of words make that of a text.
@@ -160,49 +163,57 @@ class ByteBPE:
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, as little-endian 32-bit numbers."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= WORDS_KEPT:
+                self.words.clear()
+            ids = self._pack(self.word_ids(word.encode()))
+            if len(word) < LONG_WORD:
+                self.words[word] = ids
+        return ids
+
     def _plain(self, text: str) -> bytes:
-        """Ids of a text without regard to chunks, as little-endian 32-bit numbers."""
-        out, words = [], self.words
+        """Ids of a text without regard to chunks."""
+        out = []
         for k, piece in enumerate(self.cut(text)):
-            if k % 2:
-                out.append(self._pack([self.special[piece]]))
-                continue
-            for word in self.find(piece):
-                ids = words.get(word)
-                if ids is None:
-                    if len(words) >= WORDS_KEPT:
-                        words.clear()
-                    ids = self._pack(self.word_ids(word.encode()))
-                    if len(word) < LONG_WORD:
-                        words[word] = ids
-                out.append(ids)
+            out += [self._pack([self.special[piece]])] if k % 2 else map(self._word, self.find(piece))
         return self.join(out)
 
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of a chunk with the space before it; None where its edges are spaces too."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return self._plain(" " + chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            if self.letters and chunk.isascii() and chunk.isalpha():
+                ids = self._word(" " + chunk)
+            elif self.letters and chunk[-1:] in (".", ",") and chunk.isascii() and chunk[:-1].isalpha():
+                ids = self.join([self._word(" " + chunk[:-1]), self._word(chunk[-1])])
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                return None
+            else:
+                ids = self._plain(" " + chunk)
+        if len(chunk) < LONG_WORD:
+            if len(self.chunks) >= CHUNKS_KEPT:
+                self.chunks, self.old = {}, self.chunks
+            self.chunks[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit numbers."""
         head, *rest = text.split(" ")
-        if head and (head[0].isspace() or head[-1].isspace()) or not head:
+        if not head or head[0].isspace() or head[-1].isspace():
             return self._plain(text)
-        chunks, get = self.chunks, self.chunks.get
-        out = [self._plain(head)]
-        for chunk in rest:
-            ids = get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
+        found = list(map(self.chunks.get, rest))
+        if None in found:
+            for i, ids in enumerate(found):
                 if ids is None:
-                    return self._plain(text)
-                if len(chunk) < LONG_WORD:
-                    if len(chunks) >= CHUNKS_KEPT:
-                        chunks.clear()
-                    chunks[chunk] = ids
-            out.append(ids)
-        return self.join(out)
+                    found[i] = self.chunks.get(rest[i])
+                    if found[i] is None:
+                        found[i] = self._chunk(rest[i])
+                    if found[i] is None:
+                        return self._plain(text)
+        return self.join([self._plain(head), *found])
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, memoryview(ids).cast("I").tolist()))
