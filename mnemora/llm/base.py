@@ -102,5 +102,7 @@ def map_slices(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], Iterab
         for batch in batches:
             for part in slices(batch, text):
                 yield from make(part)
+        # the worker stays for other tasks; what Arrow held for this one need not
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -45,7 +45,7 @@ WORD_BUCKETS, SHAPE_BUCKETS, DIM, NONZERO, NEAR = 1 << 15, 1 << 11, 48, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 400, 0.01, 1e-3
 FOLDS, CALIBRATION_FOLD = 5, 1
 THRESHOLD = 0.3
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 _LETTERS, _DIGITS, _AGAIN, _NO_LETTER = (re.compile(p) for p in (r"[^\W\d_]+", r"\d+", r"(\W|_)\1+", r"[\W_]+"))
 
@@ -86,7 +86,7 @@ def index_vectors(buckets: int, seed: int) -> np.ndarray:
 
 
 #: Neighbouring terms that are summed at a time.
-PAIRS = 1 << 17
+PAIRS = 1 << 14
 
 
 def add_contexts(around: np.ndarray, sequences: list[np.ndarray], index: np.ndarray) -> None:
@@ -223,7 +223,7 @@ def context_rows(sample: DataFrame) -> DataFrame:
                 for w in {w for t in words for w in t}.difference(known):
                     known[w] = term_buckets(w)
                 ids = [np.fromiter(map(known.__getitem__, t), np.int64, len(t)) for t in words]
-                if len(known) > WORDS_KEPT:
+                if len(known) > WORDS_KEPT // 4:
                     known.clear()
                 for around, index, (_, read) in zip(sums, indexes, TABLES, strict=True):
                     add_contexts(around, [read(i) for i in ids], index)
