@@ -169,7 +169,7 @@ def run(args: argparse.Namespace) -> int:
         names = ("subtype", "seed", "replace_from", "replace_to", "conflict_relation", "destination_user_id", "destination_agent_id", "query", "distractor_family", "distractor_count", "base_store_status")
         request = mu.Request(args.defect, target_memory_id=args.target_id, **{k: getattr(args, k) for k in names})
         done = mu.mutate(memories, request, transcripts, adapter)
-        sinks.write_store(done.memories, adapter, str(args.output), include_raw=True)
+        sinks.write_store(done.memories, adapter, str(args.output), include_raw=True, exported_at=files.store_envelope(spark, str(args.store))["exported_at"])
         _emit(report.render(done.manifest), args.manifest)
         return 0
     if args.command == "retrieval-audit":

@@ -6,7 +6,7 @@ of the checks. `SQL` holds the same definitions as common table expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import MEMORIES, SCOPE_DIMENSIONS
@@ -71,32 +71,48 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(POLICY)], "rule_idx int, dimension string, source_principal string, destination_principal string")
 
 
-QUERY_VECTORS, TOP_K = 50, 10
+#: Every row whose id is divisible by ASKED_EVERY is a query, against all rows, in BLOCKS parts.
+ASKED_EVERY, TOP_K, BLOCKS = 50, 10, 16
 
 
-def top_k(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(q, vec_id, rank, score): for each asked vector, which are few, its k nearest others by cosine. Each
-    partition keeps its own k per query before the shuffle."""
+def asked_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % ASKED_EVERY == 0)
+
+
+def top_k(vectors: DataFrame, asked: DataFrame, k: int, blocks: int = BLOCKS) -> DataFrame:
+    """(q, vec_id, rank, score): for each asked vector its k nearest others by cosine. Vectors and queries are
+    dealt into blocks each, and a pair of blocks is one key of the join, so neither side is broadcast and the work
+    is blocks^2 even parts; each part keeps the k best of its queries before they are merged."""
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("u"))
-    scored = v.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", (dot("u", "v") / (norm("u") * norm("v"))).alias("score"))
-    best = scored.groupBy("q", F.spark_partition_id().alias("p")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("best"))
-    merged = best.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return merged.select("q", F.posexplode("best").alias("p", "b")).select("q", F.col("b.vec_id").alias("vec_id"), (F.col("p") + 1).cast("int").alias("rank"), (-F.col("b.d")).alias("score"))
+    number, every = (lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), number("vec_id").cast("int").alias("row"), every.alias("column"))
+    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("u"), number("vec_id").cast("int").alias("column"), every.alias("row"))
+    v, q = v.withColumn("length", norm("v")), q.withColumn("q_length", norm("u"))
+    scored = v.join(q, ["row", "column"]).where(F.col("vec_id") != F.col("q")).select("q", "row", "vec_id", (dot("u", "v") / (F.col("q_length") * F.col("length"))).alias("score"))
+    # a part's own k first: one query's scores of one block of rows
+    local = Window.partitionBy("q", "row").orderBy(F.col("score").desc(), "vec_id")
+    best = scored.withColumn("n", F.row_number().over(local)).where(F.col("n") <= k).drop("n")
+    whole = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("q", "vec_id", "rank", "score")
+
+
+def expected_vectors(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, other): the next two vectors of a query's label, by id."""
+    after = Window.partitionBy("label").orderBy("vec_id")
+    nexts = vectors.select("vec_id", F.array_compact(F.array(F.lead("vec_id", 1).over(after), F.lead("vec_id", 2).over(after))).alias("e"))
+    return nexts.join(asked.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.explode("e").alias("other"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    asked = v.where(F.col("vec_id") < QUERY_VECTORS)
+    asked = asked_vectors(v)
     name = lambda c: F.concat(F.lit("vec-"), c.cast("string"))
     hits = top_k(v, asked, TOP_K).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", name(F.col("vec_id")).alias("memory_id"), "score"))).alias("h"))
-    same = v.select(F.col("vec_id").alias("other"), "label").join(F.broadcast(asked.select(F.col("vec_id").alias("q"), "label")), "label").where("other > q")
-    expected = same.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("other")), 1, 2).alias("e"))
+    expected = expected_vectors(v, asked).groupBy("q").agg(F.collect_list(name(F.col("other"))).alias("e"))
     hit = F.transform("h", lambda h: F.struct(h["memory_id"].alias("memory_id"), h["rank"].alias("rank"), h["score"].alias("score")))
     return hits.join(expected, "q").select(
-        name(F.col("q")).alias("request_id"), F.sha2(name(F.col("q")), 256).alias("query_sha256"), F.sort_array(F.transform("e", name)).alias("expected_memory_ids"), F.lit(TOP_K).alias("top_k"),
+        name(F.col("q")).alias("request_id"), F.sha2(name(F.col("q")), 256).alias("query_sha256"), F.sort_array("e").alias("expected_memory_ids"), F.lit(TOP_K).alias("top_k"),
         F.lit("cosine").alias("retriever_id"), F.lit("1").alias("retriever_version"), hit.alias("hits"), F.lit(1).cast("long").alias("retrieval_calls"), F.size("h").cast("long").alias("candidate_count"),
     )
 
@@ -153,11 +169,11 @@ SQL = {
     "vectors": "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings",
     "hits": (
         f"SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score "
-        f"FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND a.vec_id < {QUERY_VECTORS}) QUALIFY rank <= {TOP_K}"
+        f"FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND a.vec_id % {ASKED_EVERY} = 0) QUALIFY rank <= {TOP_K}"
     ),
     "expected": (
         f"SELECT q, 'vec-' || vec_id AS memory_id, 'vec-' || q AS request_id FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS k FROM vectors a JOIN vectors b "
-        f"ON a.label = b.label AND b.vec_id > a.vec_id AND a.vec_id < {QUERY_VECTORS}) WHERE k <= 2"
+        f"ON a.label = b.label AND b.vec_id > a.vec_id AND a.vec_id % {ASKED_EVERY} = 0) WHERE k <= 2"
     ),
     "cases": (
         "SELECT e.request_id, list(e.memory_id ORDER BY e.memory_id) AS expected, coalesce(list(e.memory_id ORDER BY e.memory_id) FILTER (WHERE h.vec_id IS NOT NULL), []) AS retrieved, "

@@ -13,7 +13,7 @@ from pathlib import PurePath
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
@@ -75,8 +75,8 @@ def _exploded(df: DataFrame, v: Column, keys: tuple[str, ...]) -> DataFrame:
         inner = F.when((kind(v) == "OBJECT") & at(v, key).isNotNull(), at(v, key)).otherwise(inner)
     alone = F.when(kind(inner) == "OBJECT", F.array(inner))
     many = F.when(kind(inner) == "ARRAY", F.variant_get(inner, "$", "array<variant>"))
-    rows = df.select(F.explode(F.coalesce(alone, many, fail("a source must hold a record, a list of records, or an envelope of one"))).alias("v"))
-    return rows.select(F.when(kind(F.col("v")) == "OBJECT", F.col("v")).otherwise(fail("every record must be an object")).alias("v"))
+    rows = df.select(F.posexplode(F.coalesce(alone, many, fail("a source must hold a record, a list of records, or an envelope of one"))).alias("n", "v"))
+    return rows.select("n", F.when(kind(F.col("v")) == "OBJECT", F.col("v")).otherwise(fail(F.concat(F.lit("record "), F.col("n").cast("string"), F.lit(" is malformed: it must be an object")))).alias("v"))
 
 
 def _parsed(df: DataFrame, parse: Callable[[str], Any]) -> DataFrame:
@@ -174,8 +174,8 @@ def read_export(spark: SparkSession, path: str, adapter: str) -> DataFrame:
     for key, memory_type in (("blocks", "core"), ("passages", "archival")):
         items = at(v, key)
         checked = F.when(items.isNotNull() & (kind(items) != "ARRAY"), fail(f"{key} must be a list")).otherwise(F.variant_get(items, "$", "array<variant>"))
-        rows = whole.where(kind(v) == "OBJECT").select(F.explode(checked).alias("v"))
-        parts.append(rows.select(F.when(kind(F.col("v")) == "OBJECT", F.col("v")).otherwise(fail(f"{key} holds something else than objects")).alias("v"), F.lit(memory_type).alias("memory_type")))
+        rows = whole.where(kind(v) == "OBJECT").select(F.posexplode(checked).alias("n", "v"))
+        parts.append(rows.select("n", F.when(kind(F.col("v")) == "OBJECT", F.col("v")).otherwise(fail(f"{key} holds something else than objects")).alias("v"), F.lit(memory_type).alias("memory_type")))
     rest = whole.where((kind(v) != "OBJECT") | (at(v, "blocks").isNull() & at(v, "passages").isNull()))
     others = _exploded(rest, v, ENVELOPES["letta"])
     return parts[0].unionByName(parts[1]).unionByName(others.withColumn("memory_type", F.variant_get("v", "$.memory_type", "string")))
@@ -185,43 +185,80 @@ def read_export(spark: SparkSession, path: str, adapter: str) -> DataFrame:
 
 
 def _only(v: Column, known: tuple[str, ...], what: str) -> Column:
-    keys = F.json_object_keys(F.to_json(v))
-    extra = F.array_except(keys, F.array(*map(F.lit, known)))
-    return F.when(F.size(extra) > 0, fail(F.concat(F.lit(f"{what} has unknown fields: "), F.array_join(extra, ", ")))).otherwise(v)
+    """v, an object without other fields than known."""
+    extra = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, known)))
+    wrong = F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), fail(f"{what} must be an object"))
+    unknown = F.when(F.size(extra) > 0, fail(F.concat(F.lit(f"{what} has unknown fields: "), F.array_join(extra, ", "))))
+    return F.coalesce(wrong, unknown, v)
+
+
+_KINDS = {"string": ("STRING",), "int": ("BIGINT",), "boolean": ("BOOLEAN",), "array<variant>": ("ARRAY",), "variant": ("OBJECT",), "double": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
+
+
+def strict(v: Column, key: str, type_: str, what: str, required: bool = False) -> Column:
+    """The value under a key, of exactly that type; null where it is absent or null, unless it is required."""
+    found = at(v, key)
+    absent = found.isNull() | (kind(found) == "VOID")
+    value = F.when(~kind(found).isin(*_KINDS[type_]), fail(f"{what}: '{key}' must be of type {type_.replace('variant', 'object').replace('array<object>', 'list')}")).otherwise(F.variant_get(found, "$", type_))
+    return F.when(absent, fail(f"{what} needs the field '{key}'") if required else F.lit(None)).otherwise(value)
+
+
+def strict_list(v: Column, key: str, type_: str, what: str) -> Column:
+    """The list under a key, every element of exactly that type; an empty one where it is absent."""
+    items = strict(v, key, "array<variant>", what)
+    checked = F.transform(items, lambda x: F.when(kind(x).isin(*_KINDS[type_]), F.variant_get(x, "$", type_)).otherwise(fail(f"{what}: '{key}' must hold values of type {type_}")))
+    return checked
 
 
 def _versioned(v: Column, what: str) -> Column:
     return F.when(~F.coalesce(F.variant_get(v, "$.schema_version", "string"), F.lit(SCHEMA_VERSION)).eqNullSafe(SCHEMA_VERSION), fail(f"{what}: unsupported schema_version")).otherwise(v)
 
 
+def _store(spark: SparkSession, path: str) -> DataFrame:
+    return _whole(spark, path).select(_versioned(_only(as_variant("value"), ("schema_version", "adapter", "exported_at", "memories"), "the store"), "the store").alias("v"))
+
+
+def store_envelope(spark: SparkSession, path: str) -> dict[str, str | None]:
+    """adapter and exported_at of a normalised store file; exported_at is a time with a zone, or null."""
+    row = _store(spark, path).select(strict(F.col("v"), "adapter", "string", "the store", required=True).alias("adapter"), zulu(strict(F.col("v"), "exported_at", "string", "the store")).alias("exported_at")).first()
+    if not row["adapter"].strip():
+        raise SourceError("the store's adapter must not be blank")
+    return row.asDict()
+
+
 def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """(memories, adapter) of a normalised store file; what breaks a constraint is an error."""
+    """(memories, adapter) of a normalised store file; unknown fields, values of another type and what breaks a
+    constraint are errors."""
     from .normalize import normalized_records
 
-    whole = _whole(spark, path).select(_versioned(_only(as_variant("value"), ("schema_version", "adapter", "exported_at", "memories"), "the store"), "the store").alias("v"))
-    adapter = whole.select(F.variant_get("v", "$.adapter", "string").alias("a")).first()["a"]
-    if adapter is None or not adapter.strip():
-        raise SourceError("the store's adapter must not be blank")
-    rows = whole.select(F.explode(F.variant_get("v", "$.memories", "array<variant>")).alias("v"))
+    adapter = store_envelope(spark, path)["adapter"]
+    rows = _store(spark, path).select(F.posexplode(strict(F.col("v"), "memories", "array<variant>", "the store")).alias("n", "v"))
     memories = normalized_records(rows)
     constraints.require_valid_memories(memories)
     return memories, adapter
 
 
 def load_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(transcripts, turns); a transcript may have no turns."""
+    """(transcripts, turns); a transcript may have no turns, which come in the order of their index. Unknown
+    fields and values of another type are errors."""
     v = _versioned(_only(as_variant("value"), ("schema_version", "transcripts"), "the transcript set"), "the transcript set")
-    each = _whole(spark, path).select(F.explode(F.variant_get(v, "$.transcripts", "array<variant>")).alias("v"))
-    known = each.select(F.variant_get("v", "$.id", "string").alias("transcript_id"), F.to_json(at(F.col("v"), "metadata")).alias("metadata"))
-    t = each.select(F.variant_get("v", "$.id", "string").alias("transcript_id"), F.explode(F.variant_get("v", "$.turns", "array<variant>")).alias("t"))
-    get = lambda key, type_: F.variant_get("t", f"$.{key}", type_)
+    each = _whole(spark, path).select(F.explode(strict(v, "transcripts", "array<variant>", "the transcript set")).alias("t")).select(_only(F.col("t"), ("id", "turns", "metadata"), "a transcript").alias("v"))
+    metadata = lambda c, what: F.to_json(F.coalesce(strict(F.col(c), "metadata", "variant", what), F.parse_json(F.lit("{}"))))
+    identity = strict(F.col("v"), "id", "string", "a transcript", required=True)
+    known = each.select(identity.alias("transcript_id"), metadata("v", "a transcript").alias("metadata"))
+    t = each.select(identity.alias("transcript_id"), F.posexplode(strict(F.col("v"), "turns", "array<variant>", "a transcript", required=True)).alias("place", "t"))
+    t = t.select("transcript_id", "place", _only(F.col("t"), ("index", "role", "content", "timestamp", "metadata"), "a turn").alias("t"))
+    get = lambda key, type_, **more: strict(F.col("t"), key, type_, "a turn", **more)
     turns = t.select(
-        "transcript_id", get("index", "int").alias("turn_idx"), get("role", "string").alias("role"), get("content", "string").alias("content"),
-        zulu(get("timestamp", "string")).alias("timestamp_text"), F.to_json(at(F.col("t"), "metadata")).alias("metadata"),
+        "transcript_id", get("index", "int", required=True).alias("turn_idx"), get("role", "string", required=True).alias("role"), get("content", "string", required=True).alias("content"),
+        zulu(get("timestamp", "string")).alias("timestamp_text"), metadata("t", "a turn").alias("metadata"), "place",
     )
-    constraints.require("transcripts", constraints.duplicate_ids(known, "transcript_id").select("id", F.lit("id_repeated").alias("violated")))
+    blank = known.where(is_blank(F.col("transcript_id"))).select(F.col("transcript_id").alias("id"), F.lit("id_blank").alias("violated"))
+    constraints.require("transcripts", constraints.duplicate_ids(known, "transcript_id").select("id", F.lit("id_repeated").alias("violated")).unionByName(blank))
     constraints.require("turns", constraints.turn_violations(turns))
-    return known, turns
+    before = F.lag("turn_idx").over(Window.partitionBy("transcript_id").orderBy("place"))
+    constraints.require("turns", turns.withColumn("before", before).where("turn_idx <= before").select(F.col("transcript_id").alias("id"), F.lit("not_in_order").alias("violated")))
+    return known, turns.drop("place")
 
 
 def load_policy(spark: SparkSession, path: str) -> DataFrame:

@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 from ..functions.ids import json_string
 from ..functions.text import is_blank
 from ..model import MEMORIES, REF, SCOPE_DIMENSIONS
-from .files import at, fail, kind, zulu
+from . import files
+from .files import at, kind, strict, strict_list, zulu
 
 _V = F.col
 _LOOSE_REFS = "array<struct<transcript_id:string,turn_idx:int,span:array<int>>>"
 
 
+def fail(text: str) -> Column:
+    """An error that names the record by its place in its source."""
+    return files.fail(F.concat(F.lit("record "), F.coalesce(F.col("n").cast("string"), F.lit("of unknown place")), F.lit(f" is malformed: {text}")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with their place n, null where the source has no order."""
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(None).cast("int"))
+
+
 def _v() -> Column:
     return F.col("v")
 
@@ -120,18 +131,25 @@ def file_records(rows: DataFrame) -> DataFrame:
     kept = F.map_filter(F.variant_get(_v(), "$", "map<string,variant>"), lambda key, _: ~key.isin(*_NORMALIZED))
     raw = F.to_json(F.struct(F.col("file_format"), kept.alias("source_metadata"), F.coalesce(at(_v(), "raw"), F.parse_json(F.lit("{}"))).alias("supplied_raw")))
     columns = _columns(required_text("content", "a memory"), scope(*dims), refs, status, _active(), value("supersedes", "array<string>"), value("embedding", "array<double>"), zulu(value("updated_at")), raw)
-    return _finish(rows.withColumns(columns), "file", text_of("id"))
+    return _finish(_numbered(rows).withColumns(columns), "file", text_of("id"))
+
+
+_FIELDS = ("id", "content", "created_at", "updated_at", "source_refs", "provenance_status", "scope", "active", "supersedes", "embedding", "raw")
 
 
 def normalized_records(rows: DataFrame) -> DataFrame:
-    """Records of a normalised store: every field typed strictly."""
-    strict = F.when(kind(at(_v(), "id")) != "STRING", fail("a memory's id must be a string")).otherwise(value("id"))
-    dims = [value(f"scope.{d}") for d in SCOPE_DIMENSIONS]
+    """Records of a normalised store: every field of exactly its type, and no others."""
+    rows = rows.withColumn("v", files._only(_v(), _FIELDS, "a memory"))
+    get = lambda key, type_, **more: strict(_v(), key, type_, "a memory", **more)
+    inner = F.when(get("scope", "variant").isNotNull(), files._only(at(_v(), "scope"), SCOPE_DIMENSIONS, "a scope"))
+    dims = [strict(inner, d, "string", "a scope") for d in SCOPE_DIMENSIONS]
+    refs = F.transform(get("source_refs", "array<variant>"), lambda r: files._only(r, ("transcript_id", "turn_idx", "span"), "a source reference"))
+    loose = F.transform(refs, lambda r: F.struct(strict(r, "transcript_id", "string", "a source reference", required=True).alias("transcript_id"), strict(r, "turn_idx", "int", "a source reference").alias("turn_idx"), strict_list(r, "span", "int", "a source reference").alias("span")))
     columns = _columns(
-        required_text("content", "a memory"), scope(*dims), source_refs(), F.coalesce(value("provenance_status"), F.lit("unavailable")), _active(), value("supersedes", "array<string>"), value("embedding", "array<double>"),
-        zulu(value("updated_at")), F.to_json(at(_v(), "raw")),
-    )
-    return _finish(rows.withColumns(columns), "file", strict)
+        get("content", "string", required=True), scope(*dims), F.coalesce(_refs(loose), F.array().cast(f"array<{REF}>")), F.coalesce(get("provenance_status", "string"), F.lit("unavailable")), get("active", "boolean"),
+        strict_list(_v(), "supersedes", "string", "a memory"), strict_list(_v(), "embedding", "double", "a memory"), zulu(get("updated_at", "string")), F.to_json(F.coalesce(get("raw", "variant"), F.parse_json(F.lit("{}")))),
+    ) | {"created_at_text": zulu(get("created_at", "string"))}
+    return _finish(_numbered(rows).withColumns(columns), "file", get("id", "string", required=True))
 
 
 def mem0_records(rows: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
@@ -141,7 +159,7 @@ def mem0_records(rows: DataFrame, filters: dict[str, str] | None = None) -> Data
     refs = source_refs()
     where = scope(text_of("user_id"), text_of("agent_id"), F.coalesce(text_of("run_id"), text_of("session_id")), fallback)
     columns = _columns(required_text("memory", "a mem0 record"), where, refs, status_by_refs(refs), _active(), value("supersedes", "array<string>"), value("embedding", "array<double>"), zulu(value("updated_at")), F.to_json(_v()))
-    return _finish(rows.withColumns(columns), "mem0", text_of("id"))
+    return _finish(_numbered(rows).withColumns(columns), "mem0", text_of("id"))
 
 
 def graphiti_records(rows: DataFrame, scope_: dict[str, str] | None = None, group_scope: str | None = None, episodes: dict[str, str | dict] | None = None) -> DataFrame:
@@ -169,7 +187,7 @@ def graphiti_records(rows: DataFrame, scope_: dict[str, str] | None = None, grou
     columns = _columns(
         required_text("fact", "a graph edge"), scope(*parts.values(), given), refs, F.when(F.size(refs) > 0, "declared").otherwise("unavailable"), state, F.array().cast("array<string>"), value("fact_embedding", "array<double>"), none, F.to_json(_v())
     )
-    return _finish(rows.withColumns(columns), "graphiti", text_of("uuid"))
+    return _finish(_numbered(rows).withColumns(columns), "graphiti", text_of("uuid"))
 
 
 def letta_records(rows: DataFrame, scope_: dict[str, str] | None = None) -> DataFrame:
@@ -181,4 +199,4 @@ def letta_records(rows: DataFrame, scope_: dict[str, str] | None = None) -> Data
     active = F.when(supplied("active"), _active()).when(core, F.lit(True)).otherwise(~F.coalesce(value("is_deleted", "boolean"), F.lit(False)))
     none = F.lit(None).cast("string")
     columns = _columns(content, scope(none, none, none, scope_), refs, status_by_refs(refs), active, F.array().cast("array<string>"), F.when(~core, value("embedding", "array<double>")), zulu(value("updated_at")), F.to_json(_v()))
-    return _finish(rows.withColumns(columns), "letta", text_of("id"))
+    return _finish(_numbered(rows).withColumns(columns), "letta", text_of("id"))
