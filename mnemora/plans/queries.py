@@ -6,6 +6,7 @@ Results are flat: arrays are joined to text, so that values compare whatever the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ..model import CAPABILITIES, CAPABILITY_FACETS, RULES_BY_CHECKER
 from ..operators import checks as ck
 from ..operators import evidence as ev
 from ..operators import mutations as mu
+from ..sources import normalize
 from . import report, views
 from .views import with_views
 
@@ -441,12 +443,22 @@ def k8_duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_ids(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2("text", 256).alias("id")))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS violated WHERE false")
+@query(
+    "SELECT id, 'supersedes_itself' AS violated FROM base WHERE doc_id % 7 = 0 UNION ALL SELECT id, 'content_blank' FROM base WHERE doc_id % 11 = 0 UNION ALL SELECT id, 'embedding_invalid' FROM base WHERE doc_id % 13 = 0 "
+    "UNION ALL SELECT id, 'provenance_mismatch' FROM base WHERE doc_id % 13 = 0 UNION ALL SELECT id, 'scope_blank' FROM base WHERE doc_id % 17 = 0 UNION ALL SELECT id, 'supersedes_repeated' FROM base WHERE doc_id % 19 = 0 AND doc_id % 7 <> 0",
+    "base",
+)
 def k1_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 to K7: the views break no constraint of a memory."""
+    """K1 to K7: records made to break constraints of a memory, and which they break."""
     from ..operators.constraints import memory_violations
 
-    return memory_violations(_memories(spark, sf_dir)).select("id", "violated")
+    d = F.substring("id", 5, 8).cast("long")
+    broken = _memories(spark, sf_dir).where(F.length("id") == 12).withColumns({
+        "supersedes": F.when(d % 7 == 0, F.array("id")).when(d % 19 == 0, F.array(F.lit("x"), F.lit("x"))).otherwise(F.array().cast("array<string>")),
+        "content": F.when(d % 11 == 0, " \t\u3000").otherwise(F.concat(F.lit("."), F.col("content"))), "embedding": F.when(d % 13 == 0, F.array(F.lit(float("nan")))),
+        "provenance_status": F.when(d % 13 == 0, "declared").otherwise(F.col("provenance_status")), "scope": F.col("scope").withField("user_id", F.when(d % 17 == 0, " ").otherwise("u")),
+    })
+    return memory_violations(broken).select("id", "violated")
 
 
 @query("SELECT id, replace(content, 'the', 'THE') AS content FROM memories WHERE (length(content) - length(replace(content, 'the', ''))) / 3 = 1", "memories")
@@ -469,55 +481,69 @@ def h10_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memories(spark, sf_dir).select("id", json_of(active=F.col("active"), id=F.col("id"), scope=scope).alias("canonical"))
 
 
-@query("SELECT id, trim(content) = '' AS blank FROM memories", "memories")
+@query("SELECT id, doc_id % 3 <> 0 AS blank FROM memories", "memories")
 def h14_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memories(spark, sf_dir).select("id", is_blank(F.col("content")).alias("blank"))
+    """White space of any kind, and none at all, is blank."""
+    d = F.substring("id", 5, 8).cast("long")
+    content = F.when(d % 3 == 1, "").when(d % 3 == 2, " \t\n\u00a0\u2003\u3000\x1c").otherwise(F.concat(F.lit(" "), "content", F.lit("x\u2003")))
+    return _memories(spark, sf_dir).select("id", is_blank(content).alias("blank"))
 
 
-# --- mutations, then the check that should see them -----------------------------------------------
+# --- mutations of the whole store, then the check that should see them -----------------------------
 
 
-_CLAIM = "User lives in Lyon."
+_CLAIM, _TARGET = "User lives in Lyon.", "doc-00000004"
 
 
-def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One active record of a known scope and content."""
-    user = F.col("scope").withField("user_id", F.lit("user-en"))
-    none = F.array().cast("array<string>")
-    return _memories(spark, sf_dir).where("id = 'doc-00000001'").withColumns({"content": F.lit(_CLAIM), "active": F.lit(True), "supersedes": none, "scope": user})
+def _adapted(spark: SparkSession, sf_dir: str, **columns: F.Column) -> DataFrame:
+    """The whole store, in which the target is active and says where a user lives."""
+    here = F.col("id") == _TARGET
+    changed = {"content": F.lit(_CLAIM), "active": F.lit(True), "scope": F.col("scope").withField("user_id", F.lit("user-en"))} | columns
+    return _memories(spark, sf_dir).withColumns({k: F.when(here, c).otherwise(F.col(k)) for k, c in changed.items()})
 
 
-def _with_ref(memories: DataFrame, transcript: str) -> DataFrame:
+def _reference(transcript: str) -> dict[str, F.Column]:
     ref = F.struct(F.lit(transcript).alias("transcript_id"), F.lit(0).alias("turn_idx"), F.lit(None).cast("struct<start:int,end:int>").alias("span"))
-    return memories.withColumns({"source_refs": F.array(ref), "provenance_status": F.lit("declared")})
+    return {"source_refs": F.array(ref), "provenance_status": F.lit("declared")}
+
+
+views.SQL["adapted"] = f"SELECT doc_id, id, CASE WHEN id = '{_TARGET}' THEN '{_CLAIM}' ELSE content END AS content, CASE WHEN id = '{_TARGET}' THEN 'user-en' ELSE user_id END AS user_id FROM memories"
+views._NEEDS["adapted"] = ["memories"]
 
 
-@query("SELECT 'factual_substitution' AS subtype, 'contradiction' AS relation")
+@query(f"SELECT relation, count(*) AS memories FROM (SELECT relation FROM ({_JUDGED}) WHERE id <> '{_TARGET}' UNION ALL SELECT 'contradiction') GROUP BY relation", "premises")
 def m1_substitute_then_c5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    transcripts = spark.createDataFrame([("t-1",)], "transcript_id string")
-    turns = spark.createDataFrame([("t-1", 0, "user", "Lyon is where I live.")], "transcript_id string, turn_idx int, role string, content string")
-    base = _with_ref(_one(spark, sf_dir), "t-1").withColumn("content", F.lit("Lyon"))
-    done = mu.mutate(base, mu.Request("unsupported_claim", replace_from="Lyon", replace_to="Oslo"), (transcripts, turns))
+    transcripts, turns = _transcripts(spark, sf_dir)
+    transcripts = transcripts.unionByName(spark.createDataFrame([("t-1",)], "transcript_id string"))
+    turns = turns.unionByName(spark.createDataFrame([("t-1", 0, "user", "Lyon is where I live.")], "transcript_id string, turn_idx int, role string, content string"))
+    base = _adapted(spark, sf_dir, content=F.lit("Lyon"), **_reference("t-1"))
+    done = mu.mutate(base, mu.Request("unsupported_claim", target_memory_id=_TARGET, replace_from="Lyon", replace_to="Oslo"), (transcripts, turns))
     found = ck.judged(done.memories, transcripts, turns, LexicalJudge())
-    return found.select(F.lit(done.manifest["subtype"]).alias("subtype"), F.col("judgment.relation").alias("relation"))
+    return found.groupBy(F.col("judgment.relation").alias("relation")).agg(F.count(F.lit(1)).alias("memories"))
 
 
-@query("SELECT 2::BIGINT AS memories, 2::BIGINT AS contents, 1::BIGINT AS users")
+@query("SELECT count(*) + 1 AS memories, count(DISTINCT content) + 1 AS contents, count(DISTINCT user_id) AS users FROM adapted", "adapted")
 def m2_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("internal_contradiction", replace_from="Lyon", replace_to="Oslo", conflict_relation="exclusive_value"))
+    request = mu.Request("internal_contradiction", target_memory_id=_TARGET, replace_from="Lyon", replace_to="Oslo", conflict_relation="exclusive_value")
+    done = mu.mutate(_adapted(spark, sf_dir), request)
     return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_distinct("content").alias("contents"), F.count_distinct("scope.user_id").alias("users"))
 
 
-@query("SELECT 'doc-00000001' AS memory_ids, 'active_superseded' AS kinds")
+@query(
+    f"SELECT array_to_string(ids, ',') AS memory_ids, array_to_string(list_transform(items, lambda x: x.kind), ',') AS kinds FROM ({_C3_ITEMS}) WHERE NOT list_contains(ids, '{_TARGET}') "
+    f"UNION ALL SELECT '{_TARGET}', 'active_superseded,active_superseded'",
+    "resolved", "members",
+)
 def m3_stale_then_c3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("stale_active", seed=42, replace_from="Lyon", replace_to="Oslo"))
+    """The target, which the record before it supersedes already, gets a second superseder."""
+    done = mu.mutate(_adapted(spark, sf_dir), mu.Request("stale_active", target_memory_id=_TARGET, replace_from="Lyon", replace_to="Oslo"))
     return _flat(ck.stale_active(done.memories).findings).select("memory_ids", "kinds")
 
 
 def _broken(subtype: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         transcripts, turns = _transcripts(spark, sf_dir)
-        done = mu.mutate(_with_ref(_one(spark, sf_dir), "conv-0"), mu.Request("orphaned_provenance", subtype, seed=42), (transcripts, turns))
+        done = mu.mutate(_adapted(spark, sf_dir, **_reference("conv-0")), mu.Request("orphaned_provenance", subtype, target_memory_id=_TARGET), (transcripts, turns))
         return _flat(ck.orphaned_provenance(done.memories, transcripts, turns).findings).select("memory_ids", "kinds")
 
     run.__name__ = f"m4_{subtype}_then_c1"
@@ -525,29 +551,177 @@ def _broken(subtype: str) -> Query:
 
 
 for _subtype in mu.SUBTYPES["orphaned_provenance"]:
-    query(f"SELECT 'doc-00000001' AS memory_ids, '{_subtype}' AS kinds")(_broken(_subtype))
+    query(
+        f"SELECT ids[1] AS memory_ids, array_to_string(list_transform(items, lambda x: x.kind), ',') AS kinds FROM ({_C1_ITEMS}) WHERE ids[1] <> '{_TARGET}' UNION ALL SELECT '{_TARGET}', '{_subtype}'", "classified"
+    )(_broken(_subtype))
 
 
-@query("SELECT 4::BIGINT AS memories, 1::BIGINT AS users")
+@query("SELECT count(*) + 3 AS memories, count(DISTINCT user_id) AS users FROM adapted", "adapted")
 def m5_crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("retrieval_shadowing", query="Which editor?", distractor_family="editor"))
+    done = mu.mutate(_adapted(spark, sf_dir), mu.Request("retrieval_shadowing", target_memory_id=_TARGET, query="Which editor?", distractor_family="editor"))
     return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_distinct("scope.user_id").alias("users"))
 
 
-@query("SELECT 2::BIGINT AS memories, 1::BIGINT AS injected")
+@query("SELECT count(*) + 1 AS memories, count(*) FILTER (WHERE contains(content, 'haiku')) + 1 AS injected FROM memories", "memories")
 def m6_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("injected_instruction", "format_override"))
+    done = mu.mutate(_memories(spark, sf_dir), mu.Request("injected_instruction", "format_override", seed=42))
     return done.memories.agg(F.count(F.lit(1)).alias("memories"), F.count_if(F.contains("content", F.lit("haiku"))).alias("injected"))
 
 
-@query("SELECT 'prohibited_scope_replica' AS kinds, 1::BIGINT AS findings")
+@query(f"SELECT count(DISTINCT destination_id) + 1 AS findings FROM ({_REPLICAS}) WHERE source_id <> '{_TARGET}' AND destination_id <> '{_TARGET}'", *_C4_VIEWS)
 def m7_scope_then_c4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("privacy_scope_violation", seed=42, destination_user_id="user-de"))
-    found = _flat(ck.privacy_scope_violation(done.memories, views.rules(spark)).findings)
-    return found.groupBy("kinds").agg(F.count(F.lit(1)).alias("findings"))
+    done = mu.mutate(_adapted(spark, sf_dir), mu.Request("privacy_scope_violation", target_memory_id=_TARGET, destination_user_id="user-de"))
+    return ck.privacy_scope_violation(done.memories, views.rules(spark)).findings.agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query("SELECT 'exact_duplicate' AS kinds, 1::BIGINT AS findings")
+@query(
+    f"SELECT count(*) + CASE WHEN count(*) FILTER (WHERE list_contains(ids, '{_TARGET}')) = 0 THEN 1 ELSE 0 END AS findings, "
+    f"(sum(n) + 1 + CASE WHEN count(*) FILTER (WHERE list_contains(ids, '{_TARGET}')) = 0 THEN 1 ELSE 0 END)::BIGINT AS members FROM ({_C2_GROUPS})",
+    "folded",
+)
 def m8_duplicate_then_c2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mu.mutate(_one(spark, sf_dir), mu.Request("redundancy_bloat", seed=42))
-    return _flat(ck.redundancy_bloat(done.memories).findings).groupBy("kinds").agg(F.count(F.lit(1)).alias("findings"))
+    done = mu.mutate(_memories(spark, sf_dir), mu.Request("redundancy_bloat", target_memory_id=_TARGET))
+    return ck.redundancy_bloat(done.memories).findings.agg(F.count(F.lit(1)).alias("findings"), F.sum(F.size("memory_ids")).cast("long").alias("members"))
+
+
+_SEEDS = (0, 1, 42)
+
+
+def _seeded_sql() -> str:
+    """The place that a seeded draw below n names, from the generator's first numbers: it takes as many leading bits as n
+    has until they are below n."""
+    import random
+
+    draws = ", ".join(f"({seed}, {i}, {x})" for seed in _SEEDS for r in [random.Random(seed)] for i, x in enumerate([r.getrandbits(32) for _ in range(40)]))
+    return f"""SELECT p.seed, e.id FROM (SELECT seed, arg_min(x >> (32 - k), i) AS place FROM (VALUES {draws}) d(seed, i, x)
+CROSS JOIN (SELECT count(*) AS n, length(bin(count(*))) AS k FROM memories WHERE active) WHERE (x >> (32 - k)) < n GROUP BY seed) p
+JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM memories WHERE active) e ON e.place = p.place"""
+
+
+@query(_seeded_sql(), "memories")
+def t7_seeded_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all active memories a seed draws."""
+    memories = _memories(spark, sf_dir)
+    chosen = [(seed, mu.choose(memories, mu.Request("stale_active", seed=seed), F.col("active"), "an active memory")["id"]) for seed in _SEEDS]
+    return spark.createDataFrame(chosen, "seed int, id string")
+
+
+# --- records of other stores, as memories ---------------------------------------------------------
+
+
+def _records(spark: SparkSession, sf_dir: str, **fields: F.Column) -> DataFrame:
+    """(v): a record per document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("d", F.col("doc_id"))
+    text = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "true"})
+    return docs.select(F.parse_json(text).alias("v"), F.lit("json").alias("file_format"), *([F.when(F.col("d") % 2 == 0, "core").otherwise("archival").alias("memory_type")]))
+
+
+def _states(memories: DataFrame) -> DataFrame:
+    flat = [F.col(f"scope.{d}").alias(d) for d in views.DIMENSIONS]
+    refs = F.array_join(F.transform("source_refs", lambda r: F.concat_ws(":", r["transcript_id"], F.coalesce(r["turn_idx"].cast("string"), F.lit("-")))), ",")
+    return memories.select("id", F.sha2("content", 256).alias("content_sha256"), *flat, "provenance_status", "active", refs.alias("refs"), "created_at_text")
+
+
+@query(
+    "SELECT 'r' || doc_id AS id, sha256(text) AS content_sha256, CASE WHEN doc_id % 3 = 0 THEN 'inner' WHEN doc_id % 3 = 1 THEN 'u' || doc_id END AS user_id, NULL::VARCHAR AS agent_id, 's' AS session_id, "
+    "CASE WHEN doc_id % 4 = 0 THEN 'declared' WHEN doc_id % 4 = 1 THEN 'known_absent' ELSE 'unavailable' END AS provenance_status, CASE WHEN doc_id % 5 = 0 THEN true WHEN doc_id % 5 = 1 THEN false END AS active, "
+    "CASE WHEN doc_id % 4 = 0 THEN 't' || doc_id || ':' || doc_id % 7 ELSE '' END AS refs, '2024-03-01T10:00:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || 'Z' AS created_at_text FROM documents WHERE text <> ''"
+)
+def n1_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of files; a scope object wins by key, an empty list of references says that there are none."""
+    d = F.col("doc_id")
+    ref = F.array(F.struct(F.concat(F.lit("t"), d.cast("string")).alias("transcript_id"), (d % 7).alias("turn_idx")))
+    scope = F.when(d % 3 == 0, F.struct(F.lit("inner").alias("user_id")))
+    rows = _records(
+        spark, sf_dir, id=F.concat(F.lit("r"), d.cast("string")), content=F.col("text"), scope=scope, user_id=F.when(d % 3 != 2, F.concat(F.lit("u"), d.cast("string"))), session_id=F.lit("s"),
+        source_refs=F.when(d % 4 == 0, ref).when(d % 4 == 1, F.array().cast("array<struct<transcript_id:string,turn_idx:bigint>>")), active=F.when(d % 5 < 2, d % 5 == 0),
+        created_at=F.concat(F.lit("2024-03-01 10:00:"), F.lpad((d % 60).cast("string"), 2, "0"), F.lit("+00:00")),
+    )
+    return _states(normalize.file_records(rows)).join(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''").select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("id")), "id")
+
+
+@query(
+    "SELECT 'm' || doc_id AS id, sha256(text) AS content_sha256, CASE WHEN doc_id % 2 = 0 THEN 'u' || doc_id ELSE 'asked' END AS user_id, CASE WHEN doc_id % 3 = 0 THEN 'True' END AS agent_id, "
+    "CASE WHEN doc_id % 4 = 0 THEN 'run' WHEN doc_id % 4 = 1 THEN 'session' ELSE 'run-asked' END AS session_id, 'unavailable' AS provenance_status, NULL::BOOLEAN AS active, '' AS refs, NULL::VARCHAR AS created_at_text FROM documents"
+)
+def n2_mem0_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, else session_id, else the query's own filters."""
+    d = F.col("doc_id")
+    rows = _records(
+        spark, sf_dir, id=F.concat(F.lit("m"), d.cast("string")), memory=F.col("text"), user_id=F.when(d % 2 == 0, F.concat(F.lit("u"), d.cast("string"))), agent_id=F.when(d % 3 == 0, F.lit(True)),
+        run_id=F.when(d % 4 == 0, F.lit("run")), session_id=F.when(d % 4 < 2, F.lit("session")),
+    )
+    return _states(normalize.mem0_records(rows, {"user_id": "asked", "run_id": "run-asked"}))
+
+
+@query(
+    "SELECT 'g' || doc_id AS id, sha256(text) AS content_sha256, 'group-' || lang AS user_id, 'given' AS agent_id, NULL::VARCHAR AS session_id, CASE WHEN doc_id % 4 = 0 THEN 'declared' ELSE 'unavailable' END AS provenance_status, "
+    "CASE WHEN doc_id % 5 = 0 THEN false END AS active, CASE WHEN doc_id % 4 = 0 THEN 't-a:-,t-b:3' ELSE '' END AS refs, NULL::VARCHAR AS created_at_text FROM documents"
+)
+def n3_graphiti_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group as a scope, episodes by the caller's map, a state only where a time says so."""
+    d = F.col("doc_id")
+    episodes = F.when(d % 4 == 0, F.array(*map(F.lit, ("e1", "unknown", "e2")))).when(d % 4 == 1, F.array(F.lit("unknown")))
+    rows = _records(
+        spark, sf_dir, uuid=F.concat(F.lit("g"), d.cast("string")), fact=F.col("text"), group_id=F.concat(F.lit("group-"), F.col("lang")), episodes=episodes, invalid_at=F.when(d % 5 == 0, F.lit("2024-01-01T00:00:00Z"))
+    )
+    return _states(normalize.graphiti_records(rows, {"agent_id": "given"}, "user_id", {"e1": "t-a", "e2": {"transcript_id": "t-b", "turn_idx": 3}}))
+
+
+@query(
+    "SELECT 'l' || doc_id AS id, sha256(text) AS content_sha256, NULL::VARCHAR AS user_id, 'agent' AS agent_id, NULL::VARCHAR AS session_id, 'unavailable' AS provenance_status, "
+    "CASE WHEN doc_id % 2 = 0 THEN true ELSE doc_id % 3 <> 0 END AS active, '' AS refs, NULL::VARCHAR AS created_at_text FROM documents"
+)
+def n4_letta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core blocks are active, archival passages unless they are deleted."""
+    d = F.col("doc_id")
+    rows = _records(spark, sf_dir, id=F.concat(F.lit("l"), d.cast("string")), value=F.when(d % 2 == 0, F.col("text")), text=F.when(d % 2 == 1, F.col("text")), is_deleted=F.when(d % 2 == 1, d % 3 == 0))
+    return _states(normalize.letta_records(rows, {"agent_id": "agent"}))
+
+
+@query(
+    "SELECT doc_id, 'file:' || substr(sha256('{\"adapter\":\"file\",\"content\":\"' || sha256(text) || '\",\"created_at\":\"2024-02-29T' || lpad((doc_id % 20 + 2)::VARCHAR, 2, '0') || ':30:00Z\",\"scope\":{\"agent_id\":null,\"session_id\":null,\"user_id\":\"' || lang || "
+    "'\"},\"source_refs\":[{\"span\":null,\"transcript_id\":\"a\",\"turn_idx\":1},{\"span\":null,\"transcript_id\":\"b\",\"turn_idx\":null}]}'), 1, 24) AS id FROM documents"
+)
+def h8_generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from content, instant in UTC, scope and the set of references, whatever their order."""
+    d = F.col("doc_id")
+    ref = lambda t, n: F.struct(F.lit(t).alias("transcript_id"), F.lit(n).cast("int").alias("turn_idx"))
+    hour = F.lpad((d % 20).cast("string"), 2, "0")
+    rows = _records(
+        spark, sf_dir, content=F.sha2("text", 256), user_id=F.col("lang"), created_at=F.concat(F.lit("2024-02-29T"), hour, F.lit(":30:00-02:00")), source_refs=F.array(ref("b", None), ref("a", 1), ref("b", None)), doc=d
+    )
+    made = normalize.file_records(rows)
+    return made.select(F.get_json_object("raw", "$.source_metadata.doc").cast("long").alias("doc_id"), "id")
+
+
+# --- gates, skips and the whole report ------------------------------------------------------------
+
+
+@query("SELECT 'info' AS threshold, count(*) > 0 AS reached FROM classified WHERE " + _ISSUE_KINDS + f" UNION ALL SELECT 'warning', (SELECT count(*) FROM ({_C2_GROUPS})) + (SELECT count(*) FROM classified WHERE {_ISSUE_KINDS}) > 0 UNION ALL SELECT 'error', (SELECT count(*) FROM classified WHERE {_ISSUE_KINDS}) > 0", "classified", "folded")
+def f13_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """which thresholds a check of duplicates (warning) and one of provenance (error) reach."""
+    memories = _memories(spark, sf_dir)
+    results = [ck.redundancy_bloat(memories), ck.orphaned_provenance(memories, *_transcripts(spark, sf_dir))]
+    return spark.createDataFrame([(s, report.gate(results, s)) for s in ("info", "warning", "error")], "threshold string, reached boolean")
+
+
+@query("SELECT * FROM (VALUES ('orphaned_provenance', 'missing_transcripts'), ('privacy_scope_violation', 'missing_scope_policy'), ('unsupported_claim', 'missing_semantic_configuration,missing_transcripts')) t(checker_id, reasons)")
+def f14_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks without their inputs are skipped, and say why."""
+    found = report.audit(_memories(spark, sf_dir))
+    return spark.createDataFrame([(s["checker_id"], ",".join(sorted(s["reasons"]))) for s in found.skipped], "checker_id string, reasons string")
+
+
+_O10_RULES = [(c, RULES_BY_CHECKER[c].rule_id) for c in ("orphaned_provenance", "redundancy_bloat")]
+
+
+@query(
+    f"SELECT '{_O10_RULES[0][1]}' AS rule, 0 AS rule_index, count(DISTINCT id) AS results FROM classified WHERE {_ISSUE_KINDS} UNION ALL SELECT '{_O10_RULES[1][1]}', 1, count(*) FROM ({_C2_GROUPS})", "classified", "folded"
+)
+def o10_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two checks in one run, by the rule that they name and its place."""
+    memories = _memories(spark, sf_dir)
+    found = [ck.orphaned_provenance(memories, *_transcripts(spark, sf_dir)).findings, ck.redundancy_bloat(memories).findings]
+    rows = reduce(DataFrame.unionByName, [report.sarif_results(f, k) for k, f in enumerate(found)])
+    return rows.groupBy(F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.ruleIndex").cast("int").alias("rule_index")).agg(F.count(F.lit(1)).alias("results"))
