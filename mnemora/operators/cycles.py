@@ -1,4 +1,13 @@
-"""Cyclic components of the supersession graph."""
+"""Cyclic components of the supersession graph.
+
+Links that no cycle can use are trimmed. What is left goes to one task where it is small (a checked number
+of links), as linear time beats any number of jobs. A larger core is first shrunk over the cluster:
+in each round ends of chains are trimmed and a third of the links' inner nodes, those with one link in and one
+out and a smaller hash than both neighbours, are taken out, their two links becoming one. So version chains
+and rings of any length go in a number of rounds that grows with the logarithm of their length; a ring ends
+as a node with a link to itself. When rounds stop paying, the rest is coloured. Nodes taken out come back in
+reverse: one belongs to a component if both its neighbours are in it.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Links that one task takes to finish; more are coloured in rounds over the cluster.
+#: Links that one task takes to finish; more are shrunk, and coloured, in rounds over the cluster.
 ONE_TASK_LINKS = 1_000_000
 TRIMS = 2
+#: Shrinking goes on while a round leaves at most this share of the links.
+SHRINKS = 0.9
 
 
 def strong_components(links: list[tuple[str, str]]) -> list[list[str]]:
@@ -82,9 +93,9 @@ def _spread(links: DataFrame, labels: DataFrame, within: bool) -> DataFrame:
         labels = after.drop("moved")
 
 
-def _in_rounds(links: DataFrame) -> DataFrame:
-    """Colour every node by the smallest node that reaches it; the nodes of a colour that reach its
-    smallest node are its component. They leave, and the rest starts anew."""
+def _coloured(links: DataFrame) -> DataFrame:
+    """(id, cycle), in rounds: colour every node by the smallest node that reaches it; the nodes of a colour that
+    reach its smallest node are its component. They leave, and the rest, trimmed, starts anew."""
     found = None
     while not links.isEmpty():
         nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
@@ -94,16 +105,64 @@ def _in_rounds(links: DataFrame) -> DataFrame:
         part = marked.where("label = colour").select("id", F.col("colour").alias("cycle")).checkpoint()
         found = part if found is None else found.unionByName(part)
         gone = part.select("id")
-        links = links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst").checkpoint()
-    sizes = found.groupBy("cycle").count().where("count > 1").select("cycle")
-    return found.join(sizes, "cycle", "left_semi").select("id", "cycle")
+        rest = links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+        links = _trimmed(rest).checkpoint()
+    return found
+
+
+def _inner(links: DataFrame, turn: int) -> DataFrame:
+    """(id, before, after) of nodes with one link in and one out whose hash, another in each turn, is smaller than that
+    of both neighbours; no two of them are neighbours."""
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("before")).where("n = 1").drop("n")
+    onto = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("after")).where("n = 1").drop("n")
+    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
+    return into.join(onto, "id").where((rank("id") < rank("before")) & (rank("id") < rank("after")))
+
+
+def _shrunk(links: DataFrame, enough: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Smaller links with the same cycles, the nodes taken out by round, and nodes whose ring shrank to themselves."""
+    taken, rings, turn, n = [], [], 0, links.count()
+    while n > enough:
+        out = _inner(links, turn).checkpoint()
+        gone = out.select(F.col("id").alias("src"))
+        kept = links.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        joined = out.select(F.col("before").alias("src"), F.col("after").alias("dst"))
+        rings.append(joined.where("src = dst").select(F.col("src").alias("id")).distinct())
+        links = _trimmed(kept.unionByName(joined.where("src <> dst")).distinct()).checkpoint()
+        taken.append(out)
+        turn, before, n = turn + 1, n, links.count()
+        if n > SHRINKS * before:
+            break
+    return links, taken, rings
+
+
+def _in_rounds(links: DataFrame, one_task_links: int) -> DataFrame:
+    links, taken, rings = _shrunk(links, one_task_links)
+    few = links.limit(one_task_links + 1).count() <= one_task_links
+    found = _in_one_task(links) if few else _coloured(links)
+    labels = found if found is not None else links.select(F.col("src").alias("id"), F.col("src").alias("cycle")).where("false")
+    if not few:
+        sizes = labels.groupBy("cycle").count().where("count > 1").select("cycle")
+        labels = labels.join(sizes, "cycle", "left_semi").select("id", "cycle")
+    labels = labels.checkpoint()
+    for out, ring in zip(reversed(taken), reversed(rings), strict=True):
+        # a ring that shrank to a node is a component of its own, unless the node is in one
+        labels = labels.unionByName(ring.join(labels, "id", "left_anti").select("id", F.col("id").alias("cycle")))
+        before, after = (labels.select(F.col("id").alias(c), F.col("cycle").alias(f"{c}_cycle")) for c in ("before", "after"))
+        back = out.join(before, "before").join(after, "after").where("before_cycle = after_cycle").select("id", F.col("before_cycle").alias("cycle"))
+        labels = labels.unionByName(back).checkpoint()
+    least = labels.groupBy("cycle").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return labels.join(least, "cycle").select("id", F.col("least").alias("cycle"))
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
+    """A checkpoint folder: the one that the cluster names, or one of our own where driver and executors are one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="mnemora-checkpoint-")
@@ -112,11 +171,12 @@ def ensure_checkpoints(df: DataFrame) -> None:
 
 def supersession_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, cycle) for each member of a component of more than one node; cycle is its smallest member.
-    links: (src, dst), superseder and superseded, both existing and different."""
+    links: (src, dst), superseder and superseded, both existing and different. Both ways of finishing, in one task or in
+    rounds, give the same rows."""
     ensure_checkpoints(links)
     core = links.select("src", "dst").distinct()
     for _ in range(TRIMS):
         core = _trimmed(core)
     core = core.checkpoint()
     few = core.limit(one_task_links + 1).count() <= one_task_links
-    return _in_one_task(core) if few else _in_rounds(core)
+    return _in_one_task(core) if few else _in_rounds(core, one_task_links)

@@ -293,3 +293,19 @@ def test_custom_check(make):
             report.register_check(bad, shouting)
     with pytest.raises(report.InputError):
         report.run_check("odd", report.Inputs(make([memory("a")])))
+
+
+def test_long_chains_and_rings_in_rounds(spark):
+    """A chain of 1,000 links, a ring of 1,000 nodes, 20 small rings, rings that share nodes, and chains between them."""
+    import time
+
+    from mnemora.operators import cycles
+
+    links = [(f"c{i}", f"c{i + 1}") for i in range(1000)] + [(f"r{i:04}", f"r{(i + 1) % 1000:04}") for i in range(1000)]
+    links += [(f"s{k:02}-{i}", f"s{k:02}-{(i + 1) % (2 + k % 4)}") for k in range(20) for i in range(2 + k % 4)]
+    links += [("x0", "x1"), ("x1", "x2"), ("x2", "x0"), ("x2", "y1"), ("y1", "y2"), ("y2", "x2"), ("r0007", "s03-0"), ("c1000", "r0500"), ("x1", "c0"), ("x0", "x2")]
+    want = {m: g[0] for g in cycles.strong_components(links) for m in g}
+    df = spark.createDataFrame(links, "src string, dst string")
+    began = time.time()
+    got = {r["id"]: r["cycle"] for r in cycles.supersession_cycles(df, one_task_links=1).collect()}
+    assert got == want and len(got) > 1050 and time.time() - began < 60
