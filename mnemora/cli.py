@@ -140,7 +140,7 @@ def _load(spark: SparkSession, args: argparse.Namespace) -> tuple[report.Inputs,
     memories, adapter = files.load_store(spark, str(args.store))
     transcripts = files.load_transcripts(spark, str(args.transcripts)) if args.transcripts else None
     rules = files.load_policy(spark, str(args.scope_policy)) if args.scope_policy else None
-    judge = ModelJudge(semantic[0], f"hf-nli:{semantic[0]}", semantic[1]) if semantic else None  # loads nothing here
+    judge = ModelJudge(semantic[0], f"hf-nli:{semantic[0]}", semantic[1], revision=semantic[1]) if semantic else None  # loads nothing here
     return report.Inputs(memories, transcripts, rules, judge), adapter
 
 

@@ -15,6 +15,18 @@ RELATIONS = ("entailment", "neutral", "contradiction")
 JUDGMENT = "struct<status:string,relation:string,score:double,model_calls:bigint,input_tokens:bigint,output_tokens:bigint>"
 
 
+class JudgeError(RuntimeError):
+    """A judge that cannot work at all: the check stops with this error, whose text holds no memory's content."""
+
+
+class DependencyError(JudgeError):
+    """Libraries that the judge needs are missing."""
+
+
+class ModelConfigError(JudgeError):
+    """The model or its tokenizer is not of the form that the judge needs."""
+
+
 class InputTooLong(ValueError):
     """The pair exceeds what the judge can read whole; the memory is skipped."""
 
@@ -81,12 +93,46 @@ def softmax_relation(logits: Sequence[float], labels: Sequence[str]) -> tuple[st
     return labels[best], parts[best] / sum(parts)
 
 
+def label_order(config: object) -> list[str]:
+    """The relation of each class number of a model, from id2label, label2id or both, which must agree."""
+
+    def number(x: object) -> int:
+        if isinstance(x, bool) or not (isinstance(x, int) or isinstance(x, str) and x.isdecimal()):
+            raise ModelConfigError("class numbers must be whole numbers")
+        return int(x)
+
+    found = []
+    if given := getattr(config, "id2label", None):
+        found.append({number(k): v for k, v in given.items()})
+    if given := getattr(config, "label2id", None):
+        inverse = {number(v): k for k, v in given.items()}
+        if len(inverse) != len(given):
+            raise ModelConfigError("two labels have one class number")
+        found.append(inverse)
+    if not found:
+        raise ModelConfigError("the model names no labels")
+    maps = [{k: str(v).casefold() for k, v in m.items()} for m in found]
+    if any(sorted(m) != [0, 1, 2] or sorted(m.values()) != sorted(RELATIONS) for m in maps):
+        raise ModelConfigError("the model's labels must be the three relations")
+    if maps[0] != maps[-1]:
+        raise ModelConfigError("id2label and label2id disagree")
+    return [maps[0][k] for k in range(3)]
+
+
+def input_limit(tokenizer: object, config: object, most: int) -> int:
+    """The tokens that a pair may have: the least of the declared limits, of which there must be one, and `most`."""
+    declared = [x for x in (getattr(tokenizer, "model_max_length", None), getattr(config, "max_position_embeddings", None)) if isinstance(x, int) and not isinstance(x, bool) and x > 0]
+    if not declared:
+        raise ModelConfigError("neither model nor tokenizer declares an input limit")
+    return min(*declared, most)
+
+
 class ModelJudge:
-    """A natural-language-inference model, read from a local folder on each worker when first used.
+    """A natural-language-inference model at a pinned revision, loaded on each worker when first used.
     Needs torch and transformers, which are not part of this package."""
 
-    def __init__(self, model_path: str, judge_id: str, judge_version: str, max_tokens: int = 4096) -> None:
-        self.model_path, self.judge_id, self.judge_version, self.max_tokens = model_path, judge_id, judge_version, max_tokens
+    def __init__(self, model_id: str, judge_id: str, judge_version: str, max_tokens: int = 4096, revision: str | None = None) -> None:
+        self.model_id, self.judge_id, self.judge_version, self.max_tokens, self.revision = model_id, judge_id, judge_version, max_tokens, revision
         self._loaded = None
 
     def __getstate__(self) -> dict:
@@ -94,22 +140,25 @@ class ModelJudge:
 
     def _load(self):
         if self._loaded is None:
-            from transformers import AutoModelForSequenceClassification, AutoTokenizer
-
-            options = {"local_files_only": True, "trust_remote_code": False}
-            tokenizer = AutoTokenizer.from_pretrained(self.model_path, **options)
-            model = AutoModelForSequenceClassification.from_pretrained(self.model_path, use_safetensors=True, **options).eval()
-            labels = [str(model.config.id2label[i]).lower() for i in range(3)]
-            if sorted(labels) != sorted(RELATIONS):
-                raise ValueError("the model's labels must be the three relations")
-            limit = min(self.max_tokens, getattr(tokenizer, "model_max_length", self.max_tokens), getattr(model.config, "max_position_embeddings", self.max_tokens))
-            self._loaded = tokenizer, model, labels, limit
+            try:
+                from importlib import import_module
+
+                torch, transformers = import_module("torch"), import_module("transformers")
+            except ImportError as error:
+                raise DependencyError("the model judge needs torch and transformers") from error
+            options = {"revision": self.revision, "trust_remote_code": False}
+            try:
+                tokenizer = transformers.AutoTokenizer.from_pretrained(self.model_id, **options)
+                model = transformers.AutoModelForSequenceClassification.from_pretrained(self.model_id, use_safetensors=True, **options).eval()
+            except ImportError as error:
+                raise DependencyError("the tokenizer's own dependencies are missing") from error
+            except (OSError, RuntimeError, ValueError) as error:
+                raise JudgeError(f"model {self.model_id!r} at revision {self.revision!r} could not be loaded") from error
+            self._loaded = torch, tokenizer, model, label_order(model.config), input_limit(tokenizer, model.config, self.max_tokens)
         return self._loaded
 
     def judge(self, *, premise: str, hypothesis: str) -> Judgment:
-        import torch
-
-        tokenizer, model, labels, limit = self._load()
+        torch, tokenizer, model, labels, limit = self._load()
         pair = tokenizer(premise, hypothesis, truncation=False, return_tensors="pt")
         n = pair["input_ids"].shape[1]
         if n > limit:
@@ -122,7 +171,7 @@ class ModelJudge:
 
 def with_judgment(df: DataFrame, judge: Judge, premise: str = "premise", hypothesis: str = "content", out: str = "judgment") -> DataFrame:
     """df with the judge's answers. status is `ok`, `too_long` or `failed`: a failure never shows the
-    texts, and is raised by whoever reads the column."""
+    texts, and is raised by whoever reads the column. A judge that cannot work at all raises its own error."""
     identity(judge)
 
     @F.pandas_udf(JUDGMENT)
@@ -135,6 +184,8 @@ def with_judgment(df: DataFrame, judge: Judge, premise: str = "premise", hypothe
                     if not isinstance(j, Judgment):
                         raise TypeError("not a judgment")
                     rows.append(("ok", j.relation, float(j.score), j.model_calls, j.input_tokens, j.output_tokens))
+                except JudgeError:
+                    raise
                 except InputTooLong:
                     rows.append(("too_long", None, None, 0, 0, 0))
                 except Exception:

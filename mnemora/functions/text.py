@@ -40,10 +40,11 @@ def _fold_ascii(c: Column) -> Column:
 
 
 def with_folded(df: DataFrame, content: str = "content", out: str = "folded") -> DataFrame:
-    """df with the folded content. ASCII rows are folded inside the JVM; only the others, in a branch of
-    their own, go through Python, where alone full case folding and NFKC exist."""
+    """df with the folded content. ASCII rows are folded inside the JVM. Only the others' texts, null in their place
+    elsewhere, go through Python, where alone full case folding and NFKC exist; df itself is computed once."""
     plain = F.coalesce(F.col(content).rlike(r"\A[\x00-\x7f]*\z"), F.lit(True))
-    return df.where(plain).withColumn(out, _fold_ascii(F.col(content))).unionByName(df.where(~plain).withColumn(out, _fold_exact(F.col(content))))
+    rest = _fold_exact(F.when(~plain, F.col(content)))
+    return df.withColumn(out, rest).withColumn(out, F.when(plain, _fold_ascii(F.col(content))).otherwise(F.col(out)))
 
 
 def is_blank(c: Column) -> Column:

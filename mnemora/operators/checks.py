@@ -15,6 +15,7 @@ from ..functions.ids import evidence_item, finding_id, json_of
 from ..functions.judges import Judge, identity, with_judgment
 from ..functions.text import is_blank, with_folded
 from ..model import RULES_BY_CHECKER, SCOPE_DIMENSIONS
+from ..scratch import written
 from . import evidence as ev
 from .cycles import supersession_cycles
 
@@ -250,7 +251,7 @@ def replicas(found: DataFrame) -> DataFrame:
 def privacy_scope_violation(memories: DataFrame, rules: DataFrame) -> CheckResult:
     name = "privacy_scope_violation"
     policy = canonical_policy(rules)
-    found = principals(memories, policy)
+    found = written(principals(memories, policy))  # narrow: hashes and short fields, read by both sides and the counts
     pairs = replicas(found)
     data = json_of(
         authoritative_source_memory_id=F.col("source_id"), authoritative_source_principal=F.col("rule"), destination_principal=F.col("destination_principal"), differing_fields=F.col("differing_fields"),
@@ -291,9 +292,11 @@ def judged(memories: DataFrame, transcripts: DataFrame, turns: DataFrame, judge:
 def unsupported_claim(memories: DataFrame, transcripts: DataFrame, turns: DataFrame, judge: Judge) -> CheckResult:
     name = "unsupported_claim"
     judge_id, judge_version = identity(judge)
-    answers = judged(memories, transcripts, turns, judge)
+    # the judge is asked once; only hashes of texts are kept
+    kept = ["id", "judgment", "coordinates", "unique_segment_count", F.sha2("content", 256).alias("content_sha"), F.sha2("premise", 256).alias("premise_sha")]
+    answers = written(judged(memories, transcripts, turns, judge).select(*kept))
     data = json_of(
-        composition_style=F.lit("plain"), hypothesis_sha256=F.sha2("content", 256), judge_id=F.lit(judge_id), judge_version=F.lit(judge_version), premise_sha256=F.sha2("premise", 256),
+        composition_style=F.lit("plain"), hypothesis_sha256=F.col("content_sha"), judge_id=F.lit(judge_id), judge_version=F.lit(judge_version), premise_sha256=F.col("premise_sha"),
         semantic_relation=F.col("judgment.relation"), source_coordinates=F.col("coordinates"), unique_segment_count=F.col("unique_segment_count"),
     )
     items = F.array(evidence_item("declared_evidence_not_entailing", MESSAGES["declared_evidence_not_entailing"], data)).alias("items")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import ensure_checkpoint_dir
+
 #: Links that one task takes to finish; more are shrunk, and coloured, in rounds over the cluster.
 ONE_TASK_LINKS = 1_000_000
 TRIMS = 2
@@ -156,17 +158,7 @@ def _in_rounds(links: DataFrame, one_task_links: int) -> DataFrame:
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
-    """A checkpoint folder: the one that the cluster names, or one of our own where driver and executors are one process."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="mnemora-checkpoint-")
-        context.setCheckpointDir(shared)
+    ensure_checkpoint_dir(df.sparkSession)
 
 
 def supersession_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:

@@ -19,6 +19,7 @@ from ..model import (
     CAPABILITIES, CAPABILITY_FACETS, CHECKER_RESULT_SCHEMA, FINDINGS, PUBLIC_CHECKERS, REQUIREMENTS, RULES_BY_CHECKER, Rule, SCHEMA_VERSION, SCOPE_DIMENSIONS, SEVERITIES, SKIP_REASONS, STATS, empty,
 )
 from ..operators import checks as ck
+from ..scratch import written
 
 TOOL = "Mnemora"
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -102,8 +103,10 @@ class Audit:
 
 
 def audit(memories: DataFrame, *, transcripts: tuple[DataFrame, DataFrame] | None = None, rules: DataFrame | None = None, judge: Judge | None = None) -> Audit:
-    """All public checks whose inputs are there. A check that fails raises; it never becomes a skip."""
-    inputs = Inputs(memories, transcripts, rules, judge)
+    """All public checks whose inputs are there. A check that fails raises; it never becomes a skip. What several checks
+    read is written to the shared folder once."""
+    transcripts = transcripts and tuple(map(written, transcripts))
+    inputs = Inputs(written(memories), transcripts, rules, judge)
     skipped = [{"checker_id": c, "reasons": m} for c in PUBLIC_CHECKERS if (m := inputs.missing(c))]
     results = [run_check(c, inputs) for c in PUBLIC_CHECKERS if not inputs.missing(c)]
     return Audit(results, skipped, memories.sparkSession)

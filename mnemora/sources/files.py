@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..model import OBSERVATIONS, SCHEMA_VERSION
 from ..operators import constraints
+from ..scratch import written
 
 FORMATS = {".json": "json", ".jsonl": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown", ".markdown": "markdown"}
 #: Where an export keeps its records, first match wins.
@@ -233,7 +234,7 @@ def load_store(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
     adapter = store_envelope(spark, path)["adapter"]
     rows = _store(spark, path).select(F.posexplode(strict(F.col("v"), "memories", "array<variant>", "the store")).alias("n", "v"))
-    memories = normalized_records(rows)
+    memories = written(normalized_records(rows))  # parsed once, whatever reads it
     constraints.require_valid_memories(memories)
     return memories, adapter
 
@@ -253,6 +254,7 @@ def load_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         "transcript_id", get("index", "int", required=True).alias("turn_idx"), get("role", "string", required=True).alias("role"), get("content", "string", required=True).alias("content"),
         zulu(get("timestamp", "string")).alias("timestamp_text"), metadata("t", "a turn").alias("metadata"), "place",
     )
+    known, turns = written(known), written(turns)
     blank = known.where(is_blank(F.col("transcript_id"))).select(F.col("transcript_id").alias("id"), F.lit("id_blank").alias("violated"))
     constraints.require("transcripts", constraints.duplicate_ids(known, "transcript_id").select("id", F.lit("id_repeated").alias("violated")).unionByName(blank))
     constraints.require("turns", constraints.turn_violations(turns))

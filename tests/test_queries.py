@@ -45,7 +45,7 @@ def test_entry_without_training_operators(monkeypatch):
 
     def blocked(name, *a, **k):
         if name == "corpus_pipeline" or "llm" in name.split("."):
-            raise ImportError(name)
+            raise ModuleNotFoundError(f"No module named {name!r}", name="corpus_pipeline" if name == "corpus_pipeline" else "mnemora.llm")
         return real(name, *a, **k)
 
     for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("mnemora.llm")]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.functions.ids import canonical
+from mnemora.model import OBSERVATIONS
 from mnemora.sources import files, live, normalize
 from mnemora.streaming.provenance import on_each_batch, streamed_issues
 
@@ -230,3 +231,129 @@ def test_stream(spark, tmp_path):
     w = on_each_batch(stream, str(tmp_path / "store"), lambda df: counts.append(df.where(F.col("scope.user_id") == "u").count()))
     w.option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert counts == [4]
+
+
+def _store_file(path, **more):
+    record = {"id": "a", "content": "text", "scope": {"user_id": "u"}, "source_refs": [{"transcript_id": "t", "turn_idx": 0, "span": [0, 1]}], "provenance_status": "declared", "embedding": [1, 0.5], "raw": {"k": 1}}
+    store = {"schema_version": "0.1", "adapter": "file", "exported_at": "2024-01-02T03:04:05+00:00", "memories": [record | more]}
+    path.write_text(json.dumps(store))
+    return str(path)
+
+
+def test_strict_store(spark, tmp_path):
+    memories, adapter = files.load_store(spark, _store_file(tmp_path / "s.json"))
+    r = memories.first()
+    assert adapter == "file" and (r["id"], r["scope"]["user_id"], list(r["embedding"]), r["source_refs"][0]["span"]["end"]) == ("a", "u", [1.0, 0.5], 1)
+    assert files.store_envelope(spark, str(tmp_path / "s.json")) == {"adapter": "file", "exported_at": "2024-01-02T03:04:05Z"}
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        {"odd": 1}, {"scope": {"team": "x"}}, {"scope": {"user_id": 7}}, {"scope": "u"}, {"id": 7}, {"id": None}, {"content": 5}, {"content": None}, {"active": "yes"}, {"supersedes": "a"}, {"supersedes": [1]},
+        {"embedding": ["x"]}, {"raw": "r"}, {"created_at": 5}, {"created_at": "2024-01-01T00:00:00"}, {"source_refs": [{"transcript_id": "t", "page": 1}]}, {"source_refs": [{"turn_idx": 1}]}, {"source_refs": [{"transcript_id": 3}]},
+        {"provenance_status": "odd"},
+    ],
+)
+def test_store_refuses(spark, tmp_path, more):
+    with pytest.raises(Exception) as caught:
+        memories, _ = files.load_store(spark, _store_file(tmp_path / "s.json", **more))
+        memories.collect()
+    assert "ParseException" not in str(type(caught.value)) and "AnalysisException" not in str(type(caught.value))
+
+
+def test_store_envelope_refuses(spark, tmp_path):
+    for more in ({"odd": 1}, {"adapter": " "}, {"adapter": 5}, {"exported_at": "yesterday"}, {"exported_at": "2024-01-01T00:00:00"}, {"schema_version": "9"}):
+        (tmp_path / "s.json").write_text(json.dumps({"schema_version": "0.1", "adapter": "file", "memories": []} | more))
+        with pytest.raises(Exception):
+            files.load_store(spark, str(tmp_path / "s.json"))
+
+
+@pytest.mark.parametrize("bad", [{"extra": 1}, {"id": 5}, {"id": " "}, {"turns": None}, {"turns": [{"index": 0, "role": "user"}]}, {"turns": [{"index": "0", "role": "user", "content": "x"}]}, {"turns": [{"index": 0, "role": "user", "content": "x", "odd": 1}]}, {"turns": [{"index": 1, "role": "u", "content": "x"}, {"index": 0, "role": "u", "content": "y"}]}])
+def test_transcripts_refuse(spark, tmp_path, bad):
+    (tmp_path / "t.json").write_text(json.dumps({"schema_version": "0.1", "transcripts": [{"id": "t", "turns": [{"index": 0, "role": "user", "content": "x"}]} | bad]}))
+    with pytest.raises(Exception):
+        [df.collect() for df in files.load_transcripts(spark, str(tmp_path / "t.json"))]
+
+
+def test_errors_name_the_record(spark, tmp_path):
+    from mnemora.sources import normalize
+
+    (tmp_path / "x.json").write_text(json.dumps({"memories": [{"content": "a"}, {"content": "b"}, {"content": 5}]}))
+    with pytest.raises(Exception, match="record 2 is malformed"):
+        normalize.file_records(files.read_records(spark, str(tmp_path / "x.json"))).collect()
+
+
+def test_written_transcripts_come_back(spark, tmp_path):
+    from mnemora.plans import sinks
+
+    given = {"schema_version": "0.1", "transcripts": [{"id": "a", "metadata": {"k": [1]}, "turns": []}, {"id": "b", "metadata": {}, "turns": [{"index": i, "role": "user", "content": f"é {i}", "timestamp": "2024-01-01T00:00:00Z", "metadata": {}} for i in range(3)]}]}
+    (tmp_path / "t.json").write_text(json.dumps(given))
+    sinks.write_transcripts(*files.load_transcripts(spark, str(tmp_path / "t.json")), str(tmp_path / "o.json"))
+    assert json.loads((tmp_path / "o.json").read_text()) == given
+    assert sum(df.count() for df in files.load_transcripts(spark, str(tmp_path / "o.json"))) == 5
+
+
+def test_other_writers(spark):
+    from mnemora.operators import checks as ck
+    from mnemora.plans import sinks
+
+    rules = spark.createDataFrame([(0, "user_id", "b", "z"), (1, "user_id", "a", "y"), (2, "user_id", "b", "c")], "rule_idx int, dimension string, source_principal string, destination_principal string")
+    assert [r["prohibited_destination_principals"] for r in json.loads(sinks.policy_json(rules))["rules"]] == [["y"], ["c", "z"]]
+    seen = spark.createDataFrame([("r", "0" * 64, ["m2", "m1"], 2, "v", "1", [("m1", 1, 0.5), ("m9", 2, None)], 1, 2)], OBSERVATIONS)
+    (line,) = sinks.observation_lines(seen)
+    assert json.loads(line)["expected_memory_ids"] == ["m1", "m2"] and json.loads(line)["usage"] == {"candidate_count": 2, "retrieval_calls": 1}
+    (line,) = sinks.assessment_lines(ck.retrieval_sufficiency(seen, "any_expected"))
+    assert json.loads(line)["sufficient"] is True and json.loads(line)["missing_expected_memory_ids"] == ["m2"]
+    memories = spark.createDataFrame([("m", "declared", [("t", 0, (1, 3)), ("t", 7, None), ("u", None, None)])], "id string, provenance_status string, source_refs array<struct<transcript_id:string,turn_idx:int,span:struct<start:int,end:int>>>")
+    talks, turns = spark.createDataFrame([("t",)], "transcript_id string"), spark.createDataFrame([("t", 0, "user", "hello")], "transcript_id string, turn_idx int, role string, content string")
+    (line,) = sinks.resolution_lines(memories, talks, turns)
+    assert [s["text"] for s in json.loads(line)["segments"]] == ["el"] and [i["kind"] for i in json.loads(line)["issues"]] == ["missing_turn", "missing_transcript"]
+
+
+def test_registered_sources(spark):
+    from mnemora.sources import live, normalize
+
+    class Own:
+        name = "own-store"
+
+        def records(self, spark):
+            return spark.sql("""SELECT parse_json('{"id": "a", "content": "x"}') AS v, 'json' AS file_format""")
+
+        memories = staticmethod(normalize.file_records)
+
+    live.register_source(Own())
+    assert [r["id"] for r in live.scan(spark, "own-store").collect()] == ["a"]
+    for bad in (Own(), object()):
+        with pytest.raises(files.SourceError):
+            live.register_source(bad)
+    with pytest.raises(files.SourceError):
+        live.scan(spark, "none")
+
+
+def test_public_names():
+    import mnemora
+
+    for name in mnemora.__all__:
+        assert getattr(mnemora, name) is not None
+    with pytest.raises(AttributeError):
+        mnemora.nothing  # noqa: B018
+
+
+def test_model_judge_says_what_is_wrong(spark):
+    from types import SimpleNamespace as N
+
+    from mnemora.functions import judges
+
+    names = {0: "ENTAILMENT", 1: "neutral", 2: "contradiction"}
+    assert judges.label_order(N(id2label=names, label2id={v: k for k, v in names.items()})) == ["entailment", "neutral", "contradiction"]
+    assert judges.label_order(N(label2id={"neutral": 2, "entailment": 0, "contradiction": 1}))[2] == "neutral"
+    for bad in (N(), N(id2label={0: "a", 1: "b", 2: "c"}), N(id2label={True: "neutral", 1: "entailment", 2: "contradiction"}), N(id2label=names, label2id={"neutral": 0, "entailment": 1, "contradiction": 2}), N(label2id={"neutral": 0, "entailment": 0, "contradiction": 1})):
+        with pytest.raises(judges.ModelConfigError):
+            judges.label_order(bad)
+    assert judges.input_limit(N(model_max_length=512), N(max_position_embeddings=1024), 4096) == 512
+    with pytest.raises(judges.ModelConfigError):
+        judges.input_limit(N(), N(), 4096)
+    judge = judges.ModelJudge("nowhere", "id", "version", revision="pinned")
+    with pytest.raises(Exception, match="torch and transformers"):
+        judges.with_judgment(spark.createDataFrame([("a", "b")], "premise string, content string"), judge).collect()
