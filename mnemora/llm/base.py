@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import ensure_checkpoint_dir, remove, written, written_to
+
+__all__ = ["column", "ensure_checkpoint_dir", "map_slices", "read_table", "remove", "slices", "whole_text", "written", "written_to"]
+
 #: Rows that a Python worker handles, and gives back, at a time.
 SLICE_ROWS = 256
 #: Text bytes after which a slice ends early, so that very long texts do not pile up.
@@ -30,57 +33,6 @@ def whole_text(name: str) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The application's folder within the shared one that the cluster names in spark.checkpoint.dir. Only
-    where it names none, and driver and executors are one process, a folder of our own is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="mnemora-checkpoint-")
-        context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
-
-
-def _hadoop(spark: SparkSession, path: str) -> tuple:
-    """The file system of a path, and the path, as Spark knows them."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
-
-
-def scratch_path(spark: SparkSession, name: str = "table") -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    system, found = _hadoop(spark, path)
-    system.deleteOnExit(found)
-    return path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that no plan needs any more."""
-    for path in paths:
-        system, found = _hadoop(spark, path)
-        system.delete(found, True)
-
-
-def written_to(df: DataFrame) -> tuple[DataFrame, str]:
-    """The rows as a table in the shared folder, read again, and its path. They are computed once, and outlive
-    the executors that computed them. Plans over the table assume no partitioning, so that a join exchanges
-    both its sides and adaptive execution can split the hot partitions of either."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """written_to without the path: the table stays until the application ends."""
-    return written_to(df)[0]
-
-
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch that are small in rows and in text bytes."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
