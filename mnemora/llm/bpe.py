@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .base import column, map_slices, whole_text
 
+#: Bytes from which a word takes the heap; the ids are the same either way.
 LONG_WORD = 96
 CHUNKS_KEPT = 200_000
 WORDS_KEPT = 200_000

@@ -15,15 +15,19 @@ node are keyed by their Hamming distance to it, and a search with radius r follo
 key is within r of its own distance to the node. A search gives spanning links only (a union-find
 forest), never all pairs of a group.
 
-The trees are built where their shard lies instead of being broadcast: all trees together grow with
-the corpus, so no bound on a broadcast could be proven.
+The trees are grown where their shard lies instead of being broadcast. A broadcast passes the driver, and all
+trees together hold the fingerprints of all documents six times: 222 bytes a node as grown here, so 1.3 GB a
+million fingerprints (96 MB a million packed at 16 bytes a node), without a bound as the corpus grows.
 
 *Components* come from `connected_components`. A group of identical texts is one fingerprint, so its
 size matters only to the last join, which adaptive execution splits.
 
 Defined results: null text = empty text; rows with a null id are fingerprinted but link nothing (they
 get the component of their fingerprint, null if no row with an id has it); rows that share an id are
-one node; an empty table gives an empty result; other columns are ignored.
+one node; rows that repeat are fingerprinted each; a text may be as long as a row can hold; an empty table
+gives an empty result; other columns are ignored.
+
+This is the operator at a radius of two bits. `similar` has its form for a similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ from .base import column, map_slices, whole_text, written
 from .components import connected_components
 
 RADIUS = 2
-#: Members from which a shard is dealt again by the bits that its members may differ in.
+#: Members from which a shard is dealt again by the bits that its members may differ in; the links are the same
+#: whether it is or not.
 HOT_SHARD = 2048
 
 
