@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import canonical, short_hash
-from ..model import DEFECT_CLASSES, MANIFEST_SCHEMA, SCHEMA_VERSION, TAXONOMY_VERSION
+from ..functions.ids import canonical, json_of, short_hash
+from ..model import DEFECT_CLASSES, MANIFEST_SCHEMA, SCHEMA_VERSION, SCOPE_DIMENSIONS, TAXONOMY_VERSION
 from . import evidence as ev
 from .constraints import require_valid_memories
 from .cycles import ensure_checkpoints
@@ -114,27 +114,18 @@ def with_changed(memories: DataFrame, memory_id: str, **columns: Column) -> Data
 
 
 def canonical_rows(memories: DataFrame) -> DataFrame:
-    """(id, json): each record's portable fields as canonical JSON, without raw."""
-
-    def plain(x):
-        if isinstance(x, Row):
-            x = x.asDict(recursive=True)
-        if isinstance(x, dict):
-            if set(x) == {"start", "end"}:
-                return [x["start"], x["end"]]
-            return {k: plain(v) for k, v in x.items()}
-        if isinstance(x, (list, tuple)) or hasattr(x, "tolist"):
-            return [plain(v) for v in x]
-        return x
-
-    fields = ["id", "content", "source_refs", "provenance_status", "scope", "active", "supersedes", "embedding"]
-
-    def render(r):
-        d = {k: plain(r[k]) for k in fields} | {"created_at": r["created_at_text"], "updated_at": r["updated_at_text"]}
-        return canonical({k: v if v is not None or k not in ("source_refs", "supersedes") else [] for k, v in d.items()})
-
-    text = F.udf(render, "string", useArrow=True)
-    return memories.select("id", text(F.struct(*fields, "created_at_text", "updated_at_text")).alias("json"))
+    """(id, json): each record's portable fields as canonical JSON, without raw. All of it is written inside the JVM
+    but embeddings, whose numbers Python and Java write differently: only they pass through Python."""
+    numbers = F.udf(lambda v: None if v is None else canonical([float(x) for x in v]), "string", useArrow=True)
+    span = lambda r: F.when(r["span"].isNotNull(), F.array(r["span"]["start"], r["span"]["end"]))
+    refs = F.transform("source_refs", lambda r: F.struct(span(r).alias("span"), r["transcript_id"].alias("transcript_id"), r["turn_idx"].alias("turn_idx")))
+    scope = F.struct(*(F.col(f"scope.{d}").alias(d) for d in sorted(SCOPE_DIMENSIONS)))
+    head = json_of(active=F.col("active"), content=F.col("content"), created_at=F.col("created_at_text"))
+    rest = json_of(
+        id=F.col("id"), provenance_status=F.col("provenance_status"), scope=scope, source_refs=F.coalesce(refs, F.array()), supersedes=F.coalesce("supersedes", F.array()), updated_at=F.col("updated_at_text")
+    )
+    embedding = F.coalesce(numbers("embedding"), F.lit("null"))
+    return memories.select("id", F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"embedding":'), embedding, F.lit(","), F.substring(rest, F.lit(2), F.char_length(rest))).alias("json"))
 
 
 def store_digest(memories: DataFrame, adapter: str = "file") -> str:

@@ -16,9 +16,11 @@ from ..functions.judges import LexicalJudge
 from ..functions.text import is_blank, with_folded
 from ..model import CAPABILITIES, CAPABILITY_FACETS, RULES_BY_CHECKER
 from ..operators import checks as ck
+from ..operators import constraints as co
 from ..operators import evidence as ev
 from ..operators import mutations as mu
-from ..sources import normalize
+from ..scratch import scratch_path
+from ..sources import files, normalize
 from . import report, views
 from .views import with_views
 
@@ -725,3 +727,141 @@ def o10_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [ck.orphaned_provenance(memories, *_transcripts(spark, sf_dir)).findings, ck.redundancy_bloat(memories).findings]
     rows = reduce(DataFrame.unionByName, [report.sarif_results(f, k) for k, f in enumerate(found)])
     return rows.groupBy(F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.ruleIndex").cast("int").alias("rule_index")).agg(F.count(F.lit(1)).alias("results"))
+
+
+# --- preflight that blocks, further constraints, files -------------------------------------------
+
+
+_BLOCKED = {
+    "letta": {
+        "orphaned_provenance": ("", "missing_transcripts"),
+        "redundancy_bloat": ("unscoped_memories", ""),
+        "stale_active": ("active_state_unavailable,supersession_unsupported", ""),
+        "privacy_scope_violation": ("policy_scope_unavailable", ""),
+        "unsupported_claim": ("", "missing_transcripts,missing_semantic_configuration"),
+    },
+    "unknown": {
+        "orphaned_provenance": ("", "missing_transcripts"),
+        "redundancy_bloat": ("unscoped_memories", ""),
+        "stale_active": ("active_state_unavailable", ""),
+        "privacy_scope_violation": ("", "missing_scope_policy"),
+        "unsupported_claim": ("", "missing_transcripts,missing_semantic_configuration"),
+    },
+}
+_ASSESSABLE = {"redundancy_bloat": "user_id IS NOT NULL", "privacy_scope_violation": "user_id IS NOT NULL", "stale_active": "active IS NOT NULL"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{adapter}' AS adapter, '{checker}' AS checker_id, '{'blocked' if reasons else 'degraded'}' AS status, count(*) AS total_memories, "
+        f"count(*) FILTER (WHERE {'false' if reasons else _ASSESSABLE[checker]}) AS assessable_memories, '{limits}' AS limitations, '{reasons}' AS blocked_reasons FROM memories"
+        for adapter, checks in _BLOCKED.items()
+        for checker, (limits, reasons) in checks.items()
+    ),
+    "memories",
+)
+def r2_preflight_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that lack their inputs are blocked; what a source never tells is a limitation, and an
+    unknown source tells nothing of that."""
+    memories = _memories(spark, sf_dir)
+    given = {"letta": {"rules": views.rules(spark)}, "unknown": {}}
+    rows = [report.preflight(memories, adapter=a, **given[a]).withColumn("adapter", F.lit(a)) for a in _BLOCKED]
+    joined = [F.array_join(c, ",").alias(c) for c in ("limitations", "blocked_reasons")]
+    return reduce(DataFrame.unionByName, rows).select("adapter", "checker_id", "status", "total_memories", "assessable_memories", *joined)
+
+
+_CHANGED_TURNS = (
+    "SELECT 'conv-' || conv_id AS id, CASE WHEN (conv_id + turn) % 5 = 0 THEN ' ' ELSE role END AS role, "
+    "CASE WHEN conv_id % 7 = 0 THEN turn - 1 WHEN conv_id % 11 = 0 THEN turn // 2 ELSE turn END AS i FROM conversations"
+)
+
+
+@query(
+    f"WITH c AS ({_CHANGED_TURNS}) SELECT id, 'role_blank' AS violated FROM c WHERE trim(role) = '' UNION ALL SELECT id, 'index_invalid' FROM c WHERE i < 0 "
+    "UNION ALL SELECT id, 'index_repeated' FROM c GROUP BY id, i HAVING count(*) > 1"
+)
+def k10_turn_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns made to break the constraints of a transcript, and which they break."""
+    turns, c, t = views.turns(spark, sf_dir), F.substring("transcript_id", 6, 20).cast("long"), F.col("turn_idx")
+    index = F.when(c % 7 == 0, t - 1).when(c % 11 == 0, F.floor(t / 2).cast("int")).otherwise(t)
+    changed = turns.select("transcript_id", "content", F.when((c + t) % 5 == 0, " ").otherwise(F.col("role")).alias("role"), index.alias("turn_idx"))
+    return co.turn_violations(changed)
+
+
+@query(
+    "SELECT request_id AS id, CASE (substr(request_id, 5)::INT // 50) % 5 WHEN 0 THEN 'query_hash_invalid' WHEN 1 THEN 'more_hits_than_top_k' WHEN 2 THEN 'identity_blank' WHEN 3 THEN 'ranks_invalid' ELSE 'expected_invalid' END AS violated FROM cases",
+    "cases",
+)
+def k11_observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded retrievals made to break a constraint each."""
+    place = F.floor(F.substring("request_id", 5, 20).cast("long") / 50) % 5
+    broken = views.observations(spark, sf_dir).withColumns({
+        "query_sha256": F.when(place == 0, F.upper("query_sha256")).otherwise(F.col("query_sha256")),
+        "top_k": F.when(place == 1, F.size("hits") - 1).otherwise(F.col("top_k")),
+        "retriever_id": F.when(place == 2, " \u3000").otherwise(F.col("retriever_id")),
+        "hits": F.when(place == 3, F.transform("hits", lambda h: h.withField("rank", F.lit(1)))).otherwise(F.col("hits")),
+        "expected_memory_ids": F.when(place == 4, F.concat("expected_memory_ids", "expected_memory_ids")).otherwise(F.col("expected_memory_ids")),
+    })
+    return co.observation_violations(broken)
+
+
+@query(
+    "SELECT finding_id AS id, CASE substr(memory_ids, 5, 8)::INT % 4 WHEN 0 THEN 'rule_version_invalid' WHEN 1 THEN 'memories_invalid' WHEN 2 THEN 'confidence_invalid' ELSE 'class_mismatch' END AS violated "
+    f"FROM ({_ids_sql('orphaned_provenance', _C1_ITEMS)})",
+    "classified",
+)
+def k13_finding_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of orphaned provenance made to break a constraint each."""
+    found = ck.orphaned_provenance(_memories(spark, sf_dir), *_transcripts(spark, sf_dir)).findings
+    place = F.substring(F.get("memory_ids", F.lit(0)), 5, 8).cast("int") % 4
+    broken = found.withColumns({
+        "rule_version": F.when(place == 0, "1.0").otherwise(F.col("rule_version")),
+        "memory_ids": F.when(place == 1, F.concat("memory_ids", "memory_ids")).otherwise(F.col("memory_ids")),
+        "confidence": F.when(place == 2, 1.5).otherwise(F.col("confidence")),
+        "defect_class": F.when(place == 3, "stale_active").otherwise(F.col("defect_class")),
+    })
+    return co.finding_violations(broken)
+
+
+views.SQL["ref_json"] = (
+    "SELECT id, string_agg('{\"span\":' || coalesce('[' || span_start || ',' || span_end || ']', 'null') || ',\"transcript_id\":\"' || transcript_id || '\",\"turn_idx\":' || coalesce(turn_idx::VARCHAR, 'null') || '}', ',' ORDER BY pos) AS t FROM refs GROUP BY id"
+)
+views.SQL["link_json"] = "SELECT src AS id, string_agg('\"' || dst || '\"', ',' ORDER BY dst) AS t FROM links GROUP BY src"
+views._NEEDS["ref_json"], views._NEEDS["link_json"] = ["refs"], ["links"]
+
+
+@query(
+    "SELECT m.id, sha256('{\"active\":' || coalesce(active::VARCHAR, 'null') || ',\"content\":' || to_json(content)::VARCHAR || ',\"created_at\":null,\"embedding\":null,\"id\":\"' || m.id || '\",\"provenance_status\":\"' || provenance_status || "
+    "'\",\"scope\":{\"agent_id\":null,\"session_id\":null,\"user_id\":' || coalesce('\"' || user_id || '\"', 'null') || '},\"source_refs\":[' || coalesce(r.t, '') || '],\"supersedes\":[' || coalesce(l.t, '') || '],\"updated_at\":null}') AS record_sha256 "
+    "FROM memories m LEFT JOIN ref_json r ON r.id = m.id LEFT JOIN link_json l ON l.id = m.id",
+    "memories", "ref_json", "link_json",
+)
+def a18_canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's portable fields as canonical JSON, of which a store's digest is made."""
+    return mu.canonical_rows(_memories(spark, sf_dir)).select("id", F.sha2("json", 256).alias("record_sha256"))
+
+
+@query(
+    "SELECT 'r' || doc_id AS id, sha256(text) AS content_sha256, lang AS user_id, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS session_id, 'known_absent' AS provenance_status, doc_id % 2 = 0 AS active, '' AS refs, NULL::VARCHAR AS created_at_text FROM documents"
+)
+def s3_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of JSON in a folder of files, read back as memories."""
+    d, folder = F.col("doc_id"), f"{scratch_path(spark, 'lines')}/records.jsonl"
+    none = F.array().cast("array<string>").alias("source_refs")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    record = F.struct(F.concat(F.lit("r"), d.cast("string")).alias("id"), F.col("text").alias("content"), F.col("lang").alias("user_id"), (d % 2 == 0).alias("active"), none)
+    docs.select(F.to_json(record).alias("value")).write.text(folder)
+    return _states(normalize.file_records(files.read_records(spark, folder)))
+
+
+@query(
+    f"SELECT request_id, sha256(request_id) AS query_sha256, array_to_string(expected, ',') AS expected, {views.TOP_K} AS top_k, h.hits FROM cases JOIN (SELECT 'vec-' || q AS request_id, string_agg('vec-' || vec_id || ':' || rank, ',' ORDER BY rank) AS hits FROM hits GROUP BY q) h USING (request_id)",
+    "cases", "hits",
+)
+def s17_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded retrievals as lines of JSON, hits in any order, read back and validated; hits by rank."""
+    folder = f"{scratch_path(spark, 'observations')}/observations.jsonl"
+    record = F.struct("request_id", "query_sha256", "expected_memory_ids", "top_k", "retriever_id", "retriever_version", F.reverse("hits").alias("hits"), F.struct("retrieval_calls", "candidate_count").alias("usage"))
+    views.observations(spark, sf_dir).select(F.to_json(record).alias("value")).write.text(folder)
+    hit = F.transform("hits", lambda h: F.concat_ws(":", h["memory_id"], h["rank"].cast("string")))
+    return files.load_observations(spark, folder).select("request_id", "query_sha256", F.array_join("expected_memory_ids", ",").alias("expected"), F.col("top_k").cast("int").alias("top_k"), F.array_join(hit, ",").alias("hits"))

@@ -1,5 +1,7 @@
 """Defects that are injected are found, exactly where their manifest says."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,21 @@ def test_digests(store, talks):  # noqa: F811
     assert mu.transcripts_digest(talks) == mu.transcripts_digest(tuple(t.repartition(2) for t in talks)) and mu.transcripts_digest(None) is None
 
 
+def test_digest_is_of_the_written_store(make):  # noqa: F811
+    """The digest is that of the store's canonical JSON, as Python writes it: numbers, escapes, spans and nulls."""
+    from mnemora.functions.ids import canonical
+    from mnemora.model import SCHEMA_VERSION
+    from mnemora.plans.sinks import memory_dict
+
+    hard = 'a "quote", a \\ and \\u001F, \t\n\x01\x1f\x7f, \u00df\u2028\U0001f600 </tag>'
+    store = make([
+        memory("m2", hard, active=False, embedding=[1e-5, 1e16, 0.1, -0.0, 123456789.0, 1e22, 5e-324, 3.0], user="u"),
+        memory("m1", "x", refs=[("t", None, None), ("t", 1, (0, 3))], supersedes=["m2", 'q"']),
+    ])
+    rows = sorted((memory_dict(r) for r in store.collect()), key=lambda m: m["id"])
+    assert mu.store_digest(store) == hashlib.sha256(canonical({"adapter": "file", "memories": rows, "schema_version": SCHEMA_VERSION}).encode()).hexdigest()
+
+
 def test_embedding_guard(make):  # noqa: F811
     with pytest.raises(mu.PreconditionError, match="embedding"):
         mu.mutate(make([memory("m", "Live in Lyon", active=True, embedding=[1.0])]), mu.Request("stale_active", replace_from="Lyon", replace_to="Oslo"))
