@@ -248,6 +248,15 @@ def replicas(found: DataFrame) -> DataFrame:
     )
 
 
+def _replica_counts(found: DataFrame) -> list[DataFrame]:
+    """How many replicas there are (matches), and of how many destinations (emitted), from principals(): a claim that
+    m sources and n destinations share counts m * n without the pairs."""
+    claim = ["dimension", "rule", "sha"]
+    sizes = found.groupBy(*claim).agg(_count(F.col("is_source")).alias("s"), _count(~F.col("is_source")).alias("d")).where("s > 0 and d > 0")
+    reached = found.where("not is_source").select(*claim, "id").join(sizes.select(*claim), claim, "left_semi")
+    return [sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("d")), F.lit(0)).alias("matches")), reached.agg(F.count_distinct("id").alias("emitted"))]
+
+
 def privacy_scope_violation(memories: DataFrame, rules: DataFrame) -> CheckResult:
     name = "privacy_scope_violation"
     policy = canonical_policy(rules)
@@ -262,7 +271,7 @@ def privacy_scope_violation(memories: DataFrame, rules: DataFrame) -> CheckResul
     row = _together(
         memories.agg(_count().alias("n")), policy.agg(_count().alias("rules")),
         found.agg(_count(F.col("is_source")).alias("sources"), _count(~F.col("is_source")).alias("destinations")),
-        pairs.agg(_count().alias("matches"), F.count_distinct("destination_id").alias("emitted")),
+        *_replica_counts(found),
     )
     details = {"policy_rules_scanned": F.col("rules"), "authoritative_candidates": F.col("sources"), "destination_candidates": F.col("destinations"), "replica_matches": F.col("matches")}
     return CheckResult(name, _findings(grouped, name), _stats(row, name, F.col("n"), F.col("emitted"), details))
