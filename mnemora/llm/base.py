@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import ensure_checkpoint_dir, remove, written, written_to
 
@@ -46,7 +47,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow over small slices. `make` gives, for a slice, the output columns by name or record
     batches; a worker never holds the output of more than one slice."""
 

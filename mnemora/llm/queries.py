@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, licenses, line_dedup, media, packing, quality, simhash, token_counts
+from . import bpe, chat, exact_dedup, hard_negatives, licenses, line_dedup, media, packing, phrases, pii, quality, simhash, token_counts
 from .base import read_table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -78,7 +78,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_packing, op4_bpe, op5_media, op6_chat, op7_line_dedup, op8_quality, op9_token_counts, op10_license_scan)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(given.select("vec_id", "embedding", label.alias("label")))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_simhash, op3_packing, op4_bpe, op5_media, op6_chat, op7_line_dedup, op8_quality, op9_token_counts, op10_license_scan, op11_pii, op12_hard_negatives, op13_phrases,
+    )
+}
 
 # DuckDB reads '\x20' in patterns as RE2 does.
 _OP1 = r"""
@@ -112,6 +131,56 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP12 = """
+WITH e AS (
+  SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.place, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0
+),
+p AS (
+  SELECT place, anchor_id, id, score, row_number() OVER (PARTITION BY place ORDER BY score DESC, id) AS k
+  FROM s WHERE same AND id <> anchor_id QUALIFY k <= 5
+),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.place, p.k ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.place = s.place AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM i CROSS JOIN (VALUES (1), (2), (3), (4), (5)) s(m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+k AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+c AS (
+  SELECT k.lang, k.m, k.phrase, k.a, x.a AS l, y.a AS r, n.n, ((1000 * k.a::HUGEINT * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM k JOIN n USING (lang)
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k.k) = 1
+),
+o AS (
+  SELECT * FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = c.lang AND q.m > c.m AND 100 * q.a >= 100 * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
+
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -139,4 +208,4 @@ FROM documents LEFT JOIN b USING (doc_id) GROUP BY documents.doc_id
 """
 
 
-ORACLE_SQL = {"op1_exact_dedup": _OP1, "op6_chat": _OP6, "op7_line_dedup": _OP7, "op10_license_scan": _license_sql()}
+ORACLE_SQL = {"op1_exact_dedup": _OP1, "op6_chat": _OP6, "op7_line_dedup": _OP7, "op10_license_scan": _license_sql(), "op12_hard_negatives": _OP12, "op13_phrases": _OP13}
