@@ -12,16 +12,17 @@ occurs, and their bitmaps.
 what is left of it without its first or its last word. In every shard the tree of frequent phrases is walked depth-first,
 a slice of first words at a time: a phrase's bitmap is shifted by one position, met with the bitmaps of the words that have bits
 in the same blocks (AND), and the set bits of each meeting are counted (popcount). What is in the tree already
-is walked further; what is a word longer than the tree gives a row, with its count, if its last words are in the tree. Counts are
-summed over shards in a window over the phrase, so that each shard's row also learns whether the phrase is frequent, and the frequent ones
-go back to their shards as the next level of the tree.
+is walked further; what is a word longer than the tree gives a row, with its count, if its last words are in the tree. Shards are walked in
+bundles of about `BUNDLE` positions, dealt by hash, so that what several of them have in common is one row. Counts are
+summed over bundles in a window over the phrase, so that each bundle's row also learns whether the phrase is frequent and which number it
+has, and the frequent ones go back to their bundles as the next level of the tree.
 
 A phrase is a row (prefix, word) of numbers, so texts are shuffled only as the distinct words of shards. Its row has the counts
 of all its first and last parts, from which the cuts are scored in exact decimals.
 
-Nothing is collected or broadcast by hint. A task holds a shard, its tree (at most one phrase per position
-and length) and a slice of bitmaps. A frequent phrase has one row per shard in its window, whatever its
-count; no key has more rows than there are shards.
+Nothing is collected or broadcast by hint; the driver learns the number of words. A task holds a bundle, its tree (at most one phrase per
+position and length) and a slice of bitmaps. A frequent phrase has one row per bundle in its window, whatever its
+count; no key has more rows than there are bundles (words: shards).
 
 Defined results: null text = empty text, null language = `und`; rows that repeat count each, ids are not looked at; a text may be as
 long as a row can hold (a shard ends after the text that fills it); ties by score go by count, then by the phrase's bytes; an empty table gives an
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from .base import column, whole_text, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Positions after which a shard ends; bitmap blocks that a walk extends at a time.
-SHARD, SLICE = 1 << 21, 1 << 18
+#: Positions after which a shard ends, words that a bundle has on average, bitmap blocks that a walk extends at a time.
+SHARD, BUNDLE, SLICE = 1 << 21, 5 << 20, 1 << 17
 UNKNOWN = "und"
 
 #: Upper case is lowered, tabs are spaces, and what ends a piece is a full stop.
@@ -237,72 +238,117 @@ def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int) -> Iterat
             yield names[prefix[one]], tree.words[follower[one]], names[suffix[one]], count
 
 
-_COUNTED = "shard long, prefix long, word long, suffix long, n long"
+_COUNTED = "bundle long, prefix long, word long, suffix long, n long"
+#: The level of rows that hold bitmaps: after all of the tree's.
+_BITMAPS = 99
+
+
+class _Bundle:
+    """What the rows of a bundle hold: the tree's levels, then the bitmaps of its shards, one behind the other."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.levels, self.entries, self.end = number, {}, [], 0
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """Rows by level and shard."""
+        level = part.column("level").to_numpy()
+        for k in np.unique(level).tolist():
+            rows = np.flatnonzero(level == k)
+            if k == _BITMAPS:
+                for i in rows.tolist():
+                    self._take(part.column("shard")[i].as_py(), part.column("bitmaps")[i].as_py())
+            else:
+                columns = ("id", "prefix", "shard") if k == 1 else ("id", "prefix", "word", "suffix")
+                self.levels.setdefault(k, []).append([part.column(c).to_numpy()[rows] for c in columns])
+
+    def _whole(self, k: int) -> list[np.ndarray]:
+        if len(self.levels[k]) > 1:
+            self.levels[k] = [[np.concatenate(c) for c in zip(*self.levels[k], strict=True)]]
+        return self.levels[k][0]
+
+    def _take(self, shard: int, bitmaps: bytes) -> None:
+        """The frequent words' entries, by number; level 1 says which number a shard's own words have."""
+        if 1 not in self.levels:
+            return
+        word, block, mask = _loaded(bitmaps)
+        ids, own, of = self._whole(1)
+        mine = of == shard
+        if not len(word) or not mine.any():
+            return
+        names = np.full(int(word[-1]) + 1, -1, np.int64)
+        names[own[mine]] = ids[mine]
+        name = names[word]
+        kept = np.flatnonzero(name >= 0)
+        self.entries.append((name[kept], (block[kept] + self.end).astype(np.int32), mask[kept]))
+        self.end += int(block.max()) + 2
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.entries:
+            return
+        words = np.unique(self._whole(1)[0])
+        name, block, mask = (np.concatenate(c) for c in zip(*self.entries, strict=True))
+        self.entries.clear()
+        place = np.searchsorted(words, name).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        entries = place[order], block[order], mask[order]
+        tree = _Tree([self._whole(k) for k in sorted(self.levels) if k > 1], words)
+        self.levels.clear()
+        for rows in _extended(tree, entries, self.end):
+            for i in range(0, len(rows[0]), 1 << 16):
+                cut = [x[i : i + (1 << 16)] for x in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut[0]), self.number), pa.int64()), *(pa.array(x, pa.int64()) for x in cut)], ["bundle", "prefix", "word", "suffix", "n"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard: the tree's by level, then the bitmaps, of level 99."""
-    shard, levels = None, {}
+    """Rows come by bundle, level and shard."""
+    bundle = None
     for batch in batches:
-        owners = batch.column("shard").to_numpy()
+        owners = batch.column("bundle").to_numpy()
         cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1], True]).tolist() if len(owners) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if owners[a] != shard:
-                shard, levels = int(owners[a]), {}
-            part = batch.slice(a, b - a)
-            level = part.column("level").to_numpy()
-            for k in np.unique(level).tolist():
-                if k < 99:
-                    rows = np.flatnonzero(level == k)
-                    levels.setdefault(k, []).append([part.column(c).to_numpy()[rows] for c in ("id", "prefix", "word", "suffix")])
-            if level[-1] != 99 or 1 not in levels:
-                continue
-            columns = [[np.concatenate(c) for c in zip(*levels[k], strict=True)] for k in sorted(levels)]
-            ids, own = columns[0][0], columns[0][1]  # numbers, and those that the words have in the shard
-            words = np.sort(ids)
-            word, block, mask = _loaded(part.column("bitmaps")[len(part) - 1].as_py())
-            place = np.full(int(word[-1]) + 1, -1, np.int64)
-            place[own] = np.searchsorted(words, ids)
-            frequent = np.flatnonzero(place[word] >= 0)
-            word, block, mask = place[word[frequent]], block[frequent], mask[frequent]
-            order = np.argsort(word, kind="stable")
-            entries = word[order], block[order], mask[order]
-            for found in _extended(_Tree(columns[1:], words), entries, int(block.max(initial=0)) + 1):
-                for i in range(0, len(found[0]), 1 << 16):
-                    cut = [x[i : i + (1 << 16)] for x in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut[0]), shard), pa.int64()), *(pa.array(x, pa.int64()) for x in cut)], ["shard", "prefix", "word", "suffix", "n"])
-            levels = {}
-
-
-def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, positions: int = SHARD) -> tuple[list[DataFrame], DataFrame]:
+            if bundle is None or owners[a] != bundle.number:
+                if bundle is not None:
+                    yield from bundle.found()
+                bundle = _Bundle(int(owners[a]))
+            bundle.add(batch.slice(a, b - a))
+    if bundle is not None:
+        yield from bundle.found()
+    pa.default_memory_pool().release_unused()
+
+
+def frequent_phrases(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, positions: int = SHARD, bundle: int = BUNDLE
+) -> tuple[list[DataFrame], DataFrame]:
     """Per length from one word, a table of the phrases that occur `least` times: id, lang, phrase (binary), a, prefix, suffix,
     firsts and lasts (counts of the first and last 1, 2, ... words); and the words of each language, (lang, n)."""
     shards = word_shards(docs, lang_col, text_col, positions)
-    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("own", "x")).select("shard", "lang", F.col("own").cast("long"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
     totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    number, none = F.monotonically_increasing_id(), F.lit(None).cast("long")
-    counted = words.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    phrases = [written(counted.select(number.alias("id"), "lang", "phrase", "a", none.alias("prefix"), none.alias("suffix"), F.array("a").alias("firsts"), F.array("a").alias("lasts")))]
-    blank = F.lit(None).cast("binary").alias("bitmaps")
-    tree = written(words.join(phrases[0].select("lang", "phrase", "id"), ["lang", "phrase"]).select("shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank))
-    zero = F.lit(0).cast("long")
-    bitmaps = shards.select("shard", F.lit(99).alias("level"), zero.alias("id"), zero.alias("prefix"), zero.alias("word"), zero.alias("suffix"), "bitmaps")
+    bundles = -(-(totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // bundle) or 1
+    dealt = F.pmod(F.xxhash64("shard"), F.lit(bundles)).alias("bundle")
+    none, blank, zero = F.lit(None).cast("long"), F.lit(None).cast("binary").alias("bitmaps"), F.lit(0).cast("long")
+
+    def numbered(rows: DataFrame, *phrase: str) -> DataFrame:
+        """The rows of frequent phrases, with their count a and their number id, as a table."""
+        over = Window.partitionBy(*phrase)
+        counted = rows.withColumn("row", F.monotonically_increasing_id()).withColumns({"a": F.sum("n").over(over), "id": F.min("row").over(over)})
+        return written(counted.where(F.col("a") >= least).drop("row", "n"))
+
+    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("own", "x")).select("shard", "lang", F.col("own").cast("long"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
+    known = numbered(words, "lang", "phrase")
+    each = known.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "a")))
+    phrases = [written(each.select("id", "lang", "phrase", "a", none.alias("prefix"), none.alias("suffix"), F.array("a").alias("firsts"), F.array("a").alias("lasts")))]
+    tree = known.select(dealt, "shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank)
+    bitmaps = shards.select(dealt, "shard", F.lit(_BITMAPS).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
     for level in range(2, longest + 1):
-        walked = tree.unionByName(bitmaps).repartition("shard").sortWithinPartitions("shard", "level").mapInArrow(_walk, _COUNTED)
-        over = Window.partitionBy("prefix", "word")
-        found = written(walked.withColumn("a", F.sum("n").over(over)).where(F.col("a") >= least).select("shard", "prefix", "word", "suffix", "a"))
-        each = found.groupBy("prefix", "word").agg(F.any_value("suffix").alias("suffix"), F.any_value("a").alias("a"))
-        before, after = phrases[-1], phrases[-1].select(F.col("id").alias("suffix"), F.col("lasts").alias("lasts"))
+        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk, _COUNTED)
+        found = numbered(walked, "prefix", "word")
+        each = found.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("prefix", "word", "suffix", "a")))
+        before, after = phrases[-1].select(F.col("id").alias("prefix"), "lang", "phrase", "firsts"), phrases[-1].select(F.col("id").alias("suffix"), "lasts")
         last = phrases[0].select(F.col("id").alias("word"), F.col("phrase").alias("last"))
-        joined = each.join(before.select(F.col("id").alias("prefix"), "lang", "phrase", "firsts"), "prefix").join(after, "suffix").join(last, "word")
-        made = joined.select(
-            number.alias("id"), "lang", F.concat("phrase", F.lit(b" "), "last").alias("phrase"), "a", "prefix", "suffix", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts"), "word",
-        )
-        numbered = written(made)
-        phrases.append(numbered.drop("word"))
-        if level < longest:
-            local = found.select("shard", "prefix", "word", "suffix").join(numbered.select("id", "prefix", "word"), ["prefix", "word"])
-            tree = tree.unionByName(written(local.select("shard", F.lit(level).alias("level"), "id", "prefix", "word", "suffix", blank)))
+        joined = each.join(before, "prefix").join(after, "suffix").join(last, "word")
+        phrase = F.concat("phrase", F.lit(b" "), "last").alias("phrase")
+        phrases.append(written(joined.select("id", "lang", phrase, "a", "prefix", "suffix", F.concat("firsts", F.array("a")).alias("firsts"), F.concat("lasts", F.array("a")).alias("lasts"))))
+        tree = tree.unionByName(found.select("bundle", zero.alias("shard"), F.lit(level).alias("level"), "id", "prefix", "word", "suffix", blank))
     return phrases, totals
 
 
@@ -318,10 +364,10 @@ def _lowest_cut(length: int) -> Column:
     return F.array_min(F.array(*cuts))
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, positions: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, positions: int = SHARD, bundle: int = BUNDLE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to `longest` words by score, count
     and bytes, without those that a longer one of the same count contains."""
-    phrases, totals = frequent_phrases(docs, lang_col, text_col, least, longest, positions)
+    phrases, totals = frequent_phrases(docs, lang_col, text_col, least, longest, positions, bundle)
     scored = None
     for length in range(2, longest + 1):
         own = phrases[length - 1]

@@ -203,12 +203,12 @@ def made_texts(rng):
     return [(rng.choice(["en", "en", "de", None, "", "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\x0b", "\r\n"]) for _ in range(rng.randint(0, 60)))) for _ in range(120)]
 
 
-@pytest.mark.parametrize("positions, parts", [(1 << 21, 1), (64, 5)])
-def test_collocations(spark, positions, parts):
+@pytest.mark.parametrize("positions, bundle, parts", [(1 << 21, 1 << 22, 1), (64, 300, 5)])
+def test_collocations(spark, positions, bundle, parts):
     rng = random.Random(13)
     rows = made_texts(rng) + [("en", None), ("en", ""), (None, None), ("en", "..."), ("xx", "")] + [("en", "one two three four five six seven. one two three")] * 12 + [("de", "the the the the the the the " * 40), ("en", "long " * 3000)]
     frame = spark.createDataFrame(rows, "lang string, text string").withColumns({"shard": F.lit(1), "words": F.lit(2), "prefix": F.lit(3), "n": F.lit(4)}).repartition(parts)
-    got = sorted(map(tuple, phrases.collocations(frame, least=6, top=40, positions=positions).collect()))
+    got = sorted(map(tuple, phrases.collocations(frame, least=6, top=40, positions=positions, bundle=bundle).collect()))
     assert got == sorted(brute_phrases(rows, 6, 5, 40)) and len(got) > 60
     assert phrases.collocations(frame.where("false")).count() == 0
 
