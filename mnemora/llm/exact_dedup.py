@@ -7,10 +7,10 @@ deleted. The steps:
    spreads the groups; the text in the grouping key means that members of a hash group are compared
    byte by byte, so an MD5 collision ends in two classes. Aggregation is partial: a task sends each
    of its texts once, however many copies it holds, so a hot group arrives as one row per task.
-2. *Membership.* Narrow rows (id, MD5, SHA-256) join the classes on both hashes. Should two classes
-   ever agree in both, the query stops with an error instead of merging them. Classes, which are narrow too, are
-   written to the shared folder first, so that nothing but sorts stands between the join and its
-   exchanges: then adaptive execution splits the join where a group of copies is hot.
+2. *Membership.* Narrow rows (id, MD5, SHA-256, and XXH64 and length as a check) join the classes on both hashes. Should two
+   classes ever agree in both, their rows meet a class with another check, and the query stops with an error instead of merging
+   them. Only sorts stand between the join and its exchanges, so that adaptive execution splits the join where a group
+   of copies is hot.
 
 Texts are shuffled once at most; nothing is collected or broadcast by hint.
 
@@ -25,10 +25,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import column, whole_text, written
+from .base import column, whole_text
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: A length of one more counts for more than any two 64-bit ids are apart.
@@ -41,7 +41,7 @@ def normalised(column: str) -> Column:
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct normalised text: content_md5, text_sha256, group_size, keep_id."""
+    """One row per distinct normalised text: content_md5, text_sha256, group_size, keep_id, check."""
     source = docs.select(column(id_col).cast("long").alias("id"), F.char_length(whole_text(text_col)).alias("n"), normalised(text_col).alias("norm"))
     # One fixed-width number orders (length, smallest id), so that the aggregation stays a hash aggregation.
     rank = F.col("n").cast("decimal(10,0)") * _LENGTH_UNIT - F.col("id").cast(_SCALE)
@@ -51,20 +51,20 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.max(rank).alias("rank"),
     )
     keep = (F.col("longest").cast("decimal(10,0)") * _LENGTH_UNIT - F.col("rank")).cast("long")
-    return grouped.select("content_md5", F.sha2("norm", 256).alias("text_sha256"), "group_size", keep.alias("keep_id"))
+    return grouped.select("content_md5", F.sha2("norm", 256).alias("text_sha256"), "group_size", keep.alias("keep_id"), _check("norm").alias("check"))
+
+
+def _check(norm: str) -> Column:
+    return F.struct(F.xxhash64(norm), F.octet_length(norm))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: <id_col>, keep_id, group_size, kept, text_sha256, content_md5."""
     narrow = docs.select(column(id_col).alias("__id"), normalised(text_col).alias("__norm")).select(
-        "__id", F.unhex(F.md5("__norm")).alias("content_md5"), F.sha2("__norm", 256).alias("text_sha256")
-    )
-    both = Window.partitionBy("content_md5", "text_sha256")
-    classes = written(
-        exact_classes(docs, id_col, text_col)
-        .withColumn("__same", F.count(F.lit(1)).over(both))
-        .withColumn("group_size", F.when(F.col("__same") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts agree in MD5 and SHA-256"))))
+        "__id", F.unhex(F.md5("__norm")).alias("content_md5"), F.sha2("__norm", 256).alias("text_sha256"), _check("__norm").alias("__check")
     )
-    return narrow.join(classes, ["content_md5", "text_sha256"]).select(
-        F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.lower(F.hex("content_md5")).alias("content_md5")
+    met = narrow.join(exact_classes(docs, id_col, text_col), ["content_md5", "text_sha256"])
+    size = F.when(F.col("__check") == F.col("check"), F.col("group_size")).otherwise(F.raise_error(F.lit("two texts agree in MD5 and SHA-256")))
+    return met.select(
+        F.col("__id").alias(id_col), "keep_id", size.alias("group_size"), F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.lower(F.hex("content_md5")).alias("content_md5")
     )
