@@ -214,6 +214,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: <id_col>, fingerprint (16 lower-case hex digits), component_id."""
     prints = written(fingerprints(docs, id_col, text_col))
     nodes = written(prints.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("node")))
-    component = connected_components(near_links(nodes, hot_shard))
+    component = connected_components(written(near_links(nodes, hot_shard)))
     labels = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
