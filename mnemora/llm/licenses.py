@@ -177,8 +177,11 @@ def _containment(span: int, hashes: list[int], least: list[int], everywhere: boo
         at = F.sequence(F.lit(0), F.floor((F.size("sh") - 1) / stride).cast("int"))
     windows = F.transform(at, lambda k: F.slice("sh", k * stride + 1, width))
     agrees = lambda w: F.exists(F.arrays_zip(_longs(band_masks()).alias("mask"), _longs(least).alias("least")), lambda b: F.array_min(F.transform(w, lambda x: x.bitwiseXOR(b["mask"]))) == b["least"])
-    shares = F.transform(F.filter(windows, agrees), lambda w: F.size(F.array_intersect(w, every)) / F.lit(float(len(hashes))))
-    return F.coalesce(F.when(F.col("sh").isNotNull() if everywhere else F.size("anchors") > 0, F.array_max(shares)), F.lit(0.0))
+    # a band agrees through a shingle of the template, so what holds none of them needs no minima
+    retrieved = F.filter(F.filter(windows, lambda w: F.arrays_overlap(w, every)), agrees)
+    shares = F.transform(retrieved, lambda w: F.size(F.array_intersect(w, every)) / F.lit(float(len(hashes))))
+    sought = F.arrays_overlap("sh", every) if everywhere else (F.size("anchors") > 0) & F.arrays_overlap("sh", every)
+    return F.coalesce(F.when(sought, F.array_max(shares)), F.lit(0.0))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
