@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .base import column, map_slices, slices, whole_text, written
 
@@ -260,7 +261,8 @@ FIT_TASKS = 16
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fits on at most per_class rows of each class, none of fold 0."""
     known = labels.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    known = known.where(fold_of("id") != 0)
+    # a label without a document can't be read, so it must not take the place of one that can
+    known = known.where(fold_of("id") != 0).join(docs.select(column(id_col).cast("long").alias("id")), "id", "left_semi")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [r for k in sorted(counts) for r in known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     model = Model(np.zeros((0, DIM)), np.zeros((0, DIM)), constant=0.5)
@@ -298,7 +300,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc
         yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], ["id", *names, "score"])
 
     source = docs.select(column(id_col).alias("id"), *(column(c).alias(n) for c, n in zip(keep, names, strict=True)), whole_text(text_col).alias("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", score double"
+    schema = StructType([f for f in source.schema if f.name != "text"]).add("score", "double")
     scored = map_slices(source, "text", make, schema)
     return scored.select(
         F.col("id").alias(id_col), *(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), (fold_of("id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

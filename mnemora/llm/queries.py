@@ -44,6 +44,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_column(read_table(spark, sf_dir, "documents")))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed shots of op5's files."""
+    return media.clips(media.media_column(read_table(spark, sf_dir, "documents")))
+
+
 #: Both turns of the conversation that op6 adds.
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -95,7 +100,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_simhash, op3_packing, op4_bpe, op5_media, op6_chat, op7_line_dedup, op8_quality, op9_token_counts, op10_license_scan, op11_pii, op12_hard_negatives, op13_phrases,
+        op1_exact_dedup, op2_simhash, op3_packing, op4_bpe, op5_media, op6_chat, op7_line_dedup, op8_quality, op9_token_counts, op10_license_scan, op11_pii, op12_hard_negatives, op13_phrases, media_clips,
     )
 }
 
