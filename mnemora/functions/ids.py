@@ -49,6 +49,17 @@ def evidence_item(kind: str | Column, message: str | Column, data: Column) -> Co
     return F.struct(F.concat(F.lit('{"data":'), data, F.lit(',"kind":"'), kind, F.lit('"}')).alias("identity"), message.alias("message"), kind.alias("kind"), data.alias("data"))
 
 
+def finding_head(checker_id: str, rule) -> str:
+    """What the hash of a finding's id starts with, up to its evidence."""
+    return f'{{"checker_id":"{checker_id}","checker_version":"{rule.checker_version}","defect_class":"{rule.defect_class}","evidence":['
+
+
+def finding_name(digest) -> str:
+    """The id of a finding whose hash has taken all but the end."""
+    digest.update(b"]}")
+    return f"finding-{digest.hexdigest()[:24]}"
+
+
 def finding_id(checker_id: str, checker_version: str, defect_class: str, items: Column, memory_ids: Column) -> Column:
     """`finding-` and 24 hex digits over the checker, the class, sorted evidence and sorted memories."""
     head = f'{{"checker_id":"{checker_id}","checker_version":"{checker_version}","defect_class":"{defect_class}","evidence":['

@@ -6,12 +6,15 @@ transcript leaves a plan, only hashes, lengths and coordinates.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import evidence_item, finding_id, json_of
+from ..functions.ids import evidence_item, finding_head, finding_id, finding_name, json_of, json_string
 from ..functions.judges import Judge, identity, with_judgment
 from ..functions.text import is_blank, with_folded
 from ..model import RULES_BY_CHECKER, SCOPE_DIMENSIONS
@@ -111,23 +114,75 @@ def scoped(memories: DataFrame) -> DataFrame:
     return memories.where(F.coalesce(*(F.col(f"scope.{d}") for d in SCOPE_DIMENSIONS)).isNotNull())
 
 
+_GROUP = (*SCOPE_DIMENSIONS, "sha", "folded_length")
+
+
+def _claims(memories: DataFrame) -> DataFrame:
+    """(id, user_id, agent_id, session_id, sha, folded_length, exact) of memories with a scope."""
+    rows = scoped(memories).select("id", "content", *(F.col(f"scope.{d}").alias(d) for d in SCOPE_DIMENSIONS))
+    return with_folded(rows).select("id", *SCOPE_DIMENSIONS, F.sha2("folded", 256).alias("sha"), F.char_length("folded").alias("folded_length"), F.sha2("content", 256).alias("exact"))
+
+
 def duplicate_groups(memories: DataFrame) -> DataFrame:
     """Groups of equivalent content in one scope, null parts of a scope equal: user_id, agent_id,
     session_id, sha (of the folded content), folded_length, memory_ids, n, is_exact."""
-    rows = scoped(memories).select("id", "content", *(F.col(f"scope.{d}").alias(d) for d in SCOPE_DIMENSIONS))
-    keyed = with_folded(rows).select("id", *SCOPE_DIMENSIONS, F.sha2("folded", 256).alias("sha"), F.char_length("folded").alias("folded_length"), F.sha2("content", 256).alias("exact"))
-    grouped = keyed.groupBy(*SCOPE_DIMENSIONS, "sha", "folded_length").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("memory_ids"), (F.min("exact") == F.max("exact")).alias("is_exact"))
+    grouped = _claims(memories).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("memory_ids"), (F.min("exact") == F.max("exact")).alias("is_exact"))
     return grouped.where("n >= 2")
 
 
-def redundancy_bloat(memories: DataFrame) -> CheckResult:
-    name = "redundancy_bloat"
-    groups = duplicate_groups(memories)
+def _duplicate_evidence() -> tuple[Column, Column, Column]:
+    """Kind, message and data of a group's evidence."""
     kind = F.when(F.col("is_exact"), "exact").otherwise("normalized")
     scope = F.struct(*(F.col(d).alias(d) for d in sorted(SCOPE_DIMENSIONS)))
     data = json_of(match_kind=kind, normalized_content_length=F.col("folded_length"), normalized_content_sha256=F.col("sha"), scope=scope)
     message = F.when(F.col("is_exact"), MESSAGES["exact_duplicate"]).otherwise(MESSAGES["normalized_duplicate"])
-    rows = groups.select("memory_ids", F.array(evidence_item(F.concat(kind, F.lit("_duplicate")), message, data)).alias("items"))
+    return F.concat(kind, F.lit("_duplicate")), message, data
+
+
+def duplicate_members(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The findings of redundancy_bloat without lists of members, for groups that no row can hold: (finding_id, n, kind, message,
+    data) and (finding_id, id), a row per member, as tables.
+
+    A finding's id is a hash over the sorted ids of its group. Members are dealt by group and sorted by id within it, and a
+    task hashes them as they pass; neither it nor the aggregation before it, which counts, ever holds a group. The
+    ids of findings go back to the members by a join that adaptive execution splits where a group is hot."""
+    kind, message, data = _duplicate_evidence()
+    claims = written(_claims(memories))
+    sizes = claims.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), (F.min("exact") == F.max("exact")).alias("is_exact")).where("n >= 2")
+    key = F.sha2(F.to_json(F.struct(*_GROUP)), 256).alias("key")
+    groups = written(sizes.select(key, "n", kind.alias("kind"), message.alias("message"), data.alias("data")))
+    head = finding_head("redundancy_bloat", RULES_BY_CHECKER["redundancy_bloat"])
+    start = F.concat(F.lit(head), F.lit('{"data":'), F.col("data"), F.lit(',"kind":"'), F.col("kind"), F.lit('"}],"memory_ids":['))
+    members = claims.select("id", key).join(groups.select("key"), "key")
+    # a group's first row, before all ids, brings what its hash starts with
+    streamed = members.select("key", F.lit(1).alias("place"), "id", json_string(F.col("id")).alias("text")).unionByName(groups.select("key", F.lit(0).alias("place"), F.lit("").alias("id"), start.alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = digest = None
+        first = True
+        for batch in batches:
+            done = []
+            for k, place, text in zip(batch.column("key").to_pylist(), batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if place == 0:
+                    if key is not None:
+                        done.append((key, finding_name(digest)))
+                    key, digest, first = k, hashlib.sha256(text.encode()), True
+                else:
+                    digest.update((text if first else f",{text}").encode())
+                    first = False
+            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in (0, 1)], ["key", "finding_id"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (key, finding_name(digest))], ["key", "finding_id"])
+
+    hashed = streamed.repartition("key").sortWithinPartitions("key", "place", "id").select("key", "place", "text").mapInArrow(run, "key string, finding_id string")
+    named = written(hashed)
+    return groups.join(named, "key").select("finding_id", "n", "kind", "message", "data"), members.join(named, "key").select("finding_id", "id")
+
+
+def redundancy_bloat(memories: DataFrame) -> CheckResult:
+    name = "redundancy_bloat"
+    groups = duplicate_groups(memories)
+    rows = groups.select("memory_ids", F.array(evidence_item(*_duplicate_evidence())).alias("items"))
     counts = groups.agg(_count().alias("groups"), _count(F.col("is_exact")).alias("exact"))
     everything = memories.agg(_count().alias("n"), _count(F.coalesce(*(F.col(f"scope.{d}") for d in SCOPE_DIMENSIONS)).isNull()).alias("unscoped"))
     details = {
@@ -209,8 +264,6 @@ def canonical_policy(rules: DataFrame) -> DataFrame:
     return rules.groupBy("dimension", "source_principal").agg(F.sort_array(F.collect_set("destination_principal")).alias("destination_principals"))
 
 
-#: Merged rules up to which a policy is broadcast; beyond, the join shuffles.
-BROADCAST_RULES = 10_000
 _COMPARED = ("active", "content", "created_at_text", "embedding", "provenance_status", "source_refs", "supersedes", "updated_at_text")
 
 
@@ -225,53 +278,74 @@ def _portable(memories: DataFrame) -> DataFrame:
 
 def principals(memories: DataFrame, policy: DataFrame) -> DataFrame:
     """(rule, is_source, id, principal, sha, …) of each memory that a merged rule makes a source or a
-    destination. Only those are folded: the rules are met first."""
+    destination. Only those are folded: the rules are met first, in a join that Spark broadcasts where the policy's principals
+    are few by its own measure."""
     each = _portable(memories).select("*", F.explode(F.create_map(*[x for d in SCOPE_DIMENSIONS for x in (F.lit(d), F.col(d))])).alias("dimension", "principal")).where("principal is not null")
     sides = policy.select("dimension", F.col("source_principal").alias("rule"), F.explode(F.concat(F.array("source_principal"), F.array_except("destination_principals", F.array("source_principal")))).alias("principal"))
-    met = each.join(F.broadcast(sides) if policy.count() <= BROADCAST_RULES else sides, ["dimension", "principal"])
+    met = each.join(sides, ["dimension", "principal"])
     return with_folded(met).withColumn("sha", F.sha2("folded", 256)).drop("content", "folded").withColumn("is_source", F.col("principal") == F.col("rule"))
 
 
-def replicas(found: DataFrame) -> DataFrame:
-    """Source and destination of each replica, from principals(): dimension, rule, source_id, destination_id,
-    destination_principal, sha, match_kind, differing_fields."""
-    names = [f"f_{c.removesuffix('_text')}" for c in _COMPARED]
-    keep = ["id", "principal", "exact", *names, *SCOPE_DIMENSIONS]
-    source = found.where("is_source").select("dimension", "rule", "sha", *(F.col(c).alias(f"s_{c}") for c in keep))
-    destination = found.where("not is_source").select("dimension", "rule", "sha", *(F.col(c).alias(f"d_{c}") for c in keep))
-    pairs = source.join(destination, ["dimension", "rule", "sha"])
+_CLAIM = ("dimension", "rule", "sha")
+_FIELDS = tuple(f"f_{c.removesuffix('_text')}" for c in _COMPARED)
+
+
+def _classed(found: DataFrame) -> DataFrame:
+    """principals() with class: members of a claim's side that no comparison tells apart share it."""
+    same = ("principal", "exact", *_FIELDS, *SCOPE_DIMENSIONS)
+    return found.withColumn("class", F.sha2(F.to_json(F.struct("is_source", *same)), 256))
+
+
+def replica_factors(found: DataFrame) -> DataFrame:
+    """The replicas of principals() as pairs of classes: dimension, rule, sha, source_class, destination_class,
+    destination_principal, match_kind, differing_fields, sources and destinations (how many members each class has). A claim that
+    m sources and n destinations share in the same form is one row, and sources * destinations replicas."""
+    keep = ("principal", "exact", *_FIELDS, *SCOPE_DIMENSIONS)
+    classes = _classed(found).groupBy(*_CLAIM, "is_source", "class").agg(F.count(F.lit(1)).alias("n"), *(F.any_value(c).alias(c) for c in keep))
+    side = lambda condition, name: classes.where(condition).select(*_CLAIM, *(F.col(c).alias(f"{name}_{c}") for c in ("class", "n", *keep)))
+    pairs = side("is_source", "s").join(side("not is_source", "d"), list(_CLAIM))
     differs = lambda c: ~F.col(f"s_{c}").eqNullSafe(F.col(f"d_{c}"))
-    parts = [F.when(differs(n), n.removeprefix("f_")) for n in names] + [F.when(differs(d) & (F.col("dimension") != d), f"scope.{d}") for d in SCOPE_DIMENSIONS]
+    parts = [F.when(differs(n), n.removeprefix("f_")) for n in _FIELDS] + [F.when(differs(d) & (F.col("dimension") != d), f"scope.{d}") for d in SCOPE_DIMENSIONS]
     return pairs.select(
-        "dimension", "rule", F.col("s_id").alias("source_id"), F.col("d_id").alias("destination_id"), F.col("d_principal").alias("destination_principal"), "sha",
+        *_CLAIM, F.col("s_class").alias("source_class"), F.col("d_class").alias("destination_class"), F.col("d_principal").alias("destination_principal"),
         F.when(F.col("s_exact") == F.col("d_exact"), "exact").otherwise("normalized").alias("match_kind"), F.sort_array(F.array_compact(F.array(*parts))).alias("differing_fields"),
+        F.col("s_n").alias("sources"), F.col("d_n").alias("destinations"),
     )
 
 
-def _replica_counts(found: DataFrame) -> list[DataFrame]:
-    """How many replicas there are (matches), and of how many destinations (emitted), from principals(): a claim that
-    m sources and n destinations share counts m * n without the pairs."""
-    claim = ["dimension", "rule", "sha"]
-    sizes = found.groupBy(*claim).agg(_count(F.col("is_source")).alias("s"), _count(~F.col("is_source")).alias("d")).where("s > 0 and d > 0")
-    reached = found.where("not is_source").select(*claim, "id").join(sizes.select(*claim), claim, "left_semi")
-    return [sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("d")), F.lit(0)).alias("matches")), reached.agg(F.count_distinct("id").alias("emitted"))]
+def _members(found: DataFrame, sources: bool) -> DataFrame:
+    """(dimension, rule, sha, source_class and source_id, or destination_class and destination_id)."""
+    name = "source" if sources else "destination"
+    return _classed(found.where("is_source" if sources else "not is_source")).select(*_CLAIM, F.col("class").alias(f"{name}_class"), F.col("id").alias(f"{name}_id"))
+
+
+def replicas(found: DataFrame) -> DataFrame:
+    """Source and destination of each replica, from principals(): dimension, rule, source_id, destination_id,
+    destination_principal, sha, match_kind, differing_fields. The factors, written out."""
+    whole = replica_factors(found).join(_members(found, True), [*_CLAIM, "source_class"]).join(_members(found, False), [*_CLAIM, "destination_class"])
+    return whole.select("dimension", "rule", "source_id", "destination_id", "destination_principal", "sha", "match_kind", "differing_fields")
 
 
 def privacy_scope_violation(memories: DataFrame, rules: DataFrame) -> CheckResult:
+    """Evidence is rendered once for all destinations of a class, since it does not name them; counts come from the factors."""
     name = "privacy_scope_violation"
     policy = canonical_policy(rules)
     found = written(principals(memories, policy))  # narrow: hashes and short fields, read by both sides and the counts
-    pairs = replicas(found)
+    factors = written(replica_factors(found))
     data = json_of(
         authoritative_source_memory_id=F.col("source_id"), authoritative_source_principal=F.col("rule"), destination_principal=F.col("destination_principal"), differing_fields=F.col("differing_fields"),
         match_kind=F.col("match_kind"), normalized_content_sha256=F.col("sha"), scope_dimension=F.col("dimension"),
     )
     item = evidence_item("prohibited_scope_replica", MESSAGES["prohibited_scope_replica"], data)
-    grouped = pairs.groupBy("destination_id").agg(F.collect_list(item).alias("items")).select(F.array("destination_id").alias("memory_ids"), "items")
+    rendered = factors.join(_members(found, True), [*_CLAIM, "source_class"]).groupBy(*_CLAIM, "destination_class").agg(F.collect_list(item).alias("items"))
+    reached = _members(found, False)
+    met = reached.join(rendered, [*_CLAIM, "destination_class"])
+    grouped = met.groupBy("destination_id").agg(F.flatten(F.collect_list("items")).alias("items")).select(F.array("destination_id").alias("memory_ids"), "items")
     row = _together(
         memories.agg(_count().alias("n")), policy.agg(_count().alias("rules")),
         found.agg(_count(F.col("is_source")).alias("sources"), _count(~F.col("is_source")).alias("destinations")),
-        *_replica_counts(found),
+        factors.agg(F.coalesce(F.sum(F.col("sources") * F.col("destinations")), F.lit(0)).alias("matches")),
+        reached.join(factors.select(*_CLAIM).distinct(), list(_CLAIM), "left_semi").agg(F.count_distinct("destination_id").alias("emitted")),
     )
     details = {"policy_rules_scanned": F.col("rules"), "authoritative_candidates": F.col("sources"), "destination_candidates": F.col("destinations"), "replica_matches": F.col("matches")}
     return CheckResult(name, _findings(grouped, name), _stats(row, name, F.col("n"), F.col("emitted"), details))
@@ -289,21 +363,35 @@ def premises(memories: DataFrame, transcripts: DataFrame, turns: DataFrame) -> D
     return memories.where("provenance_status = 'declared'").select("id", "content").join(broken, "id", "left").join(whole, "id", "left").withColumn("outcome", outcome).drop("broken")
 
 
-def judged(memories: DataFrame, transcripts: DataFrame, turns: DataFrame, judge: Judge) -> DataFrame:
-    """premises() of outcome `assess`, with the judgment. Equal pairs of texts are judged once each."""
-    ready = premises(memories, transcripts, turns).where("outcome = 'assess'")
-    keyed = ready.withColumn("pair", F.sha2(F.concat_ws(":", F.sha2("premise", 256), F.sha2("content", 256)), 256))
-    asked = with_judgment(keyed.groupBy("pair").agg(F.any_value("premise").alias("premise"), F.any_value("content").alias("content")), judge).select("pair", "judgment")
+def _paired(found: DataFrame) -> DataFrame:
+    """premises() as a table, so that the evidence is joined once: texts only where they are assessed, hashes of them, and pair, which equal
+    pairs of texts share; what is not assessed is a pair of its own."""
+    assess = F.col("outcome") == "assess"
+    shas = {f"{c}_sha": F.sha2(c, 256) for c in ("content", "premise")}
+    pair = F.when(assess, F.sha2(F.concat_ws(":", "premise_sha", "content_sha"), 256)).otherwise(F.concat(F.lit("-"), F.col("id")))
+    texts = [F.when(assess, F.col(c)).alias(c) for c in ("premise", "content")]
+    return written(found.withColumns(shas).select("id", "outcome", pair.alias("pair"), *texts, "content_sha", "premise_sha", "coordinates", "unique_segment_count"))
+
+
+def _answered(paired: DataFrame, judge: Judge) -> DataFrame:
+    """_paired() without texts, with the judgment, null where nothing is assessed. Equal pairs of texts are judged once each."""
+    texts = paired.where("outcome = 'assess'").groupBy("pair").agg(F.any_value("premise").alias("premise"), F.any_value("content").alias("content"))
+    asked = with_judgment(texts, judge).select("pair", "judgment")
     failed = F.when(F.col("judgment.status") == "failed", F.raise_error(F.concat(F.lit("the semantic judgment failed for memory "), F.col("id")))).otherwise(F.col("judgment"))
-    return keyed.join(asked, "pair").withColumn("judgment", failed)
+    return paired.drop("premise", "content").join(asked, "pair", "left").withColumn("judgment", failed)
+
+
+def judged(memories: DataFrame, transcripts: DataFrame, turns: DataFrame, judge: Judge) -> DataFrame:
+    """premises() of outcome `assess`, without texts, with the judgment."""
+    return _answered(_paired(premises(memories, transcripts, turns)), judge).where("outcome = 'assess'")
 
 
 def unsupported_claim(memories: DataFrame, transcripts: DataFrame, turns: DataFrame, judge: Judge) -> CheckResult:
     name = "unsupported_claim"
     judge_id, judge_version = identity(judge)
     # the judge is asked once; only hashes of texts are kept
-    kept = ["id", "judgment", "coordinates", "unique_segment_count", F.sha2("content", 256).alias("content_sha"), F.sha2("premise", 256).alias("premise_sha")]
-    answers = written(judged(memories, transcripts, turns, judge).select(*kept))
+    everything = written(_answered(_paired(premises(memories, transcripts, turns)), judge))
+    answers = everything.where("outcome = 'assess'")
     data = json_of(
         composition_style=F.lit("plain"), hypothesis_sha256=F.col("content_sha"), judge_id=F.lit(judge_id), judge_version=F.lit(judge_version), premise_sha256=F.col("premise_sha"),
         semantic_relation=F.col("judgment.relation"), source_coordinates=F.col("coordinates"), unique_segment_count=F.col("unique_segment_count"),
@@ -313,7 +401,7 @@ def unsupported_claim(memories: DataFrame, transcripts: DataFrame, turns: DataFr
     relation = F.col("judgment.relation")
     row = _together(
         memories.agg(_count().alias("n"), _count(F.col("provenance_status") == "declared").alias("declared")),
-        premises(memories, transcripts, turns).agg(_count(F.col("outcome") == "resolution_issues").alias("issues"), _count(F.col("outcome") == "no_evidence").alias("nothing")),
+        everything.agg(_count(F.col("outcome") == "resolution_issues").alias("issues"), _count(F.col("outcome") == "no_evidence").alias("nothing")),
         answers.agg(
             _count(F.col("judgment.status") == "too_long").alias("long"), _count(F.col("judgment.status") == "ok").alias("assessed"),
             *(_count(relation == r).alias(r) for r in ("entailment", "neutral", "contradiction")),

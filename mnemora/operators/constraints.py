@@ -55,12 +55,15 @@ def observation_violations(observations: DataFrame) -> DataFrame:
     ids, ranks = F.transform("hits", lambda h: h["memory_id"]), F.transform("hits", lambda h: h["rank"])
     unique = lambda a: F.size(F.array_distinct(a)) == F.size(a)
     rules = {
-        "expected_invalid": (F.size("expected_memory_ids") == 0) | F.exists("expected_memory_ids", _blank) | ~unique(F.col("expected_memory_ids")),
-        "ranks_invalid": F.exists(ranks, lambda r: r < 1) | ~unique(ranks),
+        "expected_invalid": F.col("expected_memory_ids").isNull() | (F.size("expected_memory_ids") == 0) | F.exists("expected_memory_ids", _blank) | ~unique(F.col("expected_memory_ids")),
+        "ranks_invalid": F.exists(ranks, lambda r: r.isNull() | (r < 1)) | ~unique(ranks),
         "hit_ids_repeated": ~unique(ids),
+        "hit_id_blank": F.exists(ids, _blank),
+        "hits_missing": F.col("hits").isNull(),
         "more_hits_than_top_k": F.size("hits") > F.col("top_k"),
-        "top_k_invalid": F.col("top_k") < 1,
-        "query_hash_invalid": ~F.col("query_sha256").rlike(r"\A[0-9a-f]{64}\z"),
+        "top_k_invalid": F.col("top_k").isNull() | (F.col("top_k") < 1),
+        "query_hash_invalid": F.col("query_sha256").isNull() | ~F.col("query_sha256").rlike(r"\A[0-9a-f]{64}\z"),
+        "usage_invalid": F.greatest(*(F.coalesce(F.col(c), F.lit(-1)) < 0 for c in ("retrieval_calls", "candidate_count"))),
         "identity_blank": _blank(F.col("request_id")) | _blank(F.col("retriever_id")) | _blank(F.col("retriever_version")),
         "score_invalid": F.exists("hits", lambda h: F.isnan(h["score"]) | (F.abs(h["score"]) == float("inf"))),
     }

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import canonical, json_of, short_hash
+from ..functions.ids import canonical, json_of, json_string, short_hash
 from ..model import DEFECT_CLASSES, MANIFEST_SCHEMA, SCHEMA_VERSION, SCOPE_DIMENSIONS, TAXONOMY_VERSION
 from . import evidence as ev
 from .constraints import require_valid_memories
@@ -128,14 +131,54 @@ def canonical_rows(memories: DataFrame) -> DataFrame:
     return memories.select("id", F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"embedding":'), embedding, F.lit(","), F.substring(rest, F.lit(2), F.char_length(rest))).alias("json"))
 
 
+def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str) -> str:
+    """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel and sorted by ranges; one task
+    reads the ranges one after another and hashes what passes, and only the digest reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256(head.encode())
+        for batch in batches:
+            for text in batch.column("text"):
+                digest.update(text.as_buffer())
+        digest.update(tail.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
+
+    found = rows.orderBy(*by).select("text").coalesce(1).mapInArrow(run, "digest string").first()
+    return found["digest"] if found else hashlib.sha256((head + tail).encode()).hexdigest()
+
+
+def _separated(rows: DataFrame, by: str, text: Column) -> DataFrame:
+    """rows with text, a comma before all but the first."""
+    first = rows.agg(F.min(by).alias("first"))
+    return rows.join(F.broadcast(first)).withColumn("text", F.when(F.col(by) == F.col("first"), text).otherwise(F.concat(F.lit(","), text))).drop("first")
+
+
 def store_digest(memories: DataFrame, adapter: str = "file") -> str:
-    """SHA-256 over the store's canonical JSON in id order. It is one serial hash by definition: rows are
-    rendered and sorted in parallel, and stream through the driver a partition at a time."""
-    digest = hashlib.sha256(f'{{"adapter":{canonical(adapter)},"memories":['.encode())
-    for k, r in enumerate(canonical_rows(memories).orderBy("id").toLocalIterator()):
-        digest.update(("," * bool(k) + r["json"]).encode())
-    digest.update(f'],"schema_version":"{SCHEMA_VERSION}"}}'.encode())
-    return digest.hexdigest()
+    """SHA-256 over the store's canonical JSON in id order. It is one serial hash by definition; store_merkle is a parallel one."""
+    rows = _separated(canonical_rows(memories), "id", F.col("json"))
+    return _ordered_digest(rows, ["id"], f'{{"adapter":{canonical(adapter)},"memories":[', f'],"schema_version":"{SCHEMA_VERSION}"}}')
+
+
+#: Records under a leaf of the Merkle tree, on average, and children of an inner node.
+LEAF_RECORDS, CHILDREN_BITS = 4096, 8
+
+
+def store_merkle(memories: DataFrame) -> str:
+    """The root of a Merkle tree over the store, in parallel aggregations: another value than store_digest. A record belongs to the leaf that
+    the first bits of its hash name, as many as make leaves of 4,096 records on average; a node's hash is over its children's
+    in order, 256 at a time. Neither the order nor the partitions of the store matter."""
+    hashed = canonical_rows(memories).select(F.sha2("json", 256).alias("h"))
+    bits = max(0, math.ceil(math.log2(max(1, hashed.count() / LEAF_RECORDS))))
+    leaf = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long")
+    level = hashed.select(leaf.alias("node"), F.col("h").alias("place"), "h")
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy("node").agg(F.sha2(joined, 256).alias("h"))
+        if bits <= 0:
+            found = level.first()
+            return found["h"] if found else hashlib.sha256(b"").hexdigest()
+        bits = max(0, bits - CHILDREN_BITS)
+        level = level.select((F.shiftright("node", CHILDREN_BITS) if bits else F.lit(0).cast("long")).alias("node"), F.lpad(F.col("node").cast("string"), 20, "0").alias("place"), "h")
 
 
 def store_fingerprint(memories: DataFrame) -> str:
@@ -145,22 +188,34 @@ def store_fingerprint(memories: DataFrame) -> str:
     return hashlib.sha256(f"{row['n']}:{row['x']}:{row['s']}".encode()).hexdigest()
 
 
+def _turn_rows(known: DataFrame, turns: DataFrame) -> DataFrame:
+    """(transcript_id, turn_idx, text): the parts of the transcripts' canonical JSON. A transcript's opening is of turn -1, its end
+    after all turns, so that no row holds a transcript. Free metadata passes through Python, the rest is written in the JVM."""
+    optional = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    free = F.udf(lambda text: canonical(json.loads(text)) if text else "{}", "string", useArrow=True)
+    quoted = lambda c: F.coalesce(json_string(F.col(c)), F.lit("null"))
+    heads = known.select("transcript_id", optional(known, "metadata")).withColumn("metadata", free("metadata"))
+    opening = F.concat(F.lit('{"id":'), quoted("transcript_id"), F.lit(',"metadata":'), F.col("metadata"), F.lit(',"turns":['))
+    rows = turns.select("transcript_id", "turn_idx", "role", "content", optional(turns, "timestamp_text"), optional(turns, "metadata")).withColumn("metadata", free("metadata"))
+    first = turns.groupBy("transcript_id").agg(F.min("turn_idx").alias("first"))
+    turn = F.concat(
+        F.when(F.col("turn_idx") == F.col("first"), "").otherwise(","), F.lit('{"content":'), quoted("content"), F.lit(',"index":'), F.col("turn_idx").cast("string"), F.lit(',"metadata":'), F.col("metadata"),
+        F.lit(',"role":'), quoted("role"), F.lit(',"timestamp":'), quoted("timestamp_text"), F.lit("}"),
+    )
+    told = rows.join(first, "transcript_id").join(known.select("transcript_id"), "transcript_id", "left_semi")
+    parts = [heads.select("transcript_id", F.lit(-1).cast("long").alias("turn_idx"), opening.alias("text")), told.select("transcript_id", F.col("turn_idx").cast("long").alias("turn_idx"), turn.alias("text"))]
+    ends = known.select("transcript_id", F.lit(2**62).alias("turn_idx"), F.lit("]}").alias("text"))
+    return parts[0].unionByName(parts[1]).unionByName(ends)
+
+
 def transcripts_digest(transcripts: tuple[DataFrame, DataFrame] | None) -> str | None:
-    """SHA-256 over transcripts and turns in order; null without transcripts."""
+    """SHA-256 over transcripts and turns in order; null without transcripts. Turns pass one by one."""
     if transcripts is None:
         return None
-    known, turns = transcripts
-    turn = F.struct("turn_idx", "role", "content", *(F.col(c) if c in turns.columns else F.lit(None).cast("string").alias(c) for c in ("timestamp_text", "metadata")))
-    grouped = known.select("transcript_id", *(F.col(c) if c in known.columns else F.lit(None).cast("string").alias(c) for c in ("metadata",))).join(turns.groupBy("transcript_id").agg(F.array_sort(F.collect_list(turn)).alias("t")), "transcript_id", "left")
-    digest = hashlib.sha256(f'{{"schema_version":"{SCHEMA_VERSION}","transcripts":['.encode())
-    import json
-
-    free = lambda s: json.loads(s) if s else {}
-    for k, r in enumerate(grouped.orderBy("transcript_id").toLocalIterator()):
-        items = [{"content": t["content"], "index": t["turn_idx"], "metadata": free(t["metadata"]), "role": t["role"], "timestamp": t["timestamp_text"]} for t in r["t"] or []]
-        digest.update(("," * bool(k) + canonical({"id": r["transcript_id"], "metadata": free(r["metadata"]), "turns": items})).encode())
-    digest.update(b"]}")
-    return digest.hexdigest()
+    rows = _turn_rows(*transcripts)
+    first = transcripts[0].agg(F.min("transcript_id").alias("first_id"))
+    opened = rows.join(F.broadcast(first)).withColumn("text", F.when((F.col("turn_idx") == -1) & (F.col("transcript_id") != F.col("first_id")), F.concat(F.lit(","), F.col("text"))).otherwise(F.col("text")))
+    return _ordered_digest(opened, ["transcript_id", "turn_idx"], f'{{"schema_version":"{SCHEMA_VERSION}","transcripts":[', "]}")
 
 
 def derived_id(mutation_id: str, role: str, index: int = 0) -> str:

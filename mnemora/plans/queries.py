@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import json_of
 from ..functions.judges import LexicalJudge
 from ..functions.text import is_blank, with_folded
-from ..model import CAPABILITIES, CAPABILITY_FACETS, RULES_BY_CHECKER
+from ..model import CAPABILITIES, CAPABILITY_FACETS, RULES_BY_CHECKER, SCHEMA_VERSION
 from ..operators import checks as ck
 from ..operators import constraints as co
 from ..operators import evidence as ev
@@ -158,6 +158,18 @@ def c2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(ck.redundancy_bloat(_memories(spark, sf_dir)).findings)
 
 
+@query(f"SELECT finding_id, unnest(string_split(memory_ids, ',')) AS id FROM ({_ids_sql('redundancy_bloat', _C2_ITEMS)})", "folded")
+def a1_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of duplicate findings as rows, finding ids hashed from a sorted stream."""
+    return ck.duplicate_members(_memories(spark, sf_dir))[1]
+
+
+@query(f"SELECT finding_id, len(string_split(memory_ids, ','))::BIGINT AS n, kinds AS kind, data FROM ({_ids_sql('redundancy_bloat', _C2_ITEMS)})", "folded")
+def a1_duplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate findings without their lists of members."""
+    return ck.duplicate_members(_memories(spark, sf_dir))[0].select("finding_id", "n", "kind", "data")
+
+
 def _details_sql(row: str, details: dict[str, str]) -> str:
     """A row per detail of one row that has memories_scanned and findings_emitted."""
     return " UNION ALL ".join(f"SELECT memories_scanned, findings_emitted, '{k}' AS detail, {v} AS amount FROM ({row})" for k, v in details.items())
@@ -257,6 +269,19 @@ def c4_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("differing_fields", F.array_join("differing_fields", ","))
 
 
+@query(
+    f"""SELECT dimension, rule, sha, destination_principal, match_kind, array_to_string(differing, ',') AS differing_fields, count(*) AS replicas, count(DISTINCT source_id) AS sources, count(DISTINCT destination_id) AS destinations
+FROM ({_REPLICAS}) GROUP BY ALL""",
+    *_C4_VIEWS,
+)
+def j8_replica_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicas counted from pairs of classes, without writing them out."""
+    found = ck.replica_factors(ck.principals(_memories(spark, sf_dir), ck.canonical_policy(views.rules(spark))))
+    fields = F.array_join("differing_fields", ",").alias("differing_fields")
+    once = lambda side: F.aggregate(F.collect_set(F.struct(f"{side}_class", f"{side}s")), F.lit(0).cast("long"), lambda n, x: n + x[f"{side}s"]).alias(f"{side}s")
+    return found.groupBy("dimension", "rule", "sha", "destination_principal", "match_kind", fields).agg(F.sum(F.col("sources") * F.col("destinations")).alias("replicas"), once("source"), once("destination"))
+
+
 _C4_DATA = """'{"authoritative_source_memory_id":"' || source_id || '","authoritative_source_principal":"' || rule || '","destination_principal":"' || destination_principal || '","differing_fields":[' ||
   array_to_string(list_transform(differing, lambda x: '"' || x || '"'), ',') || '],"match_kind":"' || match_kind || '","normalized_content_sha256":"' || sha || '","scope_dimension":"' || dimension || '"}'"""
 _C4_ITEMS = f"SELECT [destination_id] AS ids, list({{'kind': 'prohibited_scope_replica', 'data': data}} ORDER BY data) AS items FROM (SELECT destination_id, {_C4_DATA} AS data FROM ({_REPLICAS})) GROUP BY destination_id"
@@ -788,19 +813,26 @@ def k10_turn_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.turn_violations(changed)
 
 
+_K11 = ("query_hash_invalid", "more_hits_than_top_k", "identity_blank", "ranks_invalid", "expected_invalid", "ranks_invalid", "hit_id_blank", "usage_invalid")
+
+
 @query(
-    "SELECT request_id AS id, CASE (substr(request_id, 5)::INT // 50) % 5 WHEN 0 THEN 'query_hash_invalid' WHEN 1 THEN 'more_hits_than_top_k' WHEN 2 THEN 'identity_blank' WHEN 3 THEN 'ranks_invalid' ELSE 'expected_invalid' END AS violated FROM cases",
+    f"SELECT request_id AS id, CASE (substr(request_id, 5)::INT // 50) % {len(_K11)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_K11)) + " END AS violated FROM cases",
     "cases",
 )
 def k11_observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded retrievals made to break a constraint each."""
-    place = F.floor(F.substring("request_id", 5, 20).cast("long") / 50) % 5
+    place = F.floor(F.substring("request_id", 5, 20).cast("long") / 50) % len(_K11)
+    hits = lambda **changed: F.transform("hits", lambda h: h.withField(*next(iter(changed.items()))))
+    blank = F.transform("hits", lambda h: h.withField("memory_id", F.when(h["rank"] == 1, " ").otherwise(h["memory_id"])))
+    lost = F.transform("hits", lambda h: h.withField("rank", F.when(h["rank"] > 1, h["rank"])))
     broken = views.observations(spark, sf_dir).withColumns({
         "query_sha256": F.when(place == 0, F.upper("query_sha256")).otherwise(F.col("query_sha256")),
         "top_k": F.when(place == 1, F.size("hits") - 1).otherwise(F.col("top_k")),
         "retriever_id": F.when(place == 2, " \u3000").otherwise(F.col("retriever_id")),
-        "hits": F.when(place == 3, F.transform("hits", lambda h: h.withField("rank", F.lit(1)))).otherwise(F.col("hits")),
+        "hits": F.when(place == 3, hits(rank=F.lit(1))).when(place == 5, lost).when(place == 6, blank).otherwise(F.col("hits")),
         "expected_memory_ids": F.when(place == 4, F.concat("expected_memory_ids", "expected_memory_ids")).otherwise(F.col("expected_memory_ids")),
+        "candidate_count": F.when(place == 7, F.lit(-1).cast("long")).otherwise(F.col("candidate_count")),
     })
     return co.observation_violations(broken)
 
@@ -830,17 +862,49 @@ views.SQL["link_json"] = "SELECT src AS id, string_agg('\"' || dst || '\"', ','
 views._NEEDS["ref_json"], views._NEEDS["link_json"] = ["refs"], ["links"]
 
 
-@query(
-    "SELECT m.id, sha256('{\"active\":' || coalesce(active::VARCHAR, 'null') || ',\"content\":' || to_json(content)::VARCHAR || ',\"created_at\":null,\"embedding\":null,\"id\":\"' || m.id || '\",\"provenance_status\":\"' || provenance_status || "
-    "'\",\"scope\":{\"agent_id\":null,\"session_id\":null,\"user_id\":' || coalesce('\"' || user_id || '\"', 'null') || '},\"source_refs\":[' || coalesce(r.t, '') || '],\"supersedes\":[' || coalesce(l.t, '') || '],\"updated_at\":null}') AS record_sha256 "
-    "FROM memories m LEFT JOIN ref_json r ON r.id = m.id LEFT JOIN link_json l ON l.id = m.id",
-    "memories", "ref_json", "link_json",
-)
+_RECORD_VIEWS = ("memories", "ref_json", "link_json")
+_RECORD_JSON = (
+    "SELECT m.id, '{\"active\":' || coalesce(active::VARCHAR, 'null') || ',\"content\":' || to_json(content)::VARCHAR || ',\"created_at\":null,\"embedding\":null,\"id\":\"' || m.id || '\",\"provenance_status\":\"' || provenance_status || "
+    "'\",\"scope\":{\"agent_id\":null,\"session_id\":null,\"user_id\":' || coalesce('\"' || user_id || '\"', 'null') || '},\"source_refs\":[' || coalesce(r.t, '') || '],\"supersedes\":[' || coalesce(l.t, '') || '],\"updated_at\":null}' AS json "
+    "FROM memories m LEFT JOIN ref_json r ON r.id = m.id LEFT JOIN link_json l ON l.id = m.id"
+)
+
+
+@query(f"SELECT id, sha256(json) AS record_sha256 FROM ({_RECORD_JSON})", *_RECORD_VIEWS)
 def a18_canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's portable fields as canonical JSON, of which a store's digest is made."""
     return mu.canonical_rows(_memories(spark, sf_dir)).select("id", F.sha2("json", 256).alias("record_sha256"))
 
 
+_STORE_JSON = f"""'{{"adapter":"file","memories":[' || coalesce(string_agg(json, ',' ORDER BY id), '') || '],"schema_version":"{SCHEMA_VERSION}"}}'"""
+
+
+@query(f"SELECT sha256({_STORE_JSON}) AS digest FROM ({_RECORD_JSON})", *_RECORD_VIEWS)
+def a18_store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of the whole store, hashed in order by one task."""
+    return spark.createDataFrame([(mu.store_digest(_memories(spark, sf_dir)),)], "digest string")
+
+
+_TURN_JSON = """'{"content":' || to_json(content)::VARCHAR || ',"index":' || turn_idx || ',"metadata":{},"role":' || to_json(role)::VARCHAR || ',"timestamp":null}'"""
+
+
+@query(
+    f"""SELECT sha256('{{"schema_version":"{SCHEMA_VERSION}","transcripts":[' || coalesce(string_agg(json, ',' ORDER BY transcript_id), '') || ']}}') AS digest FROM (
+  SELECT transcript_id, '{{"id":"' || transcript_id || '","metadata":{{}},"turns":[' || string_agg({_TURN_JSON}, ',' ORDER BY turn_idx) || ']}}' AS json FROM turns GROUP BY transcript_id
+)""",
+    "turns",
+)
+def a19_transcripts_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all transcripts, turn by turn in order."""
+    return spark.createDataFrame([(mu.transcripts_digest(_transcripts(spark, sf_dir)),)], "digest string")
+
+
+@query()
+def a18_store_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of the store's Merkle tree."""
+    return spark.createDataFrame([(mu.store_merkle(_memories(spark, sf_dir)),)], "root string")
+
+
 @query(
     "SELECT 'r' || doc_id AS id, sha256(text) AS content_sha256, lang AS user_id, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS session_id, 'known_absent' AS provenance_status, doc_id % 2 = 0 AS active, '' AS refs, NULL::VARCHAR AS created_at_text FROM documents"
 )

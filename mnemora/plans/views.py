@@ -98,20 +98,24 @@ def top_k(vectors: DataFrame, asked: DataFrame, k: int, blocks: int = BLOCKS) ->
 
 
 def expected_vectors(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q, other): the next two vectors of a query's label, by id."""
-    after = Window.partitionBy("label").orderBy("vec_id")
-    nexts = vectors.select("vec_id", F.array_compact(F.array(F.lead("vec_id", 1).over(after), F.lead("vec_id", 2).over(after))).alias("e"))
-    return nexts.join(asked.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("q"), F.explode("e").alias("other"))
+    """(q, other): the vectors with the next two ids."""
+    nexts = asked.select(F.col("vec_id").alias("q"), F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 2)).alias("vec_id"))
+    return nexts.join(vectors.select("vec_id"), "vec_id", "left_semi").select("q", F.col("vec_id").alias("other"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded retrievals. Of three asked vectors in a row, by id, the first expects the next two ids and its nearest vector, the second its two
+    nearest, the third the next two ids, so that retrieval meets some, all, or usually none of what is expected."""
     v = _table(spark, sf_dir, "embeddings")
     asked = asked_vectors(v)
     name = lambda c: F.concat(F.lit("vec-"), c.cast("string"))
     hits = top_k(v, asked, TOP_K).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", name(F.col("vec_id")).alias("memory_id"), "score"))).alias("h"))
-    expected = expected_vectors(v, asked).groupBy("q").agg(F.collect_list(name(F.col("other"))).alias("e"))
+    nexts = expected_vectors(v, asked).groupBy("q").agg(F.collect_list(name(F.col("other"))).alias("e"))
+    nearest = lambda n: F.transform(F.slice("h", 1, n), lambda h: h["memory_id"])
+    third, others = F.floor(F.col("q") / ASKED_EVERY) % 3, F.coalesce("e", F.array().cast("array<string>"))
+    expected = F.when(third == 0, F.array_union(others, nearest(1))).when(third == 1, nearest(2)).otherwise(others)
     hit = F.transform("h", lambda h: F.struct(h["memory_id"].alias("memory_id"), h["rank"].alias("rank"), h["score"].alias("score")))
-    return hits.join(expected, "q").select(
+    return hits.join(nexts, "q", "left").withColumn("e", expected).where(F.size("e") > 0).select(
         name(F.col("q")).alias("request_id"), F.sha2(name(F.col("q")), 256).alias("query_sha256"), F.sort_array("e").alias("expected_memory_ids"), F.lit(TOP_K).alias("top_k"),
         F.lit("cosine").alias("retriever_id"), F.lit("1").alias("retriever_version"), hit.alias("hits"), F.lit(1).cast("long").alias("retrieval_calls"), F.size("h").cast("long").alias("candidate_count"),
     )
@@ -171,10 +175,12 @@ SQL = {
         f"SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score "
         f"FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND a.vec_id % {ASKED_EVERY} = 0) QUALIFY rank <= {TOP_K}"
     ),
-    "expected": (
-        f"SELECT q, 'vec-' || vec_id AS memory_id, 'vec-' || q AS request_id FROM (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id) AS k FROM vectors a JOIN vectors b "
-        f"ON a.label = b.label AND b.vec_id > a.vec_id AND a.vec_id % {ASKED_EVERY} = 0) WHERE k <= 2"
-    ),
+    "expected": f"""
+SELECT DISTINCT q, 'vec-' || vec_id AS memory_id, 'vec-' || q AS request_id FROM (
+  SELECT a.vec_id AS q, b.vec_id FROM vectors a JOIN vectors b ON b.vec_id IN (a.vec_id + 1, a.vec_id + 2)
+  WHERE a.vec_id % {ASKED_EVERY} = 0 AND a.vec_id // {ASKED_EVERY} % 3 <> 1
+  UNION ALL SELECT q, vec_id FROM hits WHERE rank <= q // {ASKED_EVERY} % 3 + 1 AND q // {ASKED_EVERY} % 3 < 2
+)""",
     "cases": (
         "SELECT e.request_id, list(e.memory_id ORDER BY e.memory_id) AS expected, coalesce(list(e.memory_id ORDER BY e.memory_id) FILTER (WHERE h.vec_id IS NOT NULL), []) AS retrieved, "
         "coalesce(list(e.memory_id ORDER BY e.memory_id) FILTER (WHERE h.vec_id IS NULL), []) AS missing FROM expected e LEFT JOIN hits h ON e.q = h.q AND e.memory_id = 'vec-' || h.vec_id GROUP BY e.request_id"
@@ -184,7 +190,7 @@ SQL = {
 _NEEDS = {
     "transcripts": ["turns"], "memories": ["base"], "refs": ["base", "n_conv"], "links": ["base"], "spaced": ["memories"], "folded": ["spaced"], "classified": ["refs", "transcripts", "turns"],
     "segments": ["classified", "turns"], "uniq": ["segments"], "composed": ["uniq"], "premises": ["base", "classified", "composed"], "resolved": ["links", "memories"], "reach(a, b)": ["resolved"],
-    "members": ["reach(a, b)"], "hits": ["vectors"], "expected": ["vectors"], "cases": ["expected", "hits"],
+    "members": ["reach(a, b)"], "hits": ["vectors"], "expected": ["vectors", "hits"], "cases": ["expected", "hits"],
 }
 
 
