@@ -13,6 +13,7 @@ from pathlib import PurePath
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -193,7 +194,7 @@ def _only(v: Column, known: tuple[str, ...], what: str) -> Column:
     return F.coalesce(wrong, unknown, v)
 
 
-_KINDS = {"string": ("STRING",), "int": ("BIGINT",), "boolean": ("BOOLEAN",), "array<variant>": ("ARRAY",), "variant": ("OBJECT",), "double": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
+_KINDS = {"string": ("STRING",), "int": ("BIGINT",), "bigint": ("BIGINT",), "boolean": ("BOOLEAN",), "array<variant>": ("ARRAY",), "variant": ("OBJECT",), "double": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
 
 
 def strict(v: Column, key: str, type_: str, what: str, required: bool = False) -> Column:
@@ -263,31 +264,48 @@ def load_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return known, turns.drop("place")
 
 
+_RULE = ("dimension", "authoritative_source_principal", "prohibited_destination_principals")
+
+
 def load_policy(spark: SparkSession, path: str) -> DataFrame:
-    """The rules of a scope policy, one destination a row."""
+    """The rules of a scope policy, one destination a row. Rules are checked before their destinations become rows, so that none can
+    vanish: fields of another type, unknown fields, and rules without destinations or with repeated ones are errors."""
     v = _versioned(_only(as_variant("value"), ("schema_version", "rules"), "the policy"), "the policy")
-    fields = ("dimension", "authoritative_source_principal", "prohibited_destination_principals")
-    each = _whole(spark, path).select(F.posexplode(F.variant_get(v, "$.rules", "array<variant>")).alias("rule_idx", "r")).select("rule_idx", _only(F.col("r"), fields, "a rule").alias("r"))
-    strict = F.when((kind(at(F.col("r"), fields[0])) != "STRING") | (kind(at(F.col("r"), fields[1])) != "STRING") | (kind(at(F.col("r"), fields[2])) != "ARRAY"), fail("a rule's fields must be strings and a list of strings")).otherwise(F.col("r"))
-    rules = each.select("rule_idx", F.variant_get(strict, f"$.{fields[0]}", "string").alias("dimension"), F.variant_get("r", f"$.{fields[1]}", "string").alias("source_principal"), F.explode(F.variant_get("r", f"$.{fields[2]}", "array<string>")).alias("destination_principal"))
+    each = _whole(spark, path).select(F.posexplode(strict(v, "rules", "array<variant>", "the policy", required=True)).alias("rule_idx", "r")).select("rule_idx", _only(F.col("r"), _RULE, "a rule").alias("r"))
+    given = strict_list(F.col("r"), _RULE[2], "string", "a rule")
+    checked = F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) == 0, fail("a rule needs a destination")).when(F.size(F.array_distinct(given)) < F.size(given), fail("a rule's destinations must be unique")).otherwise(given)
+    rules = each.select("rule_idx", *(strict(F.col("r"), f, "string", "a rule", required=True).alias(n) for f, n in zip(_RULE, ("dimension", "source_principal"), strict=False)), F.explode(checked).alias("destination_principal"))
     if rules.isEmpty():
         raise SourceError("a policy needs a rule with a destination")
     constraints.require("policy", constraints.rule_violations(rules))
     return rules
 
 
+_OBSERVATION = ("request_id", "query_sha256", "expected_memory_ids", "top_k", "retriever_id", "retriever_version", "hits", "usage")
+_HIT, _USAGE = ("memory_id", "rank", "score"), ("retrieval_calls", "candidate_count")
+
+
 def load_observations(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded retrievals: a file of one object, or JSON lines of many. Errors never show the input."""
+    """Recorded retrievals: a file of one object, or JSON lines of many. Every field must be there, of exactly its type, and no other;
+    scores may be null. Errors never show the input."""
     rows = _json_lines(spark, path) if format_of(path) == "jsonl" else _whole(spark, path).select(as_variant("value").alias("v"))
-    get = lambda key, type_: F.try_variant_get("v", f"$.{key}", type_)
-    usage = lambda key: F.coalesce(get(f"usage.{key}", "bigint"), F.lit(0))
+    rows = rows.select(_only(F.col("v"), _OBSERVATION, "the observation").alias("v"))
+    get = lambda key, type_="string": strict(F.col("v"), key, type_, "the observation", required=True)
+    hits = F.transform(get("hits", "array<variant>"), lambda h: _only(h, _HIT, "a hit"))
+    hit = F.transform(hits, lambda h: F.struct(
+        strict(h, "memory_id", "string", "a hit", required=True).alias("memory_id"), strict(h, "rank", "int", "a hit", required=True).alias("rank"), strict(h, "score", "double", "a hit").alias("score"),
+    ))
+    usage = _only(get("usage", "variant"), _USAGE, "the usage")
+    expected = F.when(get("expected_memory_ids", "array<variant>").isNotNull(), strict_list(F.col("v"), "expected_memory_ids", "string", "the observation"))
     found = rows.select(
-        get("request_id", "string").alias("request_id"), get("query_sha256", "string").alias("query_sha256"), F.sort_array(get("expected_memory_ids", "array<string>")).alias("expected_memory_ids"), get("top_k", "int").alias("top_k"),
-        get("retriever_id", "string").alias("retriever_id"), get("retriever_version", "string").alias("retriever_version"),
-        F.array_sort(get("hits", "array<struct<memory_id:string,rank:int,score:double>>"), lambda a, b: (a["rank"] - b["rank"])).alias("hits"), usage("retrieval_calls").alias("retrieval_calls"), usage("candidate_count").alias("candidate_count"),
+        *(get(c).alias(c) for c in ("request_id", "query_sha256", "retriever_id", "retriever_version")), get("top_k", "int").alias("top_k"), F.sort_array(expected).alias("expected_memory_ids"),
+        F.array_sort(hit, lambda a, b: a["rank"] - b["rank"]).alias("hits"), *(strict(usage, c, "bigint", "the usage", required=True).alias(c) for c in _USAGE),
     )
-    broken = constraints.observation_violations(found)
-    if not broken.isEmpty() or not found.where("expected_memory_ids is null or hits is null or top_k is null or query_sha256 is null").isEmpty():
+    try:
+        valid = constraints.observation_violations(found).isEmpty()
+    except PySparkException:
+        valid = False
+    if not valid:
         raise SourceError("the retrieval observation is not valid")
     return found.select(*(c.split(" ")[0] for c in OBSERVATIONS.split(", ")))
 

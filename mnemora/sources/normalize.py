@@ -120,18 +120,29 @@ def _columns(content: Column, scope_: Column, refs: Column, status: Column, acti
 _NORMALIZED = ("id", "content", "created_at", "updated_at", "source_refs", "provenance_status", "scope", *SCOPE_DIMENSIONS, "active", "supersedes", "embedding", "raw")
 
 
+def _strict_refs(refs: Column) -> Column:
+    """A list of source references, every field of exactly its type and no others."""
+    each = F.transform(refs, lambda r: files._only(r, ("transcript_id", "turn_idx", "span"), "a source reference"))
+    what = "a source reference"
+    loose = lambda r: F.struct(strict(r, "transcript_id", "string", what, required=True).alias("transcript_id"), strict(r, "turn_idx", "int", what).alias("turn_idx"), strict_list(r, "span", "int", what).alias("span"))
+    return F.coalesce(_refs(F.transform(each, loose)), F.array().cast(f"array<{REF}>"))
+
+
 def file_records(rows: DataFrame) -> DataFrame:
-    """Records of our own file formats. A scope object wins over fields beside it, by key."""
+    """Records of our own file formats. A scope object wins over fields beside it, by key. Fields that are known have exactly their
+    type, in scopes and references too, which hold no others; other fields of the record are kept as metadata."""
     k = kind(at(_v(), "scope"))
-    checked = F.when(supplied("scope") & (k != "OBJECT"), fail("scope must be an object"))
-    dims = [F.coalesce(checked, F.when(at(_v(), f"scope.{d}").isNotNull(), value(f"scope.{d}")).otherwise(value(d))) for d in SCOPE_DIMENSIONS]
-    refs = source_refs()
+    inner = F.when(supplied("scope"), F.when(k != "OBJECT", fail("scope must be an object")).otherwise(files._only(at(_v(), "scope"), SCOPE_DIMENSIONS, "a scope")))
+    dims = [F.when(at(_v(), f"scope.{d}").isNotNull(), strict(inner, d, "string", "a scope")).otherwise(F.when(inner.isNull() | at(inner, d).isNull(), strict(_v(), d, "string", "a memory"))) for d in SCOPE_DIMENSIONS]
+    listed = F.when(supplied("source_refs"), F.when(kind(at(_v(), "source_refs")) == "ARRAY", value("source_refs", "array<variant>")).otherwise(fail("source_refs must be a list")))
+    refs = _strict_refs(listed)
     explicit = value("provenance_status")
     status = F.when(explicit.isNotNull(), F.when(explicit.isin("declared", "known_absent", "unavailable"), explicit).otherwise(fail("unknown provenance_status"))).otherwise(status_by_refs(refs))
     kept = F.map_filter(F.variant_get(_v(), "$", "map<string,variant>"), lambda key, _: ~key.isin(*_NORMALIZED))
     raw = F.to_json(F.struct(F.col("file_format"), kept.alias("source_metadata"), F.coalesce(at(_v(), "raw"), F.parse_json(F.lit("{}"))).alias("supplied_raw")))
-    columns = _columns(required_text("content", "a memory"), scope(*dims), refs, status, _active(), value("supersedes", "array<string>"), value("embedding", "array<double>"), zulu(value("updated_at")), raw)
-    return _finish(_numbered(rows).withColumns(columns), "file", text_of("id"))
+    lists = strict_list(_v(), "supersedes", "string", "a memory"), strict_list(_v(), "embedding", "double", "a memory")
+    columns = _columns(required_text("content", "a memory"), scope(*dims), refs, status, _active(), *lists, zulu(value("updated_at")), raw)
+    return _finish(_numbered(rows).withColumns(columns), "file", strict(_v(), "id", "string", "a memory"))
 
 
 _FIELDS = ("id", "content", "created_at", "updated_at", "source_refs", "provenance_status", "scope", "active", "supersedes", "embedding", "raw")
@@ -143,10 +154,9 @@ def normalized_records(rows: DataFrame) -> DataFrame:
     get = lambda key, type_, **more: strict(_v(), key, type_, "a memory", **more)
     inner = F.when(get("scope", "variant").isNotNull(), files._only(at(_v(), "scope"), SCOPE_DIMENSIONS, "a scope"))
     dims = [strict(inner, d, "string", "a scope") for d in SCOPE_DIMENSIONS]
-    refs = F.transform(get("source_refs", "array<variant>"), lambda r: files._only(r, ("transcript_id", "turn_idx", "span"), "a source reference"))
-    loose = F.transform(refs, lambda r: F.struct(strict(r, "transcript_id", "string", "a source reference", required=True).alias("transcript_id"), strict(r, "turn_idx", "int", "a source reference").alias("turn_idx"), strict_list(r, "span", "int", "a source reference").alias("span")))
+    refs = _strict_refs(get("source_refs", "array<variant>"))
     columns = _columns(
-        get("content", "string", required=True), scope(*dims), F.coalesce(_refs(loose), F.array().cast(f"array<{REF}>")), F.coalesce(get("provenance_status", "string"), F.lit("unavailable")), get("active", "boolean"),
+        get("content", "string", required=True), scope(*dims), refs, F.coalesce(get("provenance_status", "string"), F.lit("unavailable")), get("active", "boolean"),
         strict_list(_v(), "supersedes", "string", "a memory"), strict_list(_v(), "embedding", "double", "a memory"), zulu(get("updated_at", "string")), F.to_json(F.coalesce(get("raw", "variant"), F.parse_json(F.lit("{}")))),
     ) | {"created_at_text": zulu(get("created_at", "string"))}
     return _finish(_numbered(rows).withColumns(columns), "file", get("id", "string", required=True))

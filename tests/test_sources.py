@@ -143,7 +143,7 @@ def test_transcripts_policy_observations(spark, tmp_path):
     for bad in ({"rules": []}, {"rules": [rule | {"x": 1}]}, {"rules": [rule | {"authoritative_source_principal": 5}]}, {"rules": [rule | {"authoritative_source_principal": "b"}]}, {"schema_version": "9", "rules": [rule]}):
         with pytest.raises(Exception):
             files.load_policy(spark, put(tmp_path, "bad.json", bad)).collect()
-    o = {"request_id": "r", "query_sha256": "a" * 64, "expected_memory_ids": ["m2", "m1"], "top_k": 3, "retriever_id": "v", "retriever_version": "1", "hits": [{"memory_id": "m1", "rank": 2}, {"memory_id": "m3", "rank": 1, "score": 0.5}]}
+    o = {"request_id": "r", "query_sha256": "a" * 64, "expected_memory_ids": ["m2", "m1"], "top_k": 3, "retriever_id": "v", "retriever_version": "1", "hits": [{"memory_id": "m1", "rank": 2}, {"memory_id": "m3", "rank": 1, "score": 0.5}], "usage": {"retrieval_calls": 0, "candidate_count": 7}}
     r = files.load_observations(spark, put(tmp_path, "o.json", o)).first()
     assert [h["rank"] for h in r["hits"]] == [1, 2] and r["expected_memory_ids"] == ["m1", "m2"] and r["retrieval_calls"] == 0
     with pytest.raises(files.SourceError) as e:
