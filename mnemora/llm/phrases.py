@@ -42,7 +42,7 @@ from .base import column, whole_text, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Positions after which a shard ends, words that a bundle has on average, bitmap blocks that a walk extends at a time.
-SHARD, BUNDLE, SLICE = 1 << 21, 5 << 20, 1 << 17
+SHARD, BUNDLE, SLICE = 1 << 21, 3 << 20, 1 << 17
 UNKNOWN = "und"
 
 #: Upper case is lowered, tabs are spaces, and what ends a piece is a full stop.
@@ -104,12 +104,11 @@ def _loaded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(raw, "<u4", 2).tolist()
     lengths = np.frombuffer(raw, "<u4", n, 8).astype(np.int64)
     planes = np.frombuffer(raw, np.uint8, 4 * m, 8 + 4 * n).reshape(4, m)
-    gaps = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-    run = np.cumsum(gaps)
-    words = np.repeat(np.arange(n), lengths)
-    ends = np.cumsum(lengths)
-    before = np.r_[0, run][ends - lengths]  # what ran up to a word's first gap
-    return words, run - np.repeat(before, lengths), np.frombuffer(raw, np.uint8, m, 8 + 4 * n + 4 * m)
+    run = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.int64)
+    words, masks = np.repeat(np.arange(n, dtype=np.int32), lengths), np.frombuffer(raw, np.uint8, m, 8 + 4 * n + 4 * m)
+    before = np.r_[0, run][np.cumsum(lengths) - lengths]  # what ran up to a word's first gap
+    run -= np.repeat(before, lengths)
+    return words, run.astype(np.int32), masks
 
 
 _SHARDS = "shard long, lang string, words array<binary>, counts array<long>, bitmaps binary"
@@ -238,7 +237,8 @@ def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int) -> Iterat
             yield names[prefix[one]], tree.words[follower[one]], names[suffix[one]], count
 
 
-_COUNTED = "bundle long, prefix long, word long, suffix long, n long"
+#: place is a bundle's number, in the upper half, and a count in it, so that rows are short.
+_COUNTED = "prefix long, word long, suffix long, place long"
 #: The level of rows that hold bitmaps: after all of the tree's.
 _BITMAPS = 99
 
@@ -247,7 +247,7 @@ class _Bundle:
     """What the rows of a bundle hold: the tree's levels, then the bitmaps of its shards, one behind the other."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.levels, self.entries, self.end = number, {}, [], 0
+        self.number, self.levels, self.words, self.entries, self.end = number, {}, None, [], 0
 
     def add(self, part: pa.RecordBatch) -> None:
         """Rows by level and shard."""
@@ -267,7 +267,7 @@ class _Bundle:
         return self.levels[k][0]
 
     def _take(self, shard: int, bitmaps: bytes) -> None:
-        """The frequent words' entries, by number; level 1 says which number a shard's own words have."""
+        """The frequent words' entries, by place among their numbers; level 1 says which number a shard's own words have."""
         if 1 not in self.levels:
             return
         word, block, mask = _loaded(bitmaps)
@@ -275,28 +275,30 @@ class _Bundle:
         mine = of == shard
         if not len(word) or not mine.any():
             return
-        names = np.full(int(word[-1]) + 1, -1, np.int64)
-        names[own[mine]] = ids[mine]
-        name = names[word]
-        kept = np.flatnonzero(name >= 0)
-        self.entries.append((name[kept], (block[kept] + self.end).astype(np.int32), mask[kept]))
+        if self.words is None:
+            self.words = np.unique(ids)
+        places = np.full(int(word[-1]) + 1, -1, np.int32)
+        places[own[mine]] = np.searchsorted(self.words, ids[mine])
+        place = places[word]
+        kept = place >= 0
+        self.entries.append((place[kept], block[kept] + np.int32(self.end), mask[kept]))
         self.end += int(block.max()) + 2
 
     def found(self) -> Iterator[pa.RecordBatch]:
         if not self.entries:
             return
-        words = np.unique(self._whole(1)[0])
-        name, block, mask = (np.concatenate(c) for c in zip(*self.entries, strict=True))
+        words = self.words
+        place, block, mask = (np.concatenate(c) for c in zip(*self.entries, strict=True))
         self.entries.clear()
-        place = np.searchsorted(words, name).astype(np.int32)
         order = np.argsort(place, kind="stable")
         entries = place[order], block[order], mask[order]
         tree = _Tree([self._whole(k) for k in sorted(self.levels) if k > 1], words)
         self.levels.clear()
-        for rows in _extended(tree, entries, self.end):
-            for i in range(0, len(rows[0]), 1 << 16):
-                cut = [x[i : i + (1 << 16)] for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut[0]), self.number), pa.int64()), *(pa.array(x, pa.int64()) for x in cut)], ["bundle", "prefix", "word", "suffix", "n"])
+        for prefix, word, suffix, n in _extended(tree, entries, self.end):
+            rows = [prefix, word, *([suffix] if tree.levels else []), n + (self.number << 32)]
+            for i in range(0, len(n), 1 << 16):
+                cut = [pa.array(x[i : i + (1 << 16)], pa.int64()) for x in rows]
+                yield pa.RecordBatch.from_arrays(cut, ["prefix", "word", *(["suffix"] if tree.levels else []), "place"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,21 +329,24 @@ def frequent_phrases(
     dealt = F.pmod(F.xxhash64("shard"), F.lit(bundles)).alias("bundle")
     none, blank, zero = F.lit(None).cast("long"), F.lit(None).cast("binary").alias("bitmaps"), F.lit(0).cast("long")
 
-    def numbered(rows: DataFrame, *phrase: str) -> DataFrame:
+    def numbered(rows: DataFrame, n: Column, *phrase: str) -> DataFrame:
         """The rows of frequent phrases, with their count a and their number id, as a table."""
         over = Window.partitionBy(*phrase)
-        counted = rows.withColumn("row", F.monotonically_increasing_id()).withColumns({"a": F.sum("n").over(over), "id": F.min("row").over(over)})
-        return written(counted.where(F.col("a") >= least).drop("row", "n"))
+        counted = rows.withColumn("row", F.monotonically_increasing_id()).withColumns({"a": F.sum(n).over(over), "id": F.min("row").over(over)})
+        return written(counted.where(F.col("a") >= least).drop("row"))
 
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("own", "x")).select("shard", "lang", F.col("own").cast("long"), F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
-    known = numbered(words, "lang", "phrase")
+    known = numbered(words, F.col("n"), "lang", "phrase")
     each = known.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "a")))
     phrases = [written(each.select("id", "lang", "phrase", "a", none.alias("prefix"), none.alias("suffix"), F.array("a").alias("firsts"), F.array("a").alias("lasts")))]
     tree = known.select(dealt, "shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank)
     bitmaps = shards.select(dealt, "shard", F.lit(_BITMAPS).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
     for level in range(2, longest + 1):
-        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk, _COUNTED)
-        found = numbered(walked, "prefix", "word")
+        # a pair's last word is its suffix
+        schema = _COUNTED if level > 2 else _COUNTED.replace("suffix long, ", "")
+        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk, schema)
+        found = numbered(walked, F.col("place").bitwiseAND(0xFFFFFFFF), "prefix", "word")
+        found = found.withColumns({"bundle": F.shiftright("place", 32), **({} if level > 2 else {"suffix": F.col("word")})})
         each = found.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("prefix", "word", "suffix", "a")))
         before, after = phrases[-1].select(F.col("id").alias("prefix"), "lang", "phrase", "firsts"), phrases[-1].select(F.col("id").alias("suffix"), "lasts")
         last = phrases[0].select(F.col("id").alias("word"), F.col("phrase").alias("last"))
