@@ -899,7 +899,16 @@ def a19_transcripts_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(mu.transcripts_digest(_transcripts(spark, sf_dir)),)], "digest string")
 
 
-@query()
+# Of two levels at most, so up to 256 leaves.
+@query(
+    f"""SELECT CASE WHEN max(bits) = 0 THEN any_value(leaf) ELSE sha256(string_agg(leaf, '' ORDER BY node)) END AS root FROM (
+  SELECT node, max(bits) AS bits, sha256(string_agg(h, '' ORDER BY h)) AS leaf FROM (
+    SELECT h, bits, CASE WHEN bits = 0 THEN 0 ELSE ('0x' || substr(h, 1, 8))::BIGINT >> (32 - bits) END AS node
+    FROM (SELECT h, ceil(log2(greatest(1, count(*) OVER () / {mu.LEAF_RECORDS}.0)))::INTEGER AS bits FROM (SELECT sha256(json) AS h FROM ({_RECORD_JSON})))
+  ) GROUP BY node
+)""",
+    *_RECORD_VIEWS,
+)
 def a18_store_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The root of the store's Merkle tree."""
     return spark.createDataFrame([(mu.store_merkle(_memories(spark, sf_dir)),)], "root string")

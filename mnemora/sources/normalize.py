@@ -139,10 +139,11 @@ def file_records(rows: DataFrame) -> DataFrame:
     explicit = value("provenance_status")
     status = F.when(explicit.isNotNull(), F.when(explicit.isin("declared", "known_absent", "unavailable"), explicit).otherwise(fail("unknown provenance_status"))).otherwise(status_by_refs(refs))
     kept = F.map_filter(F.variant_get(_v(), "$", "map<string,variant>"), lambda key, _: ~key.isin(*_NORMALIZED))
-    raw = F.to_json(F.struct(F.col("file_format"), kept.alias("source_metadata"), F.coalesce(at(_v(), "raw"), F.parse_json(F.lit("{}"))).alias("supplied_raw")))
+    given = F.when(supplied("raw"), F.when(kind(at(_v(), "raw")) == "OBJECT", at(_v(), "raw")).otherwise(fail("raw must be an object")))
+    raw = F.to_json(F.struct(F.col("file_format"), kept.alias("source_metadata"), F.coalesce(given, F.parse_json(F.lit("{}"))).alias("supplied_raw")))
     lists = strict_list(_v(), "supersedes", "string", "a memory"), strict_list(_v(), "embedding", "double", "a memory")
     columns = _columns(required_text("content", "a memory"), scope(*dims), refs, status, _active(), *lists, zulu(value("updated_at")), raw)
-    return _finish(_numbered(rows).withColumns(columns), "file", strict(_v(), "id", "string", "a memory"))
+    return _finish(_numbered(rows).withColumns(columns), "file", F.when(~kind(at(_v(), "id")).isin("OBJECT", "ARRAY"), text_of("id")))
 
 
 _FIELDS = ("id", "content", "created_at", "updated_at", "source_refs", "provenance_status", "scope", "active", "supersedes", "embedding", "raw")

@@ -83,7 +83,7 @@ def test_errors_name_the_line(spark, tmp_path):
 
 
 def test_absent_is_not_null(spark, tmp_path):
-    rows = [{"id": "a", "content": "x"}, {"id": "b", "content": "x", "source_refs": []}, {"id": "c", "content": "x", "user_id": "top", "scope": {"user_id": None}}, {"id": 7, "content": "x", "supersedes": ["a", 5]}]
+    rows = [{"id": "a", "content": "x"}, {"id": "b", "content": "x", "source_refs": []}, {"id": "c", "content": "x", "user_id": "top", "scope": {"user_id": None}}, {"id": 7, "content": "x", "supersedes": ["a", "5"]}]
     got = {r["id"]: r for r in load(spark, put(tmp_path, "r.json", rows))}
     assert (got["a"]["provenance_status"], got["b"]["provenance_status"]) == ("unavailable", "known_absent")
     assert got["c"]["scope"]["user_id"] is None and got["7"]["supersedes"] == ["a", "5"]

@@ -81,7 +81,7 @@ RECORD = {"id": "a", "content": "x"}
     [
         {"supersedes": [1]}, {"supersedes": "b"}, {"scope": {"user_id": 5}}, {"scope": {"tenant": "t"}}, {"scope": "u"}, {"scope": None}, {"user_id": 5}, {"source_refs": [{"transcript_id": "t", "page": 1}]}, {"source_refs": [{"turn_idx": 1}]},
         {"source_refs": [{"transcript_id": 1}]}, {"source_refs": [{"transcript_id": "t", "turn_idx": True}]}, {"source_refs": [{"transcript_id": "t", "turn_idx": 1, "span": [1]}]}, {"source_refs": [{"transcript_id": "t", "turn_idx": 1, "span": ["1", 2]}]},
-        {"source_refs": {}}, {"embedding": ["1"]}, {"embedding": 1}, {"active": "yes"}, {"id": 7}, {"content": 7}, {"provenance_status": "odd"},
+        {"source_refs": {}}, {"embedding": ["1"]}, {"embedding": 1}, {"active": "yes"}, {"content": 7}, {"raw": "text"}, {"raw": None}, {"provenance_status": "odd"},
     ],
 )
 def test_broken_file_records(spark, tmp_path, changed):
