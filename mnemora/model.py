@@ -81,10 +81,50 @@ SKIP_REASONS = {"transcripts": "missing_transcripts", "scope_policy": "missing_s
 # What each source can tell, as the capability report states it.
 CAPABILITY_FACETS = ("provenance", "created_at", "updated_at", "active_state", "supersession", "user_scope", "agent_scope", "session_scope", "embeddings")
 CAPABILITIES = {
-    "file": dict.fromkeys(CAPABILITY_FACETS, "supported"),
-    "mem0": dict.fromkeys(CAPABILITY_FACETS, "supported") | dict.fromkeys(("provenance", "active_state", "supersession", "embeddings"), "conditional"),
-    "graphiti": dict.fromkeys(CAPABILITY_FACETS, "conditional") | dict.fromkeys(("created_at", "active_state"), "supported") | dict.fromkeys(("updated_at", "supersession"), "unsupported"),
-    "letta": dict.fromkeys(CAPABILITY_FACETS, "conditional") | dict.fromkeys(("created_at", "updated_at", "active_state"), "supported") | dict.fromkeys(("supersession", "session_scope"), "unsupported"),
+    "file": {
+        "provenance": "supported",
+        "created_at": "supported",
+        "updated_at": "supported",
+        "active_state": "supported",
+        "supersession": "supported",
+        "user_scope": "supported",
+        "agent_scope": "supported",
+        "session_scope": "supported",
+        "embeddings": "supported",
+    },
+    "mem0": {
+        "provenance": "conditional",
+        "created_at": "supported",
+        "updated_at": "supported",
+        "active_state": "conditional",
+        "supersession": "conditional",
+        "user_scope": "supported",
+        "agent_scope": "supported",
+        "session_scope": "supported",
+        "embeddings": "conditional",
+    },
+    "graphiti": {
+        "provenance": "conditional",
+        "created_at": "supported",
+        "updated_at": "unsupported",
+        "active_state": "supported",
+        "supersession": "unsupported",
+        "user_scope": "conditional",
+        "agent_scope": "conditional",
+        "session_scope": "conditional",
+        "embeddings": "conditional",
+    },
+    "letta": {
+        "provenance": "conditional",
+        "created_at": "supported",
+        "updated_at": "supported",
+        "active_state": "supported",
+        "supersession": "unsupported",
+        "user_scope": "conditional",
+        "agent_scope": "conditional",
+        "session_scope": "unsupported",
+        "embeddings": "conditional",
+    },
 }
 
 
