@@ -75,12 +75,13 @@ AC_TABLE = ([1] * 8 + [0] * 8, list(range(8, 0, -1)))
 
 
 # The standard Huffman tables of ITU-T T.81, Annex K, by kind (0 DC, 1 AC) and number: how
-# many codes there are of 1 to 16 bits, and the symbols by code. AC symbols that are not listed follow in order.
+# many codes there are of 1 to 16 bits, and the symbols by code, in hexadecimal. AC symbols that are not listed follow
+# in ascending order, as they do in the standard's tables.
 STANDARD = {
     (0, 0): ("00010501010101010100000000000000", "000102030405060708090a0b"),
     (0, 1): ("00030101010101010101010000000000", "000102030405060708090a0b"),
     (1, 0): ("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
-    (1, 1): ("00020102040403040705040400010277", "0001020311040521310612415107617113223281081442" + "91a1b1c109233352f0156272d10a162434e125f1"),
+    (1, 1): ("00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
 }
 
 
