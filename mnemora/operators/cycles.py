@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import ensure_checkpoint_dir, written
+from ..scratch import ensure_checkpoint_dir, scope, written
 
 #: Links that one task takes to finish; more are shrunk, and coloured, in rounds over the cluster.
 ONE_TASK_LINKS = 1_000_000
@@ -220,9 +220,10 @@ def supersession_cycles(links: DataFrame, one_task_links: int = ONE_TASK_LINKS)
     links: (src, dst), superseder and superseded, both existing and different. Both ways of finishing, in one task or in
     rounds, give the same rows."""
     ensure_checkpoints(links)
-    core = links.select("src", "dst").distinct()
-    for _ in range(TRIMS):
-        core = _trimmed(core)
-    core = written(core)
-    few = core.limit(one_task_links + 1).count() <= one_task_links
-    return _in_one_task(core) if few else _in_rounds(core, one_task_links)
+    with scope(links.sparkSession) as tables:
+        core = links.select("src", "dst").distinct()
+        for _ in range(TRIMS):
+            core = _trimmed(core)
+        core = written(core)
+        few = core.limit(one_task_links + 1).count() <= one_task_links
+        return tables.keep(_in_one_task(core) if few else _in_rounds(core, one_task_links))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables written in the scope that is open, and in those around it.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The application's folder within the shared one that the cluster names in spark.checkpoint.dir. Only
@@ -44,15 +49,40 @@ def remove(spark: SparkSession, *paths: str) -> None:
         system.delete(found, True)
 
 
+class Scope:
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows as a table that outlives the scope; it belongs to the scope around it, if any."""
+        inner = _OPEN.get()
+        token = _OPEN.set(inner[:-1])
+        try:
+            return written(df)
+        finally:
+            _OPEN.reset(token)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that are written inside go when the block ends; what is still needed goes through keep()."""
+    paths: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), paths))
+    try:
+        yield Scope()
+    finally:
+        _OPEN.reset(token)
+        remove(spark, *paths)
+
+
 def written_to(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows as a table in the shared folder, read again, and its path. They are computed once, and outlive
     the executors that computed them. Plans over the table assume no partitioning, so that a join exchanges
     both its sides and adaptive execution can split the hot partitions of either."""
     path = scratch_path(df.sparkSession)
+    if scopes := _OPEN.get():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """written_to without the path: the table stays until the application ends."""
+    """written_to without the path: the table stays until its scope or the application ends."""
     return written_to(df)[0]

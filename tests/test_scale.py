@@ -158,3 +158,21 @@ def test_links_both_ways_along_a_path(spark):
     """Chosen links trap walks in pairs here, so that jumps reach nowhere and contraction has to do it."""
     links = [(f"{i:04}", f"{i + 1:04}") for i in range(200)] + [(f"{i + 1:04}", f"{i:04}") for i in range(200)]
     assert by_cycle(spark, links, one_task_links=1) == wanted(links)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from mnemora import scratch
+
+    folder = scratch.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch.scope(spark) as outer:
+        a = scratch.written(spark.range(3))
+        with scratch.scope(spark) as inner:
+            b = inner.keep(scratch.written(a.withColumn("x", F.col("id") * 2)).where("x > 0"))
+        assert len(set(os.listdir(folder)) - before) == 2 and b.count() == 2
+        c = outer.keep(b.select("x"))
+    assert len(set(os.listdir(folder)) - before) == 1 and sorted(r["x"] for r in c.collect()) == [2, 4]
+    by_cycle(spark, [("a", "b"), ("b", "a")], one_task_links=0)
+    assert len(set(os.listdir(folder)) - before) == 2
