@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..scratch import ensure_checkpoint_dir, remove, written, written_to
+from ..scratch import ensure_checkpoint_dir, remove, scope, written, written_to
 
-__all__ = ["column", "ensure_checkpoint_dir", "map_slices", "read_table", "remove", "slices", "whole_text", "written", "written_to"]
+__all__ = ["column", "ensure_checkpoint_dir", "map_slices", "read_table", "remove", "scope", "slices", "whole_text", "written", "written_to"]
 
 #: Rows that a Python worker handles, and gives back, at a time.
 SLICE_ROWS = 256

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import column, written
+from .base import column, scope, written
 
 ANCHORS, ROWS, DIMENSIONS, GROUP = 256, 4096, 32, 16
 TOP_POSITIVES, TOP_NEGATIVES = 5, 5
@@ -260,5 +260,6 @@ def hard_negatives(
 
 def mined(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", every: int = 100) -> DataFrame:
     """hard_negatives with the rows whose id is divisible by `every` as anchors."""
-    rows = written(quantised(embeddings, id_col, vector_col, label_col))
-    return hard_negatives(rows, rows.where(F.col("id") % every == 0))
+    with scope(embeddings.sparkSession) as tables:
+        rows = written(quantised(embeddings, id_col, vector_col, label_col))
+        return tables.keep(hard_negatives(rows, rows.where(F.col("id") % every == 0)))

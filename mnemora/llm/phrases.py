@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import column, whole_text, written
+from .base import column, scope, whole_text, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Positions after which a shard ends, words that a bundle has on average, bitmap blocks that a walk extends at a time.
@@ -372,18 +372,19 @@ def _lowest_cut(length: int) -> Column:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, positions: int = SHARD, bundle: int = BUNDLE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of 2 to `longest` words by score, count
     and bytes, without those that a longer one of the same count contains."""
-    phrases, totals = frequent_phrases(docs, lang_col, text_col, least, longest, positions, bundle)
-    scored = None
-    for length in range(2, longest + 1):
-        own = phrases[length - 1]
-        if length < longest:
-            # a longer phrase of the same count that contains it has a part one word longer, of the same count
-            longer = phrases[length]
-            inside = [longer.where(F.get(counts, F.lit(length - 1)) == F.col("a")).select(F.col(part).alias("id")) for part, counts in (("prefix", "firsts"), ("suffix", "lasts"))]
-            own = own.join(inside[0].unionByName(inside[1]).distinct(), "id", "left_anti")
-        rows = own.join(totals, "lang").select("lang", "phrase", "a", "n", _lowest_cut(length).alias("cut"))
-        rows = rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
-        scored = rows if scored is None else scored.unionByName(rows)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    with scope(docs.sparkSession) as tables:
+        phrases, totals = frequent_phrases(docs, lang_col, text_col, least, longest, positions, bundle)
+        scored = None
+        for length in range(2, longest + 1):
+            own = phrases[length - 1]
+            if length < longest:
+                # a longer phrase of the same count that contains it has a part one word longer, of the same count
+                longer = phrases[length]
+                inside = [longer.where(F.get(counts, F.lit(length - 1)) == F.col("a")).select(F.col(part).alias("id")) for part, counts in (("prefix", "firsts"), ("suffix", "lasts"))]
+                own = own.join(inside[0].unionByName(inside[1]).distinct(), "id", "left_anti")
+            rows = own.join(totals, "lang").select("lang", "phrase", "a", "n", _lowest_cut(length).alias("cut"))
+            rows = rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+            scored = rows if scored is None else scored.unionByName(rows)
+        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        return tables.keep(ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
