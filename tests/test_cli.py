@@ -58,7 +58,7 @@ def test_preflight_and_capabilities(folder, capsys):
 
 
 def test_retrieval(folder, capsys):
-    o = {"request_id": "r", "query_sha256": "a" * 64, "expected_memory_ids": ["m1"], "top_k": 1, "retriever_id": "v", "retriever_version": "1", "hits": []}
+    o = {"request_id": "r", "query_sha256": "a" * 64, "expected_memory_ids": ["m1"], "top_k": 1, "retriever_id": "v", "retriever_version": "1", "hits": [], "usage": {"retrieval_calls": 1, "candidate_count": 0}}
     (folder / "o.json").write_text(json.dumps(o))
     assert cli.main(["retrieval-audit", "--observation", str(folder / "o.json"), "--policy", "any_expected", "--fail-on", "error"]) == 1
     assert json.loads(capsys.readouterr().out)["findings"][0]["memory_ids"] == ["m1"]
