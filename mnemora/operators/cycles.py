@@ -15,7 +15,8 @@ grow with logarithms:
    reaches it, along links and jumps; the nodes of a colour that reach its pivot are a component. Jumps make reach take about as many
    rounds as the logarithm of the distance, and the order by hash splits rows of components as random pivots do.
 
-Rounds end in tables in the shared folder (a checkpoint would carry the constraints of all plans before it), and every loop runs to a fixpoint, so results do not depend on how far jumps reach.
+Rounds end in checkpoints, those of the second and third step in tables (a checkpoint carries the constraints of all plans before it, which
+grow where a plan joins itself), and every loop runs to a fixpoint, so results do not depend on how far jumps reach.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from ..scratch import ensure_checkpoint_dir, scope, written
 #: Links that one task takes to finish; more are shrunk, and coloured, in rounds over the cluster.
 ONE_TASK_LINKS = 1_000_000
 TRIMS = 2
+#: Links that are coloured without contraction or jumps, as reach takes no more hops than links.
+FEW_LINKS = 32
 #: Shrinking goes on while a round leaves at most this share of the links.
 SHRINKS = 0.9
 
@@ -148,7 +151,7 @@ def _renamed(links: DataFrame, cycles: DataFrame) -> DataFrame:
 def _contracted(links: DataFrame, enough: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Smaller links, jumps over them, and the cycles contracted by round."""
     merged, turn, n, jumps = [], 0, links.count(), links.where("false")
-    while n > enough:
+    while n > max(enough, FEW_LINKS):
         jumps, cycles = _walks(links, turn)
         links = written(_trimmed(_renamed(links, cycles)))
         jumps = written(_renamed(jumps, cycles))
@@ -172,12 +175,12 @@ def _shrunk(links: DataFrame, enough: int) -> tuple[DataFrame, list[DataFrame],
     """Smaller links with the same cycles, the nodes taken out by round, and nodes whose ring shrank to themselves."""
     taken, rings, turn, n = [], [], 0, links.count()
     while n > enough:
-        out = written(_inner(links, turn))
+        out = _inner(links, turn).checkpoint()
         gone = out.select(F.col("id").alias("src"))
         kept = links.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
         joined = out.select(F.col("before").alias("src"), F.col("after").alias("dst"))
         rings.append(joined.where("src = dst").select(F.col("src").alias("id")).distinct())
-        links = written(_trimmed(kept.unionByName(joined.where("src <> dst")).distinct()))
+        links = _trimmed(kept.unionByName(joined.where("src <> dst")).distinct()).checkpoint()
         taken.append(out)
         turn, before, n = turn + 1, n, links.count()
         if n > SHRINKS * before:
@@ -206,7 +209,7 @@ def _in_rounds(links: DataFrame, one_task_links: int) -> DataFrame:
         labels = labels.unionByName(ring.join(labels, "id", "left_anti").select("id", F.col("id").alias("cycle")))
         before, after = (labels.select(F.col("id").alias(c), F.col("cycle").alias(f"{c}_cycle")) for c in ("before", "after"))
         back = out.join(before, "before").join(after, "after").where("before_cycle = after_cycle").select("id", F.col("before_cycle").alias("cycle"))
-        labels = written(labels.unionByName(back))
+        labels = labels.unionByName(back).checkpoint()
     least = labels.groupBy("cycle").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return labels.join(least, "cycle").select("id", F.col("least").alias("cycle"))
 
