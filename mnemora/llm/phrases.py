@@ -13,14 +13,14 @@ what is left of it without its first or its last word. In every shard the tree o
 a slice of first words at a time: a phrase's bitmap is shifted by one position, met with the bitmaps of the words that have bits
 in the same blocks (AND), and the set bits of each meeting are counted (popcount). What is in the tree already
 is walked further; what is a word longer than the tree gives a row, with its count, if its last words are in the tree. Shards are walked in
-bundles of about `BUNDLE` positions, dealt by hash, so that what several of them have in common is one row. Counts are
+bundles of `BUNDLE` words and a shard at most, language by language, so that what several of them have in common is one row. Counts are
 summed over bundles in a window over the phrase, so that each bundle's row also learns whether the phrase is frequent and which number it
 has, and the frequent ones go back to their bundles as the next level of the tree.
 
 A phrase is a row (prefix, word) of numbers, so texts are shuffled only as the distinct words of shards. Its row has the counts
 of all its first and last parts, from which the cuts are scored in exact decimals.
 
-Nothing is collected or broadcast by hint; the driver learns the number of words. A task holds a bundle, its tree (at most one phrase per
+Nothing is collected or broadcast by hint; which bundle a shard is in follows from a running sum over the shards' sizes, a row per shard. A task holds a bundle, its tree (at most one phrase per
 position and length) and a slice of bitmaps. A frequent phrase has one row per bundle in its window, whatever its
 count; no key has more rows than there are bundles (words: shards).
 
@@ -31,7 +31,7 @@ empty result; other columns are ignored, whatever their names. Counts are below
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .base import column, scope, whole_text, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Positions after which a shard ends, words that a bundle has on average, bitmap blocks that a walk extends at a time.
-SHARD, BUNDLE, SLICE = 1 << 21, 3 << 20, 1 << 17
+#: Positions after which a shard ends, words after which a bundle ends, bitmap blocks that a walk extends at a time.
+SHARD, BUNDLE, SLICE = 1 << 21, 3 << 20, 1 << 15
 UNKNOWN = "und"
 
 #: Upper case is lowered, tabs are spaces, and what ends a piece is a full stop.
@@ -164,6 +164,11 @@ def _meet(owner: np.ndarray, block: np.ndarray, mask: np.ndarray, words: tuple[n
     return owner[side], word[entry[hit]], block[side], both[hit]
 
 
+def _pair(prefix: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """A number per (prefix, word), which 32 bits do not hold from 46,341 words on."""
+    return prefix.astype(np.int64) * words + word
+
+
 class _Tree:
     """The frequent phrases of a shard, longer than a word: numbers by (prefix, word), and their suffixes."""
 
@@ -181,7 +186,7 @@ class _Tree:
         keys, ids, _, below = self.levels[level]
         if not len(keys):
             return np.full(len(prefix), -1, np.int64)
-        key = prefix * len(self.words) + word
+        key = _pair(prefix, word, len(self.words))
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, np.searchsorted(below, ids[at]), -1)
 
@@ -226,7 +231,7 @@ def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int) -> Iterat
                 names = tree.levels[-1][3]
             else:
                 suffix, names = follower, tree.words
-            key = prefix * len(tree.words) + follower
+            key = _pair(prefix, follower, len(tree.words))
             order = np.argsort(key, kind="stable")
             key = key[order]
             if not len(key):
@@ -284,8 +289,9 @@ class _Bundle:
         self.entries.append((place[kept], block[kept] + np.int32(self.end), mask[kept]))
         self.end += int(block.max()) + 2
 
-    def found(self) -> Iterator[pa.RecordBatch]:
-        if not self.entries:
+    def found(self, length: int) -> Iterator[pa.RecordBatch]:
+        """Phrases of that length. Where a shorter length has none that is frequent, this has none either."""
+        if not self.entries or any(k not in self.levels for k in range(1, length)):
             return
         words = self.words
         place, block, mask = (np.concatenate(c) for c in zip(*self.entries, strict=True))
@@ -301,21 +307,25 @@ class _Bundle:
                 yield pa.RecordBatch.from_arrays(cut, ["prefix", "word", *(["suffix"] if tree.levels else []), "place"])
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bundle, level and shard."""
-    bundle = None
-    for batch in batches:
-        owners = batch.column("bundle").to_numpy()
-        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1], True]).tolist() if len(owners) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if bundle is None or owners[a] != bundle.number:
-                if bundle is not None:
-                    yield from bundle.found()
-                bundle = _Bundle(int(owners[a]))
-            bundle.add(batch.slice(a, b - a))
-    if bundle is not None:
-        yield from bundle.found()
-    pa.default_memory_pool().release_unused()
+def _walk(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by bundle, level and shard; phrases of that length go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle = None
+        for batch in batches:
+            owners = batch.column("bundle").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1], True]).tolist() if len(owners) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if bundle is None or owners[a] != bundle.number:
+                    if bundle is not None:
+                        yield from bundle.found(length)
+                    bundle = _Bundle(int(owners[a]))
+                bundle.add(batch.slice(a, b - a))
+        if bundle is not None:
+            yield from bundle.found(length)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def frequent_phrases(
@@ -324,9 +334,10 @@ def frequent_phrases(
     """Per length from one word, a table of the phrases that occur `least` times: id, lang, phrase (binary), a, prefix, suffix,
     firsts and lasts (counts of the first and last 1, 2, ... words); and the words of each language, (lang, n)."""
     shards = word_shards(docs, lang_col, text_col, positions)
-    totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    bundles = -(-(totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // bundle) or 1
-    dealt = F.pmod(F.xxhash64("shard"), F.lit(bundles)).alias("bundle")
+    sized = shards.select("shard", "lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
+    totals = sized.groupBy("lang").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("lang", "shard").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = written(sized.select("shard", F.floor(F.coalesce(before, F.lit(0)) / bundle).alias("bundle")))
     none, blank, zero = F.lit(None).cast("long"), F.lit(None).cast("binary").alias("bitmaps"), F.lit(0).cast("long")
 
     def numbered(rows: DataFrame, n: Column, *phrase: str) -> DataFrame:
@@ -339,12 +350,12 @@ def frequent_phrases(
     known = numbered(words, F.col("n"), "lang", "phrase")
     each = known.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "a")))
     phrases = [written(each.select("id", "lang", "phrase", "a", none.alias("prefix"), none.alias("suffix"), F.array("a").alias("firsts"), F.array("a").alias("lasts")))]
-    tree = known.select(dealt, "shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank)
-    bitmaps = shards.select(dealt, "shard", F.lit(_BITMAPS).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
+    tree = known.join(dealt, "shard").select("bundle", "shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank)
+    bitmaps = shards.select("shard", "bitmaps").join(dealt, "shard").select("bundle", "shard", F.lit(_BITMAPS).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
     for level in range(2, longest + 1):
         # a pair's last word is its suffix
         schema = _COUNTED if level > 2 else _COUNTED.replace("suffix long, ", "")
-        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk, schema)
+        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk(level), schema)
         found = numbered(walked, F.col("place").bitwiseAND(0xFFFFFFFF), "prefix", "word")
         found = found.withColumns({"bundle": F.shiftright("place", 32), **({} if level > 2 else {"suffix": F.col("word")})})
         each = found.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("prefix", "word", "suffix", "a")))

@@ -231,6 +231,31 @@ def test_slices_do_not_change_results(spark, monkeypatch):
     assert all_rows() == whole and sum(r[-1] for r in whole) > 0
 
 
+def test_pairs_of_many_words_are_told_apart():
+    n = 70_000  # (0, 47296) and (61356, 0) are 2^32 apart as prefix * n + word
+    at = np.array([0, 47296, -1, 61356, 0])
+    place = np.flatnonzero(at >= 0)
+    place = place[np.argsort(at[place], kind="stable")]
+    entries = at[place].astype(np.int32), (place >> 3).astype(np.int32), np.uint8(1) << (place & 7).astype(np.uint8)
+
+    def found(tree):
+        return [tuple(x) for part in phrases._extended(tree, entries, 1) for x in zip(*(c.tolist() for c in part), strict=True)]
+
+    pairs = [(0, 47296), (61356, 0)]
+    assert sorted(found(phrases._Tree([], np.arange(n)))) == [(a, b, b, 1) for a, b in pairs]
+    tree = phrases._Tree([[np.array(c) for c in ([7, 8], [0, 61356], [47296, 0], [47296, 0])]], np.arange(n))
+    assert tree.find(0, *(np.array(c, np.int32) for c in zip(*pairs, strict=True))).tolist() == [0, 1]
+
+
+def test_bundles_without_frequent_phrases(spark):
+    rng = random.Random(5)
+    rows = [("aa", " ".join(rng.sample([f"w{i}" for i in range(40)], 40))) for _ in range(8)]
+    rows += [("bb", "one two three. one two four"), ("cc", "one two three four five six")] * 8
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = sorted(map(tuple, phrases.collocations(frame, least=6, positions=64, bundle=1).collect()))
+    assert got == sorted(brute_phrases(rows, 6, 5, 2000)) and {r[0] for r in got} == {"bb", "cc"}
+
+
 def test_op13_counts_pass_64_bits(spark):
     big = 10**16
     row = spark.createDataFrame([(big, 10**17, [10**16 + 1], [10**16 + 3])], "a long, n long, firsts array<long>, lasts array<long>")
