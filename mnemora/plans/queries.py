@@ -19,7 +19,7 @@ from ..operators import checks as ck
 from ..operators import constraints as co
 from ..operators import evidence as ev
 from ..operators import mutations as mu
-from ..scratch import scratch_path
+from ..scratch import scratch_path, written
 from ..sources import files, normalize
 from . import report, views
 from .views import with_views
@@ -392,7 +392,7 @@ def c6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _expected_and_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen = views.observations(spark, sf_dir)
+    seen = written(views.observations(spark, sf_dir))
     hits = seen.select("request_id", F.explode("hits.memory_id").alias("memory_id"))
     return seen.select("request_id", F.explode("expected_memory_ids").alias("memory_id")), hits
 

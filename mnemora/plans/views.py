@@ -6,6 +6,11 @@ of the checks. `SQL` holds the same definitions as common table expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +76,171 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(POLICY)], "rule_idx int, dimension string, source_principal string, destination_principal string")
 
 
-#: Every row whose id is divisible by ASKED_EVERY is a query, against all rows, in BLOCKS parts.
-ASKED_EVERY, TOP_K, BLOCKS = 50, 10, 16
+#: Every row whose id is divisible by ASKED_EVERY is a query, against all rows.
+ASKED_EVERY, TOP_K = 50, 10
+#: Vectors and queries of a part; how many of each are multiplied at a time; by how much a product of matrices may be off.
+ROW_BLOCK, ASKED_BLOCK, TILE, ASKED_TILE, NEAR = 1 << 14, 1 << 14, 1 << 12, 1 << 10, 1e-9
 
 
 def asked_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id") % ASKED_EVERY == 0)
 
 
-def top_k(vectors: DataFrame, asked: DataFrame, k: int, blocks: int = BLOCKS) -> DataFrame:
+def _matrix(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of doubles, at least `width` of them, padded with zeros; and their lengths, -1 where a
+    vector or one of its components is null."""
+    lengths = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, held = lists.flatten(), np.maximum(lengths, 0)
+    values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    owner, ends = np.repeat(np.arange(len(held)), held), np.cumsum(held)
+    matrix = np.zeros((len(held), max(width, int(held.max(initial=0)))))
+    matrix[owner, np.arange(len(owner)) - np.repeat(ends - held, held)] = values
+    lengths[owner[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    return matrix, lengths
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on, as SQL does."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
+
+
+class _Vectors:
+    def __init__(self, ids: np.ndarray, lists: pa.Array, width: int = 0) -> None:
+        self.ids = ids
+        self.values, self.lengths = _matrix(lists, width)
+        self.norms = np.sqrt(_in_order(self.values, self.values))
+        # products of matrices say nothing about vectors so long or so short
+        self.odd = ~((self.norms > 1e-140) & (self.norms < 1e140))
+        self.units = np.where(self.odd[:, None], 0.0, self.values / np.where(self.odd, 1.0, self.norms)[:, None])
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def widened(self, width: int) -> None:
+        if (more := width - self.values.shape[1]) > 0:
+            self.values, self.units = (np.pad(x, ((0, 0), (0, more))) for x in (self.values, self.units))
+
+
+class _Best:
+    """The k nearest of a block of queries among the vectors that have passed. A product of matrices tells which may be
+    among them, and the scores of these are summed in SQL's order."""
+
+    def __init__(self, asked: _Vectors, k: int) -> None:
+        self.asked, self.k, self.least = asked, k, np.full(len(asked), -np.inf)
+        self.query, self.ids, self.scores, self.null = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+
+    def meet(self, rows: _Vectors) -> None:
+        asked = self.asked
+        width = max(asked.values.shape[1], rows.values.shape[1])
+        asked.widened(width)
+        rows.widened(width)
+        for start in range(0, len(asked), ASKED_TILE):
+            part = slice(start, start + ASKED_TILE)
+            near = asked.units[part] @ rows.units.T
+            if (rows.lengths != asked.lengths[part][0]).any() or (asked.lengths[part] != asked.lengths[part][0]).any() or (rows.lengths < 0).any():
+                near[(asked.lengths[part, None] != rows.lengths) | (rows.lengths < 0)] = -2.0  # no score: last
+            own = np.flatnonzero(np.isin(rows.ids, asked.ids[part]))
+            itself = asked.ids[part, None] == rows.ids[own]
+            odd = rows.odd, asked.odd[part]
+            near[:, odd[0]] = near[odd[1]] = -np.inf  # these may be anything
+            near[:, own] = np.where(itself, -np.inf, near[:, own])
+            least = self.least[part]
+            if len(rows) > self.k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(near, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+            near[:, odd[0]] = near[odd[1]] = 2.0
+            near[:, own] = np.where(itself, -np.inf, near[:, own])
+            query, row = np.nonzero((near >= least[:, None] - NEAR) & (near > -np.inf))
+            self._take(query + start, row, rows, part)
+
+    def _take(self, query: np.ndarray, row: np.ndarray, rows: _Vectors, part: slice) -> None:
+        asked = self.asked
+        null = (asked.lengths[query] != rows.lengths[row]) | (rows.lengths[row] < 0)
+        score = np.empty(len(query))
+        with np.errstate(all="ignore"):
+            for i in range(0, len(query), TILE * 16):
+                q, r = query[i : i + TILE * 16], row[i : i + TILE * 16]
+                score[i : i + TILE * 16] = _in_order(asked.values[q], rows.values[r]) / (asked.norms[q] * rows.norms[r])
+        self._keep(query, rows.ids[row], score, null, part)
+
+    def _keep(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray, null: np.ndarray, part: slice) -> None:
+        others = (self.query < part.start) | (self.query >= part.stop)
+        old = ~others
+        query, ids, scores, null = (np.concatenate([x[old], y]) for x, y in ((self.query, query), (self.ids, ids), (self.scores, scores), (self.null, null)))
+        # as SQL orders: not a number is above all numbers, null below
+        high = np.where(null, -1, np.isnan(scores).astype(np.int8))
+        order = np.lexsort((ids, -np.where(high != 0, 0.0, scores), -high, query))
+        query = query[order]
+        first = np.r_[0, np.flatnonzero(query[1:] != query[:-1]) + 1] if len(query) else np.empty(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        kept = order[place < self.k]
+        query = query[place < self.k]
+        full = order[place == self.k - 1]
+        value = np.where(high[full] == 0, scores[full], np.where(high[full] > 0, 2.0, -2.0))
+        self.least[query[place[place < self.k] == self.k - 1]] = value
+        self.query, self.ids, self.scores, self.null = (np.concatenate([x[others], y]) for x, y in ((self.query, query), (self.ids, ids[kept]), (self.scores, scores[kept]), (self.null, null[kept])))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.query), 1 << 16):
+            cut = slice(i, i + (1 << 16))
+            score = pa.array(self.scores[cut], pa.float64(), mask=self.null[cut])
+            yield pa.RecordBatch.from_arrays([pa.array(self.asked.ids[self.query[cut]]), pa.array(self.ids[cut]), score], ["q", "vec_id", "score"])
+
+
+def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by part, queries first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, best, passing = None, [], None, []
+
+        def meet() -> None:
+            nonlocal best
+            if best is None:
+                table = pa.Table.from_batches(asked)
+                best = _Best(_Vectors(table.column("id").to_numpy(), table.column("v").combine_chunks()), k)
+                asked.clear()
+            table = pa.Table.from_batches(passing)
+            passing.clear()
+            best.meet(_Vectors(table.column("id").to_numpy(), table.column("v").combine_chunks()))
+
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("row", "column", "kind")], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1), True]).tolist() if len(at) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (part := tuple(at[a, :2])) != key:
+                    if passing and (asked or best):
+                        meet()
+                    if best is not None:
+                        yield from best.found()
+                    key, asked, best, passing = part, [], None, []
+                (passing if at[a, 2] else asked).append(batch.slice(a, b - a))
+                if sum(x.num_rows for x in passing) >= TILE and (asked or best):
+                    meet()
+        if passing and (asked or best):
+            meet()
+        if best is not None:
+            yield from best.found()
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def top_k(vectors: DataFrame, asked: DataFrame, k: int, row_block: int = ROW_BLOCK, asked_block: int = ASKED_BLOCK) -> DataFrame:
     """(q, vec_id, rank, score): for each asked vector its k nearest others by cosine. Vectors and queries are
-    dealt into blocks each, and a pair of blocks is one key of the join, so neither side is broadcast and the work
-    is blocks^2 even parts; each part keeps the k best of its queries before they are merged."""
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    number, every = (lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), number("vec_id").cast("int").alias("row"), every.alias("column"))
-    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").cast("array<double>").alias("u"), number("vec_id").cast("int").alias("column"), every.alias("row"))
-    v, q = v.withColumn("length", norm("v")), q.withColumn("q_length", norm("u"))
-    scored = v.join(q, ["row", "column"]).where(F.col("vec_id") != F.col("q")).select("q", "row", "vec_id", (dot("u", "v") / (F.col("q_length") * F.col("length"))).alias("score"))
-    # a part's own k first: one query's scores of one block of rows
-    local = Window.partitionBy("q", "row").orderBy(F.col("score").desc(), "vec_id")
-    best = scored.withColumn("n", F.row_number().over(local)).where(F.col("n") <= k).drop("n")
+    dealt into blocks each, and a pair of blocks is one part: neither side is broadcast, a part holds a block of queries and their k
+    best, and the vectors stream past. The best of the parts are merged. A vector is sent once for each block of queries."""
+    known = [df.where("vec_id is not null") for df in (vectors, asked)]
+    rows, columns = (-(-df.count() // n) or 1 for df, n in zip(known, (row_block, asked_block), strict=True))
+    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    given = [F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v")]
+    met = known[1].select(number(columns).alias("column"), every(rows).alias("row"), F.lit(0).alias("kind"), *given)
+    met = met.unionByName(known[0].select(number(rows).alias("row"), every(columns).alias("column"), F.lit(1).alias("kind"), *given))
+    dealt = met.repartition(rows * columns, "row", "column").sortWithinPartitions("row", "column", "kind")
+    best = dealt.mapInArrow(_nearest(k), "q long, vec_id long, score double")
     whole = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("q", "vec_id", "rank", "score")
 

@@ -176,3 +176,39 @@ def test_scratch_tables_go_with_their_scope(spark):
     assert len(set(os.listdir(folder)) - before) == 1 and sorted(r["x"] for r in c.collect()) == [2, 4]
     by_cycle(spark, [("a", "b"), ("b", "a")], one_task_links=0)
     assert len(set(os.listdir(folder)) - before) == 2
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    """In tiles and blocks of any size, the k nearest are those of a plain sort: ties, copies, odd lengths, nulls."""
+    import math
+    import random
+
+    from mnemora.plans import views
+
+    rng = random.Random(3)
+    some = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(12)]
+    rows = [(i, rng.choice(some)) for i in range(300)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300, 500)]
+    rows = [(i, v if any(v) else [1.0, 0.0, 0.0, 0.0]) for i, v in rows]
+    rows += [(500, None), (501, [1.0, None, 0.0, 0.0]), (502, [1.0, 2.0]), (503, [1e200] * 4), (504, [float("nan")] * 4), (550, [2.0, 4.0]), (600, None), (650, [float("inf")] * 4), (None, [1.0] * 4)]
+
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        fold = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        lengths = math.sqrt(fold(a, a)) * math.sqrt(fold(b, b))
+        return fold(a, b) / lengths
+
+    def place(x):
+        s = score(*x[1:])
+        return (2, 0.0, x[0]) if s is None else (0, 0.0, x[0]) if math.isnan(s) else (1, -s, x[0])
+
+    known = [r for r in rows if r[0] is not None]
+    want = sorted((q, i, n) for q, u in known if q % 50 == 0 for n, (i, _, _) in enumerate(sorted(((i, u, v) for i, v in known if i != q), key=place)[:10], 1))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for tile, asked_tile, row_block, asked_block in ((4096, 1024, 1 << 14, 1 << 14), (16, 3, 100, 5), (1, 1, 600, 2)):
+        monkeypatch.setattr(views, "TILE", tile)
+        monkeypatch.setattr(views, "ASKED_TILE", asked_tile)
+        got = views.top_k(frame, views.asked_vectors(frame), 10, row_block, asked_block)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row per pair of vectors
+        assert sorted((r["q"], r["vec_id"], r["rank"]) for r in got.collect()) == want
+    assert views.top_k(frame.where("false"), views.asked_vectors(frame), 10).count() == 0
