@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import hashlib
 import json
 import math
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical, json_of, json_string, short_hash
 from ..model import DEFECT_CLASSES, MANIFEST_SCHEMA, SCHEMA_VERSION, SCOPE_DIMENSIONS, TAXONOMY_VERSION
+from ..scratch import scope, written
 from . import evidence as ev
 from .constraints import require_valid_memories
 from .cycles import ensure_checkpoints
@@ -131,9 +134,54 @@ def canonical_rows(memories: DataFrame) -> DataFrame:
     return memories.select("id", F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"embedding":'), embedding, F.lit(","), F.substring(rest, F.lit(2), F.char_length(rest))).alias("json"))
 
 
+#: Bytes of text after which another task goes on with a digest, about.
+DIGEST_BYTES = 64 << 20
+#: A SHA-256 under way, as OpenSSL keeps it: eight words, the length, a block, and how much of it is filled.
+_STATE_BYTES = 4 * (8 + 2 + 16 + 2)
+
+
+@lru_cache(maxsize=1)
+def _library() -> ctypes.CDLL:
+    found = ctypes.CDLL(ctypes.util.find_library("crypto") or "libcrypto.so.3")
+    found.SHA256_Init.argtypes = [ctypes.c_void_p]
+    found.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+    found.SHA256_Final.argtypes = [ctypes.c_void_p, ctypes.c_void_p]
+    return found
+
+
+def _sha256(call: str, *arguments) -> None:
+    """A function of the OpenSSL that hashlib is made of; its state, unlike hashlib's, can go to another task."""
+    if getattr(_library(), call)(*arguments) != 1:
+        raise OSError(call)
+
+
+def _continued(state: bytes | None, texts: Iterable[str], tail: str | None = None) -> bytes:
+    """The state after the texts, from none at first; after a tail, the digest."""
+    held = ctypes.create_string_buffer(state or b"", _STATE_BYTES)
+    if state is None:
+        _sha256("SHA256_Init", held)
+    for text in (*texts, tail) if tail is not None else texts:
+        data = text.encode()
+        _sha256("SHA256_Update", held, data, len(data))
+    if tail is None:
+        return held.raw
+    digest = ctypes.create_string_buffer(32)
+    _sha256("SHA256_Final", digest, held)
+    return digest.raw
+
+
+def _resumable() -> bool:
+    """Whether a digest can be handed on here."""
+    try:
+        return _continued(_continued(None, ["a" * 100]), ["b"], "c") == hashlib.sha256(b"a" * 100 + b"bc").digest()
+    except (OSError, AttributeError):
+        return False
+
+
 def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str) -> str:
-    """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel and sorted by ranges; one task
-    reads the ranges one after another and hashes what passes, and only the digest reaches the driver."""
+    """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel and sorted by ranges of about
+    DIGEST_BYTES. A task reads a range, and the next one goes on from the state that it leaves, so that none reads the whole; only states and
+    the digest reach the driver. Without OpenSSL's library one task reads the ranges one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(head.encode())
@@ -143,7 +191,17 @@ def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str) -> str
         digest.update(tail.encode())
         yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["digest"])
 
-    found = rows.orderBy(*by).select("text").coalesce(1).mapInArrow(run, "digest string").first()
+    context = rows.sparkSession.sparkContext
+    with scope(rows.sparkSession):
+        table = written(rows.select(*by, "text"))
+        ranges = (table.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // DIGEST_BYTES + 1
+        if ranges > 1 and _resumable() and context.parallelize([0], 1).map(lambda _: _resumable()).first():
+            texts = table.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("text").rdd
+            state = _continued(None, [head])
+            for k in range(texts.getNumPartitions()):
+                state = context.runJob(texts, lambda part, state=state: [_continued(state, (r["text"] for r in part))], [k])[0]
+            return _continued(state, [], tail).hex()
+        found = table.orderBy(*by).select("text").coalesce(1).mapInArrow(run, "digest string").first()
     return found["digest"] if found else hashlib.sha256((head + tail).encode()).hexdigest()
 
 

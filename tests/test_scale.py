@@ -212,3 +212,21 @@ def test_nearest_vectors(spark, monkeypatch):
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row per pair of vectors
         assert sorted((r["q"], r["vec_id"], r["rank"]) for r in got.collect()) == want
     assert views.top_k(frame.where("false"), views.asked_vectors(frame), 10).count() == 0
+
+
+def test_digests_go_from_task_to_task(spark, monkeypatch):
+    from hashlib import sha256
+
+    from mnemora.operators import mutations as mu
+
+    texts = [f"{k}:é" * (k % 40) for k in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(5)
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 2000)
+    spark.sparkContext.setJobGroup("digest", "ranges")
+    got = mu._ordered_digest(rows, ["k"], "<", ">")
+    assert got == sha256(("<" + "".join(texts) + ">").encode()).hexdigest()
+    # a job per range
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("digest")) > len("".join(texts).encode()) // 2000
+    monkeypatch.setattr(mu, "_resumable", lambda: False)
+    assert mu._ordered_digest(rows, ["k"], "<", ">") == got
+    assert mu._ordered_digest(rows.where("false"), ["k"], "<", ">") == sha256(b"<>").hexdigest()
