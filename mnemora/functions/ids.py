@@ -28,7 +28,7 @@ def json_of(**fields: Column) -> Column:
     fixed = text
     for cp in _UPPER_ESCAPES:
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{cp:04X}", rf"$1\\u{cp:04x}")
-    return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
+    return F.when(F.contains(text, F.lit("\\u00")) & text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
 
 
 def json_string(c: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import canonical, json_of, json_string, short_hash
 from ..model import DEFECT_CLASSES, MANIFEST_SCHEMA, SCHEMA_VERSION, SCOPE_DIMENSIONS, TAXONOMY_VERSION
-from ..scratch import scope, written
+from ..scratch import remove, scope, written, written_to
 from . import evidence as ev
 from .constraints import require_valid_memories
 from .cycles import ensure_checkpoints
@@ -178,10 +178,10 @@ def _resumable() -> bool:
         return False
 
 
-def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str) -> str:
-    """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel and sorted by ranges of about
-    DIGEST_BYTES. A task reads a range, and the next one goes on from the state that it leaves, so that none reads the whole; only states and
-    the digest reach the driver. Without OpenSSL's library one task reads the ranges one after another."""
+def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str, kept: bool = False) -> str:
+    """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel, once unless they are kept in a table,
+    and sorted by ranges of about DIGEST_BYTES. A task reads a range, and the next one goes on from the state that it leaves, so that none reads
+    the whole; only states and the digest reach the driver. Without OpenSSL's library one task reads the ranges one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = hashlib.sha256(head.encode())
@@ -193,7 +193,7 @@ def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str) -> str
 
     context = rows.sparkSession.sparkContext
     with scope(rows.sparkSession):
-        table = written(rows.select(*by, "text"))
+        table = rows.select(*by, "text") if kept else written(rows.select(*by, "text"))
         ranges = (table.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // DIGEST_BYTES + 1
         if ranges > 1 and _resumable() and context.parallelize([0], 1).map(lambda _: _resumable()).first():
             texts = table.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("text").rdd
@@ -213,8 +213,20 @@ def _separated(rows: DataFrame, by: str, text: Column) -> DataFrame:
 
 def store_digest(memories: DataFrame, adapter: str = "file") -> str:
     """SHA-256 over the store's canonical JSON in id order. It is one serial hash by definition; store_merkle is a parallel one."""
-    rows = _separated(canonical_rows(memories), "id", F.col("json"))
-    return _ordered_digest(rows, ["id"], f'{{"adapter":{canonical(adapter)},"memories":[', f'],"schema_version":"{SCHEMA_VERSION}"}}')
+    with scope(memories.sparkSession):
+        return _rendered_digest(written(canonical_rows(memories)), adapter)
+
+
+def _rendered_digest(rendered: DataFrame, adapter: str) -> str:
+    """store_digest() from canonical_rows() in tables."""
+    rows = _separated(rendered, "id", F.col("json"))
+    return _ordered_digest(rows, ["id"], f'{{"adapter":{canonical(adapter)},"memories":[', f'],"schema_version":"{SCHEMA_VERSION}"}}', kept=True)
+
+
+def _rendered_again(rendered: DataFrame, result: DataFrame, done: _Done) -> DataFrame:
+    """canonical_rows(result) from those of the store before: only records that a mutation made or changed are rendered."""
+    own = result.where(F.col("id").isin([*done.created, *done.modified]))
+    return rendered.where(~F.col("id").isin(done.modified)).unionByName(canonical_rows(own))
 
 
 #: Records under a leaf of the Merkle tree, on average, and children of an inner node.
@@ -460,8 +472,16 @@ _HANDLERS: dict[str, Callable[..., _Done]] = {
 
 
 def mutate(memories: DataFrame, request: Request, transcripts: tuple[DataFrame, DataFrame] | None = None, adapter: str = "file") -> Mutation:
-    """Injects one defect. transcripts is (transcripts, turns)."""
-    base, turns = store_digest(memories, adapter), transcripts_digest(transcripts)
+    """Injects one defect. transcripts is (transcripts, turns). The store is rendered once for both its digests."""
+    rendered, path = written_to(canonical_rows(memories))
+    try:
+        return _mutated(memories, request, transcripts, adapter, rendered)
+    finally:
+        remove(memories.sparkSession, path)
+
+
+def _mutated(memories: DataFrame, request: Request, transcripts: tuple[DataFrame, DataFrame] | None, adapter: str, rendered: DataFrame) -> Mutation:
+    base, turns = _rendered_digest(rendered, adapter), transcripts_digest(transcripts)
     mutation_id = short_hash("mutation-", {"base_store_digest": base, "request": asdict(request), "taxonomy_version": TAXONOMY_VERSION, "transcript_digest": turns})
     done = _HANDLERS[request.defect_class](memories, request, transcripts, mutation_id)
     result = done.memories.select(*memories.columns)
@@ -469,7 +489,7 @@ def mutate(memories: DataFrame, request: Request, transcripts: tuple[DataFrame,
     unit = "memory_pair" if request.defect_class in _PAIRS else "retrieval_case" if done.probe else "memory"
     manifest = {
         "schema_version": MANIFEST_SCHEMA, "taxonomy_version": TAXONOMY_VERSION, "mutation_id": mutation_id, "defect_class": request.defect_class, "subtype": request.kind, "seed": request.seed,
-        "base_store_digest": base, "mutated_store_digest": store_digest(result, adapter), "transcript_digest": turns, "target_memory_ids": done.label,
+        "base_store_digest": base, "mutated_store_digest": _rendered_digest(_rendered_again(rendered, result, done), adapter), "transcript_digest": turns, "target_memory_ids": done.label,
         "targets": [{"memory_id": i, "role": r} for i, r in done.targets], "gold_label": {"unit": unit, "memory_ids": done.label, "observed_positive": done.probe is None},
         "created_memory_ids": done.created, "modified_memory_ids": done.modified, "removed_memory_ids": [], "parameters": done.parameters,
         "requires_runtime_validation": done.probe is not None, "base_store_status": request.base_store_status, "retrieval_probe": done.probe,

@@ -259,3 +259,34 @@ def test_retrieval_over_copies(spark, sf, tmp_path, monkeypatch, name):
     want = con.execute(f"select {columns} from ({q.ORACLE_SQL[name]})").fetchall()
     assert want and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert plans and not any("Join" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+
+
+#: Queries over a mutated store.
+MUTATED = ["m1_substitute_then_c5"]
+
+
+@pytest.mark.parametrize("name", MUTATED)
+def test_mutated_store_is_rendered_once(spark, sf, monkeypatch, name):
+    """The digest of a mutated store is that of the store as it is; it renders the records that changed, and its tasks hash ranges."""
+    from mnemora.plans import queries as q
+
+    rendered, made, store_digest = [], [], mu.store_digest
+    canonical_rows, mutate = mu.canonical_rows, mu.mutate
+
+    def seen(memories):
+        rendered.append(memories.count())
+        return canonical_rows(memories)
+
+    def mutated(memories, *args, **kwargs):
+        made.append((memories, mutate(memories, *args, **kwargs)))
+        return made[-1][1]
+
+    monkeypatch.setattr(mu, "canonical_rows", seen)
+    monkeypatch.setattr(mu, "mutate", mutated)
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 100_000)
+    q.QUERIES[name](spark, sf)
+    ((memories, done),) = made
+    changed = len(done.manifest["created_memory_ids"]) + len(done.manifest["modified_memory_ids"])
+    assert changed and rendered == [memories.count(), changed]
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 1 << 40)
+    assert done.manifest["mutated_store_digest"] == store_digest(done.memories) != done.manifest["base_store_digest"] == store_digest(memories)
