@@ -262,7 +262,7 @@ def test_retrieval_over_copies(spark, sf, tmp_path, monkeypatch, name):
 
 
 #: Queries over a mutated store.
-MUTATED = ["m1_substitute_then_c5", "m2_conflict", "m3_stale_then_c3", "m4_invalid_span_then_c1", "m4_missing_transcript_then_c1", "m4_missing_turn_then_c1", "m5_crowd"]
+MUTATED = ["m1_substitute_then_c5", "m2_conflict", "m3_stale_then_c3", "m4_invalid_span_then_c1", "m4_missing_transcript_then_c1", "m4_missing_turn_then_c1", "m5_crowd", "m6_inject"]
 
 
 @pytest.mark.parametrize("name", MUTATED)
