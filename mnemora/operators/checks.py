@@ -276,13 +276,19 @@ def _portable(memories: DataFrame) -> DataFrame:
     return memories.select("id", *fields, *(F.col(f"scope.{d}").alias(d) for d in SCOPE_DIMENSIONS), F.sha2("content", 256).alias("exact"), "content")
 
 
+#: Parts of a principal's memories, which meet its rules apart.
+SLOTS = 64
+
+
 def principals(memories: DataFrame, policy: DataFrame) -> DataFrame:
     """(rule, is_source, id, principal, sha, …) of each memory that a merged rule makes a source or a
     destination. Only those are folded: the rules are met first, in a join that Spark broadcasts where the policy's principals
-    are few by its own measure."""
+    are few by its own measure; where it does not, a principal's texts go to many tasks."""
     each = _portable(memories).select("*", F.explode(F.create_map(*[x for d in SCOPE_DIMENSIONS for x in (F.lit(d), F.col(d))])).alias("dimension", "principal")).where("principal is not null")
     sides = policy.select("dimension", F.col("source_principal").alias("rule"), F.explode(F.concat(F.array("source_principal"), F.array_except("destination_principals", F.array("source_principal")))).alias("principal"))
-    met = each.join(sides, ["dimension", "principal"])
+    each = each.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int"))
+    sides = sides.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    met = each.join(sides, ["dimension", "principal", "slot"]).drop("slot")
     return with_folded(met).withColumn("sha", F.sha2("folded", 256)).drop("content", "folded").withColumn("is_source", F.col("principal") == F.col("rule"))
 
 

@@ -290,3 +290,19 @@ def test_mutated_store_is_rendered_once(spark, sf, monkeypatch, name):
     assert changed and rendered == [memories.count(), changed]
     monkeypatch.setattr(mu, "DIGEST_BYTES", 1 << 40)
     assert done.manifest["mutated_store_digest"] == store_digest(done.memories) != done.manifest["base_store_digest"] == store_digest(memories)
+
+
+def test_a_principal_is_not_one_task(spark, make, policy):  # noqa: F811
+    """Without a broadcast, the memories of one user still meet the rules in several tasks."""
+    store = make([memory(f"m{i:03}", "same", user="a") for i in range(400)])
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        found = ck.principals(store, ck.canonical_policy(policy))
+        held = [r["count"] for r in found.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(held) == 400 and max(held) < 300 and "slot" not in found.columns
