@@ -17,6 +17,11 @@ bundles of `BUNDLE` words and a shard at most, language by language, so that wha
 summed over bundles in a window over the phrase, so that each bundle's row also learns whether the phrase is frequent and which number it
 has, and the frequent ones go back to their bundles as the next level of the tree.
 
+*Sieve.* Most pairs and triples of frequent words are rare, and a row each would be most of the rows. So before those are walked, each bundle
+counts its pairs and triples in hash buckets, of which there are as many as a share of the corpus's words; the counts are summed part by
+part over the bundles that have them, and each bundle learns which of its own buckets reach `LEAST` in all. A phrase in another bucket cannot be
+frequent and gives no row (as in Park, Chen and Yu's hash filter). Counts are rounded up, so that no frequent phrase is lost, whatever else shares its bucket.
+
 A phrase is a row (prefix, word) of numbers, so texts are shuffled only as the distinct words of shards. Its row has the counts
 of all its first and last parts, from which the cuts are scored in exact decimals.
 
@@ -32,9 +37,11 @@ empty result; other columns are ignored, whatever their names. Counts are below
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +50,8 @@ from .base import column, scope, whole_text, written
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Positions after which a shard ends, words after which a bundle ends, bitmap blocks that a walk extends at a time.
 SHARD, BUNDLE, SLICE = 1 << 21, 3 << 20, 1 << 15
+#: Lengths of phrases that the sieve counts, buckets of a part of it, words of the corpus per bucket, what a bucket must sum to.
+SIEVED, BUCKETS, LOAD, FULL = (2, 3), 1 << 20, 16, 200
 UNKNOWN = "und"
 
 #: Upper case is lowered, tabs are spaces, and what ends a piece is a full stop.
@@ -169,6 +178,15 @@ def _pair(prefix: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
     return prefix.astype(np.int64) * words + word
 
 
+def _bucket(words: list[np.ndarray], buckets: int) -> np.ndarray:
+    """A bucket for each phrase, from the numbers of its words."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)).astype(np.int64) % buckets
+
+
 class _Tree:
     """The frequent phrases of a shard, longer than a word: numbers by (prefix, word), and their suffixes."""
 
@@ -198,14 +216,25 @@ class _Tree:
         return out
 
 
-def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    def words_of(self, level: int) -> list[np.ndarray]:
+        """The numbers of their words, by place of phrases with `level` words more than one."""
+        if not level:
+            return [self.words]
+        keys, ids, _, below = self.levels[level - 1]
+        key = np.empty(len(below), np.int64)
+        key[np.searchsorted(below, ids)] = keys
+        return [*(w[key // len(self.words)] for w in self.words_of(level - 1)), self.words[key % len(self.words)]]
+
+
+def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int, sieve: tuple[np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """(prefix, word, suffix, count) of phrases a word longer than the tree, as numbers; entries: word, block and
-    mask of the shard's frequent words, by place, sorted by word and block."""
+    mask of the shard's frequent words, by place, sorted by word and block. With a sieve (full buckets, number of all) only those in full buckets."""
     word, block, mask = entries
     order = np.argsort(block, kind="stable")
     words = (np.searchsorted(block[order], np.arange(size + 2)), word[order], mask[order])
     depth = len(tree.levels)
     shorter = tree.suffixes(depth - 1) if depth else None
+    spelt = tree.words_of(depth) if sieve else None
     # a slice holds whole words; the rest of the walk is depth-first
     cuts = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True]) if len(word) else np.array([0])
     at = 0
@@ -239,20 +268,26 @@ def _extended(tree: _Tree, entries: tuple[np.ndarray, ...], size: int) -> Iterat
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             count = np.add.reduceat(np.bitwise_count(bits[order]).astype(np.int64), first)
             one = order[first]
+            if sieve:
+                full, buckets = sieve
+                bucket = _bucket([*(w[prefix[one]] for w in spelt), tree.words[follower[one]]], buckets)
+                kept = full[np.minimum(np.searchsorted(full, bucket), len(full) - 1)] == bucket
+                one, count = one[kept], count[kept]
             yield names[prefix[one]], tree.words[follower[one]], names[suffix[one]], count
 
 
 #: place is a bundle's number, in the upper half, and a count in it, so that rows are short.
 _COUNTED = "prefix long, word long, suffix long, place long"
-#: The level of rows that hold bitmaps: after all of the tree's.
-_BITMAPS = 99
+_PARTS = "bundle long, part long, bitmaps binary"
+#: The levels of rows that hold full buckets, by part, and bitmaps: after all of the tree's.
+_FULL, _BITMAPS = 98, 99
 
 
 class _Bundle:
     """What the rows of a bundle hold: the tree's levels, then the bitmaps of its shards, one behind the other."""
 
     def __init__(self, number: int) -> None:
-        self.number, self.levels, self.words, self.entries, self.end = number, {}, None, [], 0
+        self.number, self.levels, self.words, self.entries, self.end, self.full = number, {}, None, [], 0, []
 
     def add(self, part: pa.RecordBatch) -> None:
         """Rows by level and shard."""
@@ -262,6 +297,10 @@ class _Bundle:
             if k == _BITMAPS:
                 for i in rows.tolist():
                     self._take(part.column("shard")[i].as_py(), part.column("bitmaps")[i].as_py())
+            elif k == _FULL:
+                for i in rows.tolist():
+                    kind, bucket, _ = _loaded(part.column("bitmaps")[i].as_py())
+                    self.full.append((kind, bucket + part.column("shard")[i].as_py() * BUCKETS))
             else:
                 columns = ("id", "prefix", "shard") if k == 1 else ("id", "prefix", "word", "suffix")
                 self.levels.setdefault(k, []).append([part.column(c).to_numpy()[rows] for c in columns])
@@ -289,7 +328,31 @@ class _Bundle:
         self.entries.append((place[kept], block[kept] + np.int32(self.end), mask[kept]))
         self.end += int(block.max()) + 2
 
-    def found(self, length: int) -> Iterator[pa.RecordBatch]:
+    def hashed(self, buckets: int, least: int) -> Iterator[pa.RecordBatch]:
+        """(bundle, part, bitmaps): the buckets of phrases of each length in SIEVED, with how often they occur, as a share of `least` that is rounded up."""
+        if not self.entries:
+            return
+        least = max(least, 1)
+        blocks = [b for _, b, _ in self.entries]
+        at = np.full(8 * (max(int(b.max(initial=0)) for b in blocks) + 2), -1, np.int32)
+        for place, block, mask in self.entries:
+            for bit in range(8):
+                on = np.flatnonzero(mask & np.uint8(1 << bit))
+                at[block[on].astype(np.int64) * 8 + bit] = place[on]
+        self.entries.clear()
+        each = []
+        for kind, length in enumerate(SIEVED):
+            places = [at[i : len(at) - length + 1 + i] for i in range(length)]
+            starts = np.flatnonzero(np.logical_and.reduce([p >= 0 for p in places]))
+            bucket, n = np.unique(_bucket([self.words[p[starts]] for p in places], buckets), return_counts=True)
+            each.append((np.full(len(bucket), kind, np.int64), bucket, -(-np.minimum(n, least) * FULL // least)))
+        kind, bucket, share = (np.concatenate(c) for c in zip(*each, strict=True))
+        for part in np.unique(bucket // BUCKETS).tolist():
+            own = np.flatnonzero(bucket // BUCKETS == part)
+            data = _stored(kind[own], bucket[own] % BUCKETS, share[own].astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["bundle", "part", "bitmaps"])
+
+    def found(self, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
         """Phrases of that length. Where a shorter length has none that is frequent, this has none either."""
         if not self.entries or any(k not in self.levels for k in range(1, length)):
             return
@@ -300,15 +363,22 @@ class _Bundle:
         entries = place[order], block[order], mask[order]
         tree = _Tree([self._whole(k) for k in sorted(self.levels) if k > 1], words)
         self.levels.clear()
-        for prefix, word, suffix, n in _extended(tree, entries, self.end):
+        sieve = None
+        if length in SIEVED:
+            full = [bucket[kind == SIEVED.index(length)].astype(np.int64) for kind, bucket in self.full]
+            sieve = np.sort(np.concatenate(full)) if full else np.empty(0, np.int64), buckets
+            self.full.clear()
+            if not len(sieve[0]):
+                return
+        for prefix, word, suffix, n in _extended(tree, entries, self.end, sieve):
             rows = [prefix, word, *([suffix] if tree.levels else []), n + (self.number << 32)]
             for i in range(0, len(n), 1 << 16):
                 cut = [pa.array(x[i : i + (1 << 16)], pa.int64()) for x in rows]
                 yield pa.RecordBatch.from_arrays(cut, ["prefix", "word", *(["suffix"] if tree.levels else []), "place"])
 
 
-def _walk(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come by bundle, level and shard; phrases of that length go."""
+def _bundled(told: Callable[[_Bundle], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by bundle, level and shard; what is told of each bundle goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
@@ -318,16 +388,36 @@ def _walk(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if bundle is None or owners[a] != bundle.number:
                     if bundle is not None:
-                        yield from bundle.found(length)
+                        yield from told(bundle)
                     bundle = _Bundle(int(owners[a]))
                 bundle.add(batch.slice(a, b - a))
         if bundle is not None:
-            yield from bundle.found(length)
+            yield from told(bundle)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _walk(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of that length."""
+    return _bundled(lambda bundle: bundle.found(length, buckets))
+
+
+def _sieved(table: pa.Table) -> pa.Table:
+    """A part of the sieve: of each bundle's buckets those that are full, counted over all bundles."""
+    sums = np.zeros((len(SIEVED), BUCKETS), np.int64)
+    for data in table.column("bitmaps"):
+        kind, bucket, share = _loaded(data.as_py())
+        sums[kind, bucket] += share  # a bundle has a bucket once
+    kept = []
+    for data in table.column("bitmaps"):
+        kind, bucket, share = _loaded(data.as_py())
+        full = np.flatnonzero(sums[kind, bucket] >= FULL)
+        kept.append(_stored(kind[full].astype(np.int64), bucket[full].astype(np.int64), share[full]) if len(full) else None)
+    some = pa.table({"bundle": table.column("bundle"), "part": table.column("part"), "bitmaps": pa.array(kept, pa.binary())})
+    return some.filter(pc.is_valid(some.column("bitmaps")))
+
+
 def frequent_phrases(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, positions: int = SHARD, bundle: int = BUNDLE
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -337,7 +427,9 @@ def frequent_phrases(
     sized = shards.select("shard", "lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
     totals = sized.groupBy("lang").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("lang", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = written(sized.select("shard", F.floor(F.coalesce(before, F.lit(0)) / bundle).alias("bundle")))
+    dealt = written(sized.select("shard", "n", F.floor(F.coalesce(before, F.lit(0)) / bundle).alias("bundle")))
+    buckets = BUCKETS * (1 + int((dealt.agg(F.sum("n").alias("n")).first()["n"] or 0) // (LOAD * BUCKETS)))
+    dealt = dealt.drop("n")
     none, blank, zero = F.lit(None).cast("long"), F.lit(None).cast("binary").alias("bitmaps"), F.lit(0).cast("long")
 
     def numbered(rows: DataFrame, n: Column, *phrase: str) -> DataFrame:
@@ -352,10 +444,14 @@ def frequent_phrases(
     phrases = [written(each.select("id", "lang", "phrase", "a", none.alias("prefix"), none.alias("suffix"), F.array("a").alias("firsts"), F.array("a").alias("lasts")))]
     tree = known.join(dealt, "shard").select("bundle", "shard", F.lit(1).alias("level"), "id", F.col("own").alias("prefix"), F.col("id").alias("word"), F.col("id").alias("suffix"), blank)
     bitmaps = shards.select("shard", "bitmaps").join(dealt, "shard").select("bundle", "shard", F.lit(_BITMAPS).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
+    by_bundle = lambda *rows: reduce(DataFrame.unionByName, rows).repartition("bundle").sortWithinPartitions("bundle", "level", "shard")
+    hashed = by_bundle(tree, bitmaps).mapInArrow(_bundled(lambda b: b.hashed(buckets, least)), _PARTS)
+    sieve = written(hashed.groupBy("part").applyInArrow(_sieved, _PARTS))
+    sieve = sieve.select("bundle", F.col("part").alias("shard"), F.lit(_FULL).alias("level"), *(zero.alias(c) for c in ("id", "prefix", "word", "suffix")), "bitmaps")
     for level in range(2, longest + 1):
         # a pair's last word is its suffix
         schema = _COUNTED if level > 2 else _COUNTED.replace("suffix long, ", "")
-        walked = tree.unionByName(bitmaps).repartition("bundle").sortWithinPartitions("bundle", "level", "shard").mapInArrow(_walk(level), schema)
+        walked = by_bundle(tree, bitmaps, *([sieve] if level in SIEVED else [])).mapInArrow(_walk(level, buckets), schema)
         found = numbered(walked, F.col("place").bitwiseAND(0xFFFFFFFF), "prefix", "word")
         found = found.withColumns({"bundle": F.shiftright("place", 32), **({} if level > 2 else {"suffix": F.col("word")})})
         each = found.groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("prefix", "word", "suffix", "a")))

@@ -256,6 +256,36 @@ def test_bundles_without_frequent_phrases(spark):
     assert got == sorted(brute_phrases(rows, 6, 5, 2000)) and {r[0] for r in got} == {"bb", "cc"}
 
 
+@pytest.mark.parametrize("load", [phrases.LOAD if hasattr(phrases, "LOAD") else 16, 0.001])
+def test_rare_phrases_make_no_rows(spark, tmp_path, monkeypatch, load):
+    """Rare triples of frequent words are sieved out before they are rows, in any number of parts, and no phrase is lost."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(40)), "xy"[i % 2]) for i in range(600)]
+    triples = [lang + t[k : k + 5] for _, t, lang in rows for k in range(0, len(t) - 4, 2)]
+    often = sum(n for n in Counter(triples).values() if n >= 6)
+    walk = phrases._walk
+
+    def counted(length, *args):
+        run = walk(length, *args)
+
+        def told(batches):
+            n = 0
+            for batch in run(batches):
+                n += batch.num_rows
+                yield batch
+            (tmp_path / f"{length}-{random.SystemRandom().random()}").write_text(str(n))
+
+        return told
+
+    monkeypatch.setattr(phrases, "_walk", counted)
+    monkeypatch.setattr(phrases, "LOAD", load, raising=False)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted(map(tuple, phrases.collocations(frame, least=6, positions=500, bundle=1500).collect()))
+    assert got == sorted(brute_phrases([(lang, t) for _, t, lang in rows], 6, 5, 2000)) and any(r[2].count(" ") == 2 for r in got)
+    made = sum(int(f.read_text()) for f in tmp_path.glob("3-*"))
+    assert 0 < made < 1.2 * often < len(triples) / 4
+
+
 def test_op13_counts_pass_64_bits(spark):
     big = 10**16
     row = spark.createDataFrame([(big, 10**17, [10**16 + 1], [10**16 + 3])], "a long, n long, firsts array<long>, lasts array<long>")
