@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import hashlib
+import heapq
 import json
 import math
 import random
@@ -13,6 +14,7 @@ from dataclasses import asdict, dataclass, field
 from functools import lru_cache, reduce
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +180,11 @@ def _resumable() -> bool:
         return False
 
 
+def _resumable_on(context: SparkContext) -> bool:
+    """Whether the driver and the executors can hand digests on."""
+    return _resumable() and context.parallelize([0], 1).map(lambda _: _resumable()).first()
+
+
 def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str, kept: bool = False) -> str:
     """SHA-256 over head, the column `text` of rows in order, and tail. Rows are rendered in parallel, once unless they are kept in a table,
     and sorted by ranges of about DIGEST_BYTES. A task reads a range, and the next one goes on from the state that it leaves, so that none reads
@@ -195,7 +202,7 @@ def _ordered_digest(rows: DataFrame, by: list[str], head: str, tail: str, kept:
     with scope(rows.sparkSession):
         table = rows.select(*by, "text") if kept else written(rows.select(*by, "text"))
         ranges = (table.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // DIGEST_BYTES + 1
-        if ranges > 1 and _resumable() and context.parallelize([0], 1).map(lambda _: _resumable()).first():
+        if ranges > 1 and _resumable_on(context):
             texts = table.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("text").rdd
             state = _continued(None, [head])
             for k in range(texts.getNumPartitions()):
@@ -211,22 +218,70 @@ def _separated(rows: DataFrame, by: str, text: Column) -> DataFrame:
     return rows.join(F.broadcast(first)).withColumn("text", F.when(F.col(by) == F.col("first"), text).otherwise(F.concat(F.lit(","), text))).drop("first")
 
 
+def _hashed(state: bytes, seen: bool, rows: Iterable[tuple[str, str]], own: list[tuple[str, str]], gone: list[str]) -> tuple[bytes, bool, str | None]:
+    """The state after a range of (id, json) in order, without the records that are gone and with others in their places; whether any
+    record has been hashed, and the last id. Commas stand before all but the first."""
+    last = None
+
+    def texts() -> Iterator[str]:
+        nonlocal seen, last
+        for last, text in heapq.merge(((i, t) for i, t in rows if i not in gone), own):
+            if seen:
+                yield ","
+            seen = True
+            yield text
+
+    return _continued(state, texts()), seen, last
+
+
+class _StoreDigests:
+    """store_digest() of the store whose canonical_rows() are in a table, and of stores that differ from it in a few records. The rows are
+    sorted by ranges of about DIGEST_BYTES, once. The state before each range is kept on the driver, so that another store is
+    hashed from the range of its first difference on. Without OpenSSL's library each store is sorted for itself."""
+
+    def __init__(self, rendered: DataFrame, adapter: str) -> None:
+        self.rendered, self.context = rendered, rendered.sparkSession.sparkContext
+        self.head, self.tail = f'{{"adapter":{canonical(adapter)},"memories":[', f'],"schema_version":"{SCHEMA_VERSION}"}}'
+        self.texts = None
+        if _resumable_on(self.context):
+            ranges = (rendered.agg(F.sum(F.octet_length("json")).alias("n")).first()["n"] or 0) // DIGEST_BYTES + 1
+            self.texts = rendered.repartitionByRange(ranges, "id").sortWithinPartitions("id").select("id", "json").rdd.map(tuple)
+            self.states: list[tuple[bytes, bool]] = [(_continued(None, [self.head]), False)]
+            self.lasts: list[str | None] = []
+
+    def _after(self, k: int, state: bytes, seen: bool, own: list[tuple[str, str]], gone: list[str]) -> tuple[bytes, bool, str | None]:
+        return self.context.runJob(self.texts, lambda rows: [_hashed(state, seen, rows, own, gone)], [k])[0]
+
+    def base(self) -> str:
+        if self.texts is None:
+            return self._sorted(self.rendered)
+        for k in range(self.texts.getNumPartitions()):
+            *state, last = self._after(k, *self.states[-1], [], [])
+            self.states.append(tuple(state))
+            self.lasts.append(last)
+        return _continued(self.states[-1][0], [], self.tail).hex()
+
+    def other(self, rows: DataFrame, gone: list[str]) -> str:
+        """After base(): the digest without the records that are gone, and with canonical_rows(), a few of them, which come to the driver."""
+        if self.texts is None:
+            return self._sorted(self.rendered.where(~F.col("id").isin(gone)).unionByName(rows))
+        ends, own = len(self.lasts), sorted((r["id"], r["json"]) for r in rows.select("id", "json").collect())
+        place = {i: next((k for k, last in enumerate(self.lasts) if last is not None and i <= last), ends) for i in {*gone, *(i for i, _ in own)}}
+        first = min(place.values(), default=ends)
+        state, seen = self.states[first]
+        for k in range(first, ends):
+            state, seen, _ = self._after(k, state, seen, [x for x in own if place[x[0]] == k], [i for i in gone if place[i] == k])
+        state, _, _ = _hashed(state, seen, [], [x for x in own if place[x[0]] == ends], [])
+        return _continued(state, [], self.tail).hex()
+
+    def _sorted(self, rendered: DataFrame) -> str:
+        return _ordered_digest(_separated(rendered, "id", F.col("json")), ["id"], self.head, self.tail, kept=True)
+
+
 def store_digest(memories: DataFrame, adapter: str = "file") -> str:
     """SHA-256 over the store's canonical JSON in id order. It is one serial hash by definition; store_merkle is a parallel one."""
     with scope(memories.sparkSession):
-        return _rendered_digest(written(canonical_rows(memories)), adapter)
-
-
-def _rendered_digest(rendered: DataFrame, adapter: str) -> str:
-    """store_digest() from canonical_rows() in tables."""
-    rows = _separated(rendered, "id", F.col("json"))
-    return _ordered_digest(rows, ["id"], f'{{"adapter":{canonical(adapter)},"memories":[', f'],"schema_version":"{SCHEMA_VERSION}"}}', kept=True)
-
-
-def _rendered_again(rendered: DataFrame, result: DataFrame, done: _Done) -> DataFrame:
-    """canonical_rows(result) from those of the store before: only records that a mutation made or changed are rendered."""
-    own = result.where(F.col("id").isin([*done.created, *done.modified]))
-    return rendered.where(~F.col("id").isin(done.modified)).unionByName(canonical_rows(own))
+        return _StoreDigests(written(canonical_rows(memories)), adapter).base()
 
 
 #: Records under a leaf of the Merkle tree, on average, and children of an inner node.
@@ -472,24 +527,25 @@ _HANDLERS: dict[str, Callable[..., _Done]] = {
 
 
 def mutate(memories: DataFrame, request: Request, transcripts: tuple[DataFrame, DataFrame] | None = None, adapter: str = "file") -> Mutation:
-    """Injects one defect. transcripts is (transcripts, turns). The store is rendered once for both its digests."""
+    """Injects one defect. transcripts is (transcripts, turns). The store is rendered and sorted once for both its digests."""
     rendered, path = written_to(canonical_rows(memories))
     try:
-        return _mutated(memories, request, transcripts, adapter, rendered)
+        return _mutated(memories, request, transcripts, _StoreDigests(rendered, adapter))
     finally:
         remove(memories.sparkSession, path)
 
 
-def _mutated(memories: DataFrame, request: Request, transcripts: tuple[DataFrame, DataFrame] | None, adapter: str, rendered: DataFrame) -> Mutation:
-    base, turns = _rendered_digest(rendered, adapter), transcripts_digest(transcripts)
+def _mutated(memories: DataFrame, request: Request, transcripts: tuple[DataFrame, DataFrame] | None, digests: _StoreDigests) -> Mutation:
+    base, turns = digests.base(), transcripts_digest(transcripts)
     mutation_id = short_hash("mutation-", {"base_store_digest": base, "request": asdict(request), "taxonomy_version": TAXONOMY_VERSION, "transcript_digest": turns})
     done = _HANDLERS[request.defect_class](memories, request, transcripts, mutation_id)
     result = done.memories.select(*memories.columns)
     require_valid_memories(result)
+    changed = canonical_rows(result.where(F.col("id").isin([*done.created, *done.modified])))
     unit = "memory_pair" if request.defect_class in _PAIRS else "retrieval_case" if done.probe else "memory"
     manifest = {
         "schema_version": MANIFEST_SCHEMA, "taxonomy_version": TAXONOMY_VERSION, "mutation_id": mutation_id, "defect_class": request.defect_class, "subtype": request.kind, "seed": request.seed,
-        "base_store_digest": base, "mutated_store_digest": _rendered_digest(_rendered_again(rendered, result, done), adapter), "transcript_digest": turns, "target_memory_ids": done.label,
+        "base_store_digest": base, "mutated_store_digest": digests.other(changed, done.modified), "transcript_digest": turns, "target_memory_ids": done.label,
         "targets": [{"memory_id": i, "role": r} for i, r in done.targets], "gold_label": {"unit": unit, "memory_ids": done.label, "observed_positive": done.probe is None},
         "created_memory_ids": done.created, "modified_memory_ids": done.modified, "removed_memory_ids": [], "parameters": done.parameters,
         "requires_runtime_validation": done.probe is not None, "base_store_status": request.base_store_status, "retrieval_probe": done.probe,

@@ -292,6 +292,63 @@ def test_mutated_store_is_rendered_once(spark, sf, monkeypatch, name):
     assert done.manifest["mutated_store_digest"] == store_digest(done.memories) != done.manifest["base_store_digest"] == store_digest(memories)
 
 
+@pytest.mark.parametrize("name", ["m4_missing_turn_then_c1", "m6_inject"])
+def test_mutated_store_is_hashed_from_its_first_difference(spark, sf, monkeypatch, name):
+    """The store is dealt into ranges once; records after all others take no job, and a changed one those of the ranges from its own on."""
+    from pyspark import SparkContext
+
+    from mnemora.plans import queries as q
+
+    made, ranges, sorts, mutate = [], [], [], mu.mutate
+    frame = type(spark.range(1))
+    run_job, by_range = SparkContext.runJob, frame.repartitionByRange
+
+    def ran(self, rdd, function, partitions=None, *args):
+        ranges.extend(partitions or [])
+        return run_job(self, rdd, function, partitions, *args)
+
+    def dealt(self, n, *columns):
+        if self.columns == ["id", "json"] and isinstance(n, int):
+            sorts.append(n)
+        return by_range(self, n, *columns)
+
+    def mutated(memories, request, transcripts=None, adapter="file"):
+        with monkeypatch.context() as m:
+            m.setattr(SparkContext, "runJob", ran)
+            m.setattr(frame, "repartitionByRange", dealt)
+            made.append((memories, mutate(memories, request, transcripts, adapter)))
+        return made[-1][1]
+
+    monkeypatch.setattr(mu, "mutate", mutated)
+    monkeypatch.setattr(mu, "transcripts_digest", lambda transcripts: None)
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 100_000)
+    q.QUERIES[name](spark, sf)
+    ((memories, done),) = made
+    n = max(ranges) + 1
+    # first() and the like run partition 0, too
+    later = [k for k in ranges if k]
+    assert n > 5 and len(sorts) == 1 and later == [*range(1, n)] * (2 if done.manifest["modified_memory_ids"] else 1)
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 1 << 40)
+    assert done.manifest["mutated_store_digest"] == mu.store_digest(done.memories) != done.manifest["base_store_digest"] == mu.store_digest(memories)
+
+
+@pytest.mark.parametrize("resumable", [True, False])
+def test_digest_of_a_store_that_differs(make, monkeypatch, resumable):  # noqa: F811
+    """Records before, between and after all others, without some, and in the order of UTF-8."""
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 2500)
+    if not resumable:
+        monkeypatch.setattr(mu, "_resumable", lambda: False)
+    old = [memory(f"m{i:02}", f"text {i}") for i in range(30)]
+    digests = mu._StoreDigests(mu.canonical_rows(make(old)), "file")
+    base = digests.base()
+    monkeypatch.setattr(mu, "DIGEST_BYTES", 1 << 40)
+    assert base == mu.store_digest(make(old)) == digests.other(mu.canonical_rows(make(old)).where("false"), [])
+    for added, gone in ((["a", "m05x", "m05y", "é", "\U0001f600", "\uffee"], ["m00", "m05", "m29"]), (["m30"], [f"m{i:02}" for i in range(30)])):
+        new = [memory(i, "new") for i in added]
+        want = mu.store_digest(make([m for m in old if m[0] not in gone] + new))
+        assert digests.other(mu.canonical_rows(make(new)), gone) == want
+
+
 def test_a_principal_is_not_one_task(spark, make, policy):  # noqa: F811
     """Without a broadcast, the memories of one user still meet the rules in several tasks."""
     store = make([memory(f"m{i:03}", "same", user="a") for i in range(400)])
